@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_blocks, warc
+from . import brown, decontam, langid, licenses, line_templates, packing, token_blocks, warc
 from .shared import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).drop("payload")
 
@@ -18,14 +22,35 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_token_files(token_blocks.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_language_id": op5_language_id,
+    "op7_class_lm": op7_class_lm,
+    "op8_decontamination": op8_decontamination,
     "op9_token_blocks": op9_token_blocks,
+    "op10_line_templates": op10_line_templates,
 }
 
 SQL: dict[str, str] = {
