@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, decontam, langid, licenses, line_templates, packing, token_blocks, warc
+from . import brown, decontam, langid, licenses, line_templates, ngram_join, packing, token_blocks, warc
 from .shared import table
 
 
@@ -26,6 +26,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_texts(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_language_id": op5_language_id,
+    "op6_ngram_join": op6_ngram_join,
     "op7_class_lm": op7_class_lm,
     "op8_decontamination": op8_decontamination,
     "op9_token_blocks": op9_token_blocks,
