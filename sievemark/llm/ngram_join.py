@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, components, mix, pieces, small_batches, written
+from .shared import Words, components, mix, pieces, small_batches, spanning, written
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 
@@ -69,19 +69,6 @@ def _features(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
     return slim.mapInArrow(features, "doc_id long, row long, chars long, key binary, bands array<long>")
 
 
-def spanning(links: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links (a matrix of rows `left` and columns `right`, numbers below size)."""
-    label, edges = np.arange(size), []
-    for i in np.flatnonzero(links.any(axis=1)).tolist():
-        x, linked = int(left[i]), right[links[i]]
-        labels, first = np.unique(label[linked], return_index=True)
-        for other, at in zip(labels.tolist(), first.tolist(), strict=True):
-            if other != label[x]:
-                edges.append((x, int(linked[at])))
-                label[label == other] = label[x]
-    return edges
-
-
 def similar(left: list[np.ndarray], right: list[np.ndarray], asked: np.ndarray, similarity: float) -> np.ndarray:
     """Of the pairs that are asked for (a matrix), those of so large a Jaccard similarity. Where many are asked for, the
     sets' shared n-grams are counted as products of 0/1 matrices, a stretch of n-grams at a time."""

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, decontam, langid, licenses, line_templates, ngram_join, packing, token_blocks, warc
+from . import brown, decontam, langid, licenses, line_templates, near_vectors, ngram_join, packing, token_blocks, warc
 from .shared import table
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_license_scan": op2_license_scan,
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
