@@ -75,7 +75,7 @@ def near_pairs(left: np.ndarray, right: np.ndarray, cosine: float, recall: float
 
 
 def _verify(rows: pd.DataFrame, cosine: float, recall: float) -> pd.DataFrame:
-    """Links of one pair of blocks (or within one): a, links (rows that class a links with) and a, b (a spanning forest)."""
+    """Links of one pair of blocks (or within one): a, a, links (rows that class a links with) and a, b, 0 (a spanning forest)."""
     units = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
     ids, weight = rows["id"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
     left, right = np.flatnonzero(rows["side"].to_numpy() <= 0), np.flatnonzero(rows["side"].to_numpy() >= 0)
@@ -89,8 +89,9 @@ def _verify(rows: pd.DataFrame, cosine: float, recall: float) -> pd.DataFrame:
         np.add.at(count, y, close.T.astype(np.float64) @ weight[x])
         edges += [(ids[i], ids[j]) for i, j in spanning(close, x, y, len(rows))]
     some = np.flatnonzero(count)
-    out = {"a": [*ids[some].tolist(), *(x for x, _ in edges)], "b": [*[None] * len(some), *(y for _, y in edges)], "links": [*count[some].tolist(), *[0] * len(edges)]}
-    return pd.DataFrame(out).astype({"a": "int64", "b": "Int64", "links": "int64"})
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    a, b = np.concatenate([ids[some], ends[:, 0]]), np.concatenate([ids[some], ends[:, 1]])
+    return pd.DataFrame({"a": a, "b": b, "links": np.concatenate([count[some], np.zeros(len(ends), np.int64)])})
 
 
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.999999, block: int = 2048, dense: int = 50_000) -> DataFrame:
@@ -155,8 +156,8 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.9
     work = within.unionByName(lefts).unionByName(rights)
     tasks = work.groupBy("label", "cell", "next", "i", "j")
     found = written(tasks.applyInPandas(lambda x: _verify(x, cosine, recall), "a long, b long, links long"), "vector-links")
-    links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    joined = components(found.where("b is not null").select("a", "b"), "vector-components").withColumnRenamed("node", "id")
+    links = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    joined = components(found.where("a <> b").select("a", "b"), "vector-components").withColumnRenamed("node", "id")
     known = classes.join(links, "id", "left").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = known.groupBy("root").agg(F.min("class_id").alias("component_id"))
     known = written(known.join(least, "root").select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "vector-known")

@@ -111,8 +111,8 @@ def similar(left: list[np.ndarray], right: list[np.ndarray], asked: np.ndarray,
 
 
 def _verify(rows: pd.DataFrame, similarity: float, n: int) -> pd.DataFrame:
-    """Links of a task's rows: either some small components, or one pair i, j of blocks of a large one. Gives a, links
-    (rows of the table that class a links with here) and a, b (edges of a spanning forest of classes)."""
+    """Links of a task's rows: either some small components, or one pair i, j of blocks of a large one. Gives a, a, links
+    (rows of the table that class a links with here) and a, b, 0 (edges of a spanning forest of classes)."""
     array = pa.RecordBatch.from_arrays([pa.array(list(rows["text"]), pa.string())], names=["text"])
     sets = [x for part in pieces(array, "text") for x in gram_sets(part.column(0), n)]
     bands = np.array(list(rows["bands"]), np.int64)
@@ -130,8 +130,9 @@ def _verify(rows: pd.DataFrame, similarity: float, n: int) -> pd.DataFrame:
         np.add.at(count, right, links.T.astype(np.float64) @ weight[left])
         edges += [(ids[x], ids[y]) for x, y in spanning(links, left, right, len(rows))]
     some = np.flatnonzero(count)
-    out = {"a": [*ids[some].tolist(), *(x for x, _ in edges)], "b": [*[None] * len(some), *(y for _, y in edges)], "links": [*count[some].tolist(), *[0] * len(edges)]}
-    return pd.DataFrame(out).astype({"a": "int64", "b": "Int64", "links": "int64"})
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    a, b = np.concatenate([ids[some], ends[:, 0]]), np.concatenate([ids[some], ends[:, 1]])
+    return pd.DataFrame({"a": a, "b": b, "links": np.concatenate([count[some], np.zeros(len(ends), np.int64)])})
 
 
 def linked(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, recall: float = RECALL, block: int = 2048, block_chars: int = 16 << 20) -> DataFrame:
@@ -161,8 +162,8 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, reca
     texts = docs.select(_row_key().alias("row"), "text").join(members.select("row"), "row", "left_semi").dropDuplicates(["row"])
     work = pairs.join(texts, "row").select(task.alias("task"), "root", "i", "j", "block", "row", "n", "bands", "text")
     found = written(work.groupBy("task").applyInPandas(lambda rows: _verify(rows, similarity, n), "a long, b long, links long"), "found")
-    links = found.where("b is null").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
-    joined = components(found.where("b is not null").select("a", "b"), "links").withColumnRenamed("node", "row")
+    links = found.where("a = b").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
+    joined = components(found.where("a <> b").select("a", "b"), "links").withColumnRenamed("node", "row")
     known = classes.select("key", "class_id", "row", "n").join(links, "row", "left").join(joined, "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = known.groupBy("root").agg(F.min(F.struct("class_id", "row")).alias("kept"))
     known = known.join(least, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("kept.class_id").alias("component_id"), F.col("kept.row").alias("kept_row"))
