@@ -9,6 +9,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,22 +158,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], shape)
 
 
+def _clean(held: Broadcast, threshold: float):
+    """A column function: whether no item of the block is found in a text."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        array = pa.array([None if x is None or x != x else x for x in texts], pa.string())
+        batch, out, at = pa.RecordBatch.from_arrays([array], names=["text"]), np.ones(len(array), bool), 0
+        for part in pieces(batch, "text"):
+            for leak in find_leaks(part.column(0), held.value, threshold):
+                out[at + leak.row] = False
+            at += part.num_rows
+        return pd.Series(out)
+
+    return clean
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, in whose text no item is found."""
     spark = docs.sparkSession
     small_batches(spark)
     for block in item_blocks(benchmark):
-        held = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, held=held) -> pd.Series:
-            array = pa.array([None if x is None or x != x else x for x in texts], pa.string())
-            batch, out, at = pa.RecordBatch.from_arrays([array], names=["text"]), np.ones(len(array), bool), 0
-            for part in pieces(batch, "text"):
-                for leak in find_leaks(part.column(0), held.value, threshold):
-                    out[at + leak.row] = False
-                at += part.num_rows
-            return pd.Series(out)
-
-        docs = docs.where(clean(F.col("text")))
+        docs = docs.where(_clean(spark.sparkContext.broadcast(block), threshold)(F.col("text")))
     return docs
