@@ -67,7 +67,7 @@ def array_errors(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def array_stats(rows: DataFrame, key: str, values: str) -> DataFrame:
     """key, numel, mean, std (of the population), min, max, l2."""
-    each = rows.select(key, F.explode(values).cast("double").alias("v"))
+    each = rows.select(key, F.explode(F.col(values).cast("array<double>")).alias("v"))
     return each.groupBy(key).agg(
         F.count("*").alias("numel"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l2")
     )

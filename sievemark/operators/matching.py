@@ -168,36 +168,41 @@ AP_IOUS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 _AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
+def _greedy(ious: np.ndarray, ignored: np.ndarray, least: float) -> np.ndarray:
+    """The target that each prediction (in order) takes, or -1: the one that it overlaps most, counted ones before
+    ignored ones, the last among equals."""
+    free, out = np.ones(ious.shape[1], bool), np.full(len(ious), -1)
+    for d, row in enumerate(ious):
+        for kind in (~ignored, ignored):
+            some = np.flatnonzero(free & kind & (row >= least))
+            if len(some):
+                out[d] = some[len(some) - 1 - int(row[some][::-1].argmax())]
+                free[out[d]] = False
+                break
+    return out
+
+
 def _coco_matches(rows: pd.DataFrame) -> pd.DataFrame:
-    """Outcomes of one image and category, for every IoU and area range: a target outside of the range is ignored, and so
-    is a prediction that matches one, or matches none and is itself outside."""
-    gts, prs = rows[rows["is_gt"]], rows[~rows["is_gt"]].sort_values(["score", "id"], ascending=[False, True])[:100]
-    g, p = gts[["x", "y", "w", "h"]].to_numpy(float), prs[["x", "y", "w", "h"]].to_numpy(float)
-    low = np.maximum(p[:, None, :2], g[None, :, :2])
-    high = np.minimum(p[:, None, :2] + p[:, None, 2:], g[None, :, :2] + g[None, :, 2:])
-    common = np.clip(high - low, 0, None).prod(axis=2)
-    area_g, area_p = g[:, 2] * g[:, 3], p[:, 2] * p[:, 3]
-    ious = common / (area_p[:, None] + area_g[None, :] - common)
+    """Outcomes of an image's categories, for every IoU and area range: a target outside of the range is ignored, and so is
+    a prediction that takes one, or takes none and is itself outside. Place 0 holds the number of targets."""
     out = []
-    for area, (least, most) in _AREAS.items():
-        ignored = (area_g < least) | (area_g > most)
-        order = np.argsort(ignored, kind="stable")
-        outside = (area_p < least) | (area_p > most)
-        for t in AP_IOUS:
-            used = np.zeros(len(g), bool)
-            for d in range(len(p)):
-                best, at = min(t, 1 - 1e-10), -1
-                for j in order:
-                    if used[j] or (at >= 0 and not ignored[at] and ignored[j]) or ious[d, j] < best:
-                        continue
-                    best, at = ious[d, j], j
-                if at >= 0:
-                    used[at] = True
-                if not (ignored[at] if at >= 0 else outside[d]):
-                    out.append((area, t, float(prs["score"].iloc[d]), int(prs["id"].iloc[d]), d + 1, int(at >= 0)))
-        out.append((area, 0.0, 0.0, -1, 0, int((~ignored).sum())))
-    frame = pd.DataFrame(out, columns=["area", "iou", "score", "id", "place", "tp"])
-    return frame.assign(image_id=rows["image_id"].iloc[0], category=rows["category"].iloc[0])
+    for category, own in rows.groupby("category"):
+        gts, prs = own[own["is_gt"]], own[~own["is_gt"]].sort_values(["score", "id"], ascending=[False, True])[:100]
+        g, p = gts[["x", "y", "w", "h"]].to_numpy(float), prs[["x", "y", "w", "h"]].to_numpy(float)
+        low = np.maximum(p[:, None, :2], g[None, :, :2])
+        high = np.minimum(p[:, None, :2] + p[:, None, 2:], g[None, :, :2] + g[None, :, 2:])
+        common = np.clip(high - low, 0, None).prod(axis=2)
+        area_g, area_p = g[:, 2] * g[:, 3], p[:, 2] * p[:, 3]
+        ious = common / (area_p[:, None] + area_g[None, :] - common)
+        scores, ids = prs["score"].tolist(), prs["id"].tolist()
+        for area, (least, most) in _AREAS.items():
+            ignored, outside = (area_g < least) | (area_g > most), (area_p < least) | (area_p > most)
+            for t in AP_IOUS:
+                for d, at in enumerate(_greedy(ious, ignored, t).tolist()):
+                    if not (ignored[at] if at >= 0 else outside[d]):
+                        out.append((category, area, t, scores[d], ids[d], d + 1, int(at >= 0)))
+            out.append((category, area, 0.0, 0.0, -1, 0, int((~ignored).sum())))
+    return pd.DataFrame(out, columns=["category", "area", "iou", "score", "id", "place", "tp"]).assign(image_id=rows["image_id"].iloc[0])
 
 
 def average_precision(targets: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -207,7 +212,7 @@ def average_precision(targets: DataFrame, predictions: DataFrame) -> DataFrame:
     side = lambda rows, gt: rows.select("image_id", "category", F.col("id").cast("long"), *[F.col(c).cast("double") for c in _BOX], (F.lit(0.0) if gt else F.col("score").cast("double")).alias("score"), F.lit(gt).alias("is_gt"))
     rows = side(targets, True).unionByName(side(predictions, False))
     image, kind = rows.schema["image_id"].dataType.simpleString(), rows.schema["category"].dataType.simpleString()
-    found = rows.groupBy("image_id", "category").applyInPandas(_coco_matches, f"area string, iou double, score double, id long, place int, tp int, image_id {image}, category {kind}")
+    found = rows.groupBy("image_id").applyInPandas(_coco_matches, f"category {kind}, area string, iou double, score double, id long, place int, tp int, image_id {image}")
     totals = found.where("place = 0").groupBy("category", "area").agg(F.sum("tp").alias("n"))
     hits = found.where("place > 0")
     own = ["category", "area", "iou"]

@@ -22,19 +22,20 @@ def allocation(n: Column, ratios: Mapping[str, float] = RATIOS) -> dict[str, Col
     """Counts of train, val, test that add up to n: shares rounded down, then one more to the largest remainders, then one
     from the largest count to each that is empty. Ties go to the earlier split; n must be 3 at least."""
     exact = [n * F.lit(float(ratios[s])) for s in SPLITS]
-    low = [F.floor(x) for x in exact]
+    low = [F.floor(x).cast("long") for x in exact]
     rest = [x - y for x, y in zip(exact, low, strict=True)]
     left = n - (low[0] + low[1] + low[2])
     counts = []
     for i in range(3):
         before = sum(((rest[j] > rest[i]) | ((rest[j] == rest[i]) & F.lit(j < i))).cast("int") for j in range(3) if j != i)
         counts.append(low[i] + (before < left).cast("int"))
-    for empty in range(3):
-        most = F.greatest(*counts)
-        donor = F.when(counts[0] == most, 0).when(counts[1] == most, 1).otherwise(2)
-        need = counts[empty] == 0
-        counts = [c + F.when(need & F.lit(i == empty), 1).when(need & (donor == i), -1).otherwise(0) for i, c in enumerate(counts)]
-    return {s: c.cast("long") for s, c in zip(SPLITS, counts, strict=True)}
+
+    def repair(state: Column, empty: Column) -> Column:
+        need, donor = F.get(state, empty) == 0, F.array_position(state, F.array_max(state)) - 1
+        return F.transform(state, lambda x, i: x + F.when(need & (i == empty), 1).when(need & (i == donor), -1).otherwise(0))
+
+    repaired = F.aggregate(F.array(*map(F.lit, range(3))), F.array(*counts), repair)
+    return {s: F.get(repaired, i).cast("long") for i, s in enumerate(SPLITS)}
 
 
 def hash_ranks(groups: DataFrame, seed: int = 42, policy: str = GROUP_POLICY) -> DataFrame:
