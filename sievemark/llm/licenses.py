@@ -130,7 +130,7 @@ def rules() -> dict[bytes, list[Rule]]:
     edge = r"(?<![0-9a-z\x80-\xff]){}(?![0-9a-z\x80-\xff])"
 
     def add(label: str, keyword: str, priority: int, weight: float, pattern: str) -> None:
-        spaced = edge.format(f"(?:{pattern})").replace(" ", r"\s+")
+        spaced = edge.format(f"(?:{pattern})").replace("[- ]", r"[-\s]").replace(" ?", r"\s*").replace(" ", r"\s+")
         found[keyword.encode()].append(Rule(label, keyword.encode(), priority, weight, re.compile(spaced.encode("latin-1"))))
 
     for label, keyword, names, ids in FAMILIES:

@@ -99,7 +99,8 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.9
     double precision), component_id (the smallest vec_id reachable by links), kept (vec_id is component_id).
 
     A null label or vector, and one that is all zero or has a null or non-finite component, links with nothing; vectors of
-    different lengths don't link. Equal vectors are one class before anything is paired; repeated rows count as rows.
+    different lengths don't link. Equal vectors are one class before anything is paired; repeated rows count as rows; a null vec_id is
+    never a class's or component's name unless it has no other.
 
     Classes of a label are dealt to strips of their first projections, wide enough that a pair is in the same strip or in
     neighbours. One projection's strips part labels of up to `dense` classes, each fourfold takes one projection more, four
@@ -163,4 +164,4 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.9
     known = written(known.join(least, "root").select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "vector-known")
     linked = rows.where("good").join(known, ["label", "e"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -142,7 +142,7 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, reca
     small_batches(spark)
     bands, rows = band_plan(similarity, recall)
     features = written(_features(docs, bands, rows, n), "features")
-    first = F.min(F.struct("doc_id", "row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     classes = features.where("key is not null").groupBy("key").agg(first.alias("first"), F.count("*").alias("n"), F.max("chars").alias("chars"), F.any_value("bands").alias("bands"))
     classes = written(classes.select("key", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("row"), "n", "chars", "bands"), "classes")
     buckets = classes.select("row", F.posexplode("bands").alias("band", "hash"))
@@ -165,7 +165,7 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, reca
     links = found.where("a = b").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
     joined = components(found.where("a <> b").select("a", "b"), "links").withColumnRenamed("node", "row")
     known = classes.select("key", "class_id", "row", "n").join(links, "row", "left").join(joined, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    least = known.groupBy("root").agg(F.min(F.struct("class_id", "row")).alias("kept"))
+    least = known.groupBy("root").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", "row")).alias("kept"))
     known = known.join(least, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("kept.class_id").alias("component_id"), F.col("kept.row").alias("kept_row"))
     known = written(known, "known")
     with_words = features.where("key is not null").select("row", "doc_id", "key").join(known, "key").drop("key")
@@ -179,14 +179,15 @@ def join(docs: DataFrame, **options) -> DataFrame:
     (doc_id is component_id).
 
     Words are runs of digits, a-z (A-Z lower-cased) and characters beyond ASCII. A text of fewer than n words has one
-    n-gram, all its words; one without words (or null) links with nothing. Repeated rows count, and are kept, as rows.
+    n-gram, all its words; one without words (or null) links with nothing. Repeated rows count, and are kept, as rows;
+    a null doc_id comes after all others.
 
     Rows of the same set become one class before anything is paired. Bands are hashed and shuffled without texts; a bucket
     joins its members to its smallest one, and the components of that graph are where pairs are looked for. Each class's
     text goes once to the block of its component that a hash names; a large component has several blocks, and each pair of
     blocks is one task's work, so no task holds more than two. A pair is verified once, if it shares a band; what leaves
     a task is a count per class and a spanning forest, not the pairs."""
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     return linked(docs, **options).select("doc_id", "class_id", "n_links", "component_id", kept.alias("kept"))
 
 
