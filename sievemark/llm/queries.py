@@ -63,6 +63,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_templates": op10_line_templates,
 }
 
+# Links l (a < b) to links both ways u, what they reach r, and each node's smallest; from nodes (node).
+_REACH = """u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT node, node FROM nodes UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b),
+root AS (SELECT a AS node, min(b) AS component_id FROM r GROUP BY 1),
+links AS (SELECT a AS node, count(*) AS n_links FROM u GROUP BY 1)"""
+
 SQL: dict[str, str] = {
     "op3_warc": """
 WITH p AS (
@@ -72,5 +78,28 @@ SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
   CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN m <> page_id THEN m END AS refers_to
 FROM p LEFT JOIN g ON p.d = g.d AND n >= 1000
+""",
+    "op1_near_vectors": f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS node FROM embeddings),
+v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id < y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.98),
+{_REACH}
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN root ON root.node = vec_id LEFT JOIN links ON links.node = vec_id
+""",
+    "op6_ngram_join": rf"""
+WITH RECURSIVE nodes AS (SELECT doc_id AS node FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, k = x.n AND k = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * k >= 8 * (x.n + y.n - k)),
+{_REACH},
+first AS (SELECT b AS node, min(a) AS class_id FROM l WHERE same GROUP BY 1)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, component_id, doc_id = component_id AS kept
+FROM documents JOIN root ON root.node = doc_id LEFT JOIN links ON links.node = doc_id LEFT JOIN first ON first.node = doc_id
 """,
 }
