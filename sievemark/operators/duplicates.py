@@ -28,12 +28,13 @@ def hamming_pairs(rows: DataFrame, most: int, bits: int = 64) -> DataFrame:
     bands), so an equi-join on bands finds it. A pair is kept at the first band that is equal, so none comes twice."""
     bands = most + 1
     cuts = [bits * i // bands for i in range(bands + 1)]
-    pieces = F.array(*[F.shiftright("hash", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)])
+    mask = lambda n: (1 << n) - 1 if n < 64 else -1
+    pieces = F.array(*[F.shiftright("hash", a).bitwiseAND(mask(b - a)) for a, b in zip(cuts, cuts[1:], strict=False)])
     keyed = rows.select("id", "hash", "pixels", F.posexplode(pieces).alias("band", "piece"))
     left, right = keyed.alias("l"), keyed.alias("r")
     earlier = F.lit(False)
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        same = F.shiftright(F.col("l.hash").bitwiseXOR(F.col("r.hash")), a).bitwiseAND((1 << (b - a)) - 1) == 0
+        same = F.shiftright(F.col("l.hash").bitwiseXOR(F.col("r.hash")), a).bitwiseAND(mask(b - a)) == 0
         earlier = earlier | (same & (F.col("l.band") > i))
     found = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.piece") == F.col("r.piece")) & (F.col("l.id") < F.col("r.id")))
     distance = hamming(F.col("l.hash"), F.col("r.hash"))

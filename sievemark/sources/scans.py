@@ -34,11 +34,12 @@ def csv_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Fields of every object, one to a line; blank lines and values that aren't objects are left out."""
-    return _lines(spark, path).where(F.substring(F.trim("value"), 1, 1) == "{").select(F.from_json("value", schema).alias("r")).select("r.*")
+    return spark.read.text(path).where(F.substring(F.trim("value"), 1, 1) == "{").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def json_line_problems(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), problem: lines that aren't JSON, or no object, or that repeat a key."""
+    """file, line (from 1), problem: lines that aren't JSON, or no object, or that repeat a key. Counting lines takes whole
+    files, so each must fit in a task."""
     rows = _lines(spark, path).where("trim(value) <> ''")
     parsed = F.try_parse_json("value")
     keys = F.when(parsed.isNotNull(), F.json_object_keys("value"))
@@ -51,7 +52,7 @@ def json_line_problems(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
     return whole.select("file", (F.col("at") + 1).alias("line"), "value")
 
 
