@@ -60,7 +60,7 @@ def _leaves(value, path=""):
 _NUMBER = ArrayType(StructType([StructField("path", StringType()), StructField("value", DoubleType())]))
 
 
-@F.udf(_NUMBER)
+@F.udf(returnType=_NUMBER, useArrow=True)
 def numeric_leaves(text: str | None):
     """Paths and values of all numbers in a document, in the order of the paths."""
     if text is None or _problem(text):
