@@ -38,7 +38,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return labels.join(smallest, "label").select("node", "root")
 
 
-def component_ids(members: DataFrame, prefix: str = "phashcc_") -> DataFrame:
+#: Fixed value: what the names of components begin with.
+PREFIX = "phashcc_"
+
+
+def component_ids(members: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """root, component_id (a hash of all members, sorted), members: of the components node, root."""
     names = F.array_sort(F.collect_set(F.col("node").cast("string")))
     grouped = members.groupBy("root").agg(names.alias("names"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from sievemark.functions.geometry import iou_xywh, safe_ratio, wilson_lower
 
 _BOX = ("x", "y", "w", "h")
+# The status of a chosen threshold, and of none.
+CHOSEN, NOT_AVAILABLE = "VALIDATION_DERIVED_PENDING_HUMAN_REVIEW", "NOT_AVAILABLE"
 
 
 def _parts(b: Column) -> tuple[Column, Column, Column, Column]:
@@ -125,7 +127,7 @@ def choose_threshold(curve: DataFrame, target: float, least_bound: float) -> Dat
     fields = ["confidence", "precision", "precision_wilson_lower_95", "recall", "f1", "tp", "fp", "fn"]
     best = F.max_by(F.struct(*fields), F.when(fit, F.struct("recall", "precision", -F.col("confidence"))))
     grouped = curve.groupBy("category").agg(F.max(fit).alias("some"), best.alias("b"))
-    status = F.when(F.col("some"), "VALIDATION_DERIVED_PENDING_HUMAN_REVIEW").otherwise("NOT_AVAILABLE")
+    status = F.when(F.col("some"), CHOSEN).otherwise(NOT_AVAILABLE)
     return grouped.select("category", status.alias("status"), *[F.when(F.col("some"), F.col(f"b.{c}")).alias(c) for c in fields])
 
 
