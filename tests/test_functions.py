@@ -64,7 +64,7 @@ def test_wilson_bound_is_below_the_share(spark, good, more):
 
 def test_paths(spark):
     p = lambda f, x, *a: one(spark, f(F.lit(x), *a))
-    assert p(text.class_of_path, "raw/wikimedia/board/one.png", ["board"]) == "board" and p(text.class_of_path, "a/one.png", ["one.png"]) == "UNASSIGNED"
+    assert p(text.class_of_path, "raw/web/board/one.png", ["board"]) == "board" and p(text.class_of_path, "a/one.png", ["one.png"]) == "UNASSIGNED"
     assert p(text.class_of_path, "x/a/b/c.png", ["a", "b"]) == "b" and p(text.class_of_path, "c.png", ["a"], "d") == "d"
     assert (p(text.source_of_path, "a/b.png"), p(text.source_of_path, "b.png")) == ("a", "local")
     assert (p(text.split_of_path, "val/a.png"), p(text.split_of_path, "x/val/a.png")) == ("val", "UNASSIGNED")
