@@ -98,8 +98,10 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     raw = F.encode("html", "UTF-8")
     pages = pages.withColumn("digest", F.when(F.octet_length(raw) >= least_bytes, F.sha2(raw, 256)))
-    # Aggregated before it is shuffled; only digests of several pages are joined, and a common one's side can be split.
+    # Aggregated before it is shuffled; only digests of several pages are joined, from a plain table, so that a common
+    # one's side can be split.
     shared = pages.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = written(shared, "digests")
     return pages.join(shared, "digest", "left").select("page_id", "url", "html", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")).alias("refers_to"))
 
 
@@ -157,7 +159,7 @@ def write_bundles(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", frame_by
     return written(rows, "warc-index").withColumn("folder", F.lit(folder))
 
 
-def read_records(index: DataFrame) -> DataFrame:
+def read_records(index: DataFrame, task_bytes: int = 32 << 20) -> DataFrame:
     """The records that the index names, each frame unpacked once: page_id, record_type, refers_to, payload_bytes and
     payload_digest (bare lower-case hex SHA-1) as the record states them, and payload (null in a revisit)."""
     spark = index.sparkSession
@@ -187,8 +189,9 @@ def read_records(index: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(names))
 
-    # A frame's entries are bounded by its size.
-    frames = index.groupBy("folder", "bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("e"))
+    # A frame's entries are bounded by its size. The number of tasks goes by the bytes to read, not by the index's.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes))
+    frames = index.repartition(tasks, "folder", "bundle", "frame").groupBy("folder", "bundle", "frame").agg(F.collect_list(F.struct("offset", "length")).alias("e"))
     frames = frames.select("folder", "bundle", "frame", F.col("e.offset").alias("offsets"), F.col("e.length").alias("lengths"))
     return frames.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
