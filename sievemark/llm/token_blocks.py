@@ -10,6 +10,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -90,19 +91,47 @@ def decode_blocks(data: memoryview, starts: np.ndarray) -> np.ndarray:
     return rows.reshape(-1)[(np.arange(BLOCK) < sizes[:, None]).reshape(-1)]
 
 
-def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, percentile: float = 90.0) -> bytes:
-    blocks, starts = encode_blocks(ids, percentile)
-    body = b"".join(
-        [
-            MAGIC,
-            blocks,
-            (starts + len(MAGIC)).astype("<u8").tobytes(),
-            np.array([x is not None for x in doc_ids], np.uint8).tobytes(),
-            np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
-            np.array(lengths, "<u8").tobytes(),
-        ]
-    )
-    return body + _FOOT.pack(len(doc_ids), len(ids), len(starts), len(MAGIC) + len(blocks), zlib.crc32(body), MAGIC)
+class BlockFile:
+    """Writes a file to an open stream; of the ids, only those of blocks that aren't whole yet are held."""
+
+    def __init__(self, out: BinaryIO, percentile: float = 90.0, step: int = 1 << 20):
+        self.out, self.percentile, self.step = out, percentile, step
+        self.doc_ids: list[int | None] = []
+        self.lengths: list[int] = []
+        self.starts: list[np.ndarray] = []
+        self.held: list[bytes] = []
+        self.size = self.crc = self.n_held = self.n_ids = 0
+        self._write(MAGIC)
+
+    def _write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.crc = zlib.crc32(data, self.crc)
+        self.size += len(data)
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        self.doc_ids.append(doc_id)
+        self.lengths.append(len(ids) // 4)
+        self.held.append(ids)
+        self.n_held += len(ids) // 4
+        self.n_ids += len(ids) // 4
+        if self.n_held >= self.step:
+            self._encode(self.n_held // BLOCK * BLOCK)
+
+    def _encode(self, n: int) -> None:
+        ids = np.frombuffer(b"".join(self.held), "<u4")
+        blocks, starts = encode_blocks(ids[:n], self.percentile)
+        self.starts.append(starts + np.uint64(self.size))
+        self._write(blocks)
+        self.held, self.n_held = [ids[n:].tobytes()], len(ids) - n
+
+    def close(self) -> None:
+        if self.n_held:
+            self._encode(self.n_held)
+        starts = np.concatenate(self.starts) if self.starts else np.zeros(0, np.uint64)
+        index = self.size
+        there = np.array([x is not None for x in self.doc_ids], np.uint8)
+        self._write(starts.astype("<u8").tobytes() + there.tobytes() + np.array([x or 0 for x in self.doc_ids], "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes())
+        self.out.write(_FOOT.pack(len(self.doc_ids), self.n_ids, len(starts), index, self.crc, MAGIC))
 
 
 def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -121,7 +150,7 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [x if ok else None for x, ok in zip(names.tolist(), there.tolist(), strict=True)], lengths, ids
 
 
-def write_token_files(docs: DataFrame, tokenizer: str | None = None, percentile: float = 90.0, file_ids: int = 4_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str | None = None, percentile: float = 90.0, file_ids: int = 16_000_000) -> DataFrame:
     """Write the ids of every whole text (null: empty), each with the end id, in ascending doc_id order (nulls first;
     equal doc_ids in any order); one row per file: part, seq (their order is that of the files), path, n_docs, n_ids.
 
@@ -133,30 +162,28 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, percentile:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        part, seq, held = TaskContext.get().partitionId(), 0, 0
-        doc_ids: list[int | None] = []
-        texts: list[bytes] = []
+        store.create_dir(base, recursive=True)
+        part, seq, stream, file, path = TaskContext.get().partitionId(), 0, None, None, ""
         end = np.array([END_ID], "<u4").tobytes()
+        kinds = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
-        def flush() -> pa.RecordBatch:
-            data = file_bytes(doc_ids, [len(x) // 4 for x in texts], np.frombuffer(b"".join(texts), "<u4"), percentile)
-            store.create_dir(base, recursive=True)
-            path = f"{base}/{part:06d}-{seq:05d}-{uuid.uuid4().hex}.pfb"
-            with store.open_output_stream(path) as out:
-                out.write(data)
-            row = {"part": part, "seq": seq, "path": path, "n_docs": len(doc_ids), "n_ids": held}
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+        def closed() -> pa.RecordBatch:
+            file.close()
+            stream.close()
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "n_docs": len(file.doc_ids), "n_ids": file.n_ids}], schema=kinds)
 
         for batch in batches:
-            doc_ids += batch.column(0).to_pylist()
-            new = [x + end for x in encoder(name).encode_batch(batch.column(1).to_pylist())]
-            texts += new
-            held += sum(map(len, new)) // 4
-            if held >= file_ids:
-                yield flush()
-                seq, held, doc_ids, texts = seq + 1, 0, [], []
-        if doc_ids:
-            yield flush()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(name).encode_batch(batch.column(1).to_pylist()), strict=True):
+                if file is None:
+                    path = f"{base}/{part:06d}-{seq:05d}-{uuid.uuid4().hex}.pfb"
+                    stream = store.open_output_stream(path)
+                    file = BlockFile(stream, percentile)
+                file.add(doc_id, ids + end)
+                if file.n_ids >= file_ids:
+                    yield closed()
+                    seq, file = seq + 1, None
+        if file is not None:
+            yield closed()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     files = written(rows.mapInArrow(write, "part int, seq int, path string, n_docs long, n_ids long"), "token-manifest")
@@ -184,4 +211,5 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return files.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # As many partitions as files: so small rows would be merged into few tasks otherwise.
+    return files.repartition(max(1, files.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

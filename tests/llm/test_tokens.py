@@ -1,3 +1,4 @@
+import io
 import zlib
 
 import numpy as np
@@ -41,7 +42,12 @@ def test_blocks_where_every_value_is_an_outlier_or_none():
 
 
 def test_a_damaged_file_is_refused():
-    data = bytearray(token_blocks.file_bytes([1, None], [2, 1], np.array([9, 2, 2], np.uint32)))
+    out = io.BytesIO()
+    file = token_blocks.BlockFile(out)
+    file.add(1, np.array([9, 2], "<u4").tobytes())
+    file.add(None, np.array([2], "<u4").tobytes())
+    file.close()
+    data = bytearray(out.getvalue())
     doc_ids, lengths, ids = token_blocks.read_file(bytes(data))
     assert (doc_ids, lengths.tolist(), ids.tolist()) == ([1, None], [2, 1], [9, 2, 2])
     data[6] ^= 1
@@ -49,6 +55,16 @@ def test_a_damaged_file_is_refused():
         token_blocks.read_file(bytes(data))
 
 
+def test_a_file_written_in_steps():
+    rng, out = np.random.default_rng(1), io.BytesIO()
+    file, docs = token_blocks.BlockFile(out, step=600), [rng.integers(0, 50000, n).astype("<u4") for n in (0, 1, 700, 255, 3000, 1)]
+    for i, x in enumerate(docs):
+        file.add(i, x.tobytes())
+    file.close()
+    doc_ids, lengths, ids = token_blocks.read_file(out.getvalue())
+    assert doc_ids == list(range(6)) and lengths.tolist() == [len(x) for x in docs] and np.array_equal(ids, np.concatenate(docs))
+
+
 def _docs(spark):
     rows = [(i if i != 3 else None, x, "clash", 1) for i, x in enumerate(TEXTS)] + [(5, TEXTS[5], "clash", 1)]
     return spark.createDataFrame(rows, "doc_id long, text string, start string, piece int").repartition(5)
