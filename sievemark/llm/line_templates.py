@@ -89,7 +89,9 @@ def recurring_lines(docs: DataFrame, least_docs: int = 3, least_tokens: int = 4,
     templates = written(lines.groupBy("leaf", "part", "template").agg(F.count_if("fresh").alias("n"), F.min(where).alias("first")), "templates")
     leaves = templates.groupBy("leaf").agg(F.count("*").alias("in_leaf"), F.sum("n").alias("rows"))
     parts = templates.groupBy("leaf", "part").agg(F.count("*").alias("in_part"))
-    some = leaves.where((F.col("in_leaf") > 1) & (F.col("rows") >= least_docs))
+    # Joins with plain tables can split a large leaf's side.
+    some = written(leaves.where((F.col("in_leaf") > 1) & (F.col("rows") >= least_docs)), "leaves")
+    parts = written(parts, "parts")
     bucket = F.when(F.col("in_leaf") <= most, F.col("leaf")).when((F.col("in_part") <= most) & (F.col("in_part") > 1), F.col("part"))
     open_ = templates.join(some, "leaf").join(parts, ["leaf", "part"]).withColumn("bucket", bucket).where("bucket is not null")
     texts = lines.where("fresh").select("template", "text", "key").join(open_.select("template", F.col("first.key").alias("key"), "bucket"), ["template", "key"])

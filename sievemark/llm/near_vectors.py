@@ -140,6 +140,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.9
 
     placed = written(classes.select("label", "e", "n", "id").mapInArrow(strips, "label string, cell array<int>, unit binary, n long, id long"), "strips")
     blocks = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = written(blocks, "blocks")  # joins with plain tables, as here and below, can split a large cell's side
     # Each pair of neighbouring cells once: the steps whose first place that isn't zero is positive, and none.
     forward = [x for x in product((-1, 0, 1), repeat=depth) if x >= (0,) * depth]
     steps = F.array(*[F.array(*[F.lit(i) for i in x]) for x in forward])
@@ -160,7 +161,8 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = 0.9
     links = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     joined = components(found.where("a <> b").select("a", "b"), "vector-components").withColumnRenamed("node", "id")
     known = classes.join(links, "id", "left").join(joined, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = known.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    known = written(known, "vector-roots")
+    least = written(known.groupBy("root").agg(F.min("class_id").alias("component_id")), "vector-names")
     known = written(known.join(least, "root").select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "vector-known")
     linked = rows.where("good").join(known, ["label", "e"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -147,10 +147,12 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, reca
     classes = written(classes.select("key", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("row"), "n", "chars", "bands"), "classes")
     buckets = classes.select("row", F.posexplode("bands").alias("band", "hash"))
     firsts = buckets.groupBy("band", "hash").agg(F.min("row").alias("first"), F.count("*").alias("size")).where("size > 1")
+    firsts = written(firsts, "buckets")  # joins with plain tables, as here and below, can split a large bucket's side
     candidates = buckets.join(firsts, ["band", "hash"]).select(F.col("row").alias("a"), F.col("first").alias("b"))
     groups = written(components(candidates, "candidates").withColumnRenamed("node", "row"), "groups")
     members = written(classes.select("row", "n", "chars", "bands").join(groups, "row"), "members")
     sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("chars").alias("chars"))
+    sizes = written(sizes, "sizes")
     blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("chars") / block_chars), F.lit(1)).cast("int")
     total = members.agg(F.count("*"), F.sum("chars")).first()
     pools = max(1, -(-total[0] // 500), -(-(total[1] or 0) // (4 << 20)))
@@ -165,7 +167,8 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY, n: int = WORDS, reca
     links = found.where("a = b").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
     joined = components(found.where("a <> b").select("a", "b"), "links").withColumnRenamed("node", "row")
     known = classes.select("key", "class_id", "row", "n").join(links, "row", "left").join(joined, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    least = known.groupBy("root").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", "row")).alias("kept"))
+    known = written(known, "components")
+    least = written(known.groupBy("root").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id", "row")).alias("kept")), "kept")
     known = known.join(least, "root").select("key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("kept.class_id").alias("component_id"), F.col("kept.row").alias("kept_row"))
     known = written(known, "known")
     with_words = features.where("key is not null").select("row", "doc_id", "key").join(known, "key").drop("key")

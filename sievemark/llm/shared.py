@@ -31,7 +31,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from a table in the shared folder: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -164,6 +164,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     while labels is None or not edges.isEmpty():
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         near = both.groupBy("u").agg(F.min(order(F.col("v"))).alias("m")).select("u", F.least("m", order(F.col("u"))).alias("m"))
+        near = written(near, name)  # a join with a plain table can split a hub's side
         far = both.join(near, "u").groupBy("v").agg(F.min("m").alias("m"))
         points = written(far.select(F.col("v").alias("u"), F.least("m", order(F.col("v")))["n"].alias("p")), name)
         again = points.select(F.col("u").alias("p"), F.col("p").alias("q"))
@@ -176,5 +177,5 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         moved = edges.join(left, "a").join(right, "b").where("x <> y")
         edges = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
     labels = written(labels, name)
-    smallest = labels.groupBy("label").agg(F.min("node").alias("root"))
+    smallest = written(labels.groupBy("label").agg(F.min("node").alias("root")), name)
     return labels.join(smallest, "label").select("node", "root")

@@ -43,51 +43,52 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.most = most
         self.known: dict[str, bytes] = {}
-        self.head: dict[str, bytes] = {}
-        line = self._whole("\n")
-        self.newline = line
-        self.split_at = int(np.frombuffer(line, "<u4")[0]) if len(line) == 4 else None
+        self.newline = self._whole("\n")
+        # Whether an id's text begins with a space (which is written as this character), or is a newline.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
+        self.line = np.zeros(len(self.spaced), bool)
+        self.line[np.frombuffer(self.newline, "<u4")[:1]] = len(self.newline) == 4
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, runs: list[str], known: dict[str, bytes], lead: str) -> None:
-        """Ids of runs of visible characters, each behind `lead`."""
-        missing = [x for x in dict.fromkeys(runs) if x not in known]
-        if not missing:
-            return
-        bases = [x[:-1] if x[-1] in ".," and x[:-1].isalpha() else x for x in missing]
-        todo = [x for x in dict.fromkeys(bases) if x not in known]
-        if self.split_at is None or len(todo) < 2:
-            for x in todo:
-                known[x] = self._whole(lead + x)
-        else:
-            joined = lead + ("\n" + lead).join(todo)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.split_at)
-            raw, first = ids.tobytes(), 0
-            for x, to in zip(todo, [*(cuts * 4).tolist(), len(raw)], strict=True):
-                known[x], first = raw[first:to], to + 4
-        for x, base in zip(missing, bases, strict=True):
-            if x is not base and x not in known:
-                known[x] = known[base] + self.mark(x[-1])
+    def _learn(self, runs: list[str]) -> None:
+        """Ids of new runs: a run of visible characters behind a space, or a newline and what follows it in its line."""
+        heads = [x for x in runs if x[0] == "\n"]
+        tails = [x for x in runs if x[0] != "\n"]
+        ends = [x for x in tails if x[-1] in ".," and x[:-1].isalpha()]  # the library parts a mark from letters
+        todo = list(dict.fromkeys([x for x in tails if x[-1] not in ".," or not x[:-1].isalpha()] + [y for x in ends if (y := x[:-1]) not in self.known]))
+        # Each such run's first id is the only one that begins with a space, or is a newline.
+        for new, lead, opens in ((todo, " ", self.spaced), (heads, "", self.line)):
+            if new:
+                ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
+                cuts = np.flatnonzero(opens[ids])
+                if len(cuts) == len(new):
+                    raw, at = ids.tobytes(), [*(cuts * 4).tolist(), 4 * len(ids)]
+                    self.known.update(zip(new, [raw[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
+                else:
+                    self.known.update((x, self._whole(lead + x)) for x in new)
+        for x in ends:
+            self.known[x] = self.known[x[:-1]] + self.mark(x[-1])
 
     @lru_cache(maxsize=8)  # noqa: B019  one encoder lives as long as its worker
     def mark(self, x: str) -> bytes:
         return self._whole(x)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) + len(self.head) > self.most:
+        if len(self.known) > self.most:
             self.known.clear()
-            self.head.clear()
-        known, head = self.known, self.head
-        plain = [[x.split(" ") for x in text.split("\n")] if _plain(text) else None for text in texts]
-        self._learn([x[0] for lines in plain if lines for x in lines if x[0] not in head], head, "")
-        self._learn([y for lines in plain if lines for x in lines for y in x[1:] if y not in known], known, " ")
-        return [
-            self.newline.join([head[x[0]] + b"".join([known[y] for y in x[1:]]) for x in lines]) if lines else self._whole(text or "")
-            for lines, text in zip(plain, texts, strict=True)
-        ]
+        get, cut = self.known.get, len(self.newline)
+        # A text is taken as if it began with a newline, whose ids are cut off again.
+        runs = [("\n" + text).replace("\n", " \n").split(" ")[1:] if _plain(text) else None for text in texts]
+        found = [list(map(get, x)) if x else None for x in runs]
+        new = {x for own, ids in zip(runs, found, strict=True) if ids and None in ids for x, y in zip(own, ids, strict=True) if y is None}
+        if new:
+            self._learn(sorted(new))
+            found = [list(map(get, own)) if ids and None in ids else ids for own, ids in zip(runs, found, strict=True)]
+        return [b"".join(ids)[cut:] if ids else self._whole(text or "") for ids, text in zip(found, texts, strict=True)]
 
 
 @lru_cache(maxsize=2)
