@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -11,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from .shared import components, small_batches, spanning, written
 
 WILDCARD = "<*>"
-#: Leading tokens that name a leaf, and those that name a part of a leaf that holds too many lines.
-DEPTHS = (3, 8)
+#: Leading tokens that name a leaf, with the number of tokens.
+DEPTH = 3
 
 
 def masked(line: str) -> list[str]:
@@ -27,30 +29,74 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(blake2b("\0".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def generalise(templates: list[list[str]], similarity: float) -> tuple[list[int], list[list[str]]]:
-    """Group of each of the templates (of equal length), and each group's template: a template joins the group, the first
-    of those most like it, whose template has at least that share of its tokens in place; places that differ become
-    variable."""
+def _needed(size: int, similarity: float) -> int:
+    return math.ceil(similarity * size - 1e-9)
+
+
+def _codes(templates: list[list[str]]) -> np.ndarray:
     code: dict[str, int] = {WILDCARD: 0}
-    rows = np.array([[code.setdefault(x, len(code)) for x in t] for t in templates])
-    groups, of = np.zeros((0, rows.shape[1]), rows.dtype), []
-    for row in rows:
-        alike = ((groups == row) & (groups > 0)).mean(axis=1) if len(groups) else np.zeros(0)
-        best = int(alike.argmax()) if len(alike) else -1
-        if best >= 0 and alike[best] >= similarity:
-            groups[best][groups[best] != row] = 0
-        else:
-            best, groups = len(groups), np.vstack([groups, row])
-        of.append(best)
-    names = list(code)
-    return of, [[names[x] for x in g] for g in groups.tolist()]
+    return np.array([[code.setdefault(x, len(code)) for x in t] for t in templates], np.int32)
+
+
+def alike(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of left and right (codes of tokens; 0 is variable) have at least that share of equal tokens in place."""
+    out = np.zeros((len(left), len(right)), bool)
+    for at in range(0, len(left), 128):
+        part, same = left[at : at + 128], np.zeros((min(128, len(left) - at), len(right)), np.int32)
+        for k in range(left.shape[1]):
+            own = np.where(part[:, k] > 0, part[:, k], -1)
+            same += own[:, None] == right[:, k][None, :]
+        out[at : at + 128] = same >= _needed(left.shape[1], similarity)
+    return out
+
+
+def generalise(templates: list[list[str]], similarity: float) -> tuple[list[int], list[list[str]]]:
+    """Group of each of the templates (of equal length), and each group's template: templates that are alike are linked,
+    what links reach is a group, and its places that differ become variable."""
+    codes, of = _codes(templates), np.arange(len(templates))
+    for i, j in spanning(alike(codes, codes, similarity), of, of, len(of)):
+        of = np.where(of == of[j], of[i], of)
+    names, of = np.unique(of, return_inverse=True)
+    groups = [[x[0] if len(set(x)) == 1 else WILDCARD for x in zip(*(t for t, g in zip(templates, of, strict=True) if g == k), strict=True)] for k in range(len(names))]
+    return of.tolist(), groups
+
+
+def bands(tokens: list[str], similarity: float) -> list[str] | None:
+    """Stretches of a template's tokens after the leading ones, of which any two alike templates of a leaf share one:
+    one more than the places that may differ. None if all templates of its leaf are alike; none if no two are. One with
+    a variable token isn't among them, as such tokens are never equal."""
+    lead, rest = tokens[:DEPTH], tokens[DEPTH:]
+    spare = len(tokens) - _needed(len(tokens), similarity) - lead.count(WILDCARD)
+    if spare >= len(rest):
+        return None
+    cuts = [len(rest) * k // (spare + 1) for k in range(spare + 2)] if spare > 0 else []
+    parts = [(k, rest[i:j]) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return [f"{k} {' '.join(x)}" for k, x in parts if WILDCARD not in x]
+
+
+def _links(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """a, b: a spanning forest of the alike templates of each bucket, or of one pair i, j of its blocks."""
+    names, block = rows["template"].to_numpy(np.int64), rows["block"].to_numpy()
+    texts = [x.split(" ") for x in rows["text"]]
+    edges: list[tuple[int, int]] = []
+    for (_, i, j), own in rows.groupby(["bucket", "i", "j"], sort=False).indices.items():
+        if len(own) < 2:
+            continue
+        codes = _codes([texts[x] for x in own])
+        left, right = (np.arange(len(own)),) * 2 if i == j else (np.flatnonzero(block[own] == i), np.flatnonzero(block[own] == j))
+        found = alike(codes[left], codes[right], similarity)
+        if i == j:
+            found = np.triu(found, 1)
+        edges += [(own[x], own[y]) for x, y in spanning(found, left, right, len(own))]
+    ends = names[np.array(edges, np.int64).reshape(-1, 2)]
+    return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
 
 def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
-    """key, doc_id, line, leaf, part, template, text (tokens, masked), fresh (the text's first line of the template)."""
+    """key, doc_id, line, leaf, template, text (tokens, masked), fresh (the text's first line of the template)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"key": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "leaf": pa.int64(), "part": pa.int64(), "template": pa.int64(), "text": pa.string(), "fresh": pa.bool_()}
+        kinds = {"key": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "leaf": pa.int64(), "template": pa.int64(), "text": pa.string(), "fresh": pa.bool_()}
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -61,51 +107,85 @@ def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
                         continue
                     size, plain = str(len(tokens)), " ".join(tokens)
                     name = _hash(plain)
-                    row = (key, doc_id, i, _hash(size, *tokens[: DEPTHS[0]]), _hash(size, *tokens[: DEPTHS[1]]), name, plain, name not in seen)
+                    row = (key, doc_id, i, _hash(size, *tokens[:DEPTH]), name, plain, name not in seen)
                     seen.add(name)
                     for col, x in zip(out, row, strict=True):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds.values(), strict=True)], names=list(kinds))
 
     rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(parse, "key long, doc_id long, line int, leaf long, part long, template long, text string, fresh boolean")
+    return rows.mapInArrow(parse, "key long, doc_id long, line int, leaf long, template long, text string, fresh boolean")
 
 
 def _key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
+def _linked(work: DataFrame, similarity: float) -> DataFrame:
+    return work.groupBy("task").applyInPandas(lambda rows: _links(rows, similarity), "a long, b long")
+
+
+def _linked_by_bands(texts: DataFrame, similarity: float, most: int) -> list[DataFrame]:
+    """a, b of alike templates (leaf, template, text) of large leaves."""
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [])
+            for leaf, template, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = bands(text.split(" "), similarity)
+                for x in [""] if own is None else own:
+                    for col, y in zip(out, (_hash(str(leaf), x), template, own is None), strict=True):
+                        col.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["bucket", "template", "sure"])
+
+    texts = written(texts.select("leaf", "template", "text"), "large-leaves")
+    rows = written(texts.mapInArrow(banded, "bucket long, template long, sure boolean"), "bands")
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("template").alias("first")).where("size > 1"), "buckets")
+    sure = rows.where("sure").join(sizes, "bucket").select(F.col("template").alias("a"), F.col("first").alias("b"))
+    pools = -(-rows.count() // most) + 1
+    blocks = F.ceil(F.col("size") / most).cast("int")
+    own = rows.where("not sure").join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
+    own = own.withColumn("block", F.pmod(F.xxhash64("template", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket", F.lit(4)), F.lit(pools))).otherwise(F.xxhash64("bucket", "i", "j"))
+    work = own.join(texts.select("template", "text"), "template").select(task.alias("task"), "bucket", "i", "j", "block", "template", "text")
+    return [sure, _linked(work, similarity)]
+
+
 def recurring_lines(docs: DataFrame, least_docs: int = 3, least_tokens: int = 4, similarity: float = 0.7, most: int = 2000) -> DataFrame:
     """key (a hash of doc_id and text), dropped (places of lines, from 0): of each row with lines to drop.
 
     A line of least_tokens tokens or more has a template: its tokens, variable ones masked. Templates in the same leaf
-    (number of tokens, leading tokens) that are alike are merged; a leaf of more than `most` different templates is parted
-    by more leading tokens, and a part that still has more merges none. Lines whose template is in least_docs or more rows
-    go, but for those in the row with the smallest doc_id (rows of equal doc_id and text count each, and stay or go
-    together). Templates are counted and told apart before anything is gathered, so a line in every document is one row."""
+    (number of tokens, leading tokens) are linked if at least `similarity` of their tokens are equal and in place, and what
+    links reach is one template. Lines whose template is in least_docs or more rows go, but for those in the row with the
+    smallest doc_id (rows of equal doc_id and text count each, and stay or go together). Templates are counted and told
+    apart before anything is gathered, so a line in every document is one row.
+
+    Leaves of up to `most` different templates are compared whole. The templates of a larger one meet in the buckets of
+    their bands, of which alike ones share one, and a bucket of more than `most` is dealt to blocks, each pair of which is
+    one task's work: so links are the same at every size, and no task holds more than two blocks."""
     small_batches(docs.sparkSession)
     lines = written(_lines(docs, least_tokens), "lines")
     where = F.struct("doc_id", "key")
-    templates = written(lines.groupBy("leaf", "part", "template").agg(F.count_if("fresh").alias("n"), F.min(where).alias("first")), "templates")
-    leaves = templates.groupBy("leaf").agg(F.count("*").alias("in_leaf"), F.sum("n").alias("rows"))
-    parts = templates.groupBy("leaf", "part").agg(F.count("*").alias("in_part"))
+    templates = written(lines.groupBy("leaf", "template").agg(F.count_if("fresh").alias("n"), F.min(where).alias("first")), "templates")
+    leaves = templates.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("n").alias("rows"))
     # Joins with plain tables can split a large leaf's side.
-    some = written(leaves.where((F.col("in_leaf") > 1) & (F.col("rows") >= least_docs)), "leaves")
-    parts = written(parts, "parts")
-    bucket = F.when(F.col("in_leaf") <= most, F.col("leaf")).when((F.col("in_part") <= most) & (F.col("in_part") > 1), F.col("part"))
-    open_ = templates.join(some, "leaf").join(parts, ["leaf", "part"]).withColumn("bucket", bucket).where("bucket is not null")
-    texts = lines.where("fresh").select("template", "text", "key").join(open_.select("template", F.col("first.key").alias("key"), "bucket"), ["template", "key"])
-    texts = texts.dropDuplicates(["template"])
-
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("template")
-        of, _ = generalise([x.split(" ") for x in rows["text"]], similarity)
-        names = rows["template"].to_numpy()
-        first = pd.Series(names).groupby(of).transform("min").to_numpy()
-        size = pd.Series(of).groupby(of).transform("size").to_numpy()
-        return pd.DataFrame({"template": names, "merged": first})[size > 1]
-
-    merged = written(texts.select("bucket", "template", "text").groupBy("bucket").applyInPandas(merge, "template long, merged long"), "merged")
+    leaves = written(leaves.where((F.col("size") > 1) & (F.col("rows") >= least_docs)).select("leaf", "size"), "leaves")
+
+    def texts(of: DataFrame) -> DataFrame:
+        own = templates.join(of, "leaf").select("template", F.col("first.key").alias("key"), "leaf")
+        return lines.where("fresh").select("template", "key", "text").join(own, ["template", "key"]).dropDuplicates(["template"])
+
+    zero = F.lit(0).cast("int")
+    whole = leaves.where(F.col("size") <= most)
+    pools = -(-(whole.agg(F.sum("size")).first()[0] or 0) // most) + 1
+    task = F.pmod(F.xxhash64("leaf", F.lit(4)), F.lit(pools))
+    work = texts(whole).select(task.alias("task"), F.col("leaf").alias("bucket"), zero.alias("i"), zero.alias("j"), zero.alias("block"), "template", "text")
+    found = [_linked(work, similarity)]
+    if not leaves.where(F.col("size") > most).isEmpty():
+        found += _linked_by_bands(texts(leaves.where(F.col("size") > most)), similarity, most)
+    merged = components(reduce(DataFrame.unionByName, found), "alike").select(F.col("node").alias("template"), F.col("root").alias("merged"))
+    merged = written(merged, "merged")
     # A row counts once for a merged template.
     both = lines.where("fresh").join(merged, "template").groupBy("merged", "key").agg(F.min("doc_id").alias("doc_id"))
     both = both.groupBy("merged").agg(F.count("*").alias("n"), F.min(where).alias("first"))

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from sievemark.llm import line_templates
@@ -44,8 +45,37 @@ def test_a_word_that_varies_is_generalised(spark):
     rows = [(i, x) for i, x in enumerate(lines)]
     texts = {r.doc_id: r.text for r in line_templates.dedup_lines(frame(spark, [(i, x.replace("error while the", f"error while the", 1)) for i, x in rows]), similarity=0.8).collect()}
     assert texts[0] == lines[0] and not any(texts[i] for i in range(1, 5))
-    apart = {r.doc_id: r.text for r in line_templates.dedup_lines(frame(spark, rows), most=2).collect()}
-    assert [apart[i] for i in range(5)] == lines  # a leaf that is too large is parted, and merges less
+    apart = {r.doc_id: r.text for r in line_templates.dedup_lines(frame(spark, rows), similarity=0.8, most=2).collect()}
+    assert apart == texts  # a large leaf's templates meet by their bands, and merge as those of a small one
+
+
+def test_links_are_the_same_at_every_size(spark):
+    rng = random.Random(5)
+    words, rows = ["red", "blue", "green", "7"], []
+    for i in range(240):
+        size = rng.choice([4, 5, 7, 9])
+        lead = rng.choice([["go", "to", "the"], ["go", "8", "the"]])
+        rows.append((i, " ".join(lead + [rng.choice(words) for _ in range(size - 3)])))
+    leaves = {}
+    for i, x in rows:
+        own = line_templates.masked(x)
+        leaves.setdefault((len(own), *own[:3]), {}).setdefault(tuple(own), set()).add(i)
+    gone = set()
+    for templates in leaves.values():
+        of, _ = line_templates.generalise([list(x) for x in templates], 0.7)
+        for k in set(of):
+            docs = set().union(*(d for d, g in zip(templates.values(), of, strict=True) if g == k))
+            gone |= docs - {min(docs)} if len(docs) >= 3 else set()
+    for most in (2000, 5):
+        got = {r.doc_id for r in line_templates.dedup_lines(frame(spark, rows), most=most).collect() if r.n_dropped}
+        assert got == gone and 20 < len(gone) < 240
+
+
+def test_bands_of_a_template():
+    tokens = "a b c d e f g h i j".split()
+    assert line_templates.bands(tokens, 0.7) == ["0 d", "1 e f", "2 g h", "3 i j"]
+    assert line_templates.bands(["a", "b", "c", "d"], 0.7) is None  # three of four are equal in the whole leaf
+    assert line_templates.bands(["a", "<*>", "c", "d"], 0.7) == []
 
 
 def test_generalise_marks_places():
