@@ -8,11 +8,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sievemark.plans import comparison, curation, evaluation, records
+from sievemark.plans import bindings, comparison, curation, evaluation, records
 
 SF = "/root/testdata/sf0.001"
-QUERIES = curation.QUERIES | evaluation.QUERIES | comparison.QUERIES | records.QUERIES
-SQL = curation.SQL | evaluation.SQL | comparison.SQL | records.SQL
+QUERIES = curation.QUERIES | evaluation.QUERIES | comparison.QUERIES | records.QUERIES | bindings.QUERIES
+SQL = curation.SQL | evaluation.SQL | comparison.SQL | records.SQL | bindings.SQL
 
 
 @pytest.fixture(scope="module")
