@@ -38,15 +38,16 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def json_line_problems(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), problem: lines that aren't JSON, or no object, or that repeat a key. Counting lines takes whole
+    """file, line (from 1), problem: lines that repeat a key of the object, aren't JSON (or repeat a key inside), or are no
+    object. Counting lines takes whole
     files, so each must fit in a task."""
     rows = _lines(spark, path).where("trim(value) <> ''")
     parsed = F.try_parse_json("value")
-    keys = F.when(parsed.isNotNull(), F.json_object_keys("value"))
+    keys = F.json_object_keys("value")
     why = (
-        F.when(parsed.isNull(), "not_json")
+        F.when(F.size(F.array_distinct(keys)) != F.size(keys), "repeated_key")  # the parser refuses it, too
+        .when(parsed.isNull(), "not_json")
         .when(F.substring(F.trim("value"), 1, 1) != "{", "not_an_object")
-        .when(F.size(F.array_distinct(keys)) != F.size(keys), "repeated_key")
     )
     return rows.select("file", "line", why.alias("problem")).where("problem is not null")
 
