@@ -10,13 +10,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .shared import Words, pieces, small_batches
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
+#: Of so many n-grams of an item in a row, one at least is a seed.
+WINDOW = 4
 #: Scores of an equal word, another word, and a word that only one side has.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 _BITS = 22
@@ -24,7 +26,7 @@ _BITS = 22
 
 class Items(NamedTuple):
     """Benchmark items: ids, their words' hashes (item i: bounds[i] to bounds[i + 1]); and seeds, sorted, each with its
-    item and place; filled marks the leading bits of all seeds."""
+    item and place; filled marks the leading bits of all seeds, sizes are their numbers of words."""
 
     ids: list[int | None]
     words: np.ndarray
@@ -34,6 +36,7 @@ class Items(NamedTuple):
     seed_at: np.ndarray
     needed: np.ndarray
     filled: np.ndarray
+    sizes: list[int]
 
 
 class Leak(NamedTuple):
@@ -44,27 +47,60 @@ class Leak(NamedTuple):
     last_word: int
 
 
-def prepare(ids: list[int | None], texts: list[str | None], n: int = SEED_WORDS) -> Items:
-    """Seeds are n-grams within at most the larger of 3 and a hundredth of the items; an item with fewer than four such
-    keeps all of its n-grams. An item of fewer than n words has none and is never found."""
-    words = Words(pa.array(texts, pa.string()))
-    hashes = words.hashes()
+class Grams(NamedTuple):
+    """n-grams of items: hash, place of the first word, item, and number of words (n; all of an item of fewer)."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    item: np.ndarray
+    size: np.ndarray
+
+
+def _grams(words: Words, hashes: np.ndarray, n: int) -> Grams:
     grams, at = words.grams(n, hashes)
     item = words.of[at] if len(at) else np.zeros(0, np.int64)
-    whole = np.diff(words.bounds)[item] >= n
-    grams, at, item = grams[whole], at[whole], item[whole]
-    _, which = np.unique(grams, return_inverse=True)
-    pairs = np.unique(np.stack([which, item]), axis=1) if len(grams) else np.zeros((2, 0), np.int64)
-    rare = np.bincount(pairs[0], minlength=len(grams) or 1)[which] <= max(3, len(ids) // 100) if len(grams) else np.zeros(0, bool)
+    return Grams(grams, at, item, np.minimum(n, np.diff(words.bounds))[item])
+
+
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def item_counts(texts: list[str | None], n: int = SEED_WORDS) -> np.ndarray:
+    """In how many items each n-gram is, by the leading bits of its hash: counts of blocks add up, and never fall short."""
+    words = Words(pa.array(texts, pa.string()))
+    grams = _grams(words, words.hashes(), n)
+    pairs = np.unique(np.stack([grams.hashes, grams.item.astype(np.uint64)]), axis=1) if len(grams.item) else np.zeros((2, 0), np.uint64)
+    return np.bincount(_cell(pairs[0]), minlength=1 << _BITS).astype(np.int32)
+
+
+def prepare(ids: list[int | None], texts: list[str | None], n: int = SEED_WORDS, counts: np.ndarray | None = None, items: int | None = None) -> Items:
+    """Seeds are n-grams within at most the larger of 3 and a hundredth of all items, and of every WINDOW n-grams in a row
+    of an item the rarest, whatever its count; an item with fewer than four of the first kind keeps all of its n-grams. So
+    every stretch of n + WINDOW - 1 words of an item has a seed. An item of fewer than n words is its own seed. counts
+    (item_counts) and items are those of the whole benchmark, where these items are a block of it."""
+    words = Words(pa.array(texts, pa.string()))
+    hashes = words.hashes()
+    grams, at, item, size = _grams(words, hashes, n)
+    counts, items = item_counts(texts, n) if counts is None else counts, len(ids) if items is None else items
+    count = counts[_cell(grams)]
+    rare = count <= max(3, items // 100)
     few = np.bincount(item[rare], minlength=len(ids)) < 4
     keep = rare | few[item]
-    grams, at, item = grams[keep], at[keep], item[keep]
+    if len(grams) >= WINDOW:
+        # Windows within one item; ties go to the smaller hash, so that items choose alike in a context they share.
+        order = np.empty(len(grams), np.int64)
+        order[np.lexsort((grams, count))] = np.arange(len(grams))
+        view = np.lib.stride_tricks.sliding_window_view(order, WINDOW)
+        inside = item[: len(view)] == item[WINDOW - 1 :]
+        keep[(np.arange(len(view)) + view.argmin(axis=1))[inside]] = True
+    grams, at, item, size = grams[keep], at[keep], item[keep], size[keep]
     order = np.argsort(grams, kind="stable")
-    grams, at, item = grams[order], at[order], item[order]
+    grams, at, item, size = grams[order], at[order], item[order], size[order]
     filled = np.zeros(1 << _BITS, bool)
-    filled[(grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+    filled[_cell(grams)] = True
     needed = np.minimum(2, np.bincount(item, minlength=len(ids)))
-    return Items(list(ids), hashes, words.bounds, grams, item, at - words.bounds[item], needed, filled)
+    return Items(list(ids), hashes, words.bounds, grams, item, at - words.bounds[item], needed, filled, np.unique(size).tolist())
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -89,9 +125,9 @@ def find_leaks(texts: pa.Array, items: Items, threshold: float = THRESHOLD, n: i
     score as a share of these, and the first and last word of the text in it. Ties go to the earlier place."""
     words = Words(texts)
     hashes = words.hashes()
-    grams, at = words.grams(n, hashes)
-    some = np.flatnonzero(items.filled[(grams >> np.uint64(64 - _BITS)).astype(np.int64)])
-    grams, at = grams[some], at[some]
+    parts = [words.grams(k, hashes) for k in items.sizes]
+    parts = [(x[some], y[some]) for x, y in parts for some in [np.flatnonzero(items.filled[_cell(x)])]]
+    grams, at = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.int64)))
     low, high = np.searchsorted(items.seeds, grams, "left"), np.searchsorted(items.seeds, grams, "right")
     count = high - low
     place = np.repeat(at, count)
@@ -113,6 +149,9 @@ def find_leaks(texts: pa.Array, items: Items, threshold: float = THRESHOLD, n: i
         first = max(int(words.bounds[r]), int(place[a]) - int(inside[a:b].max()) - size // 4)
         last = min(int(words.bounds[r + 1]), int(place[b - 1]) + size - int(inside[a:b].min()) + size // 4)
         text = hashes[first:last]
+        # No alignment scores more than the item's words that the text has at all.
+        if np.isin(own, text).sum() * MATCH < threshold * size:
+            continue
         score, end = align(own, text)
         if score >= threshold * size and score / size > best.get((r, i), Leak(0, 0, 0.0, 0, 0)).score:
             _, back = align(own[::-1], text[: end + 1][::-1])
@@ -127,11 +166,20 @@ def item_blocks(benchmark: DataFrame, most_words: int = 1_000_000) -> Iterator[I
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     size = rows.agg(F.sum(F.length("text") / 4)).first()[0] or 0
     blocks = int(size // most_words) + 1
-    for k in range(blocks):
+
+    def block(k: int) -> list[Row]:
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        own = sorted(own, key=lambda x: (x.item_id is None, x.item_id, x.text))
+        return sorted(own, key=lambda x: (x.item_id is None, x.item_id, x.text))
+
+    # Counts and the number of items are those of the whole benchmark, so that seeds don't depend on the blocks.
+    counts, items, own = np.zeros(1 << _BITS, np.int32), 0, []
+    for k in range(blocks):
+        own = block(k)
+        counts, items = counts + item_counts([x.text for x in own]), items + len(own)
+    for k in range(blocks):
+        own = own if blocks == 1 else block(k)
         if own:
-            yield prepare([x.item_id for x in own], [x.text for x in own])
+            yield prepare([x.item_id for x in own], [x.text for x in own], counts=counts, items=items)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -84,3 +84,24 @@ def test_every_planted_passage_is_found(spark):
     plain = {(d, i) for d, t in texts.items() for i, x in wanted.items() if f" {x} " in f" {t} "}
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
     assert plain and plain <= got and len(got - plain) <= 0.2 * len(plain)
+
+
+def test_a_shared_context_and_short_items_are_found():
+    rng = random.Random(8)
+    context, items = words(rng, 200), []
+    items = [" ".join([*context, *words(rng, 10)]) for _ in range(6)] + ["zzword", "qqpair rrpair", "漢字。"]
+    texts = pa.array([" ".join([*words(rng, 50), *context, *words(rng, 50)]), "a zzword b", "rrpair qqpair", "x qqpair, rrpair", "qqpair rrpair", " ".join(words(rng, 300)), "漢字。", "zzword"], pa.string())
+    want = {*((0, i) for i in range(6)), (1, 6), (3, 7), (4, 7), (6, 8), (7, 6)}
+    found = decontam.find_leaks(texts, decontam.prepare(list(range(9)), items))
+    assert {(x.row, x.item_id) for x in found} == want and len(found) == len(want)
+    assert all(x.score > 0.9 for x in found)
+
+
+def test_seeds_are_those_of_the_whole_benchmark(spark):
+    rng = random.Random(9)
+    context = words(rng, 60)
+    rows = [(i, " ".join([*context, *words(rng, 12)])) for i in range(40)]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    seeds = lambda blocks: sorted((b.ids[i], int(h)) for b in blocks for h, i in zip(b.seeds, b.seed_item, strict=True))
+    blocks = list(decontam.item_blocks(benchmark, 1000))
+    assert len(blocks) > 1 and seeds(blocks) == seeds(decontam.item_blocks(benchmark))
