@@ -33,14 +33,16 @@ class Encoder:
     The tokenizer splits a text before it merges, and it always splits before a space that a visible character follows,
     and around a newline between visible characters. So the ids of a text are those of its runs in a row, and each
     different run goes through the library once, many in one call. A text with other white space than that goes
-    through it as a whole. At most `most` runs are kept."""
+    through it as a whole, and so does one with an added token's content. At most `most` runs are kept."""
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # What the library finds in a text before it splits it: a text with one of these goes through it whole.
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_runs = not any(c.isspace() for x in self.added for c in x)
         self.most = most
         self.known: dict[str, bytes] = {}
         self.newline = self._whole("\n")
@@ -51,6 +53,9 @@ class Encoder:
         self.line = np.zeros(len(self.spaced), bool)
         self.line[np.frombuffer(self.newline, "<u4")[:1]] = len(self.newline) == 4
 
+    def _in_runs(self, text: str | None) -> bool:
+        return self.by_runs and _plain(text) and not any(x in text for x in self.added)
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -82,7 +87,7 @@ class Encoder:
             self.known.clear()
         get, cut = self.known.get, len(self.newline)
         # A text is taken as if it began with a newline, whose ids are cut off again.
-        runs = [("\n" + text).replace("\n", " \n").split(" ")[1:] if _plain(text) else None for text in texts]
+        runs = [("\n" + text).replace("\n", " \n").split(" ")[1:] if self._in_runs(text) else None for text in texts]
         found = [list(map(get, x)) if x else None for x in runs]
         new = {x for own, ids in zip(runs, found, strict=True) if ids and None in ids for x, y in zip(own, ids, strict=True) if y is None}
         if new:

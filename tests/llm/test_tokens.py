@@ -150,3 +150,13 @@ def test_exchange_between_groups_saves_sequences(spark):
     none = _is_packed(packing.pack(pieces, group=60, rounds=0).collect(), 1024)
     bound = packing.bin_bound(lengths, 1024)
     assert bound <= some < none
+
+
+def test_added_tokens_are_those_of_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_tokenizer())
+    added = [x.content for x in fresh.get_added_tokens_decoder().values()]
+    texts = [y for x in added for y in (x, f"some text {x} and more", f"a{x}b\n{x}", f"{x[:-1]} {x[1:]}")] + TEXTS
+    want = [fresh.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert added and [np.frombuffer(x, "<u4").tolist() for x in encoder(default_tokenizer()).encode_batch(texts)] == want
