@@ -159,11 +159,27 @@ def settle(found: list[Detection]) -> list[Detection]:
     return sorted(kept)
 
 
+# For keywords that not every signature of theirs contains, what all contain.
+_GATES = {b"noncommercial": b"commercial", b"without permission": b"permission"}
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def squeezed(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes with one space for each run of white space, as keywords have it, and the texts' offsets in them."""
+    space = _SPACE[data]
+    keep = ~space
+    keep[:1] = True
+    keep[1:] |= ~space[:-1]
+    return np.where(space, np.uint8(32), data)[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)])[offsets]
+
+
 def detect(text: bytes, keywords: list[bytes] | None = None) -> list[Detection]:
     """What the rules find in a lower-cased text; keywords: those that it is known to contain."""
     found = []
+    plain = squeezed(np.frombuffer(text, np.uint8), np.zeros(1, np.int64))[0] if keywords is None else b""
     for keyword in rules() if keywords is None else keywords:
-        if keywords is not None or keyword in text:
+        if keywords is not None or _GATES.get(keyword, keyword) in plain:
             for rule in rules()[keyword]:
                 found += [Detection(*m.span(), rule.label, rule.priority, rule.weight) for m in rule.pattern.finditer(text)]
     return settle(found)
@@ -203,9 +219,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                     if j >= words.bounds[doc] and all(word(j + k) == x for k, x in enumerate(phrase)):
                         base[doc].append((j - int(words.bounds[doc]), label))
             gate: dict[int, list[bytes]] = defaultdict(list)
+            plain, starts = squeezed(words.data, words.offsets)
             for keyword in rules():
-                places = np.fromiter(_places(data, keyword), np.int64)
-                for doc in np.unique(np.searchsorted(words.offsets, places, side="right") - 1).tolist():
+                places = np.fromiter(_places(plain, _GATES.get(keyword, keyword)), np.int64)
+                for doc in np.unique(np.searchsorted(starts, places, side="right") - 1).tolist():
                     gate[doc].append(keyword)
             cols: list[list] = [[0] * n, [None] * n, [None] * n, [""] * n, [""] * n, [0.0] * n]
             for doc in base.keys() | gate.keys():

@@ -53,3 +53,16 @@ def test_gate_loses_nothing():
     for text in TEXTS[:10]:
         raw = (text or "").lower().encode()
         assert licenses.detect(raw) == licenses.settle([licenses.Detection(*m.span(), r.label, r.priority, r.weight) for rules in licenses.rules().values() for r in rules for m in r.pattern.finditer(raw)])
+
+
+def test_gate_with_breaks_inside_keywords(spark):
+    texts = ["GNU Lesser\nGeneral Public License", "Creative\n  Commons Attribution", "Permission is\r\nhereby  granted, free of charge, to any person obtaining a copy"]
+    texts += ["must not be used without prior\nwritten permission", "Creative Commons Attribution-Non-Commercial 4.0", "Python  Software\tFoundation License"]
+    texts += [f" {k.decode()} license".replace(" ", " \n ") for k in licenses.rules()] + [r"  open", "font license"]
+    rows = [(i, x) for i, x in enumerate(texts)]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    for i, text in rows:
+        raw = text.lower().encode()
+        every = licenses.settle([licenses.Detection(*m.span(), r.label, r.priority, r.weight) for rules in licenses.rules().values() for r in rules for m in r.pattern.finditer(raw)])
+        assert licenses.detect(raw) == every and {x.label for x in every} <= set(got[i].split(","))
+    assert [x in got[i].split(",") for i, x in enumerate(["lgpl", "cc-by", "mit", "proprietary", "cc-by-nc", "psf"])] == [True] * 6
