@@ -158,6 +158,38 @@ def predictor(net: Network):
     return of
 
 
+def confidence(net: Network, texts: list[str | None], most_windows: int = 512) -> np.ndarray:
+    """The largest probability that any window of a text gives any language; 0 for a text without windows."""
+    chars, of = windows([x or "" for x in texts])
+    best = np.zeros(len(texts))
+    for at in range(0, len(chars), most_windows):
+        np.maximum.at(best, of[at : at + most_windows], np.exp(log_probabilities(net, chars[at : at + most_windows]).max(axis=1)))
+    return best
+
+
+def calibrate(docs: DataFrame, net: Network, most: int = 2000, chars: int = 2048) -> float:
+    """The confidence below which a text is in no language that the network knows: half of the smallest that one of at
+    most `most` labelled rows with a letter has, none of which took part in training. 0 without such rows."""
+    if len(net.languages) < 2:
+        return 0.0
+    rows = docs.where(held_out() & F.col("lang").isin(net.languages) & F.col("text").isNotNull())
+    rows = rows.select(F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", F.lit(13)).alias("h")).orderBy("h").limit(most).collect()
+    found = confidence(net, [r["text"] for r in rows if any(map(str.isalpha, r["text"]))])
+    return float(found.min()) / 2 if len(found) else 0.0
+
+
+def in_language(net: Network, least: float):
+    """A column function: whether a text has a letter, and a window of at least that confidence."""
+
+    @F.pandas_udf("boolean")
+    def of(texts: pd.Series) -> pd.Series:
+        plain = ["" if x is None or x != x else x for x in texts]
+        lettered = np.array([any(map(str.isalpha, x)) for x in plain], bool)
+        return pd.Series(lettered & (confidence(net, plain) >= least) if net.languages else lettered)
+
+    return of
+
+
 def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of doc_id, text, lang; a null text or one without a letter is und."""
     small_batches(docs.sparkSession)
@@ -167,7 +199,8 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in some language."""
+    """The rows of docs, with all their columns, whose text has a letter and is in a language that the network is
+    confident of (see calibrate). Where no row is labelled, all texts with a letter stay."""
     small_batches(docs.sparkSession)
-    of = predictor(fit(docs))
-    return docs.withColumn("__language", of(F.col("text"))).where(F.col("__language.lang_pred") != UNKNOWN).drop("__language")
+    net = fit(docs)
+    return docs.where(in_language(net, calibrate(docs, net))(F.col("text")))

@@ -47,3 +47,20 @@ def test_pooling_and_filters_against_plain_loops():
         kernel = net.filters[: width * langid._EMBED, f].reshape(width, langid._EMBED)
         plain = [float((embedded[0, i : i + width] * kernel).sum()) for i in range(langid.WINDOW - langid._WIDEST + 1)]
         assert np.allclose(hidden[0, :, f], plain, atol=1e-4)
+
+
+def test_without_labels_all_lettered_texts_stay(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
+    kept = langid.with_language(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.doc_id for r in kept.collect()} == {0, 4, 5, 6}
+
+
+def test_the_network_decides_what_stays(spark):
+    docs = spark.read.parquet(SF)
+    net = langid.fit(docs)
+    least = langid.calibrate(docs, net)
+    assert 0 < least < 1 and langid.with_language(docs).count() == docs.where("text rlike '[A-Za-z]'").count()
+    unsure = net._replace(out=net.out * 0, out_bias=net.out_bias * 0)
+    texts = spark.createDataFrame([("the and of",), ("123",), (None,)], "text string")
+    stays = lambda n, x: [r.ok for r in texts.select(langid.in_language(n, x)("text").alias("ok")).collect()]
+    assert stays(unsure, 0.9) == [False, False, False] and stays(unsure, 0.0) == [True, False, False]
