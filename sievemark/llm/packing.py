@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
-from .tokens import END_ID, default_tokenizer, encoder
+from .shared import pieces, small_batches, written
+from .tokens import default_tokenizer, encoder
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -24,20 +24,19 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     name = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(name).encode_batch(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                n = len(ids) // 4
-                first = n % capacity or capacity
-                at, piece = 0, 0
-                for to in range(first, n + 1, capacity):
-                    for k, x in enumerate((doc_id, piece, at, to - at, zlib.crc32(ids[4 * at : 4 * to]))):
-                        out[k].append(x)
-                    at, piece = to, piece + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in (x for whole in batches for x in pieces(whole, "text")):
+            ids, bounds = encoder(name).encode(batch.column(1))
+            sizes = np.diff(bounds)
+            count = -(-sizes // capacity)
+            doc = np.repeat(np.arange(len(sizes)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            # A document's pieces end where whole ones are left behind them.
+            to = sizes[doc] - (count[doc] - 1 - piece) * capacity
+            start = np.maximum(to - capacity, 0)
+            raw = memoryview(ids).cast("B")
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip((4 * (bounds[doc] + start)).tolist(), (4 * (bounds[doc] + to)).tolist(), strict=True)]
+            cols = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(to - start), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, _PIECES)
 
@@ -85,14 +84,14 @@ def bin_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, group: int = 20_000, rounds: int = 3, pooled: int = 4) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 1024, group: int = 20_000, rounds: int = 3, pooled: int = 4) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece (1 to capacity long).
 
     Full pieces are sequences. The others are dealt by a hash to groups of about `group`, each packed best-fit
     decreasing and held against its lower bound. Groups with a gap hand the pieces of their sequences that are not full
     to pools of about `pooled` groups, which are packed anew and taken where that saves a sequence; up to `rounds` times."""
-    pieces = written(pieces, "pieces")
-    rest = pieces.where(F.col("length") < capacity)
+    parts = written(parts, "pieces")
+    rest = parts.where(F.col("length") < capacity)
     groups = max(1, -(-rest.count() // group))
     shape = _PIECES + ", part long, bin long, offset long, fill long, gap long"
 
@@ -116,17 +115,17 @@ def pack(pieces: DataFrame, capacity: int = 1024, group: int = 20_000, rounds: i
     done = []
     for k in range(1, rounds + 1):
         gapped = (F.col("gap") > 0) & (F.col("fill") < capacity)
-        parts = now.where(gapped).select("part").distinct().count()
-        if parts < 2:
+        left = now.where(gapped).select("part").distinct().count()
+        if left < 2:
             break
-        pools = max(1, parts // pooled)
+        pools = max(1, left // pooled)
         done.append(now.where(~gapped))
         pool = F.pmod(F.xxhash64("part", F.lit(k)), F.lit(pools)) + (k << 40)
         now = written(now.where(gapped).withColumn("pool", pool).groupBy("pool").applyInPandas(again, shape), "repacked")
     for x in done:
         now = now.unionByName(x)
     packed = now.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset")
-    alone = pieces.where(F.col("length") == capacity)
+    alone = parts.where(F.col("length") == capacity)
     return packed.unionByName(alone.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 

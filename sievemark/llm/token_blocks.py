@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import new_path, small_batches, written
-from .tokens import END_ID, default_tokenizer, encoder
+from .shared import new_path, pieces, small_batches, written
+from .tokens import default_tokenizer, encoder
 
 MAGIC = b"PFB1"
 BLOCK = 256
@@ -108,7 +108,7 @@ class BlockFile:
         self.crc = zlib.crc32(data, self.crc)
         self.size += len(data)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, ids: bytes | memoryview) -> None:
         self.doc_ids.append(doc_id)
         self.lengths.append(len(ids) // 4)
         self.held.append(ids)
@@ -164,7 +164,6 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, percentile:
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         part, seq, stream, file, path = TaskContext.get().partitionId(), 0, None, None, ""
-        end = np.array([END_ID], "<u4").tobytes()
         kinds = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
         def closed() -> pa.RecordBatch:
@@ -172,13 +171,15 @@ def write_token_files(docs: DataFrame, tokenizer: str | None = None, percentile:
             stream.close()
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "n_docs": len(file.doc_ids), "n_ids": file.n_ids}], schema=kinds)
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(name).encode_batch(batch.column(1).to_pylist()), strict=True):
+        for batch in (x for whole in batches for x in pieces(whole, "text")):
+            ids, bounds = encoder(name).encode(batch.column(1))
+            raw, bounds = memoryview(ids.astype("<u4", copy=False)).cast("B"), (4 * bounds).tolist()
+            for doc_id, first, last in zip(batch.column(0).to_pylist(), bounds, bounds[1:], strict=False):
                 if file is None:
                     path = f"{base}/{part:06d}-{seq:05d}-{uuid.uuid4().hex}.pfb"
                     stream = store.open_output_stream(path)
                     file = BlockFile(stream, percentile)
-                file.add(doc_id, ids + end)
+                file.add(doc_id, raw[first:last])
                 if file.n_ids >= file_ids:
                     yield closed()
                     seq, file = seq + 1, None

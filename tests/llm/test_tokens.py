@@ -2,28 +2,53 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from sievemark.llm import packing, token_blocks
-from sievemark.llm.tokens import default_tokenizer, encoder
+from sievemark.llm.tokens import Encoder, default_tokenizer, encoder
 
 TEXTS = [None, "", "\n", " a", "a  b", "a\n\nb", "Don't won't. 12,3 <|endoftext|> it's, fine.", "a \n b", "x\xa0 y", "\x1c!", "Tab\there", "word. word, word.\nWord", "漢字 テスト. é", "thwhere " * 1500, "lone"]
 
 
+FRESH = Tokenizer.from_file(default_tokenizer())
+
+
 def plain_ids(text):
-    return encoder(default_tokenizer()).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return FRESH.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.text(alphabet="ab.,' \n\té1\xa0　", max_size=20), max_size=4))
+def encoded(texts, with_encoder=None):
+    ids, bounds = (with_encoder or encoder(default_tokenizer())).encode(pa.array(texts, pa.string()))
+    assert bounds[0] == 0 and bounds[-1] == len(ids)
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab.,'&*s \n\té1ß\xa0　\0ⅷ²", max_size=20), max_size=4))
 def test_ids_by_runs_are_the_librarys(texts):
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(default_tokenizer()).encode_batch(texts)] == [plain_ids(x) for x in texts]
+    assert encoded(texts) == [[*plain_ids(x), 2] for x in texts]
 
 
 def test_ids_of_odd_texts():
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(default_tokenizer()).encode_batch(TEXTS)] == [plain_ids(x) for x in TEXTS]
+    assert encoded(TEXTS) == [[*plain_ids(x), 2] for x in TEXTS]
+    assert encoded([]) == [] and encoded([None]) == [[2]]
+
+
+def test_long_runs_marks_and_a_table_that_grows_and_is_forgotten():
+    rng = np.random.default_rng(4)
+    some = Encoder(default_tokenizer(), most=3000)
+    for _ in range(6):
+        words = ["".join(rng.choice(list("abcdeé'.,*&7\u0531"), rng.integers(1, 40))) for _ in range(1500)]
+        words += [w + t for w in words[:200] for t in (",", ".", "***", "'s", "?!")] + words[:300]
+        texts = [" ".join(words[i : i + 50]).replace("a b", "a\nb") + ("\n" + words[i] if i % 3 else "") for i in range(0, len(words), 50)]
+        assert encoded(texts, some) == [[*plain_ids(x), 2] for x in texts]
+    # Keys differ in bytes, length or kind alone.
+    texts = ["a a\0 a\0\0\na\na\0", "x" * 23 + " " + "x" * 24 + "\n" + "x" * 24 + " " + "x" * 25, "x" * 24 + "\n" + "x" * 23, "a"]
+    assert encoded(texts, some) == [[*plain_ids(x), 2] for x in texts] == encoded(texts, some)
 
 
 @settings(max_examples=60, deadline=None)
@@ -153,10 +178,6 @@ def test_exchange_between_groups_saves_sequences(spark):
 
 
 def test_added_tokens_are_those_of_a_fresh_tokenizer():
-    from tokenizers import Tokenizer
-
-    fresh = Tokenizer.from_file(default_tokenizer())
-    added = [x.content for x in fresh.get_added_tokens_decoder().values()]
+    added = [x.content for x in FRESH.get_added_tokens_decoder().values()]
     texts = [y for x in added for y in (x, f"some text {x} and more", f"a{x}b\n{x}", f"{x[:-1]} {x[1:]}")] + TEXTS
-    want = [fresh.encode(x or "", add_special_tokens=False).ids for x in texts]
-    assert added and [np.frombuffer(x, "<u4").tolist() for x in encoder(default_tokenizer()).encode_batch(texts)] == want
+    assert added and encoded(texts) == [[*plain_ids(x), 2] for x in texts]
