@@ -33,9 +33,16 @@ def _needed(size: int, similarity: float) -> int:
     return math.ceil(similarity * size - 1e-9)
 
 
+def general(tokens: list[str]) -> bool:
+    """Whether masked tokens say enough for a template: half of all, and of those behind the leading ones, are fixed."""
+    rest = tokens[DEPTH:]
+    return bool(rest) and 2 * rest.count(WILDCARD) <= len(rest) and 2 * tokens.count(WILDCARD) <= len(tokens)
+
+
 def _codes(templates: list[list[str]]) -> np.ndarray:
+    """Codes of the tokens behind the leading ones."""
     code: dict[str, int] = {WILDCARD: 0}
-    return np.array([[code.setdefault(x, len(code)) for x in t] for t in templates], np.int32)
+    return np.array([[code.setdefault(x, len(code)) for x in t[DEPTH:]] for t in templates], np.int32)
 
 
 def alike(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
@@ -51,8 +58,8 @@ def alike(left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def generalise(templates: list[list[str]], similarity: float) -> tuple[list[int], list[list[str]]]:
-    """Group of each of the templates (of equal length), and each group's template: templates that are alike are linked,
-    what links reach is a group, and its places that differ become variable."""
+    """Group of each of the templates (of equal length and leading tokens), and each group's template: templates that are
+    alike are linked, what links reach is a group, and its places that differ become variable."""
     codes, of = _codes(templates), np.arange(len(templates))
     for i, j in spanning(alike(codes, codes, similarity), of, of, len(of)):
         of = np.where(of == of[j], of[i], of)
@@ -61,15 +68,12 @@ def generalise(templates: list[list[str]], similarity: float) -> tuple[list[int]
     return of.tolist(), groups
 
 
-def bands(tokens: list[str], similarity: float) -> list[str] | None:
-    """Stretches of a template's tokens after the leading ones, of which any two alike templates of a leaf share one:
-    one more than the places that may differ. None if all templates of its leaf are alike; none if no two are. One with
-    a variable token isn't among them, as such tokens are never equal."""
-    lead, rest = tokens[:DEPTH], tokens[DEPTH:]
-    spare = len(tokens) - _needed(len(tokens), similarity) - lead.count(WILDCARD)
-    if spare >= len(rest):
-        return None
-    cuts = [len(rest) * k // (spare + 1) for k in range(spare + 2)] if spare > 0 else []
+def bands(tokens: list[str], similarity: float) -> list[str]:
+    """Stretches of a template's tokens behind the leading ones, of which any two alike templates of a leaf share one: one
+    more than the places that may differ. One with a variable token isn't among them, as such tokens are never equal."""
+    rest = tokens[DEPTH:]
+    spare = len(rest) - _needed(len(rest), similarity)
+    cuts = [len(rest) * k // (spare + 1) for k in range(spare + 2)]
     parts = [(k, rest[i:j]) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
     return [f"{k} {' '.join(x)}" for k, x in parts if WILDCARD not in x]
 
@@ -92,8 +96,9 @@ def _links(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
 
 
-def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
-    """key, doc_id, line, leaf, template, text (tokens, masked), fresh (the text's first line of the template)."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """key, doc_id, line, leaf, template, text (tokens, masked; null if the line is its own template), fresh (the text's first
+    line of the template) of every line with a visible character."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"key": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "leaf": pa.int64(), "template": pa.int64(), "text": pa.string(), "fresh": pa.bool_()}
@@ -103,11 +108,15 @@ def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
                 seen = set()
                 for i, line in enumerate((text or "").split("\n")):
                     tokens = masked(line)
-                    if len(tokens) < least_tokens:
+                    if not tokens:
                         continue
-                    size, plain = str(len(tokens)), " ".join(tokens)
-                    name = _hash(plain)
-                    row = (key, doc_id, i, _hash(size, *tokens[:DEPTH]), name, plain, name not in seen)
+                    if general(tokens):
+                        plain = " ".join(tokens)
+                        leaf, name = _hash(str(len(tokens)), *tokens[:DEPTH]), _hash(plain)
+                    else:
+                        plain = None
+                        leaf = name = _hash("", *line.split())
+                    row = (key, doc_id, i, leaf, name, plain, name not in seen)
                     seen.add(name)
                     for col, x in zip(out, row, strict=True):
                         col.append(x)
@@ -125,47 +134,48 @@ def _linked(work: DataFrame, similarity: float) -> DataFrame:
     return work.groupBy("task").applyInPandas(lambda rows: _links(rows, similarity), "a long, b long")
 
 
-def _linked_by_bands(texts: DataFrame, similarity: float, most: int) -> list[DataFrame]:
+def _linked_by_bands(texts: DataFrame, similarity: float, most: int, pool: int) -> DataFrame:
     """a, b of alike templates (leaf, template, text) of large leaves."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [])
+            out: tuple[list, ...] = ([], [])
             for leaf, template, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = bands(text.split(" "), similarity)
-                for x in [""] if own is None else own:
-                    for col, y in zip(out, (_hash(str(leaf), x), template, own is None), strict=True):
-                        col.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["bucket", "template", "sure"])
+                for x in bands(text.split(" "), similarity):
+                    out[0].append(_hash(str(leaf), x))
+                    out[1].append(template)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["bucket", "template"])
 
     texts = written(texts.select("leaf", "template", "text"), "large-leaves")
-    rows = written(texts.mapInArrow(banded, "bucket long, template long, sure boolean"), "bands")
-    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("template").alias("first")).where("size > 1"), "buckets")
-    sure = rows.where("sure").join(sizes, "bucket").select(F.col("template").alias("a"), F.col("first").alias("b"))
-    pools = -(-rows.count() // most) + 1
+    rows = written(texts.mapInArrow(banded, "bucket long, template long"), "bands")
+    sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    pools = -(-rows.count() // pool) + 1
     blocks = F.ceil(F.col("size") / most).cast("int")
-    own = rows.where("not sure").join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
+    own = rows.join(sizes.select("bucket", blocks.alias("blocks")), "bucket")
     own = own.withColumn("block", F.pmod(F.xxhash64("template", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket", F.lit(4)), F.lit(pools))).otherwise(F.xxhash64("bucket", "i", "j"))
     work = own.join(texts.select("template", "text"), "template").select(task.alias("task"), "bucket", "i", "j", "block", "template", "text")
-    return [sure, _linked(work, similarity)]
+    return _linked(work, similarity)
 
 
-def recurring_lines(docs: DataFrame, least_docs: int = 3, least_tokens: int = 4, similarity: float = 0.7, most: int = 2000) -> DataFrame:
+def recurring_lines(docs: DataFrame, least_docs: int = 3, similarity: float = 0.7, most: int = 2000, pool: int = 200) -> DataFrame:
     """key (a hash of doc_id and text), dropped (places of lines, from 0): of each row with lines to drop.
 
-    A line of least_tokens tokens or more has a template: its tokens, variable ones masked. Templates in the same leaf
-    (number of tokens, leading tokens) are linked if at least `similarity` of their tokens are equal and in place, and what
-    links reach is one template. Lines whose template is in least_docs or more rows go, but for those in the row with the
-    smallest doc_id (rows of equal doc_id and text count each, and stay or go together). Templates are counted and told
-    apart before anything is gathered, so a line in every document is one row.
-
-    Leaves of up to `most` different templates are compared whole. The templates of a larger one meet in the buckets of
-    their bands, of which alike ones share one, and a bucket of more than `most` is dealt to blocks, each pair of which is
-    one task's work: so links are the same at every size, and no task holds more than two blocks."""
+    A line has a template: its tokens, variable ones masked. Templates in the same leaf (number of tokens, leading tokens)
+    are linked if at least `similarity` of the tokens behind the leading ones are equal and in place, and what links reach
+    is one template. A line that says too little for that (of few tokens, or with more variable than fixed ones: see
+    general) is its own template, token by token, and links with no other. Lines whose template is in least_docs or more rows
+    go, but for those in the row with the smallest doc_id (rows of equal doc_id and text count each, and stay or go
+    together). Lines without a visible character stay. Templates are counted and told apart before anything is gathered,
+    so a line in every document is one row.
+
+    Leaves of up to `most` different templates are compared whole, about `pool` templates a task. The templates of a larger
+    one meet in the buckets of their bands, of which alike ones share one, and a bucket of more than `most` is dealt to
+    blocks, each pair of which is one task's work: so links are the same at every size, and no task holds more than two
+    blocks."""
     small_batches(docs.sparkSession)
-    lines = written(_lines(docs, least_tokens), "lines")
+    lines = written(_lines(docs), "lines")
     where = F.struct("doc_id", "key")
     templates = written(lines.groupBy("leaf", "template").agg(F.count_if("fresh").alias("n"), F.min(where).alias("first")), "templates")
     leaves = templates.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("n").alias("rows"))
@@ -178,12 +188,12 @@ def recurring_lines(docs: DataFrame, least_docs: int = 3, least_tokens: int = 4,
 
     zero = F.lit(0).cast("int")
     whole = leaves.where(F.col("size") <= most)
-    pools = -(-(whole.agg(F.sum("size")).first()[0] or 0) // most) + 1
+    pools = -(-(whole.agg(F.sum("size")).first()[0] or 0) // pool) + 1
     task = F.pmod(F.xxhash64("leaf", F.lit(4)), F.lit(pools))
     work = texts(whole).select(task.alias("task"), F.col("leaf").alias("bucket"), zero.alias("i"), zero.alias("j"), zero.alias("block"), "template", "text")
     found = [_linked(work, similarity)]
     if not leaves.where(F.col("size") > most).isEmpty():
-        found += _linked_by_bands(texts(leaves.where(F.col("size") > most)), similarity, most)
+        found.append(_linked_by_bands(texts(leaves.where(F.col("size") > most)), similarity, most, pool))
     merged = components(reduce(DataFrame.unionByName, found), "alike").select(F.col("node").alias("template"), F.col("root").alias("merged"))
     merged = written(merged, "merged")
     # A row counts once for a merged template.
