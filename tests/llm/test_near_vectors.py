@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from sievemark.llm import near_vectors
 
@@ -47,23 +48,40 @@ def test_links_are_those_of_all_pairs(spark):
 
 
 def test_links_over_many_blocks_and_strips(spark):
-    check(spark, _cloud(2, 200), block=16, dense=2)
+    check(spark, _cloud(2, 200), block=16, pool=50)
 
 
 def test_no_vectors(spark):
     assert near_vectors.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    rows = _cloud(3, 30)
+    plain_rows = [r for r in rows if r[2] == 0]
+    again = [(r[0], r[1], 0) for r in plain_rows[:5]] + [(None, plain_rows[0][1], 0), (None, [float(x) for x in np.eye(64)[3]], 0), (None, None, 0)]
+    docs = spark.createDataFrame(plain_rows + again, "vec_id long, embedding array<float>, label int")
+    got = [tuple(r) for r in near_vectors.link_vectors(docs).collect()]
+    want = {r[0]: r for r in plain([(k, *r[1:]) for k, r in enumerate(plain_rows + again)])}
+    ids = [r[0] for r in plain_rows + again]
+    named = lambda k: min((ids[x] for x in want if want[x][2] == want[k][2] and ids[x] is not None), default=None)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], str(r[2]))
+    assert sorted(got, key=key) == sorted(((ids[k], want[k][1], named(k), named(k) == ids[k]) for k in range(len(ids))), key=key)
+
+
 def test_pairs_at_the_threshold_are_found():
+    """Of pairs at the threshold all are found, and of unrelated ones few are even counted."""
     rng = np.random.default_rng(4)
-    found = total = 0
-    for _ in range(300):
-        u = rng.normal(size=64)
-        u /= np.linalg.norm(u)
-        w = rng.normal(size=64)
-        w -= (w @ u) * u
-        w /= np.linalg.norm(w)
-        v = 0.9801 * u + np.sqrt(1 - 0.9801**2) * w
-        found += sum(c.sum() for *_, c in near_vectors.near_pairs(u[None], v[None], 0.98, 0.999999))
-        total += 1
-    assert found == total
+    u = rng.normal(size=(2000, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    w = rng.normal(size=u.shape)
+    w -= (w * u).sum(axis=1)[:, None] * u
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    v = 0.9801 * u + np.sqrt(1 - 0.9801**2) * w
+    depth, tables = near_vectors.bucket_plan(2000, 64, 0.98, 0.9999999)
+    a, b = (near_vectors.buckets_of(x, depth, tables, 0.98) for x in (u, v))
+    assert (a == b).any(axis=1).all()
+    assert (a == np.roll(b, 1, axis=0)).any(axis=1).mean() < 0.02
+    rows = pd.DataFrame({"id": range(4000), "unit": [x.tobytes() for x in (*u, *v)], "buckets": [x.tobytes() for x in (*a, *b)]})
+    rows = rows.assign(n=1, label="x", table=0, bucket=0, i=0, j=0, block=0)
+    found = near_vectors._verify(rows, 0.98, 0.9999999)
+    assert {tuple(sorted(x)) for x in found[found.a != found.b][["a", "b"]].to_numpy().tolist()} == {(i, i + 2000) for i in range(2000)}
