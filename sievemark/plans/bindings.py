@@ -127,23 +127,6 @@ def cn10_archive_core(spark, d):
     return counts.groupBy(why.alias("outcome")).agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
 
 
-def cn12_promotion_gate(spark, d):
-    """Annotations that may be promoted: decided on once, by a decision that accepts them."""
-    rows = _docs(spark, d).select("doc_id", "lang")
-    decisions = rows.where("doc_id % 9 <> 0").select("doc_id", F.when(F.col("doc_id") % 6 == 1, "reject").otherwise("accept").alias("decision"))
-    decisions = decisions.unionByName(decisions.where("doc_id % 30 = 2"))
-    n = decisions.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("decision").alias("decision"))
-    why = F.when(F.col("n").isNull(), "undecided").when(F.col("n") > 1, "decided_twice").when(F.col("decision") != "accept", "rejected").otherwise("promoted")
-    return rows.join(n, "doc_id", "left").groupBy("lang", why.alias("outcome")).agg(F.count("*").alias("n"))
-
-
-def cn13_pending_run(spark, d):
-    """Rules that a pending run's rows must keep before anyone reviews them."""
-    rows = evaluation._sides(spark, d)[1]
-    rules = {"score_in_range": F.col("score").between(0, 0.97), "positive_size": (F.col("w") > 0) & (F.col("h") > 0), "odd_image": F.col("image_id") % 2 == 1}
-    return compare.violations(rows, F.col("id"), rules).groupBy("rule").agg(F.count("*").alias("n"))
-
-
 def cn16_seed_bundle(spark, d):
     """A bundle of seeds (the first documents of each language by a stable order) against one rebuilt from the data."""
     order = F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string")))
@@ -203,14 +186,6 @@ def rc13_published_tree(spark, d):
     return compare.set_difference(files.where("doc_id % 70 <> 6").select("path"), files.where("doc_id % 80 <> 9").select("path"), "path")
 
 
-def rc14_release_gate(spark, d):
-    """Thresholds may come from validation alone, and from enough rows."""
-    curve = matching.threshold_sweep(*evaluation._finer(spark, d)).where("category is not null")
-    chosen = matching.choose_threshold(curve, 0.3, 0.2).select("category", "confidence")
-    rows = chosen.withColumn("part", F.when(F.col("category") == "click", "test").otherwise("val"))
-    return compare.violations(rows, F.col("category"), {"not_from_test": F.col("part") != "test", "has_threshold": F.col("confidence").isNotNull()})
-
-
 def rc15_rationale(spark, d):
     """A nested protocol as rows of name and text."""
     raw = F.lit('{"epochs": 100, "batch": 8, "seeds": "42,43"}')
@@ -256,8 +231,6 @@ SQL = {
     "ag17_latency": "SELECT user_id, count(value) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(value) * 1000.0 / sum(value) AS fps FROM events WHERE event_type <> 'error' GROUP BY 1",
     "wn5_chosen_threshold": f"""WITH RECURSIVE {evaluation._SQL_CURVE}, {_OK}
 SELECT category, confidence FROM a LEFT JOIN ok USING (category)""",
-    "rc14_release_gate": f"""WITH RECURSIVE {evaluation._SQL_CURVE}, {_OK}
-SELECT 'not_from_test' AS rule, category AS key FROM a WHERE category = 'click' UNION ALL SELECT 'has_threshold', category FROM a LEFT JOIN ok USING (category) WHERE category IS NOT NULL AND confidence IS NULL""",
     "cn3_coco_split": f"WITH {SQL_BOXES} SELECT 'c_' || category AS class_name, count(*) AS n, count(DISTINCT image_id) AS images FROM b WHERE image_id % 4 = 1 GROUP BY 1",
     "cn5_class_map": "SELECT event_type, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 END AS class_id, count(*) AS n FROM events GROUP BY 1",
     "cn7_live_data": """SELECT page_id, 'sha256' AS problem FROM pages WHERE page_id % 13 <> 4 AND page_id % 11 = 3
@@ -265,8 +238,6 @@ UNION ALL SELECT page_id, 'unexpected' FROM pages WHERE page_id % 13 = 4""",
     "cn9_round_trip_verdict": f"WITH {SQL_BOXES}, c AS (SELECT count(*) AS n FROM b WHERE id % 50 = 3) SELECT n AS left_only, n AS right_only, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM c",
     "cn10_archive_core": """WITH p AS (SELECT page_id, octet_length(encode(html)) AS bytes FROM pages)
 SELECT CASE WHEN page_id % 17 = 5 THEN 'duplicate_name' WHEN page_id % 7 = 6 THEN 'unknown_label' WHEN bytes < 500 THEN 'too_small' ELSE 'accepted' END AS outcome, count(*) AS members, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY 1""",
-    "cn12_promotion_gate": """SELECT lang, CASE WHEN doc_id % 9 = 0 THEN 'undecided' WHEN doc_id % 30 = 2 THEN 'decided_twice' WHEN doc_id % 6 = 1 THEN 'rejected' ELSE 'promoted' END AS outcome, count(*) AS n FROM documents GROUP BY 1, 2""",
-    "cn13_pending_run": f"""WITH {SQL_BOXES}, p AS (SELECT * FROM b WHERE NOT is_gt) SELECT rule, count(*) AS n FROM (SELECT 'score_in_range' AS rule FROM p WHERE NOT score BETWEEN 0 AND 0.97 UNION ALL SELECT 'positive_size' FROM p WHERE w <= 0 OR h <= 0 UNION ALL SELECT 'odd_image' FROM p WHERE image_id % 2 <> 1) GROUP BY 1""",
     "cn16_seed_bundle": """WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY substr(md5('42:' || doc_id), 1, 8), doc_id) AS i FROM documents)
 SELECT 'missing' AS problem, count(*) AS n FROM r WHERE i <= 20 AND doc_id % 5 = 0 HAVING count(*) > 0""",
     "cn17_shared_sources": "SELECT md5(text) AS sha, count(DISTINCT doc_id % 3) AS n_groups FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 3) > 1",

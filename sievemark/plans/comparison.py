@@ -98,12 +98,6 @@ def ag22_uneven_fields(spark, d):
     return compare.uneven_fields(rows, ["lang", "protocol", "dataset", "source"])
 
 
-def rc2_rule_violations(spark, d):
-    runs = _runs(spark, d)
-    rules = {"ap_in_range": F.col("ap50_95").between(0, 0.35), "ordered_ap": F.col("ap50") <= F.col("ap50_95"), "known_seed": F.col("seed").isin(42, 43, 44)}
-    return compare.violations(runs, F.concat_ws("/", "model", "seed"), rules)
-
-
 def rc20_exact_mirror(spark, d):
     """Orders' totals recomputed from a copy in which every thousandth differs."""
     rows = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("total"))
@@ -232,8 +226,6 @@ SELECT model, seed, metric, CASE WHEN reason = 'within_tolerance' THEN 'PASS' EL
     "rc3_matrix_gaps": f"""WITH {_SQL_RUNS}, s AS (SELECT model, seed FROM runs WHERE last_id % 3 <> 0), t AS (SELECT * FROM s UNION ALL SELECT * FROM s WHERE seed = 42), m AS (SELECT DISTINCT model FROM runs), k AS (SELECT DISTINCT seed FROM runs)
 SELECT m.model, k.seed, count(t.model) AS n, CASE WHEN count(t.model) = 0 THEN 'missing' ELSE 'duplicate' END AS problem FROM m CROSS JOIN k LEFT JOIN t ON t.model = m.model AND t.seed = k.seed GROUP BY 1, 2 HAVING count(t.model) <> 1""",
     "ag22_uneven_fields": "SELECT 'lang' AS field, count(DISTINCT lang) AS n_values FROM documents HAVING count(DISTINCT lang) > 1 UNION ALL SELECT 'source', count(DISTINCT source) FROM documents HAVING count(DISTINCT source) > 1",
-    "rc2_rule_violations": f"""WITH {_SQL_RUNS} SELECT 'ap_in_range' AS rule, model || '/' || seed AS key FROM runs WHERE NOT ap50_95 BETWEEN 0 AND 0.35 UNION ALL SELECT 'ordered_ap', model || '/' || seed FROM runs WHERE ap50 > ap50_95
-UNION ALL SELECT 'known_seed', model || '/' || seed FROM runs WHERE seed NOT IN (42, 43, 44)""",
     "rc20_exact_mirror": """WITH a AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 0 THEN '0.00' ELSE total END AS total FROM a)
 SELECT side, o_orderkey, total, count(*) AS n FROM (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY 1, 2, 3""",
     "rc21_gates": "SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' ELSE 'failed' END AS problem FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 10 = 0 AND quality IS DISTINCT FROM 1",

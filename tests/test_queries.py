@@ -8,11 +8,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from sievemark.plans import bindings, comparison, curation, evaluation, files, records
+from sievemark.plans import bindings, comparison, curation, evaluation, files, gates, records
 
 SF = "/root/testdata/sf0.001"
-QUERIES = curation.QUERIES | evaluation.QUERIES | comparison.QUERIES | records.QUERIES | bindings.QUERIES | files.QUERIES
-SQL = curation.SQL | evaluation.SQL | comparison.SQL | records.SQL | bindings.SQL | files.SQL
+QUERIES = curation.QUERIES | evaluation.QUERIES | comparison.QUERIES | records.QUERIES | bindings.QUERIES | files.QUERIES | gates.QUERIES
+SQL = curation.SQL | evaluation.SQL | comparison.SQL | records.SQL | bindings.SQL | files.SQL | gates.SQL
 
 
 @pytest.fixture(scope="module")
