@@ -1,3 +1,10 @@
+import random
+import re
+
+import numpy as np
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
 from sievemark.llm import licenses
 from tests.llm.test_shared import plain_words
 
@@ -49,6 +56,44 @@ def test_what_lies_inside_a_stronger_detection_goes():
     assert licenses.settle([licenses.Detection(5, 20, "b", 95, 0.7), a]) == [a, licenses.Detection(5, 20, "b", 95, 0.7)]
 
 
+def test_settled_detections_are_those_of_all_pairs():
+    for seed in range(500):
+        rng, found = random.Random(seed), []
+        for _ in range(rng.randint(0, 25)):
+            at = rng.randint(0, 30)
+            found.append(licenses.Detection(at, at + rng.randint(1, 12), rng.choice("ab"), rng.randint(1, 4), 0.5))
+        kept = []
+        for x in sorted(set(found), key=lambda x: (-x.priority, x.start - x.end, x.start, x.label)):
+            if not any(y.start <= x.start and x.end <= y.end for y in kept):
+                kept.append(x)
+        assert licenses.settle(found) == sorted(kept)
+
+
+_EDGES = len(rb"(?<![0-9a-z\x80-\xff])"), len(rb"(?![0-9a-z\x80-\xff])")
+_WITHIN = [(k, st.from_regex(re.compile(r.pattern.pattern[_EDGES[0] : -_EDGES[1]]), fullmatch=True)) for k, rules in licenses.rules().items() for r in rules]
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.sampled_from(_WITHIN).flatmap(lambda x: st.tuples(st.just(x[0]), x[1])))
+def test_whatever_a_rule_matches_holds_its_keyword(drawn):
+    keyword, text = drawn[0], drawn[1].lower()
+    assert licenses._GATES.get(keyword, keyword) in licenses.squeezed(np.frombuffer(text, np.uint8), np.zeros(1, np.int64))[0]
+
+
+def test_labels_on_documents_are_those_of_all_rules(spark):
+    """Every rule on every text, without keywords, over the documents' texts with license lines put into some."""
+    notices = ["Licensed under the Apache License, Version 2.0 (the \"License\")", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: MIT OR Apache-2.0", "No rights reserved", "either version 2.1 of the License"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, (r.text or "")[:400] + ("\n" + notices[r.doc_id % 7] if r.doc_id % 7 < 5 else "")) for r in docs.collect()]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        raw, (_, n_base, _, _, base) = text.encode().lower(), plain(text)
+        every = licenses.settle([licenses.Detection(*m.span(), r.label, r.priority, r.weight) for rules in licenses.rules().values() for r in rules for m in r.pattern.finditer(raw)])
+        labels = {x.label for x in every} | set(filter(None, base.split(",")))
+        assert got[i] == (",".join(sorted(labels)), max([0.6 * bool(n_base), *(x.weight for x in every)]))
+    assert sum(bool(x) for x, _ in got.values()) > 100
+
+
 def test_gate_loses_nothing():
     for text in TEXTS[:10]:
         raw = (text or "").lower().encode()
