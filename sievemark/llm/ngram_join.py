@@ -17,7 +17,7 @@ from .shared import Words, components, mix, pieces, small_batches, spanning, wri
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 
 
-def band_plan(similarity: float, recall: float, rows: int = 4) -> tuple[int, int]:
+def band_plan(similarity: float, recall: float, rows: int = 5) -> tuple[int, int]:
     """Bands of `rows` values each: as many as find a pair of that similarity with that probability."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))), rows
 
@@ -39,8 +39,8 @@ def bands_of(grams: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A hash of each band's smallest values over a set of n-grams (not empty)."""
     times, plus = _hashers(bands * rows)
     low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(grams), 4096):
-        part = grams[at : at + 4096]
+    for at in range(0, len(grams), 1024):
+        part = grams[at : at + 1024]
         # The high half of a product depends on all bits of the n-gram's hash.
         low = np.minimum(low, (part[None, :] * times[:, None] + plus[:, None]).min(axis=1))
     out = np.full(bands, 0x1B873593, np.uint64)
