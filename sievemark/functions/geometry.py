@@ -42,7 +42,7 @@ def iou_xywh(a: Box, b: Box) -> Column:
 
 def iou_xyxy(a: Box, b: Box) -> Column:
     """Intersection over union; a box whose corners are swapped has no area."""
-    area = lambda q: F.greatest(F.lit(0.0), q[2] - q[0]) * F.greatest(F.lit(0.0), q[3] - q[1])
+    area = lambda q: F.greatest(q[2] - q[0], F.lit(0)) * F.greatest(q[3] - q[1], F.lit(0))
     common = _overlap(a[0], a[2], b[0], b[2]) * _overlap(a[1], a[3], b[1], b[3])
     union = area(a) + area(b) - common
     return F.when(union > 0, common / F.when(union > 0, union)).otherwise(0.0)

@@ -133,13 +133,15 @@ def url_problem(url: Column, hosts: list[str], label: str = "url") -> Column:
     """The first reason against an address; null if it may be fetched."""
     plain = F.trim(F.coalesce(url, F.lit("")))
     rest = F.regexp_extract(plain, r"^[^:/?#]+://([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "^[^@]*@", ""), r":\d*$", ""), r"\.$", ""))
-    port = F.regexp_extract(rest, r":(\d+)$", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "^.*@", ""), r":[^:\]]*$", ""), r"\.$", ""))
+    port = F.regexp_extract(rest, r":([^:@\]]*)$", 1)
+    number = port.try_cast("int")
     why = (
         F.when(plain == "", "missing_url")
         .when(~plain.rlike("(?i)^https://"), "https_required")
         .when(rest.contains("@"), "credentials_forbidden")
-        .when((port != "") & (port != "443"), F.concat(F.lit("port_not_allowed:"), port))
+        .when((port != "") & ~(port.rlike("^[0-9]+$") & F.coalesce(number <= 65535, F.lit(False))), "invalid_port")
+        .when((port != "") & (number != 443), F.concat(F.lit("port_not_allowed:"), number.cast("string")))
         .when(~host.isin(hosts), F.concat(F.lit("host_not_allowed:"), F.when(host == "", "missing").otherwise(host)))
         .when(plain.rlike("#."), "fragment_forbidden")
         .when(~plain.rlike("^[^:/?#]+://[^/?#]+/"), "invalid_path")
@@ -193,21 +195,21 @@ def without_ansi(text: Column) -> Column:
 
 
 # A path that begins a text or follows a character that can't be in one.
-_WINDOWS_PATH = r"(?i)(^|[\s\"'(=,;])([a-z]:[\\/][^\s\"'<>|]*)"
-_POSIX_PATH = r"(^|[\s\"'(=,;])(/(?:home|root|users|tmp|var|mnt|opt|usr|etc|srv|data)/[^\s\"'<>|]*)"
-_USER_HOME = r"(?i)[a-z]:[\\/]users[\\/][^\\/\s\"']+|/(?:home|users)/[^/\s\"']+"
+WINDOWS_PATH = r"(?i)(^|[\s\"'(=,;])([a-z]:[\\/][^\s\"'<>|]*)"
+POSIX_PATH = r"(^|[\s\"'(=,;])(/(?:home|root|users|tmp|var|mnt|opt|usr|etc|srv|data)/[^\s\"'<>|]*)"
+USER_HOME = r"(?i)[a-z]:[\\/]users[\\/][^\\/\s\"']+|/(?:home|users)/[^/\s\"']+"
 
 
 def redacted(text: Column, names: dict[str, str] | None = None) -> Column:
     """Named strings replaced, then users' homes, then other absolute paths."""
     for name, to in (names or {}).items():
         text = F.regexp_replace(text, F.lit(rf"(?i)\Q{name}\E"), F.lit(to))
-    text = F.regexp_replace(text, _USER_HOME, "<USER_HOME>")
-    return F.regexp_replace(F.regexp_replace(text, _WINDOWS_PATH, "$1<ABSOLUTE_PATH>"), _POSIX_PATH, "$1<ABSOLUTE_PATH>")
+    text = F.regexp_replace(text, USER_HOME, "<USER_HOME>")
+    return F.regexp_replace(F.regexp_replace(text, WINDOWS_PATH, "$1<ABSOLUTE_PATH>"), POSIX_PATH, "$1<ABSOLUTE_PATH>")
 
 
 def has_local_path(text: Column) -> Column:
-    return text.rlike(_WINDOWS_PATH) | text.rlike(_POSIX_PATH)
+    return text.rlike(WINDOWS_PATH) | text.rlike(POSIX_PATH)
 
 
 def gflops(value: Column, summary: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.functions.geometry import box, canonical_from_coco, canonical_from_yolo
 from sievemark.operators.compare import multiset_difference
+from sievemark.session import written
 
 RECORD = ["image_key", "class_name", "x", "y", "w", "h"]
 
@@ -64,10 +65,15 @@ def equivalence(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def coco_ids(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """rows with id: 1, 2, ... in each group by an order that must be unique."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("id", F.row_number().over(Window.partitionBy(group).orderBy(order)).cast("long"))
+    """rows with id: 1, 2, ... in each group by an order that must be unique. Rows are sorted in ranges; a row's number is its
+    place in its range behind the counts of the group's ranges before, so that a large group is many tasks."""
+    dealt = rows.repartitionByRange(group, order).withColumn("__range", F.spark_partition_id())
+    dealt = written(dealt.withColumn("__place", F.row_number().over(Window.partitionBy("__range", group).orderBy(order))), "ranges")
+    sizes = dealt.groupBy(F.col("__range").alias("__r"), F.col(group).alias("__g")).agg(F.max("__place").alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__r", "__g", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    joined = dealt.join(sizes, (F.col("__range") == F.col("__r")) & F.col(group).eqNullSafe(F.col("__g")))
+    return joined.select(*rows.columns, (F.col("__place") + F.col("__before")).cast("long").alias("id"))
 
 
 def label_files(rows: DataFrame, image: str, line: str, order: str) -> DataFrame:

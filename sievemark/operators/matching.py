@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievemark.functions.geometry import iou_xywh, safe_ratio, wilson_lower
+from sievemark.functions.geometry import iou_xywh, iou_xyxy, safe_ratio, wilson_lower, xywh_to_xyxy
 
 _BOX = ("x", "y", "w", "h")
 # The status of a chosen threshold, and of none.
@@ -150,15 +150,19 @@ def confusion(targets: DataFrame, predictions: DataFrame, match_iou: float = 0.5
 
 def suppress(boxes: DataFrame, iou: float, strict: bool, keys: list[str], most: int | None = None) -> DataFrame:
     """keys, id of the boxes that stay: by falling score, a box goes if it overlaps one that stayed, of its category, by at
-    least `iou` (or more than it, if strict). A fold over each group's array; most: so many stay, the best."""
+    least `iou` (or more than it, if strict). Overlaps are those of corners, so a box without a size has no area; strict ones
+    are reckoned in 32 bits. A fold over each group's array; most: so many stay, the best."""
+    kind_of = "float" if strict else "double"
+    corners = lambda k: xywh_to_xyxy(tuple(x.cast(kind_of) for x in _parts(k)))
+    limit = F.lit(iou).cast(kind_of)
     ranked = F.struct((-F.col("score")).alias("rank"), "id", "category", *_BOX)
     groups = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(ranked)).alias("all"))
     kind = groups.schema["all"].dataType.simpleString()
 
     def step(kept: Column, b: Column) -> Column:
         def covers(k: Column) -> Column:
-            overlap = iou_xywh(_parts(k), _parts(b))
-            return (k["category"] == b["category"]) & ((overlap > iou) if strict else (overlap >= iou))
+            overlap = iou_xyxy(corners(k), corners(b)).cast(kind_of)
+            return (k["category"] == b["category"]) & ((overlap > limit) if strict else (overlap >= limit))
 
         return F.when(F.exists(kept, covers), kept).otherwise(F.concat(kept, F.array(b)))
 

@@ -104,3 +104,14 @@ def split_overlap(rows: DataFrame) -> DataFrame:
     own = rows.select("group_id", "split").distinct()
     left, right = own.withColumnRenamed("split", "left_split"), own.withColumnRenamed("split", "right_split")
     return left.join(right, "group_id").where("left_split < right_split").groupBy("left_split", "right_split").agg(F.count("*").alias("n"))
+
+
+def pair_overlaps(rows: DataFrame, stratum: str, columns: list[str]) -> DataFrame:
+    """stratum, left, right, and for each column shared_{column}: how many of its values both parts (split) of a pair have."""
+    splits_of = rows.select(stratum, "split").distinct()
+    pairs = splits_of.select(stratum, F.col("split").alias("left")).join(splits_of.select(stratum, F.col("split").alias("right")), stratum).where("left < right")
+    for c in columns:
+        held = rows.groupBy(stratum, c).agg(F.array_sort(F.collect_set("split")).alias("s")).where(F.size("s") > 1)
+        each = held.select(stratum, F.explode("s").alias("left"), "s").select(stratum, "left", F.explode("s").alias("right")).where("left < right")
+        pairs = pairs.join(each.groupBy(stratum, "left", "right").agg(F.count("*").alias(f"shared_{c}")), [stratum, "left", "right"], "left")
+    return pairs.fillna(0)

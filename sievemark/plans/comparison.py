@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievemark.functions import identity, text
+from sievemark.functions import documents, identity, text
 from sievemark.operators import compare
 from sievemark.session import table
 from sievemark.sources import scans
@@ -115,7 +115,7 @@ def rc21_gates(spark, d):
 
 def rc22_bundles(spark, d):
     """Folders (sources) that don't hold one file of each of two kinds with one stem."""
-    rows = table(spark, d, "documents").where("doc_id % 7 < 2").select("source", F.when(F.col("doc_id") % 7 == 0, "metadata").otherwise("model").alias("kind"), (F.col("doc_id") / 7).cast("long").alias("stem"))
+    rows = table(spark, d, "documents").select("source", F.when(F.col("doc_id") % 7 == 0, "metadata").otherwise("model").alias("kind"), (F.col("doc_id") / 7).cast("long").alias("stem"))
     return rows.groupBy("source").agg(F.count("*").alias("files"), F.count_if(F.col("kind") == "metadata").alias("metadata"), F.count_distinct("stem").alias("stems")).where("files <> 2 or metadata <> 1 or stems <> 1")
 
 
@@ -199,14 +199,20 @@ def hs8_member_hash(spark, d):
 
 
 def pr43_json_leaves(spark, d):
-    """Numbers in events' properties, by name."""
-    e = table(spark, d, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
-    return e.groupBy("name").agg(F.count("*").alias("n"), F.count(F.col("value").try_cast("double")).alias("numbers"))
+    """Numbers and texts at any depth of documents, by their places."""
+    inner = F.struct(F.array("user_id", F.col("event_id") % 3).alias("n"), F.col("event_type").alias("t"), F.lit(None).cast("string").alias("none"))
+    raw = F.to_json(F.struct(F.array(inner, inner).alias("a"), F.col("event_id").alias("id"), F.lit(True).alias("flag")))
+    e = table(spark, d, "events").select(raw.alias("j"))
+    numbers = e.select(F.explode(documents.numeric_leaves(F.col("j"))).alias("x")).groupBy("x.path").agg(F.count("*").alias("n"), F.sum("x.value").alias("total"))
+    texts = e.select(F.explode(documents.string_leaves(F.col("j"))).alias("x")).groupBy("x.path").agg(F.count("*").alias("n"), F.lit(None).cast("double").alias("total"))
+    return numbers.unionByName(texts)
 
 
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("ag", "hs", "pr", "jn", "wn", "rc", "sc", "sm") and k[2].isdigit()}
 
 SQL = {
+    "pr43_json_leaves": """WITH x AS (SELECT unnest(['a[0].n[0]', 'a[0].n[1]', 'a[1].n[0]', 'a[1].n[1]', 'id']) AS path, unnest([user_id, event_id % 3, user_id, event_id % 3, event_id]) AS v FROM events)
+SELECT path, count(*) AS n, sum(v)::DOUBLE AS total FROM x GROUP BY 1 UNION ALL SELECT unnest(['a[0].t', 'a[1].t']), n, NULL FROM (SELECT count(*) AS n FROM events) WHERE n > 0""",
     "ag13_run_aggregate": f"WITH {_SQL_RUNS} SELECT model, count(*) AS runs, {', '.join(f'avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std' for m in METRICS)} FROM runs GROUP BY 1",
     "ag14_paired_delta": f"""WITH {_SQL_LONG} SELECT a.metric, count(*) AS paired_n, avg(a.value - b.value) AS mean_delta, stddev_samp(a.value - b.value) AS sample_sd_delta, count(*) - 1 AS degrees_of_freedom
 FROM long a JOIN long b USING (seed, metric) WHERE a.model = 'click' AND b.model = 'view' GROUP BY 1""",
@@ -229,7 +235,7 @@ SELECT m.model, k.seed, count(t.model) AS n, CASE WHEN count(t.model) = 0 THEN '
     "rc20_exact_mirror": """WITH a AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total FROM orders), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 0 THEN '0.00' ELSE total END AS total FROM a)
 SELECT side, o_orderkey, total, count(*) AS n FROM (SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY 1, 2, 3""",
     "rc21_gates": "SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' ELSE 'failed' END AS problem FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 10 = 0 AND quality IS DISTINCT FROM 1",
-    "rc22_bundles": """SELECT source, count(*) AS files, count(*) FILTER (doc_id % 7 = 0) AS metadata, count(DISTINCT doc_id // 7) AS stems FROM documents WHERE doc_id % 7 < 2 GROUP BY 1 HAVING files <> 2 OR metadata <> 1 OR stems <> 1""",
+    "rc22_bundles": """SELECT source, count(*) AS files, count(*) FILTER (doc_id % 7 = 0) AS metadata, count(DISTINCT doc_id // 7) AS stems FROM documents GROUP BY 1 HAVING files <> 2 OR metadata <> 1 OR stems <> 1""",
     "rc19_artifact_chain": "SELECT conv_id, sha256(string_agg(turn || ':' || role, chr(10) ORDER BY turn, role)) AS chain FROM conversations GROUP BY 1",
     "rc10_inventory": """SELECT page_id, 'missing' AS problem FROM pages WHERE page_id % 20 <> 0 AND page_id % 21 = 0 UNION ALL SELECT page_id, 'unexpected' FROM pages WHERE page_id % 20 = 0 AND page_id % 21 <> 0
 UNION ALL SELECT page_id, 'hash' FROM pages WHERE page_id % 20 <> 0 AND page_id % 21 <> 0 AND page_id % 33 = 0""",

@@ -117,6 +117,12 @@ def ag4_split_summary(spark, d):
     return rows.groupBy("model", "split").agg(F.count("*").alias("images"), F.count_distinct("group_id").alias("groups"), F.sum("n_chars").alias("chars"))
 
 
+def ag4_split_overlaps(spark, d):
+    """For each model and pair of parts: the groups, and the texts, that both have."""
+    rows = _docs(spark, d).withColumn("group_id", F.concat_ws("_", "lang", "source")).join(splits.group_split(_groups(spark, d)).drop("rank"), "group_id")
+    return splits.pair_overlaps(rows.select("model", "split", "group_id", F.md5(F.encode("text", "UTF-8")).alias("text")), "model", ["group_id", "text"])
+
+
 def _edges(spark, d):
     rows = _docs(spark, d).select(F.concat_ws("_", "lang", "source").alias("g"), "text")
     first = rows.groupBy("text").agg(F.min("g").alias("b"))
@@ -173,12 +179,12 @@ def st5_evidence_union(spark, d):
 def _boxes(spark, d):
     e = table(spark, d, "events")
     return e.select(
-        F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("image_id"), F.col("event_type").alias("category"), (F.col("event_id") % 16).cast("double").alias("x"), (F.col("event_id") * 7 % 16).cast("double").alias("y"),
+        F.col("event_id").alias("id"), F.floor(F.col("event_id") / 100).alias("image_id"), F.col("event_type").alias("category"), (F.col("event_id") % 16).cast("double").alias("x"), (F.col("event_id") * 7 % 16).cast("double").alias("y"),
         (24 + F.col("event_id") % 5).cast("double").alias("w"), (24 + F.col("event_id") % 7).cast("double").alias("h"),
     )
 
 
-SQL_BOXES = """b AS (SELECT event_id AS id, user_id % 50 AS image_id, event_type AS category, CAST(event_id % 16 AS DOUBLE) AS x,
+SQL_BOXES = """b AS (SELECT event_id AS id, event_id // 100 AS image_id, event_type AS category, CAST(event_id % 16 AS DOUBLE) AS x,
  CAST((event_id * 7) % 16 AS DOUBLE) AS y, CAST(24 + event_id % 5 AS DOUBLE) AS w, CAST(24 + event_id % 7 AS DOUBLE) AS h,
  least(value, 200) / 200 AS score, event_id % 3 = 0 AS is_gt FROM events)"""
 
@@ -258,6 +264,17 @@ def pr30_keywords(spark, d):
     return table(spark, d, "pages").select("page_id", text.keywords_allow(F.col("url"), ["EXAMPLE.com", "example.net"], ["page=2"]).alias("allowed"))
 
 
+def pr31_url_rules(spark, d):
+    """Addresses with other schemes, users, ports, hosts, fragments and paths than may be fetched."""
+    host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+    port = F.element_at(F.array(*map(F.lit, ("", ":443", ":8443", ":abc", ":", ":99999"))), (F.length("html") % 6 + 1).cast("int"))
+    before = F.when(F.length("html") % 7 == 0, "me@").otherwise("")
+    end = F.when(F.length("html") % 5 == 0, "/x#y").when(F.length("html") % 5 == 1, "").otherwise("/x")
+    url = F.concat(F.when(F.length("html") % 11 == 0, "http").otherwise("https"), F.lit("://"), before, host, port, end)
+    url = F.when(F.length("html") % 13 == 0, "").otherwise(url)
+    return table(spark, d, "pages").select("page_id", text.url_problem(url, ["thther.example.org", "m.ththth.example.net", "ththre.example.com"]).alias("problem"))
+
+
 def pr31_urls(spark, d):
     url = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", "^http:", "https:")).otherwise(F.col("url"))
     return table(spark, d, "pages").select("page_id", text.url_problem(url, ["thther.example.org", "m.ththth.example.net", "ththre.example.com"]).alias("problem"))
@@ -392,6 +409,13 @@ rec AS (SELECT image_id || '.png' AS image_key, 'class_' || (b.id % 7) AS class_
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("ag", "hs", "pr", "jn", "wn", "gr", "sc", "st", "ev", "sk", "cn") and k[2].isdigit()}
 
 SQL = {
+    "pr31_url_rules": """WITH u AS (SELECT page_id, length(html) AS n, regexp_extract(url, '^https?://([^/]*)', 1) AS host FROM pages)
+SELECT page_id, 'url:' || CASE WHEN n % 13 = 0 THEN 'missing_url' WHEN n % 11 = 0 THEN 'https_required' WHEN n % 7 = 0 THEN 'credentials_forbidden' WHEN n % 6 IN (3, 5) THEN 'invalid_port' WHEN n % 6 = 2 THEN 'port_not_allowed:8443'
+ WHEN lower(host) NOT IN ('thther.example.org', 'm.ththth.example.net', 'ththre.example.com') THEN 'host_not_allowed:' || coalesce(nullif(lower(host), ''), 'missing') WHEN n % 5 = 0 THEN 'fragment_forbidden' WHEN n % 5 = 1 THEN 'invalid_path' END AS problem FROM u""",
+    "ev11_letterbox": """WITH p AS (SELECT p_partkey, p_size * 40 + 300 AS w, p_partkey % 900 + 300 AS h FROM part), s AS (SELECT *, least(640 / h::DOUBLE, 640 / w::DOUBLE) AS scale FROM p),
+r AS (SELECT *, greatest(1, least(640, CAST(round_even(w * scale, 0) AS INTEGER))) AS rw, greatest(1, least(640, CAST(round_even(h * scale, 0) AS INTEGER))) AS rh FROM s)
+SELECT p_partkey, scale, rw::DOUBLE AS resized_width, rh::DOUBLE AS resized_height, round_even((640 - rw) / 2 - 0.1::DOUBLE, 0) AS pad_left, round_even((640 - rh) / 2 - 0.1::DOUBLE, 0) AS pad_top,
+ greatest(1, least(640, floor(w * scale)))::DOUBLE AS plain_width, greatest(1, least(640, floor(h * scale)))::DOUBLE AS plain_height FROM r""",
     "ag1_duplicate_groups": """SELECT sha256(text) AS value, count(*) AS n, count(DISTINCT lang) > 1 AS cross_class_conflict,
  array_to_string(list_sort(list_distinct(list(lang))), '|') AS classes, array_to_string(list_sort(list(CAST(doc_id AS VARCHAR))), '|') AS paths
 FROM documents GROUP BY 1 HAVING count(*) > 1""",
@@ -415,6 +439,11 @@ SELECT split_part(k, ',', 1) AS source, split_part(k, ',', 2) AS lang, n, c0 AS
     "ag6_mixed_groups": "SELECT source AS group_id, count(DISTINCT lang) AS n_models FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1",
     "st3_split_overlap": """WITH s AS (SELECT DISTINCT text, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM documents)
 SELECT a.split AS left_split, b.split AS right_split, count(*) AS n FROM s a JOIN s b ON a.text = b.text AND a.split < b.split GROUP BY 1, 2""",
+    "ag4_split_overlaps": f"""WITH {_SQL_SPLIT}, r AS (SELECT DISTINCT model, split, group_id, md5(text) AS t FROM documents JOIN assigned ON group_id = lang || '_' || source), s AS (SELECT DISTINCT model, split FROM r),
+g AS (SELECT a.model, a.split AS l, b.split AS r, count(*) AS n FROM (SELECT DISTINCT model, split, group_id FROM r) a JOIN (SELECT DISTINCT model, split, group_id FROM r) b ON a.model = b.model AND a.group_id = b.group_id AND a.split < b.split GROUP BY 1, 2, 3),
+t AS (SELECT a.model, a.split AS l, b.split AS r, count(*) AS n FROM (SELECT DISTINCT model, split, t FROM r) a JOIN (SELECT DISTINCT model, split, t FROM r) b ON a.model = b.model AND a.t = b.t AND a.split < b.split GROUP BY 1, 2, 3)
+SELECT a.model, a.split AS "left", b.split AS "right", coalesce(g.n, 0) AS shared_group_id, coalesce(t.n, 0) AS shared_text FROM s a JOIN s b ON a.model = b.model AND a.split < b.split
+LEFT JOIN g ON g.model = a.model AND g.l = a.split AND g.r = b.split LEFT JOIN t ON t.model = a.model AND t.l = a.split AND t.r = b.split""",
     "ag4_split_summary": f"""WITH {_SQL_SPLIT} SELECT model, split, count(*) AS images, count(DISTINCT group_id) AS groups, CAST(sum(n_chars) AS BIGINT) AS chars
 FROM documents JOIN assigned ON group_id = lang || '_' || source GROUP BY 1, 2""",
     "gr1_components": f"""{_SQL_REACH}, ids AS (SELECT root, 'phashcc_' || substr(sha256(array_to_string(list_sort(list(node)), chr(10))), 1, 16) AS component_id FROM roots GROUP BY 1)

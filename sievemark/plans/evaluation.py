@@ -15,7 +15,7 @@ def _sides(spark, d):
     """Targets and predictions."""
     e = table(spark, d, "events")
     rows = e.select(
-        F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("image_id"), F.col("event_type").alias("category"), (F.col("event_id") % 16).cast("double").alias("x"), (F.col("event_id") * 7 % 16).cast("double").alias("y"),
+        F.col("event_id").alias("id"), F.floor(F.col("event_id") / 100).alias("image_id"), F.col("event_type").alias("category"), (F.col("event_id") % 16).cast("double").alias("x"), (F.col("event_id") * 7 % 16).cast("double").alias("y"),
         (24 + F.col("event_id") % 5).cast("double").alias("w"), (24 + F.col("event_id") % 7).cast("double").alias("h"), (F.least("value", F.lit(200.0)) / 200).alias("score"), (F.col("event_id") % 3 == 0).alias("is_gt"),
     )
     return rows.where("is_gt").drop("is_gt", "score"), rows.where("not is_gt").drop("is_gt")
@@ -23,7 +23,7 @@ def _sides(spark, d):
 
 def _finer(spark, d):
     """The same in more images, so that a group's arrays stay short."""
-    more = lambda rows: rows.withColumn("image_id", F.col("image_id") * 40 + F.col("id") % 40)
+    more = lambda rows: rows.withColumn("image_id", F.col("image_id") * 20 + F.col("id") % 20)
     a, b = _sides(spark, d)
     return more(a), more(b)
 
@@ -150,7 +150,11 @@ def ev10_tile_merge(spark, d):
 
 
 _IOU = "(greatest(0, least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x)) * greatest(0, least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y))) / (p.w * p.h + g.w * g.h - greatest(0, least(p.x + p.w, g.x + g.w) - greatest(p.x, g.x)) * greatest(0, least(p.y + p.h, g.y + g.h) - greatest(p.y, g.y)))"
-_FINE = f"{SQL_BOXES}, f AS (SELECT * REPLACE (image_id * 40 + id % 40 AS image_id) FROM b)"
+_SIDE = lambda q, o, c: f"greatest(0, least({q}.{o} + {q}.{c}, g.{o} + g.{c}) - greatest({q}.{o}, g.{o}))"
+_AREA = lambda q: f"(greatest(0, {q}.w) * greatest(0, {q}.h))"
+_COMMON = f"({_SIDE('p', 'x', 'w')} * {_SIDE('p', 'y', 'h')})"
+_IOU_CORNERS = f"({_COMMON} / nullif({_AREA('p')} + {_AREA('g')} - {_COMMON}, 0))"
+_FINE = f"{SQL_BOXES}, f AS (SELECT * REPLACE (image_id * 20 + id % 20 AS image_id) FROM b)"
 
 
 def _sql_match(keys: str) -> str:
@@ -177,14 +181,14 @@ per AS (SELECT n.category, t.confidence, CAST(coalesce(sum(tp), 0) AS BIGINT) AS
 k AS (SELECT category, confidence, tp, fp, n - tp AS fn FROM per UNION ALL SELECT NULL, confidence, CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(n) - sum(tp) AS BIGINT) FROM per GROUP BY confidence), {_SQL_FULL_RATES}"""
 
 
-def _sql_nms(rows: str, overlap: str) -> str:
+def _sql_nms(rows: str, overlap: str, kind: str = "DOUBLE") -> str:
     return f"""{_FINE}, q0 AS ({rows}), q AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, id) AS rk FROM q0),
 m(image_id, rk, id, stays, kept) AS (
  SELECT image_id, 0::BIGINT, NULL::BIGINT, FALSE, []::BIGINT[] FROM (SELECT DISTINCT image_id FROM q)
  UNION ALL
  SELECT m.image_id, p.rk, p.id, z.n = 0, CASE WHEN z.n = 0 THEN list_append(m.kept, p.id) ELSE m.kept END
  FROM m JOIN q p ON m.image_id = p.image_id AND p.rk = m.rk + 1
- LEFT JOIN LATERAL (SELECT count(*) AS n FROM q g WHERE g.image_id = p.image_id AND g.category = p.category AND list_contains(m.kept, g.id) AND {_IOU} {overlap}) z ON true)"""
+ LEFT JOIN LATERAL (SELECT count(*) AS n FROM q g WHERE g.image_id = p.image_id AND g.category = p.category AND list_contains(m.kept, g.id) AND coalesce({_IOU_CORNERS}::{kind}, 0) {overlap}::{kind}) z ON true)"""
 
 
 _REVIEW = "r AS (SELECT id, image_id % 400 AS image, score AS confidence, CASE WHEN score >= CASE category WHEN 'click' THEN 0.6 WHEN 'view' THEN 0.3 ELSE 0.5 END THEN 'high_confidence_candidate' ELSE 'review_required' END AS review_status FROM f WHERE NOT is_gt)"
@@ -212,7 +216,7 @@ FROM (SELECT DISTINCT category FROM r2) a LEFT JOIN ok ON a.category IS NOT DIST
  UNION ALL SELECT category, 'background' FROM g WHERE id NOT IN (SELECT target_id FROM m WHERE target_id IS NOT NULL)), n AS (SELECT t, p, count(*) AS n FROM a GROUP BY 1, 2)
 SELECT t AS true_class, p AS predicted_class, n, n / sum(n) OVER (PARTITION BY t) AS share FROM n""",
     "ev2_merge_nms": f"WITH RECURSIVE {_sql_nms('SELECT * FROM f WHERE NOT is_gt', '>= 0.5')} SELECT image_id, id FROM m WHERE stays",
-    "ev3_deployment_nms": f"WITH RECURSIVE {_sql_nms('SELECT * FROM f WHERE NOT is_gt', '> 0.5')} SELECT image_id, id FROM m WHERE stays QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY rk) <= 5",
+    "ev3_deployment_nms": f"WITH RECURSIVE {_sql_nms('SELECT * FROM f WHERE NOT is_gt', '> 0.5', 'FLOAT')} SELECT image_id, id FROM m WHERE stays QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY rk) <= 5",
     "ev10_tile_merge": f"""WITH RECURSIVE {_sql_nms("SELECT id, image_id, category, score, x, y, least(x + w, 48) - x AS w, least(y + h, 48) - y AS h FROM (SELECT * REPLACE (x + (id % 3) * 8 AS x, y + (id % 2) * 8 AS y) FROM f WHERE NOT is_gt) WHERE least(x + w, 48) - x >= 26 AND least(y + h, 48) - y >= 26 AND category <> 'error'", ">= 0.55")} SELECT image_id, id FROM m WHERE stays""",
     "pr22_safe_ratio": "SELECT source, lang, coalesce(count(*) FILTER (doc_id % 7 = 0) / nullif(count(*) FILTER (doc_id % 11 = 0), 0), 0) AS ratio FROM documents GROUP BY 1, 2",
     "pr23_wilson": f"WITH a AS (SELECT source, CAST(sum(quality) AS BIGINT) AS good, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT *, {_WILSON('good', 'n')} AS bound FROM a",

@@ -44,8 +44,10 @@ def pr39_conditional_fields(spark, d):
 
 
 def pr41_scrubbed_json(spark, d):
-    raw = F.to_json(F.struct(F.concat(F.lit("/home/"), F.col("source"), F.lit("/x")).alias("b"), F.array("lang", F.lit("C:\\Users\\me\\y")).alias("a")))
-    return _docs(spark, d).select("doc_id", documents.scrubbed_json(raw).alias("scrubbed"))
+    """Homes, other paths and named strings replaced at any depth, and a key left out."""
+    inner = F.struct(F.lit("see /var/log/x and C:\\data\\y").alias("p"), F.concat(F.lit("by Alice of "), F.col("source")).alias("q"))
+    raw = F.to_json(F.struct(F.concat(F.lit("/home/"), F.col("source"), F.lit("/x")).alias("b"), F.array("lang", F.lit("C:\\Users\\me\\y")).alias("a"), F.array(inner).alias("c"), F.lit("z").alias("secret")))
+    return _docs(spark, d).select("doc_id", documents.scrubbed_json(raw, {"alice": "<NAME>"}, frozenset(["secret"])).alias("scrubbed"))
 
 
 def pr44_ansi(spark, d):
@@ -59,16 +61,17 @@ def sc7_strict_json(spark, d):
 
 
 def hs9_numeric_digest(spark, d):
-    own = documents.numeric_leaves(F.col("props"))
-    line = F.transform(own, lambda x: F.concat_ws("=", x["path"], F.format_number(x["value"], 6)))
-    return table(spark, d, "events").select("event_id", F.sha2(F.array_join(line, "\n"), 256).alias("digest"))
+    """Documents of two numbers and a text; only the numbers count, by their places."""
+    raw = F.to_json(F.struct(F.array(F.col("user_id"), F.col("event_id") % 7).alias("b"), F.struct(F.col("event_id").alias("n"), F.col("event_type").alias("t"), F.lit(True).alias("u")).alias("a")))
+    return table(spark, d, "events").select("event_id", documents.numeric_digest(raw).alias("digest"))
 
 
 def hs2_pixel_hashes(spark, d):
-    """Pages' bytes as pixels of 16 by 16."""
-    raw = F.substring(F.encode(F.rpad("html", 800, "#"), "UTF-8"), 1, 768)
-    rows = table(spark, d, "pages").select("page_id", raw.alias("rgb"), F.substring(raw, 1, 256).alias("gray"))
-    return rows.select("page_id", images.pixel_hash(F.lit(16), F.lit(16), "rgb").alias("sha256_pixels"), images.perceptual_hash(F.lit(16), F.lit(16), "gray").alias("phash64"))
+    """Pages' whole bytes, three to a pixel, as images of one row."""
+    raw = F.encode("html", "UTF-8")
+    size = F.ceil(F.octet_length(raw) / 3).cast("int")
+    rows = table(spark, d, "pages").select("page_id", size.alias("width"), F.concat(raw, F.encode(F.repeat(F.lit("#"), size * 3 - F.octet_length(raw)), "UTF-8")).alias("rgb"))
+    return rows.select("page_id", images.pixel_hash("width", F.lit(1), "rgb").alias("sha256_pixels"))
 
 
 def hs4_json_hash(spark, d):
@@ -276,13 +279,15 @@ QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in _GATED
 
 _CURVE = evaluation._SQL_CURVE
 SQL = {
+    "hs2_pixel_hashes": """WITH p AS (SELECT page_id, html, octet_length(encode(html)) AS n FROM pages) SELECT page_id, sha256(CAST(ceil(n / 3) AS BIGINT) || 'x1:RGB' || html || repeat('#', CAST(ceil(n / 3) * 3 - n AS BIGINT))) AS sha256_pixels FROM p""",
     "pr9_canonical_coco": f"WITH {SQL_BOXES} SELECT id, {', '.join(f'{_DEC(f"({c} + 0.0005::DOUBLE)", 0)} AS {c}' for c in ('x', 'y', 'w', 'h'))} FROM b",
     "pr27_digests": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(source) END AS sha256 FROM documents",
     "pr34_mime": "SELECT page_id, ['image/jpeg', 'image/png', 'image/webp', ''][page_id % 4 + 1] AS mime FROM pages",
     "pr38_attributes": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, FALSE AS occluded FROM events",
     "pr39_conditional_fields": """SELECT 'label_for_de' AS rule, CAST(doc_id AS VARCHAR) AS key FROM documents LEFT JOIN labels USING (doc_id) WHERE lang = 'de' AND quality IS NULL
 UNION ALL SELECT 'long_enough', CAST(doc_id AS VARCHAR) FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars < 20""",
-    "pr41_scrubbed_json": r"""SELECT doc_id, '{"a":["' || lang || '","<USER_HOME>\\y"],"b":"<USER_HOME>/x"}' AS scrubbed FROM documents""",
+    "pr41_scrubbed_json": """SELECT doc_id, '{"a":["' || lang || '","<USER_HOME>\\\\y"],"b":"<USER_HOME>/x","c":[{"p":"see <ABSOLUTE_PATH> and <ABSOLUTE_PATH>","q":"by <NAME> of ' || source || '"}]}' AS scrubbed FROM documents""",
+    "hs9_numeric_digest": """SELECT event_id, sha256('[["a.n",' || event_id || '],["b[0]",' || user_id || '],["b[1]",' || (event_id % 7) || ']]') AS digest FROM events""",
     "pr44_ansi": "SELECT doc_id, lang || ' ' || source AS plain FROM documents",
     "sc7_strict_json": "SELECT event_id, event_id % 4 < 3 AS refused FROM events",
     "hs4_json_hash": """WITH j AS (SELECT n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS j FROM nation)
