@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def perceptual_hash_of(gray: np.ndarray, side: int = 8, factor: int = 4) -> str:
@@ -34,3 +35,59 @@ def pixel_hash(width: pd.Series, height: pd.Series, rgb: pd.Series) -> pd.Series
     """SHA-256 of the size and of three bytes per pixel."""
     one = lambda w, h, x: hashlib.sha256(f"{w}x{h}:RGB".encode() + x).hexdigest() if x is not None else None
     return pd.Series([one(*x) for x in zip(width, height, rgb, strict=True)], dtype=object)
+
+
+# Kinds of a JPEG's segments that hold the size of its picture, and those without a length.
+_JPEG_SIZES = frozenset({*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC})
+_JPEG_BARE = frozenset({0x01, *range(0xD0, 0xD9)})
+
+
+def size_of(content: bytes) -> tuple[str, int, int]:
+    """Format, width and height from a PNG's, JPEG's or WebP's headers; ValueError if there are none."""
+    if content[:8] == b"\x89PNG\r\n\x1a\n":
+        if len(content) < 24 or content[12:16] != b"IHDR":
+            raise ValueError("PNG without a header")
+        return "PNG", *struct.unpack_from(">II", content, 16)
+    if content[:4] == b"RIFF" and content[8:12] == b"WEBP":
+        kind = content[12:16]
+        if kind == b"VP8X" and len(content) >= 30:
+            return "WEBP", 1 + int.from_bytes(content[24:27], "little"), 1 + int.from_bytes(content[27:30], "little")
+        if kind == b"VP8L" and len(content) >= 25:
+            bits = int.from_bytes(content[21:25], "little")
+            return "WEBP", 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        if kind == b"VP8 " and len(content) >= 30:
+            width, height = struct.unpack_from("<HH", content, 26)
+            return "WEBP", width & 0x3FFF, height & 0x3FFF
+        raise ValueError("WebP without a header")
+    if content[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(content) and content[at] == 0xFF:
+            kind = content[at + 1]
+            if kind == 0xFF or kind in _JPEG_BARE:
+                at += 1 if kind == 0xFF else 2
+                continue
+            if kind in _JPEG_SIZES and at + 9 <= len(content):
+                height, width = struct.unpack_from(">HH", content, at + 5)
+                return "JPEG", width, height
+            at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+        raise ValueError("JPEG without a size")
+    raise ValueError("cannot identify image")
+
+
+_HEADER = StructType([StructField("format", StringType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("error", StringType())])
+
+
+@F.pandas_udf(_HEADER)
+def image_header(contents: pd.Series) -> pd.DataFrame:
+    """What size_of gives, or why it gives nothing; nulls for null."""
+
+    def one(content: bytes | None) -> tuple:
+        if content is None:
+            return None, None, None, None
+        try:
+            return *size_of(content), None
+        except ValueError as e:
+            return None, None, None, str(e)
+
+    rows = pd.DataFrame([one(x) for x in contents], columns=["format", "width", "height", "error"])
+    return rows.astype({"width": "Int32", "height": "Int32"})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sievemark.functions.geometry import box, canonical_from_coco, canonical_from_yolo
 from sievemark.operators.compare import multiset_difference
 from sievemark.session import written
+from sievemark.sources import scans
 
 RECORD = ["image_key", "class_name", "x", "y", "w", "h"]
 
@@ -48,6 +49,13 @@ def records_of_yolo(images: DataFrame, labels: DataFrame, names: DataFrame) -> D
     return _records(rows.select("image_key", "class_name", canonical_from_yolo(box(*[f"v{i}" for i in range(4)]), F.col("width"), F.col("height")).alias("bbox")))
 
 
+def records_of_yolo_archives(archives: DataFrame, images: DataFrame, names: DataFrame) -> DataFrame:
+    """The same from ZIP archives (path, content) of label files; an image's key is its label's name without the suffix.
+    Archives with problems (scans.archive_problems) give nothing."""
+    labels = scans.texts_of(archives, ".txt").select(F.regexp_replace(image_key(F.col("member")), r"\.txt$", "").alias("image_key"), "text")
+    return records_of_yolo(images, labels, names)
+
+
 def payload_hash(records: DataFrame) -> DataFrame:
     """One row: records, sha256 over the sorted hashes of all records; equal for equal multisets in any order.
 

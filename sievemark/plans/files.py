@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sievemark.functions import geometry as g
 from sievemark.functions import identity, images, text
 from sievemark.operators import canonical, compare, graph, review
-from sievemark.plans.curation import PATH, SQL_BOXES, _boxes, _coco, _docs
+from sievemark.plans.curation import _DEC, PATH, SQL_BOXES, _boxes, _coco, _docs
 from sievemark.session import shared_folder, table
 from sievemark.sources import scans
 
@@ -178,10 +181,47 @@ def rc17_status(spark, d):
     return o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 100000).alias("large"))
 
 
+def cn4_yolo_archives(spark, d):
+    """Label files of boxes in ZIP archives, ten images to one, as records again."""
+    line = g.yolo_line((F.col("id") % 6).cast("int"), g.box("x", "y", "w", "h"), F.lit(64), F.lit(64))
+    labels = canonical.label_files(_boxes(spark, d).withColumn("line", line), "image_id", "line", "id")
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for name, text_of in sorted(zip(rows["image_id"], rows["text"], strict=True)):
+                z.writestr(f"labels/{name}.txt", text_of)
+        return pd.DataFrame({"path": [f"{rows['archive'].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    archives = labels.withColumn("archive", F.floor(F.col("image_id") / 10)).groupBy("archive").applyInPandas(packed, "path string, content binary")
+    sizes = labels.select(F.col("image_id").cast("string").alias("image_key"), F.lit(64).alias("width"), F.lit(64).alias("height"))
+    names = spark.range(6).select(F.col("id").cast("int").alias("class_id"), F.concat(F.lit("class_"), F.col("id").cast("string")).alias("class_name"))
+    return canonical.records_of_yolo_archives(archives, sizes, names)
+
+
+def sc3_image_headers(spark, d):
+    """Pages as files: PNG, JPEG and WebP headers of sizes by the page, and pages as they are, which are no images."""
+    n, kind = F.length("html"), F.col("page_id") % 4
+    hexed = lambda x, digits: F.lpad(F.hex(x), digits, "0")
+    turned = lambda x: F.concat(F.substring(hexed(x, 6), 5, 2), F.substring(hexed(x, 6), 3, 2), F.substring(hexed(x, 6), 1, 2))
+    w, h = n % 2000 + 1, n % 700 + 1
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(w, 8), hexed(h, 8))
+    jpeg = F.concat(F.lit("FFD8FFE000040000FFC0001108"), hexed(h, 4), hexed(w, 4), F.lit("03"))
+    webp = F.concat(F.lit("524946460000000057454250565038580A00000000000000"), turned(w - 1), turned(h - 1))
+    raw = F.when(kind == 0, F.unhex(png)).when(kind == 1, F.unhex(jpeg)).when(kind == 2, F.unhex(webp)).otherwise(F.encode("html", "UTF-8"))
+    rows = table(spark, d, "pages").select("page_id", images.image_header(raw).alias("x")).select("page_id", "x.*")
+    flags = F.when(F.col("error").isNull(), text.quality_flags(F.col("width"), F.col("height"), F.lit("page")))
+    return rows.withColumn("quality_flags", flags)
+
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("sc", "sk", "pr", "jn", "hs", "gr", "cn", "rc") and k[2].isdigit()}
 
 _BROKEN = "CASE doc_id % 40 WHEN 1 THEN 'unsafe_path' WHEN 2 THEN 'unsafe_path' WHEN 3 THEN 'ratio_too_high' WHEN 4 THEN 'invalid_packed_size' WHEN 5 THEN 'encrypted' WHEN 6 THEN 'link' END"
 SQL = {
+    "cn4_yolo_archives": f"""WITH {SQL_BOXES} SELECT CAST(image_id AS VARCHAR) AS image_key, 'class_' || (id % 6) AS class_name, {', '.join(f"{_DEC(c, 0)} AS {c}" for c in ("x", "y", "w", "h"))} FROM b""",
+    "sc3_image_headers": """WITH p AS (SELECT page_id, length(html) % 2000 + 1 AS w, length(html) % 700 + 1 AS h, page_id % 4 AS k FROM pages)
+SELECT page_id, ['PNG', 'JPEG', 'WEBP', NULL][k + 1] AS format, CASE WHEN k < 3 THEN w END AS width, CASE WHEN k < 3 THEN h END AS height, CASE WHEN k = 3 THEN 'cannot identify image' END AS error,
+ CASE WHEN k < 3 THEN array_to_string(list_filter([CASE WHEN w < 640 THEN 'LOW_WIDTH' END, CASE WHEN h < 480 THEN 'LOW_HEIGHT' END, CASE WHEN greatest(w, h) > 4.0 * least(w, h) THEN 'EXTREME_ASPECT_RATIO' END], lambda x: x IS NOT NULL), '|') END AS quality_flags FROM p""",
     "sc1_image_scan": "SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' || ['.JPG', '.png', '.txt', '.webp', '.csv'][doc_id % 5 + 1] AS path FROM documents WHERE doc_id % 5 IN (0, 1, 3)",
     "sc4_csv_index": 'SELECT p_name AS "Image", p_partkey, p_size, p_retailprice FROM part',
     "sc5_json_lines": "SELECT event_id, event_type FROM events WHERE event_id % 6 > 1",

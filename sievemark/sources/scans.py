@@ -7,11 +7,13 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sievemark.functions.text import is_image, sniffed_mime
+from sievemark.functions.images import image_header
+from sievemark.functions.text import class_of_path, is_image, quality_flags, sniffed_mime, source_of_path, split_of_path
 
 # What an archive may hold.
 MOST_MEMBERS = 20_000
@@ -27,6 +29,22 @@ def image_files(spark: SparkSession, folder: str, content: bool = True) -> DataF
     return rows.select("path", "length", "sha256", "mime", *["content"] * content)
 
 
+def inspected_images(spark: SparkSession, folder: str, classes: list[str], default_class: str | None = None, least_width: int = 640, least_height: int = 480) -> DataFrame:
+    """relative_path, class_name, source, split, bytes, sha256_file, format, width, height, decode_ok, quality_flags, error
+    of all image files below a folder: sizes come from the files' headers, and a file without one is a row with its error."""
+    root = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    path = F.regexp_replace("path", F.lit("^[a-z]+:/+"), F.lit("/"))
+    base = "/" + folder.split("://")[-1].strip("/") + "/"
+    files = root.where(is_image(F.col("path"))).select(F.substring(path, F.lit(len(base) + 1), F.length("path")).alias("relative_path"), "length", "content")
+    rows = files.withColumns({"head": image_header(F.col("content")), "class_name": class_of_path(F.col("relative_path"), classes, default_class)})
+    good = F.col("head.error").isNull() & (F.col("head.width") > 0) & (F.col("head.height") > 0)
+    flags = F.when(good, quality_flags(F.col("head.width"), F.col("head.height"), F.col("class_name"), least_width, least_height)).otherwise("DECODE_FAILED")
+    return rows.select(
+        "relative_path", "class_name", source_of_path(F.col("relative_path")).alias("source"), split_of_path(F.col("relative_path")).alias("split"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256_file"),
+        "head.format", "head.width", "head.height", good.alias("decode_ok"), flags.alias("quality_flags"), F.when(~good, F.coalesce("head.error", F.lit("no pixels"))).alias("error"),
+    )
+
+
 def csv_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header, typed by a schema; a byte-order mark is no part of the first name, empty values are null."""
     return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path)
@@ -57,24 +75,56 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", (F.col("at") + 1).alias("line"), "value")
 
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member, size, packed, encrypted, link of the files in ZIP archives, one task per archive; error (and no
-    member) where one can't be read."""
+def archives(spark: SparkSession, path: str, most_held: int = 1 << 30) -> DataFrame:
+    """path, content of archives; the content of one of over most_held bytes is null, and tasks open it by its path."""
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > most_held).select("path", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("length") <= most_held).select("path", "content").unionByName(large)
+
+
+def _opened(path: str, content: bytes | None) -> zipfile.ZipFile:
+    if content is not None:
+        return zipfile.ZipFile(io.BytesIO(content))
+    store, name = fs.FileSystem.from_uri(path)
+    return zipfile.ZipFile(store.open_input_file(name))
+
+
+def members_of(found: DataFrame) -> DataFrame:
+    """archive, member, size, packed, encrypted, link of the files in ZIP archives (path, content), one task per archive;
+    error (and no member) where one can't be read."""
 
     def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    for x in zipfile.ZipFile(io.BytesIO(content)).infolist():
+                    for x in _opened(name, content).infolist():
                         if not x.is_dir():
                             out.append((name, x.filename.replace("\\", "/"), x.file_size, x.compress_size, bool(x.flag_bits & 1), (x.external_attr >> 16) & 0o170000 == 0o120000, None))
                 except zipfile.BadZipFile as e:
                     out.append((name, None, None, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["archive", "member", "size", "packed", "encrypted", "link", "error"]).astype({"size": "Int64", "packed": "Int64", "encrypted": "boolean", "link": "boolean"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(listing, "archive string, member string, size long, packed long, encrypted boolean, link boolean, error string")
+    return found.select("path", "content").mapInPandas(listing, "archive string, member string, size long, packed long, encrypted boolean, link boolean, error string")
+
+
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    return members_of(archives(spark, path))
+
+
+def texts_of(found: DataFrame, suffix: str) -> DataFrame:
+    """archive, member, text of members with that suffix (UTF-8), of the archives (path, content) without problems."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                with _opened(name, content) as own:
+                    for x in own.infolist():
+                        if not x.is_dir() and x.filename.lower().endswith(suffix):
+                            yield pd.DataFrame({"archive": [name], "member": [x.filename.replace("\\", "/")], "text": [own.read(x).decode()]})
+
+    bad = archive_problems(members_of(found)).select(F.col("archive").alias("path")).distinct()
+    return found.join(bad, "path", "left_anti").select("path", "content").mapInPandas(read, "archive string, member string, text string")
 
 
 def archive_problems(members: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 import json
+import struct
 import zipfile
 
 import pytest
 from pyspark.errors import AnalysisException
 
+from sievemark.functions import images
 from sievemark.sources import scans
 
 
@@ -48,3 +50,36 @@ def test_sinks(spark, tmp_path):
     scans.write_ordered_csv(df.selectExpr("id", "id * 2 as twice"), str(tmp_path / "c"), ["twice", "id"], ["id"])
     lines = [x for p in sorted((tmp_path / "c").glob("part-*")) for x in p.read_text().splitlines() if x != "twice,id"]
     assert lines == [f"{2 * i},{i}" for i in range(30)]
+
+
+def test_sizes_from_headers():
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480)
+    jpeg = b"\xff\xd8" + b"\xff\xe0\x00\x04ab" + b"\xff\xff\xc4\x00\x03x" + b"\xff\xc2\x00\x0b\x08" + struct.pack(">HH", 7, 9) + b"\x01"
+    lossless = b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + struct.pack("<I", 99 | 49 << 14)
+    lossy = b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 320, 200)
+    assert [images.size_of(x) for x in (png, jpeg, lossless, lossy)] == [("PNG", 640, 480), ("JPEG", 9, 7), ("WEBP", 100, 50), ("WEBP", 320, 200)]
+    for bad in (b"", b"GIF89a", png[:20], b"\xff\xd8\xff\xd9", jpeg[:14], lossy[:20]):
+        with pytest.raises(ValueError):
+            images.size_of(bad)
+
+
+def test_inspected_images(spark, tmp_path):
+    png = lambda w, h: b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h)
+    for name, data in (("train/sbc/a.png", png(640, 480)), ("web/other/b.png", png(3000, 100)), ("c.jpg", b"no image"), ("d.txt", b"x")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = {r.relative_path: r for r in scans.inspected_images(spark, str(tmp_path), ["sbc"]).collect()}
+    assert set(rows) == {"train/sbc/a.png", "web/other/b.png", "c.jpg"}
+    a, b, c = (rows[x] for x in ("train/sbc/a.png", "web/other/b.png", "c.jpg"))
+    assert (a.class_name, a.source, a.split, a.width, a.height, a.format, a.decode_ok, a.quality_flags, a.error) == ("sbc", "train", "train", 640, 480, "PNG", True, "", None)
+    assert (b.class_name, b.quality_flags, b.decode_ok) == ("UNASSIGNED", "LOW_HEIGHT|EXTREME_ASPECT_RATIO|UNASSIGNED_CLASS", True)
+    assert (c.decode_ok, c.quality_flags, c.error, c.width, c.source) == (False, "DECODE_FAILED", "cannot identify image", None, "local")
+
+
+def test_archives_opened_by_path(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("labels/1.txt", "0 0.5 0.5 0.25 0.25\n")
+        z.writestr("labels/2.TXT", "")
+    found = scans.archives(spark, str(tmp_path), most_held=1)
+    assert found.where("content is null").count() == 1
+    assert sorted((r.member, r.text) for r in scans.texts_of(found, ".txt").collect()) == [("labels/1.txt", "0 0.5 0.5 0.25 0.25\n"), ("labels/2.TXT", "")]
