@@ -195,6 +195,8 @@ def join(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """One row, with all its columns, of each component, and every row without words (repeated rows once)."""
-    kept = linked(docs).where(F.col("row") == F.col("kept_row")).select(F.col("row").alias("__row")).distinct()
-    return docs.withColumn("__row", _row_key()).join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    """One row, with all its columns, whatever their names, of each component (that of the smallest doc_id, nulls last), and
+    every row without words. Rows of equal doc_id and text stay once."""
+    kept = linked(docs).where(F.col("row") == F.col("kept_row")).select("row").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), _row_key().alias("row"))
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*[F.col("own")[c].alias(c) for c in docs.columns])
