@@ -166,11 +166,16 @@ def read_records(index: DataFrame, task_bytes: int = 32 << 20) -> DataFrame:
     small_batches(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[str, list[tuple[int, int, int]]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 store, _ = fs.FileSystem.from_uri(row["folder"])
                 with store.open_input_file(row["bundle"]) as f:
-                    start, packed, unpacked = read_seek_table(f)[row["frame"]]
+                    if row["bundle"] not in tables:  # a task reads a bundle's table once, and holds those of a few
+                        if len(tables) >= 64:
+                            tables.clear()
+                        tables[row["bundle"]] = read_seek_table(f)
+                    start, packed, unpacked = tables[row["bundle"]][row["frame"]]
                     f.seek(start)
                     frame = zstandard.ZstdDecompressor().decompress(f.read(packed), max_output_size=unpacked)
                 out = []
