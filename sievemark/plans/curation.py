@@ -12,8 +12,9 @@ from sievemark.session import table
 
 # Projections of the test tables onto files, hashes and groups; the same in SQL below.
 PATH = "concat(source, '/', lang, '/', cast(doc_id as string), '.txt')"
-SQL_HASH = "CAST(('0x' || substr(sha256(text), 1, 5)) AS BIGINT)"
-BITS, MOST = 20, 2
+# A 64-bit hash that up to 16 documents share but for six bits or fewer.
+SQL_HASH = "xor(xor(xor(CAST('0x' || substr(md5(CAST(doc_id // 16 AS VARCHAR)), 1, 16) AS HUGEINT), 1::HUGEINT << CAST(doc_id % 16 AS INTEGER)), 1::HUGEINT << CAST(16 + doc_id % 7 AS INTEGER)), 1::HUGEINT << CAST(40 + doc_id % 24 AS INTEGER))"
+BITS, MOST = 64, 4
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +24,10 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 def _hashed(spark: SparkSession, d: str) -> DataFrame:
     """id, hash (BITS bits), pixels."""
     digest = identity.sha256_text(F.col("text"))
-    return _docs(spark, d).select(F.col("doc_id").alias("id"), identity.hash64(F.concat(F.lit("00000000000"), F.substring(digest, 1, 5))).alias("hash"), digest.alias("pixels"))
+    shared = identity.hash64(F.substring(F.md5(F.floor(F.col("doc_id") / 16).cast("string")), 1, 16))
+    flipped = [F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int")) for x in (F.col("doc_id") % 16, 16 + F.col("doc_id") % 7, 40 + F.col("doc_id") % 24)]
+    own = shared.bitwiseXOR(flipped[0]).bitwiseXOR(flipped[1]).bitwiseXOR(flipped[2])
+    return _docs(spark, d).select(F.col("doc_id").alias("id"), own.alias("hash"), digest.alias("pixels"))
 
 
 _SQL_HASHED = f"h AS (SELECT doc_id AS id, {SQL_HASH} AS hash, sha256(text) AS pixels FROM documents)"
