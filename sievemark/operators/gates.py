@@ -39,6 +39,8 @@ SMOKE_STAGE = "smoke_not_comparable"
 # States of a pending run, of a reviewed image, and of a threshold's origin.
 PENDING_STATE, PENDING_ROLE = "PENDING_HUMAN_REVIEW", "unlabeled_train"
 KEPT_DISPOSITIONS, EMPTY_DISPOSITION, REJECTED = ("approved", "corrected"), "confirmed_empty", "rejected"
+DRAFT, REVIEW_STATE = "DRAFT_REQUIRES_HUMAN_REVIEW", "PENDING_HUMAN_REVIEW"
+COLLECTED, COLLECTED_USE, COLLECTOR_SCHEMA = "ACCEPTED", "PROHIBITED_PENDING_HUMAN_REVIEW", 2
 VALIDATION_STATE, TEST_STATE, TEST_USE = "VALIDATION_DERIVED_CANDIDATE", "NOT_FOR_THRESHOLD_SELECTION", "diagnostic_metrics_only"
 
 
@@ -213,3 +215,67 @@ def evaluation_problems(evaluations: DataFrame, deployment: dict, artifacts: Dat
     counted = evaluations.select("split", "image_count").join(images, "split", "left").fillna(0, ["n", "generated"])
     more = [("image_count", F.col("n") == F.col("image_count"), F.col("image_count"), F.col("n")), ("generated_images", F.col("generated") == 0, F.lit("0"), F.col("generated"))]
     return _broken(evaluations, ["split"], rules).unionByName(broken).unionByName(_broken(counted, ["split"], more))
+
+
+def proposal_problems(head: DataFrame, proposals: DataFrame, eligible: DataFrame, class_name: str, ontology_sha256: str) -> DataFrame:
+    """field, key, expected, actual: why proposed boxes of a seed can't be used. head (one row): status, class_name,
+    ontology_sha256, human_review_completed, ground_truth, training_use_allowed; proposals: source_page_id, leakage_group_id, bbox
+    (array of whole numbers), attributes (map of booleans), review_state; eligible: source_page_id, leakage_group_id, width, height."""
+    rules = [("status", F.col("status") == DRAFT, F.lit(DRAFT), F.col("status")), ("class_name", F.col("class_name") == class_name, F.lit(class_name), F.col("class_name"))]
+    rules.append(("ontology_sha256", text.sha256_or_null(F.col("ontology_sha256")).eqNullSafe(F.lit(ontology_sha256)), F.lit(ontology_sha256), F.col("ontology_sha256")))
+    rules += [(f, F.col(f).eqNullSafe(F.lit(False)), F.lit("false"), F.col(f)) for f in ("human_review_completed", "ground_truth", "training_use_allowed")]
+    parts = [_broken(head, [], rules).select("field", F.lit("proposal").alias("key"), "expected", "actual")]
+    page = eligible.select("source_page_id", F.col("leakage_group_id").alias("group"), "width", "height")
+    rows = proposals.join(page, "source_page_id").withColumn("key", F.col("source_page_id").cast("string"))
+    x, y, w, h = (F.get("bbox", i) for i in range(4))
+    four = F.size("bbox") == 4
+    each = [("leakage_group_id", F.col("leakage_group_id") == F.col("group"), F.col("group"), F.col("leakage_group_id"))]
+    each.append(("bbox", four & (x >= 0) & (y >= 0), F.lit("four whole numbers"), F.array_join("bbox", ",")))
+    each.append(("positive_area", four & (w > 0) & (h > 0), F.lit("> 0"), F.array_join("bbox", ",")))
+    each.append(("inside", four & (x + w <= F.col("width")) & (y + h <= F.col("height")), F.concat_ws("x", "width", "height"), F.array_join("bbox", ",")))
+    names = F.array_sort(F.map_keys("attributes"))
+    each.append(("attributes", (names == F.array(F.lit("occluded"), F.lit("truncated"))) & F.forall(F.map_values("attributes"), lambda v: v.isNotNull()), F.lit("occluded,truncated"), F.array_join(names, ",")))
+    each.append(("review_state", F.col("review_state") == REVIEW_STATE, F.lit(REVIEW_STATE), F.col("review_state")))
+    parts.append(_broken(rows, ["key"], each).select("field", "key", "expected", "actual"))
+    again = compare.repeated_values(proposals, "source_page_id")
+    parts.append(again.select(F.lit("repeated_page").alias("field"), F.col("source_page_id").cast("string").alias("key"), F.lit("1").alias("expected"), F.col("n").cast("string").alias("actual")))
+    gaps = compare.set_difference(eligible, proposals, "source_page_id").where("source_page_id is not null")
+    parts.append(gaps.select(F.concat(F.col("problem"), F.lit("_page")).alias("field"), F.col("source_page_id").cast("string").alias("key"), F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def calibration_thresholds(by_class: DataFrame, overall: DataFrame) -> DataFrame:
+    """class_name, threshold, problem (null: usable): thresholds of classes (category_name, confidence) and of all, as
+    __global__ (overall: confidence). Rows without a confidence give none; a class may have one only, from 0 to 1."""
+    own = by_class.where("confidence is not null").select(F.col("category_name").alias("class_name"), F.col("confidence").cast("double").alias("threshold"))
+    rows = own.unionByName(overall.where("confidence is not null").select(F.lit("__global__").alias("class_name"), F.col("confidence").cast("double").alias("threshold")))
+    n = rows.groupBy(F.col("class_name").alias("name")).agg(F.count("*").alias("n"))
+    named = rows.join(n, F.col("class_name").eqNullSafe(F.col("name")))
+    why = F.when(F.coalesce("class_name", F.lit("")) == "", "invalid_category").when(F.col("n") > 1, "repeated_category").when(F.isnan("threshold") | ~F.col("threshold").between(0, 1), "out_of_range")
+    return named.select("class_name", "threshold", why.alias("problem"))
+
+
+def resume_problems(records: DataFrame, files: DataFrame, class_name: str) -> DataFrame:
+    """field, key: why a collection can't go on. records: source_page_id, relative_path, sha256, bytes, status, class_name,
+    qa_status, schema_version, and of the present schema config_sha256, metadata_sha256, revision_id, image_timestamp (text),
+    source_sha1, license, license_url, usage_terms, artist, credit, training_eligibility; files: relative_path, sha256, bytes."""
+    digest = lambda c: text.sha256_or_null(F.col(c)).isNotNull()
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    old, none = F.coalesce("schema_version", F.lit(1)) < COLLECTOR_SCHEMA, F.lit(None)
+    rules = [("status", F.col("status") == COLLECTED), ("class_name", F.col("class_name") == class_name), ("qa_status", F.col("qa_status") == REVIEW_STATE), ("page_id", F.col("source_page_id") > 0)]
+    rules += [("sha256", digest("sha256")), ("newer_schema", F.coalesce("schema_version", F.lit(1)) <= COLLECTOR_SCHEMA), ("safe_path", text.is_safe_relative_path(F.col("relative_path")))]
+    now = [("config_hash", digest("config_sha256")), ("metadata_hash", digest("metadata_sha256")), ("page_revision", F.col("revision_id") > 0), ("image_timestamp", text.utc_or_null(F.col("image_timestamp")).isNotNull())]
+    now += [("source_sha1", F.col("source_sha1").rlike("^[0-9a-f]{40}$")), ("license_metadata", ~blank("license") & ~blank("license_url") & ~blank("usage_terms") & ~(blank("artist") & blank("credit")))]
+    now += [("license_url", F.col("license_url").rlike("^https?://[^/]+")), ("training_eligibility", F.col("training_eligibility") == COLLECTED_USE)]
+    rules += [(f, old | ok) for f, ok in now]
+    keyed = records.withColumn("key", F.coalesce("relative_path", F.lit("")))
+    parts = [_broken(keyed, ["key"], [(f, ok, none, none) for f, ok in rules]).select("field", "key")]
+    for c, rows in (("source_page_id", records), ("sha256", records.withColumn("sha256", F.lower("sha256"))), ("relative_path", records)):
+        again = compare.repeated_values(rows.where(F.col(c).isNotNull()), c)
+        parts.append(again.select(F.lit(f"repeated_{c}").alias("field"), F.col(c).cast("string").alias("key")))
+    found = files.select("relative_path", F.col("sha256").alias("found"), F.col("bytes").alias("size"))
+    both = records.join(found, "relative_path", "left")
+    why = F.when(F.col("found").isNull(), "file_missing").when(F.lower("sha256") != F.col("found"), "hash_mismatch").when(F.col("bytes") != F.col("size"), "size_mismatch")
+    parts.append(both.select(why.alias("field"), F.col("relative_path").alias("key")).where("field is not null and key is not null"))
+    parts.append(files.join(records, "relative_path", "left_anti").select(F.lit("unmanifested_file").alias("field"), F.col("relative_path").alias("key")))
+    return reduce(DataFrame.unionByName, parts)

@@ -82,6 +82,45 @@ def rc14_threshold_problems(spark, d):
     return gates.threshold_problems(rows).groupBy("split", "field").agg(F.count("*").alias("n"))
 
 
+def cn15_proposal_problems(spark, d):
+    """A proposal for most pages and some twice; its boxes, groups and states come from the pages."""
+    n = F.length("html")
+    eligible = table(spark, d, "pages").select(F.col("page_id").alias("source_page_id"), F.concat(F.lit("g"), (F.col("page_id") % 9).cast("string")).alias("leakage_group_id"), (n % 60 + 20).alias("width"), (n % 50 + 20).alias("height"), n.alias("n")).where("n % 12 <> 0")
+    made = table(spark, d, "pages").select(F.col("page_id").alias("source_page_id"), F.length("html").alias("n")).where("n % 7 <> 0")
+    made = made.unionByName(made.where("n % 15 = 0"))
+    bbox = F.when(F.col("n") % 8 == 0, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.col("n") % 30 - 1, F.col("n") % 20, F.col("n") % 25, F.lit(10)))
+    marks = F.when(F.col("n") % 5 == 0, F.create_map(F.lit("occluded"), F.lit(True))).otherwise(F.create_map(F.lit("truncated"), F.when(F.col("n") % 11 > 0, True), F.lit("occluded"), F.lit(False)))
+    state = F.when(F.col("n") % 6 == 0, "REVIEWED").otherwise(gates.REVIEW_STATE)
+    made = made.select("source_page_id", F.concat(F.lit("g"), ((F.col("source_page_id") + (F.col("n") % 10 == 0).cast("int")) % 9).cast("string")).alias("leakage_group_id"), bbox.alias("bbox"), marks.alias("attributes"), state.alias("review_state"))
+    head = spark.range(1).select(F.lit(gates.DRAFT).alias("status"), F.lit("other").alias("class_name"), F.lit(ONTOLOGY).alias("ontology_sha256"), F.lit(False).alias("human_review_completed"), F.lit(True).alias("ground_truth"), F.lit(None).cast("boolean").alias("training_use_allowed"))
+    return gates.proposal_problems(head, made, eligible, "board", ONTOLOGY).select("field", "key")
+
+
+def cn19_thresholds(spark, d):
+    """A class for each source of documents, some without a figure, twice or out of range, and one for all."""
+    rows = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.avg("n_chars").alias("m"))
+    by_class = rows.select(F.when(F.col("n") % 7 > 0, F.col("source")).otherwise("").alias("category_name"), F.when(F.col("n") % 3 > 0, F.col("m") / 4000).alias("confidence"))
+    return gates.calibration_thresholds(by_class.unionByName(by_class.limit(0)), rows.agg((F.min("m") / 10_000).alias("confidence")))
+
+
+def cn20_resume_problems(spark, d):
+    """Records of pages and the files that are there."""
+    n = F.length("html")
+    p = table(spark, d, "pages").where("html is not null").select("page_id", n.alias("n"), F.sha2(F.encode("html", "UTF-8"), 256).alias("h"), F.sha1(F.encode("html", "UTF-8")).alias("s"), F.octet_length(F.encode("html", "UTF-8")).alias("b"))
+    at = lambda k, bad, good: F.when(F.col("n") % k == 0, bad).otherwise(good)
+    path = F.concat(F.lit("board/"), (F.col("n") % 3000).cast("string"), F.lit(".jpg"))
+    records = p.select(
+        (F.col("n") % 4000).alias("source_page_id"), path.alias("relative_path"), at(9, F.lit("x"), F.upper("h")).alias("sha256"), at(10, F.col("b") + 1, F.col("b")).alias("bytes"), at(11, F.lit("NEW"), F.lit(gates.COLLECTED)).alias("status"),
+        at(13, F.lit("other"), F.lit("board")).alias("class_name"), at(14, F.lit(None), F.lit(gates.REVIEW_STATE)).alias("qa_status"), at(4, F.lit(1), at(33, F.lit(3), F.lit(2))).alias("schema_version"), F.col("h").alias("config_sha256"),
+        at(15, F.lit(None), F.col("h")).alias("metadata_sha256"), (F.col("n") % 16).alias("revision_id"), at(17, F.lit("2024-13-01T00:00:00Z"), F.lit("2024-01-01T00:00:00Z")).alias("image_timestamp"), at(18, F.upper("s"), F.col("s")).alias("source_sha1"),
+        F.lit("CC0").alias("license"), at(19, F.lit("ftp://x"), F.lit("https://x.org/y")).alias("license_url"), F.lit("free").alias("usage_terms"), at(20, F.lit(" "), F.lit("a")).alias("artist"), F.lit(None).cast("string").alias("credit"),
+        at(21, F.lit("ALLOWED"), F.lit(gates.COLLECTED_USE)).alias("training_eligibility"),
+    )
+    files = p.where("n % 22 <> 0").groupBy(path.alias("relative_path")).agg(F.min("h").alias("sha256"), F.min("b").alias("bytes"))
+    files = files.unionByName(p.where("n % 23 = 0").select(F.concat(F.lit("board/new"), F.col("page_id").cast("string")).alias("relative_path"), F.col("h").alias("sha256"), F.col("b").alias("bytes")))
+    return gates.resume_problems(records, files, "board").groupBy("field").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("rc", "cn") and k[2].isdigit()}
 
 _FIELDS = ["epochs", "batch", "amp", "test_sha256"]
@@ -99,6 +138,28 @@ x AS (SELECT page_id AS id, path, width, CASE WHEN n % 10 = 0 THEN 0 ELSE height
 a AS (SELECT user_id * 3 AS image_id, event_id FROM events)"""
 
 SQL = {
+    "cn15_proposal_problems": """WITH e AS (SELECT page_id AS id, 'g' || (page_id % 9) AS grp, length(html) % 60 + 20 AS width, length(html) % 50 + 20 AS height FROM pages WHERE length(html) % 12 <> 0),
+m0 AS (SELECT page_id AS id, length(html) AS n FROM pages WHERE length(html) % 7 <> 0), m AS (SELECT *, 'g' || ((id + CASE WHEN n % 10 = 0 THEN 1 ELSE 0 END) % 9) AS own, n % 30 - 1 AS x, n % 20 AS y, n % 25 AS w, 10 AS h, n % 8 <> 0 AS four FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m0 WHERE n % 15 = 0)),
+j AS (SELECT m.*, e.grp, e.width, e.height FROM m JOIN e USING (id))
+SELECT unnest(['class_name', 'ground_truth', 'training_use_allowed']) AS field, 'proposal' AS key
+UNION ALL SELECT 'leakage_group_id', id::VARCHAR FROM j WHERE own <> grp UNION ALL SELECT 'bbox', id::VARCHAR FROM j WHERE NOT four OR x < 0
+UNION ALL SELECT 'positive_area', id::VARCHAR FROM j WHERE NOT four OR w <= 0 UNION ALL SELECT 'inside', id::VARCHAR FROM j WHERE NOT four OR x + w > width OR y + h > height
+UNION ALL SELECT 'attributes', id::VARCHAR FROM j WHERE n % 5 = 0 OR n % 11 = 0 UNION ALL SELECT 'review_state', id::VARCHAR FROM j WHERE n % 6 = 0
+UNION ALL SELECT 'repeated_page', id::VARCHAR FROM m GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'missing_page', id::VARCHAR FROM e WHERE id NOT IN (SELECT id FROM m) UNION ALL SELECT DISTINCT 'unexpected_page', id::VARCHAR FROM m WHERE id NOT IN (SELECT id FROM e)""",
+    "cn19_thresholds": """WITH r AS (SELECT source, count(*) AS n, avg(n_chars) AS m FROM documents GROUP BY 1), t AS (SELECT CASE WHEN n % 7 > 0 THEN source ELSE '' END AS class_name, m / 4000 AS threshold FROM r WHERE n % 3 > 0 UNION ALL SELECT '__global__', min(m) / 10000 FROM r HAVING min(m) IS NOT NULL)
+SELECT class_name, threshold, CASE WHEN class_name = '' THEN 'invalid_category' WHEN count(*) OVER (PARTITION BY class_name) > 1 THEN 'repeated_category' WHEN NOT threshold BETWEEN 0 AND 1 THEN 'out_of_range' END AS problem FROM t""",
+    "cn20_resume_problems": """WITH p AS (SELECT page_id, length(html) AS n, sha256(html) AS h, octet_length(encode(html)) AS b, 'board/' || (length(html) % 3000) || '.jpg' AS path FROM pages WHERE html IS NOT NULL),
+r AS (SELECT *, n % 4 = 0 AS old, CASE WHEN n % 9 = 0 THEN 'x' ELSE h END AS sha, CASE WHEN n % 10 = 0 THEN b + 1 ELSE b END AS bytes FROM p),
+f AS (SELECT path, min(h) AS h, min(b) AS b FROM p WHERE n % 22 <> 0 GROUP BY 1 UNION ALL SELECT 'board/new' || page_id, h, b FROM p WHERE n % 23 = 0),
+x AS (SELECT 'status' AS field, path AS key FROM r WHERE n % 11 = 0 UNION ALL SELECT 'class_name', path FROM r WHERE n % 13 = 0 UNION ALL SELECT 'qa_status', path FROM r WHERE n % 14 = 0 UNION ALL SELECT 'page_id', path FROM r WHERE n % 4000 = 0
+UNION ALL SELECT 'sha256', path FROM r WHERE n % 9 = 0 UNION ALL SELECT 'newer_schema', path FROM r WHERE NOT old AND n % 33 = 0 UNION ALL SELECT 'metadata_hash', path FROM r WHERE NOT old AND n % 15 = 0
+UNION ALL SELECT 'page_revision', path FROM r WHERE NOT old AND n % 16 = 0 UNION ALL SELECT 'image_timestamp', path FROM r WHERE NOT old AND n % 17 = 0 UNION ALL SELECT 'source_sha1', path FROM r WHERE NOT old AND n % 18 = 0
+UNION ALL SELECT 'license_metadata', path FROM r WHERE NOT old AND n % 20 = 0 UNION ALL SELECT 'license_url', path FROM r WHERE NOT old AND n % 19 = 0 UNION ALL SELECT 'training_eligibility', path FROM r WHERE NOT old AND n % 21 = 0
+UNION ALL SELECT 'repeated_source_page_id', (n % 4000)::VARCHAR FROM r GROUP BY n % 4000 HAVING count(*) > 1 UNION ALL SELECT 'repeated_sha256', sha FROM r GROUP BY sha HAVING count(*) > 1 UNION ALL SELECT 'repeated_relative_path', path FROM r GROUP BY path HAVING count(*) > 1
+UNION ALL SELECT CASE WHEN f.h IS NULL THEN 'file_missing' WHEN r.sha <> f.h THEN 'hash_mismatch' WHEN r.bytes <> f.b THEN 'size_mismatch' END, r.path FROM r LEFT JOIN f USING (path)
+UNION ALL SELECT 'unmanifested_file', path FROM f WHERE path NOT IN (SELECT path FROM r))
+SELECT field, count(*) AS n, min(key) AS first_key FROM x WHERE field IS NOT NULL GROUP BY 1""",
     "rc2_differing_settings": f"WITH {_SQL_RELEASES} SELECT * FROM q WHERE n_values > 1",
     "rc2_release_blockers": f"""WITH {_SQL_RELEASES}
 SELECT 'run_seed_types' AS field, run_id FROM r WHERE NOT regexp_full_match(seed, '-?[0-9]+')

@@ -121,3 +121,42 @@ def test_formal_evaluations(spark):
     found = {(r.split, r.field) for r in gates.evaluation_problems(spark.createDataFrame(bad, shape), deployment, artifacts, gone).collect()}
     want = {("val", f) for f in ("schema_version", "status", "mode", "framework", "profile", *names, "assignment_sha256", "category_names", "protocol:batch", "protocol:image_size", "image_count")}
     assert found == want | {("test", "artifact:predictions"), ("test", "generated_images")}
+
+
+def test_proposals_cover_eligible_pages(spark):
+    head_type = "status string, class_name string, ontology_sha256 string, human_review_completed boolean, ground_truth boolean, training_use_allowed boolean"
+    head = spark.createDataFrame([(gates.DRAFT, "board", SHA, False, False, False)], head_type)
+    eligible = spark.createDataFrame([(1, "a", 10, 10), (2, "b", 10, 10)], "source_page_id long, leakage_group_id string, width int, height int")
+    shape = "source_page_id long, leakage_group_id string, bbox array<int>, attributes map<string,boolean>, review_state string"
+    marks = {"occluded": True, "truncated": False}
+    good = [(1, "a", [0, 0, 10, 10], marks, gates.REVIEW_STATE), (2, "b", [1, 1, 2, 2], marks, gates.REVIEW_STATE)]
+    assert gates.proposal_problems(head, spark.createDataFrame(good, shape), eligible, "board", SHA).count() == 0
+    bad = [(1, "z", [0, 0, 11, 0], {"occluded": None}, None), (3, "b", [1], marks, gates.REVIEW_STATE), (3, "b", [1], marks, gates.REVIEW_STATE)]
+    bad_head = spark.createDataFrame([("DONE", "x", None, True, None, False)], head_type)
+    found = {(r.field, r.key) for r in gates.proposal_problems(bad_head, spark.createDataFrame(bad, shape), eligible, "board", SHA).collect()}
+    want = {(f, "proposal") for f in ("status", "class_name", "ontology_sha256", "human_review_completed", "ground_truth")}
+    want |= {(f, "1") for f in ("leakage_group_id", "positive_area", "inside", "attributes", "review_state")} | {("repeated_page", "3"), ("missing_page", "2"), ("unexpected_page", "3")}
+    assert found == want
+
+
+def test_calibration_thresholds(spark):
+    rows = [("a", 0.5), ("b", None), ("c", 1.5), ("d", 0.1), ("d", 0.2), (None, 0.3), ("e", float("nan"))]
+    by_class, overall = spark.createDataFrame(rows, "category_name string, confidence double"), spark.createDataFrame([(0.9,)], "confidence double")
+    found = sorted((str(r.class_name), r.problem) for r in gates.calibration_thresholds(by_class, overall).collect())
+    assert found == [("None", "invalid_category"), ("__global__", None), ("a", None), ("c", "out_of_range"), ("d", "repeated_category"), ("d", "repeated_category"), ("e", "out_of_range")]
+
+
+def test_resumed_collections(spark):
+    names = "source_page_id relative_path sha256 bytes status class_name qa_status schema_version config_sha256 metadata_sha256 revision_id image_timestamp source_sha1 license license_url usage_terms artist credit training_eligibility".split()
+    kinds = {"source_page_id": "long", "bytes": "long", "schema_version": "int", "revision_id": "long"}
+    shape = ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names)
+    good = (1, "board/a.jpg", SHA, 5, gates.COLLECTED, "board", gates.REVIEW_STATE, gates.COLLECTOR_SCHEMA, SHA, SHA, 7, "2024-01-31T12:00:00Z", "ab" * 20, "CC0", "https://x.org/y", "free", None, "me", gates.COLLECTED_USE)
+    old = (2, "board/b.jpg", "cd" * 32, None, *good[4:7], None, *[None] * 11)
+    files = spark.createDataFrame([("board/a.jpg", SHA, 5), ("board/b.jpg", "cd" * 32, 9)], "relative_path string, sha256 string, bytes long")
+    assert gates.resume_problems(spark.createDataFrame([good, old], shape), files, "board").count() == 0
+    bad = [dict(zip(names, good, strict=True)) | {"source_page_id": 0, "status": "X", "class_name": "y", "qa_status": None, "sha256": "zz", "config_sha256": None, "metadata_sha256": "q", "revision_id": 0, "image_timestamp": "now", "source_sha1": "AB" * 20, "license": " ", "license_url": "ftp://x", "training_eligibility": "ALLOWED"}]
+    bad += [dict(zip(names, good, strict=True)) | {"relative_path": "../b", "schema_version": 9}, dict(zip(names, good, strict=True)) | {"bytes": 6}]
+    found = {(r.field, r.key) for r in gates.resume_problems(spark.createDataFrame([tuple(x.values()) for x in bad], shape), files, "board").collect()}
+    want = {(f, "board/a.jpg") for f in ("status", "class_name", "qa_status", "page_id", "sha256", "config_hash", "metadata_hash", "page_revision", "image_timestamp", "source_sha1", "license_metadata", "license_url", "training_eligibility", "hash_mismatch", "size_mismatch")}
+    want |= {("newer_schema", "../b"), ("safe_path", "../b"), ("file_missing", "../b"), ("repeated_source_page_id", "1"), ("repeated_sha256", SHA), ("repeated_relative_path", "board/a.jpg"), ("unmanifested_file", "board/b.jpg")}
+    assert found == want
