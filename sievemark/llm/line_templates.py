@@ -223,8 +223,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
 
 
 def with_fresh_lines(docs: DataFrame) -> DataFrame:
-    """docs, with all their columns: text without recurring lines, n_chars its length; rows of which nothing stays go."""
-    rows = without_recurring_lines(docs)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.where(~((F.col("__dropped") > 0) & (F.trim(F.regexp_replace("text", "\\s+", "")) == ""))).select(docs.columns)
+    """docs, with all their columns, whatever their names: text without recurring lines, n_chars its length; rows of which
+    nothing stays go. Null and empty texts stay; repeated rows stay or go together; ties are settled by a hash of the row."""
+    rows = without_recurring_lines(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), "doc_id", "text"))
+    rows = rows.where(~((F.col("__dropped") > 0) & (F.trim(F.regexp_replace("text", "\\s+", "")) == "")))
+    fresh = {"text": F.col("text"), "n_chars": F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("own")["n_chars"]) if "n_chars" in docs.columns else None}
+    return rows.select(*[fresh.get(c, F.col("own")[c]).alias(c) for c in docs.columns])
