@@ -50,13 +50,13 @@ def needed_collisions(size: int, cosine: float, recall: float) -> int:
 
 
 def bucket_plan(most: int, size: int, cosine: float, recall: float) -> tuple[int, int]:
-    """Projections of a bucket, and tables of buckets: so many projections that a bucket of `most` unrelated vectors has
-    few, and so many tables that a pair at the threshold is in one bucket of some table with that probability. A cell is
+    """Projections of a bucket, and tables of buckets: so many projections that few of `most` unrelated vectors share a
+    bucket with another one, and so many tables that a pair at the threshold is in one bucket of some table with that probability. A cell is
     _CELL_SD deviations wide, so such a pair is in one cell with the probability 1 - E|d| / width."""
     p = 1 - math.sqrt(2 / math.pi) / _CELL_SD
     width = _CELL_SD * spread(size, cosine) * math.sqrt(size)  # in deviations of a unit vector's projection
     apart = min(0.9, width / (2 * math.sqrt(math.pi)) or 0.9)
-    depth = max(1, min(size, math.ceil(math.log(max(2, most)) / -math.log(apart))))
+    depth = max(1, min(size, math.ceil(math.log(20 * max(2, most)) / -math.log(apart))))
     return depth, max(1, math.ceil(math.log(1 - recall) / math.log(1 - p**depth)))
 
 
