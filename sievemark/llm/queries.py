@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown, decontam, langid, licenses, line_templates, near_vectors, ngram_join, packing, token_blocks, warc
+from . import brown, decontam, infill, langid, licenses, line_templates, near_vectors, ngram_join, packing, private, token_blocks, warc, whitening
 from .shared import table
 
 
@@ -50,6 +50,18 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.with_digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.report(private.find_private(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_license_scan": op2_license_scan,
@@ -61,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_blocks": op9_token_blocks,
     "op10_line_templates": op10_line_templates,
+    "op11_whitening": op11_whitening,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_private_data": op13_private_data,
 }
 
 # Links l (a < b) to links both ways u, what they reach r, and each node's smallest; from nodes (node).
@@ -101,5 +116,16 @@ l AS (SELECT a, b, k = x.n AND k = y.n AS same FROM p JOIN n x ON x.doc_id = a J
 first AS (SELECT b AS node, min(a) AS class_id FROM l WHERE same GROUP BY 1)
 SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, component_id, doc_id = component_id AS kept
 FROM documents JOIN root ON root.node = doc_id LEFT JOIN links ON links.node = doc_id LEFT JOIN first ON first.node = doc_id
+""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS UBIGINT)) AS r FROM d),
+c AS (
+  SELECT doc_id, t, l, len(l) AS n, least(r[1] % (len(l) + 1), r[2] % (len(l) + 1)) AS a, greatest(r[1] % (len(l) + 1), r[2] % (len(l) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (SELECT *, array_to_string(l[1:a], '') AS x, array_to_string(l[a + 1:b], '') AS m, array_to_string(l[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', x, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', x, '<M>', m) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
 """,
 }
