@@ -1,22 +1,57 @@
-"""Hashes of decoded images. Pixels come as bytes, since no image library is needed to compare them."""
+"""Headers of images, and hashes of their decoded pixels."""
 
 from __future__ import annotations
 
 import hashlib
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from sievemark.functions import png
+
+
+_SHIFT = 22
+
+
+@lru_cache(maxsize=256)
+def _weights(size: int, out: int) -> np.ndarray:
+    """out by size whole numbers of 2 ** -22: a windowed sinc of three lobes, as wide as the image shrinks."""
+    scale = size / out
+    wide = max(scale, 1.0)
+    found = np.zeros((out, size))
+    for i in range(out):
+        centre = (i + 0.5) * scale
+        first, last = max(0, int(centre - 3 * wide + 0.5)), min(size, int(centre + 3 * wide + 0.5))
+        x = (np.arange(first, last) - centre + 0.5) / wide
+        w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        found[i, first:last] = w / w.sum()
+    return np.floor(found * (1 << _SHIFT) + 0.5).astype(np.int64)
+
+
+def resampled(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image in another size: columns first, then rows, each pass rounded to bytes; a pass that changes nothing is left out."""
+    part = lambda sums: np.clip((sums + (1 << (_SHIFT - 1))) >> _SHIFT, 0, 255)
+    out = gray.astype(np.int64)
+    if out.shape[1] != width:
+        out = part(out @ _weights(out.shape[1], width).T)
+    if out.shape[0] != height:
+        out = part(_weights(out.shape[0], height) @ out)
+    return out.astype(np.uint8)
+
+
+def grey(rgb: np.ndarray) -> np.ndarray:
+    """Luma of 299, 587 and 114 thousandths, in 16-bit fractions."""
+    return ((rgb.astype(np.int64) @ np.array([19595, 38470, 7471]) + 0x8000) >> 16).astype(np.uint8)
+
 
 def perceptual_hash_of(gray: np.ndarray, side: int = 8, factor: int = 4) -> str:
     """16 hex digits: which of the lowest side * side cosine coefficients of the shrunk image are over their median."""
     n = side * factor
-    rows, cols = (np.array_split(np.arange(x), min(n, x)) for x in gray.shape)
-    small = np.array([[gray[np.ix_(r, c)].mean() for c in cols] for r in rows])
-    small = small[np.arange(n) * len(rows) // n][:, np.arange(n) * len(cols) // n]
+    small = resampled(gray, n, n).astype(float)
     wave = np.cos(np.pi * (2 * np.arange(n) + 1)[None, :] * np.arange(side)[:, None] / (2 * n))
     low = wave @ small @ wave.T
     bits = (low > np.median(low)).reshape(-1)
@@ -26,7 +61,7 @@ def perceptual_hash_of(gray: np.ndarray, side: int = 8, factor: int = 4) -> str:
 @F.pandas_udf(StringType())
 def perceptual_hash(width: pd.Series, height: pd.Series, gray: pd.Series) -> pd.Series:
     """Of one byte per pixel, row by row; null where the bytes don't fit the size."""
-    one = lambda w, h, g: perceptual_hash_of(np.frombuffer(g, np.uint8).reshape(h, w).astype(float)) if g is not None and w > 0 and h > 0 and len(g) == w * h else None
+    one = lambda w, h, g: perceptual_hash_of(np.frombuffer(g, np.uint8).reshape(h, w)) if g is not None and w > 0 and h > 0 and len(g) == w * h else None
     return pd.Series([one(*x) for x in zip(width, height, gray, strict=True)], dtype=object)
 
 
@@ -91,3 +126,35 @@ def image_header(contents: pd.Series) -> pd.DataFrame:
 
     rows = pd.DataFrame([one(x) for x in contents], columns=["format", "width", "height", "error"])
     return rows.astype({"width": "Int32", "height": "Int32"})
+
+
+_PROBE = StructType([*_HEADER.fields[:3], StructField("mode", StringType()), StructField("sha256_pixels", StringType()), StructField("phash64", StringType()), StructField("error", StringType())])
+#: Formats whose pixels are decoded; of others the headers are read.
+DECODED = ("PNG",)
+
+
+def probed(content: bytes) -> tuple:
+    """Format, width and height (upright), mode, sha256_pixels and phash64; ValueError for what can't be decoded whole."""
+    kind, width, height = size_of(content)
+    if kind not in DECODED:
+        return kind, width, height, None, None, None
+    mode, rgb = png.decode(content)
+    height, width = rgb.shape[:2]
+    digest = hashlib.sha256(f"{width}x{height}:RGB".encode() + rgb.tobytes()).hexdigest()
+    return kind, width, height, mode, digest, perceptual_hash_of(grey(rgb))
+
+
+@F.pandas_udf(_PROBE)
+def image_probe(contents: pd.Series) -> pd.DataFrame:
+    """What probed gives, or why it gives nothing; nulls for null. Images are decoded one at a time."""
+
+    def one(content: bytes | None) -> tuple:
+        if content is None:
+            return (None,) * 7
+        try:
+            return *probed(content), None
+        except ValueError as e:
+            return *(None,) * 6, str(e)
+
+    rows = pd.DataFrame([one(x) for x in contents], columns=_PROBE.names)
+    return rows.astype({"width": "Int32", "height": "Int32"})

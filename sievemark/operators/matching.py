@@ -5,12 +5,17 @@ settled by id: predictions ascending, targets descending."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sievemark.functions.geometry import iou_xywh, iou_xyxy, safe_ratio, wilson_lower, xywh_to_xyxy
+from sievemark.operators import running
+from sievemark.session import written
 
 _BOX = ("x", "y", "w", "h")
 # The status of a chosen threshold, and of none.
@@ -27,14 +32,126 @@ def top_per_image(predictions: DataFrame, most: int) -> DataFrame:
     return predictions.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def _dealt(rows: DataFrame, spread: int) -> DataFrame:
+    """The boxes of rows (x, y, w, h), a row for each cell that they touch: cells are as wide as the power of two over the
+    box's longer side, and as the next `spread` powers. level: that of the cells; own: of the box."""
+    own = F.ceil(F.log2(F.greatest("w", "h")) - 1e-9).cast("int")
+    out = rows.withColumn("own", own).withColumn("level", F.explode(F.sequence("own", F.col("own") + spread)))
+    for c, start, size in (("cell_x", "x", "w"), ("cell_y", "y", "h")):
+        at = lambda v: F.floor(v / F.pow(F.lit(2.0), "level"))
+        out = out.withColumn(c, F.explode(F.sequence(at(F.col(start)), at(F.col(start) + F.col(size)))))
+    return out
+
+
+def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """keys, l and r (structs of the rows' other columns): pairs that share the keys and whose boxes (x, y, w, h as doubles)
+    may overlap by at least `least`, a share of their union above 0; each pair once.
+
+    Boxes that overlap so much have sides whose ratio is at least that share, so a pair is looked for in cells of the larger
+    box's level alone, and kept only in the cell of the upper left corner of what they share. A box touches few cells, so what
+    meets goes with how many boxes lie near one another, not with the square of a group. Boxes without a size or with
+    coordinates that aren't finite overlap nothing."""
+    spread = math.ceil(math.log2(1 / least) + 1e-6)
+    finite = " AND ".join([*(f"abs({c}) < double('infinity')" for c in _BOX), "w > 0", "h > 0"])
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return _dealt(rows.where(finite), spread).select(*keys, "level", "cell_x", "cell_y", F.struct("own", *[c for c in rows.columns if c not in keys]).alias(name))
+
+    both = side(left, "l").join(side(right, "r"), [*keys, "level", "cell_x", "cell_y"])
+    corner = lambda c: F.floor(F.greatest(f"l.{c}", f"r.{c}") / F.pow(F.lit(2.0), "level"))
+    once = (F.greatest("l.own", "r.own") == F.col("level")) & (corner("x") == F.col("cell_x")) & (corner("y") == F.col("cell_y"))
+    return both.where(once).select(*keys, "l", "r")
+
+
 def iou_pairs(targets: DataFrame, predictions: DataFrame, keys: list[str], least: float = 0.0) -> DataFrame:
-    """keys, target_id, prediction_id, iou of the pairs that share the keys and overlap by at least `least`."""
+    """keys, target_id, prediction_id, iou of the pairs that share the keys and overlap by at least `least`. With 0 those are
+    all pairs of a group; above it they come from a grid."""
+    if least > 0:
+        side = lambda rows: rows.select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in _BOX])
+        both = grid_pairs(side(targets), side(predictions), keys, least).select(*keys, F.col("l.id").alias("target_id"), F.col("r.id").alias("prediction_id"), iou_xywh(_parts(F.col("r")), _parts(F.col("l"))).alias("iou"))
+        return both.where(F.col("iou") >= least)
     side = lambda rows, p: rows.select(*keys, F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in _BOX])
     both = side(targets, "target").join(side(predictions, "prediction"), keys)
     boxes = [tuple(F.col(f"{p}_{c}") for c in _BOX) for p in ("prediction", "target")]
     return both.withColumn("iou", iou_xywh(*boxes)).where(F.col("iou") >= least).select(*keys, "target_id", "prediction_id", "iou")
 
 
+#: Groups of more boxes than this are matched and suppressed by rounds over overlapping pairs; smaller ones by a fold of arrays.
+LARGE = 2000
+_ROUNDS = 6
+
+
+def _by_size(keys: list[str], sides: list[DataFrame], large: int) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The rows of groups of up to `large` boxes, and those of larger groups (None if there are none)."""
+    counts = None
+    for rows in sides:
+        own = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+        counts = own if counts is None else counts.unionByName(own)
+    big = written(counts.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") > large).select(*keys), "large")
+    if big.isEmpty():
+        return sides, None
+    return [rows.join(big, keys, "left_anti") for rows in sides], [rows.join(big, keys, "left_semi") for rows in sides]
+
+
+def _settled_pairs(pairs: DataFrame, keys: list[str], rounds: int = _ROUNDS) -> DataFrame:
+    """keys, prediction_id, target_id that greedy matching takes, of candidate pairs (with iou and score).
+
+    As all targets prefer the better prediction, what the greedy order gives is the one stable matching: in each round every
+    prediction asks for the target that it likes best, and every target turns down all that come behind the best one that
+    asked. If after some rounds there still are refusals, as among boxes that are all alike, the pairs left in those groups
+    are settled in order, a group in a task."""
+    wish = F.max(F.struct("iou", "target_id", "score")).alias("b")
+    rank = F.struct((-F.col("score")).alias("s"), F.col("prediction_id").alias("p"))
+    asked = lambda rows: rows.groupBy(*keys, "prediction_id").agg(wish).select(*keys, "prediction_id", "b.target_id", "b.score")
+    pairs, before = written(pairs, "pairs"), None
+    for _ in range(rounds):
+        held = asked(pairs).groupBy(*keys, "target_id").agg(F.min(rank).alias("held"))
+        pairs = written(pairs.join(held, [*keys, "target_id"], "left").where(F.col("held").isNull() | (rank <= F.col("held"))).drop("held"), "pairs")
+        now = pairs.count()
+        if now == before:
+            break
+        before = now
+    first = written(asked(pairs), "asked")
+    twice = first.groupBy(*keys, "target_id").agg(F.count("*").alias("n")).where("n > 1").select(*keys).distinct()
+    rest = pairs.join(twice, keys, "left_semi")
+
+    def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["score", "prediction_id", "iou", "target_id"], ascending=[False, True, False, False])
+        used, seen, kept = set(), set(), []
+        for at, (p, t) in enumerate(zip(rows["prediction_id"], rows["target_id"], strict=True)):
+            if p not in seen and t not in used:
+                seen.add(p)
+                used.add(t)
+                kept.append(at)
+        return rows.iloc[kept][[*keys, "prediction_id", "target_id"]]
+
+    schema = StructType([pairs.schema[c] for c in [*keys, "prediction_id", "target_id"]])
+    return first.join(twice, keys, "left_anti").select(schema.names).unionByName(rest.groupBy(*keys).applyInPandas(in_order, schema))
+
+
+def _large_matches(targets: DataFrame, predictions: DataFrame, keys: list[str], match_iou: float) -> DataFrame:
+    """What matches() gives, for groups of any size."""
+    pairs = iou_pairs(targets, predictions, keys, match_iou)
+    scores = predictions.select(*keys, F.col("id").alias("prediction_id"), F.col("score").cast("double").alias("score"))
+    taken = _settled_pairs(pairs.join(scores, [*keys, "prediction_id"]), keys)
+    kinds = targets.select(*keys, F.col("id").alias("target_id"), F.col("category").alias("target_category")) if "category" not in keys else None
+    taken = taken.withColumn("target_category", F.col("category")) if kinds is None else taken.join(kinds, [*keys, "target_id"])
+    own = predictions.select(*[F.col(c).alias(c) for c in dict.fromkeys([*keys, "category"])], "id", F.col("score").cast("double").alias("score"))
+    joined = own.join(taken.withColumnRenamed("prediction_id", "id"), [*keys, "id"], "left")
+    return joined.withColumn("tp", F.col("target_id").isNotNull().cast("int"))
+
+
+def matches(targets: DataFrame, predictions: DataFrame, keys: list[str], match_iou: float = 0.5, large: int = LARGE) -> DataFrame:
+    """keys, category, id, score, tp, target_id, target_category: a row for each prediction, matched as in greedy_match."""
+    columns = [*dict.fromkeys([*keys, "category"]), "id", "score", "tp", "target_id", "target_category"]
+    if match_iou <= 0:
+        raise ValueError("match_iou must be positive")
+    small, big = _by_size(keys, [targets, predictions], large)
+    folded = greedy_match(*small, keys, match_iou).select(*keys, F.explode("matches").alias("m"))
+    rows = folded.select(*[F.col(c) if c in keys else F.col(f"m.{c}") for c in columns])
+    return rows if big is None else rows.unionByName(_large_matches(*big, keys, match_iou).select(columns))
+
+
 def greedy_match(targets: DataFrame, predictions: DataFrame, keys: list[str], match_iou: float = 0.5) -> DataFrame:
     """keys, n_targets, matches (array of id, score, category, tp, target_id, target_category by falling score): each
     prediction takes the target of its group that it overlaps most and that no better one took, if by match_iou (which
@@ -76,15 +193,15 @@ def greedy_match(targets: DataFrame, predictions: DataFrame, keys: list[str], ma
 
 def outcomes(targets: DataFrame, predictions: DataFrame, match_iou: float = 0.5) -> DataFrame:
     """image_id, category, id, score, tp, target_id: a row for each prediction."""
-    matched = greedy_match(targets, predictions, ["image_id", "category"], match_iou)
-    return matched.select("image_id", "category", F.explode("matches").alias("m")).select("image_id", "category", "m.id", "m.score", "m.tp", "m.target_id")
+    return matches(targets, predictions, ["image_id", "category"], match_iou).drop("target_category")
 
 
 def match_counts(targets: DataFrame, predictions: DataFrame, match_iou: float = 0.5) -> DataFrame:
     """category, tp, fp, fn."""
-    matched = greedy_match(targets, predictions, ["image_id", "category"], match_iou)
-    hits = F.aggregate("matches", F.lit(0).cast("long"), lambda n, m: n + m["tp"])
-    return matched.groupBy("category").agg(F.sum(hits).alias("tp"), F.sum(F.size("matches") - hits).alias("fp"), F.sum(F.col("n_targets") - hits).alias("fn"))
+    found = outcomes(targets, predictions, match_iou).groupBy("category").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
+    both = found.join(targets.groupBy("category").agg(F.count("*").alias("n_targets")), "category", "full")
+    tp, n, total = (F.coalesce(c, F.lit(0).cast("long")) for c in ("tp", "n", "n_targets"))
+    return both.select("category", tp.alias("tp"), (n - tp).alias("fp"), (total - tp).alias("fn"))
 
 
 def rates(counts: DataFrame) -> DataFrame:
@@ -96,12 +213,17 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(targets: DataFrame, predictions: DataFrame, match_iou: float = 0.5, steps: int = 100) -> DataFrame:
-    """category (null: all), confidence, tp, fp, fn and rates at confidences i * (1 / steps).
+    """curve_of the outcomes of a match."""
+    return curve_of(outcomes(targets, predictions, match_iou), targets, steps)
+
+
+def curve_of(found: DataFrame, targets: DataFrame, steps: int = 100) -> DataFrame:
+    """category (null: all), confidence, tp, fp, fn and rates at confidences i * (1 / steps). found: outcomes.
 
     A prediction's match depends on better ones only, so one match serves all thresholds: each outcome falls into the
     last threshold that it reaches, and counts are summed from the top. Groups are categories by thresholds, few."""
     spark = targets.sparkSession
-    found = outcomes(targets, predictions, match_iou).select("category", "score", "tp")
+    found = found.select("category", "score", "tp")
     grid = spark.range(steps + 1).select((F.col("id") * F.lit(1.0 / steps)).alias("confidence"), F.col("id").cast("int").alias("step"))
     # The grid's own values are compared, as i * 0.01 isn't i / 100 for some i.
     near = F.least(F.lit(steps), F.floor(F.col("score") * steps).cast("int") + 1)
@@ -109,7 +231,7 @@ def threshold_sweep(targets: DataFrame, predictions: DataFrame, match_iou: float
     reached = F.when(F.col("score") >= value(near), near).when(F.col("score") >= value(near - 1), near - 1).otherwise(near - 2)
     binned = found.withColumn("step", reached).where("step >= 0").groupBy("category", "step").agg(F.sum("tp").alias("tp"), F.count("*").alias("n"))
     kinds = targets.groupBy("category").agg(F.count("*").alias("n_targets"))
-    categories = kinds.select("category").union(predictions.select("category")).distinct()
+    categories = kinds.select("category").union(found.select("category")).distinct()
     cells = categories.join(F.broadcast(grid)).join(binned, ["category", "step"], "left").join(kinds, "category", "left")
     cells = cells.select("category", "step", "confidence", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "n", "n_targets")])
     total = cells.groupBy("step", "confidence").agg(*[F.sum(c).alias(c) for c in ("tp", "n", "n_targets")])
@@ -140,18 +262,76 @@ def best_f1(curve: DataFrame) -> DataFrame:
 def confusion(targets: DataFrame, predictions: DataFrame, match_iou: float = 0.5, background: str = "background") -> DataFrame:
     """true, predicted, n, share (of the true class): matches within an image whatever the category; what has no match
     stands against the background."""
-    matched = greedy_match(targets, predictions, ["image_id"], match_iou)
-    hits = matched.select(F.explode("matches").alias("m")).select(F.coalesce("m.target_category", F.lit(background)).alias("true"), F.col("m.category").alias("predicted"))
-    used = matched.select("image_id", F.explode("matches").alias("m")).where("m.tp = 1").select("image_id", F.col("m.target_id").alias("id"))
-    missed = targets.join(used, ["image_id", "id"], "left_anti").select(F.col("category").alias("true"), F.lit(background).alias("predicted"))
-    cells = hits.unionByName(missed).groupBy("true", "predicted").agg(F.count("*").alias("n"))
-    return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("true")))
-
-
-def suppress(boxes: DataFrame, iou: float, strict: bool, keys: list[str], most: int | None = None) -> DataFrame:
+    found = matches(targets, predictions, ["image_id"], match_iou)
+    cells = written(found.groupBy(F.col("target_category").alias("true"), F.col("category").alias("predicted")).agg(F.count("*").alias("n")), "cells")
+    took = cells.where("true is not null").groupBy("true").agg(F.sum("n").alias("taken"))
+    all_of = targets.groupBy(F.col("category").alias("true")).agg(F.count("*").alias("total")).join(took, "true", "left")
+    missed = all_of.select("true", F.lit(background).alias("predicted"), (F.col("total") - F.coalesce("taken", F.lit(0))).alias("n")).where("n > 0")
+    rows = cells.withColumn("true", F.coalesce("true", F.lit(background))).unionByName(missed).groupBy("true", "predicted").agg(F.sum("n").alias("n"))
+    return rows.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("true")))
+
+
+def _large_suppressed(boxes: DataFrame, iou: float, strict: bool, keys: list[str], rounds: int = _ROUNDS) -> DataFrame:
+    """keys, id of the boxes that stay, for groups of any size: of the undecided, those that no better one overlaps stay and
+    those that they overlap go, round by round; what is left then is decided in order, a group and category in a task."""
+    kind = "float" if strict else "double"
+    corners = lambda b: xywh_to_xyxy(tuple(x.cast(kind) for x in _parts(b)))
+    own = [*keys, "category"]
+    rows = written(boxes.select(*own, "id", "score", *[F.col(c).cast("double").alias(c) for c in _BOX]), "boxes")
+    # 32 bits may round an overlap up to the limit, so the grid looks a little below it.
+    pairs = grid_pairs(rows, rows, own, min(1.0, iou) * (1 - 1e-5))
+    rank = lambda b: F.struct((-F.col(f"{b}.score")).alias("s"), F.col(f"{b}.id").alias("i"))
+    overlap, limit = iou_xyxy(corners(F.col("l")), corners(F.col("r"))).cast(kind), F.lit(iou).cast(kind)
+    pairs = pairs.where((rank("l") < rank("r")) & ((overlap > limit) if strict else (overlap >= limit)))
+    pairs = written(pairs.select(*own, F.col("l.id").alias("better"), F.col("r.id").alias("worse")), "overlaps")
+    gone = None
+    for _ in range(rounds):
+        if pairs.isEmpty():
+            break
+        worse = pairs.select(*own, F.col("worse").alias("better")).distinct()
+        stay = pairs.select(*own, "better").distinct().join(worse, [*own, "better"], "left_anti")
+        out = written(pairs.join(stay, [*own, "better"], "left_semi").select(*own, F.col("worse").alias("id")).distinct(), "gone")
+        gone = out if gone is None else gone.unionByName(out)
+        left = lambda rows, c: rows.join(out.withColumnRenamed("id", c), [*own, c], "left_anti")
+        pairs = written(left(left(pairs, "better"), "worse"), "overlaps")
+
+    def in_order(x: pd.DataFrame) -> pd.DataFrame:
+        better: dict = {}
+        for b, w in zip(x["better"], x["worse"], strict=True):
+            better.setdefault(w, []).append(b)
+        lost: set = set()
+        for w in x.sort_values("place")["worse"].drop_duplicates():
+            if any(b not in lost for b in better[w]):
+                lost.add(w)
+        return x[x["worse"].isin(lost)].drop_duplicates("worse")[[*own, "worse"]].rename(columns={"worse": "id"})
+
+    if not pairs.isEmpty():
+        scores = rows.select(*own, F.col("id").alias("worse"), "score")
+        order = Window.partitionBy(*own).orderBy(F.desc("score"), "worse")
+        rest = pairs.join(scores, [*own, "worse"]).withColumn("place", F.dense_rank().over(order))
+        out = rest.groupBy(*own).applyInPandas(in_order, StructType([rows.schema[c] for c in [*own, "id"]]))
+        gone = out if gone is None else gone.unionByName(out)
+    kept = rows if gone is None else rows.join(gone, [*own, "id"], "left_anti")
+    return kept.select(*keys, "id", "score")
+
+
+def suppress(boxes: DataFrame, iou: float, strict: bool, keys: list[str], most: int | None = None, large: int = LARGE) -> DataFrame:
     """keys, id of the boxes that stay: by falling score, a box goes if it overlaps one that stayed, of its category, by at
     least `iou` (or more than it, if strict). Overlaps are those of corners, so a box without a size has no area; strict ones
-    are reckoned in 32 bits. A fold over each group's array; most: so many stay, the best."""
+    are reckoned in 32 bits. most: so many stay, the best. A fold over each group's array, or rounds over the overlapping
+    pairs of a large group (ids are unique within one)."""
+    small, big = ([boxes], None) if iou <= 0 else _by_size(keys, [boxes], large)
+    out = _folded_suppressed(small[0], iou, strict, keys, most)
+    if big is None:
+        return out
+    kept = _large_suppressed(big[0], iou, strict, keys)
+    if most:
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
+        kept = kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return out.unionByName(kept.select(*keys, "id"))
+
+
+def _folded_suppressed(boxes: DataFrame, iou: float, strict: bool, keys: list[str], most: int | None) -> DataFrame:
     kind_of = "float" if strict else "double"
     corners = lambda k: xywh_to_xyxy(tuple(x.cast(kind_of) for x in _parts(k)))
     limit = F.lit(iou).cast(kind_of)
@@ -211,29 +391,52 @@ def _coco_matches(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["category", "area", "iou", "score", "id", "place", "tp"]).assign(image_id=rows["image_id"].iloc[0])
 
 
+_BEST_FIRST = [("score", False), ("image_id", True), ("id", True)]
+
+
+def curve_average(hits: DataFrame, totals: DataFrame, own: list[str]) -> DataFrame:
+    """own, ap: the mean at 101 recalls of the best precision at any higher recall, of predictions (own, image_id, id, score,
+    tp) and numbers of targets (n, by some of own). A curve may have any number of predictions: see running."""
+    rows = hits.join(totals, [c for c in totals.columns if c != "n"]).where("n > 0")
+    counted = running.running(running.in_ranges(rows, own, _BEST_FIRST), own, _BEST_FIRST, {"tps": F.col("tp").cast("long"), "seen": F.lit(1).cast("long")})
+    precise = written(counted.withColumn("precision", F.col("tps") / F.col("seen")), "curve")
+    best = running.running(precise, own, _BEST_FIRST, maxima_behind={"best": F.col("precision")})
+    # A recall point takes the first place that reaches it; only hits, and the first place, reach any that none before did.
+    recall, prior = F.col("tps") / F.col("n"), (F.col("tps") - F.col("tp")) / F.col("n")
+    points = F.size(F.filter(F.sequence(F.lit(0), F.lit(100)), lambda i: (i * F.lit(0.01) <= recall) & ((F.col("seen") == 1) | (i * F.lit(0.01) > prior))))
+    return best.where("tp = 1 OR seen = 1").groupBy(*own).agg((F.sum(F.col("best") * points) / 101).alias("ap"))
+
+
 def average_precision(targets: DataFrame, predictions: DataFrame) -> DataFrame:
     """category, area, iou, ap, ar1, ar10, ar100 by the published COCO definition: precision as the best at any higher
     recall, its mean at 101 recalls. Null without targets in the range, 0 without predictions. Images are matched side by
-    side; the curves are windows over each category, area and IoU."""
+    side."""
     side = lambda rows, gt: rows.select("image_id", "category", F.col("id").cast("long"), *[F.col(c).cast("double") for c in _BOX], (F.lit(0.0) if gt else F.col("score").cast("double")).alias("score"), F.lit(gt).alias("is_gt"))
     rows = side(targets, True).unionByName(side(predictions, False))
     image, kind = rows.schema["image_id"].dataType.simpleString(), rows.schema["category"].dataType.simpleString()
-    found = rows.groupBy("image_id").applyInPandas(_coco_matches, f"category {kind}, area string, iou double, score double, id long, place int, tp int, image_id {image}")
+    found = written(rows.groupBy("image_id").applyInPandas(_coco_matches, f"category {kind}, area string, iou double, score double, id long, place int, tp int, image_id {image}"), "hits")
     totals = found.where("place = 0").groupBy("category", "area").agg(F.sum("tp").alias("n"))
     hits = found.where("place > 0")
     own = ["category", "area", "iou"]
-    down = Window.partitionBy(*own).orderBy(F.desc("score"), "image_id", "id")
-    curve = hits.join(totals, ["category", "area"]).where("n > 0")
-    curve = curve.withColumn("tps", F.sum("tp").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("seen", F.row_number().over(down))
-    curve = curve.withColumn("recall", F.col("tps") / F.col("n")).withColumn("precision", F.col("tps") / F.col("seen"))
-    back = Window.partitionBy(*own).orderBy(F.desc("seen")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = curve.withColumn("best", F.max("precision").over(back))
-    # Every recall point takes the first place that reaches it: a place serves those between the recall before and its own.
-    prior = F.coalesce(F.lag("tps").over(Window.partitionBy(*own).orderBy("seen")), F.lit(-1))
-    points = F.size(F.filter(F.sequence(F.lit(0), F.lit(100)), lambda i: (i / 100 <= F.col("recall")) & ((F.col("prior") < 0) | (i / 100 > F.col("prior") / F.col("n")))))
-    sums = curve.withColumn("prior", prior).groupBy(*own).agg(F.sum(F.col("best") * points).alias("sum"))
+    curves = curve_average(hits.drop("place"), totals, own)
     recalls = hits.groupBy(*own).agg(*[F.sum(F.when(F.col("place") <= k, F.col("tp")).otherwise(0)).alias(f"tp{k}") for k in (1, 10, 100)])
     grid = totals.join(F.broadcast(targets.sparkSession.createDataFrame([(t,) for t in AP_IOUS], "iou double")))
-    joined = grid.join(sums, own, "left").join(recalls, own, "left")
+    joined = grid.join(curves, own, "left").join(recalls, own, "left")
     some = lambda c: F.when(F.col("n") > 0, F.coalesce(c, F.lit(0.0)))
-    return joined.select(*own, some(F.col("sum") / 101).alias("ap"), *[some(F.col(f"tp{k}") / F.nullif("n", F.lit(0))).alias(f"ar{k}") for k in (1, 10, 100)])
+    return joined.select(*own, some(F.col("ap")).alias("ap"), *[some(F.col(f"tp{k}") / F.nullif("n", F.lit(0))).alias(f"ar{k}") for k in (1, 10, 100)])
+
+
+# The twelve summary figures, each a mean over categories (and overlaps, if not one of them) of a column.
+STATS = {
+    "ap50_95": ("ap", "all", None), "ap50": ("ap", "all", 0.5), "ap75": ("ap", "all", 0.75), "ap_small": ("ap", "small", None), "ap_medium": ("ap", "medium", None), "ap_large": ("ap", "large", None),
+    "ar1": ("ar1", "all", None), "ar10": ("ar10", "all", None), "ar100": ("ar100", "all", None), "ar_small": ("ar100", "small", None), "ar_medium": ("ar100", "medium", None), "ar_large": ("ar100", "large", None),
+}
+
+
+def summary_stats(averages: DataFrame, some_predictions: Column) -> DataFrame:
+    """name, value: the twelve figures of average_precision's rows; null without targets in the range, but 0 over all areas
+    where there are no predictions either."""
+    one = lambda c, area, iou: F.avg(F.when((F.col("area") == area) & (F.lit(True) if iou is None else F.col("iou") == iou), F.col(c)))
+    wide = averages.agg(*[one(*x).alias(k) for k, x in STATS.items()])
+    value = lambda k: F.col(k) if STATS[k][1] != "all" else F.coalesce(F.col(k), F.when(~some_predictions, 0.0))
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), value(k).alias("value")) for k in STATS])).alias("s")).select("s.*")

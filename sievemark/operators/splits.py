@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Mapping
 
 import pandas as pd
@@ -59,38 +60,81 @@ def mixed_groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group_id").agg(F.count_distinct("model").alias("n_models")).where("n_models > 1")
 
 
+class _Reach:
+    """Which pairs of a val and a test sum some of the given sizes can make: a bit for each pair, in rows of one val sum."""
+
+    def __init__(self, val: int, test: int):
+        self.width, self.height = test + 1, val + 1
+        self.all = (1 << self.width * self.height) - 1
+        self.rows = self.all // ((1 << self.width) - 1)
+        self.masks: dict[int, int] = {}
+
+    def more(self, reach: int, size: int) -> int:
+        """With one component more: the pairs as they are, and shifted by its size in either sum."""
+        if size >= self.width:
+            right = 0
+        else:
+            if size not in self.masks:
+                self.masks[size] = self.rows * (((1 << self.width) - 1) ^ ((1 << size) - 1))
+            right = reach << size & self.masks[size]
+        return reach | right | (reach << size * self.width & self.all if size < self.height else 0)
+
+    def has(self, reach: int, val: int, test: int) -> bool:
+        return val >= 0 and test >= 0 and bool(reach >> (val * self.width + test) & 1)
+
+
+def exact_choice(sizes: list[int], val: int, test: int) -> list[str] | None:
+    """A split for each component so that those in val and in test add up exactly; None if there is none.
+
+    Of all such choices the one that is first when train comes before val and val before test, from the first component on:
+    the one that a walk over all states, keeping the first way to each, arrives at. What the components behind a place can
+    still make tells there which choices stay open. Those sums are kept at about every square root of the components, and
+    made again between."""
+    reach, n = _Reach(val, test), len(sizes)
+    step = max(1, math.isqrt(n))
+    kept, now = {n: 1}, 1
+    for i in range(n - 1, -1, -1):
+        now = reach.more(now, sizes[i])
+        if i % step == 0:
+            kept[i] = now
+    if not reach.has(now, val, test):
+        return None
+    out: list[str] = []
+    for start in range(0, n, step):
+        end = min(n, start + step)
+        behind = [kept[end]]
+        for i in range(end - 1, start, -1):
+            behind.append(reach.more(behind[-1], sizes[i]))
+        for i, rest in zip(range(start, end), reversed(behind), strict=True):
+            if reach.has(rest, val, test):
+                out.append("train")
+            elif reach.has(rest, val - sizes[i], test):
+                out.append("val")
+                val -= sizes[i]
+            else:
+                out.append("test")
+                test -= sizes[i]
+    return out
+
+
 def _exact(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
-    """Splits of one model's components that reach its val and test targets exactly: the first way met, trying train, val,
-    test for each component in hashed order."""
+    """Splits of one model's components that reach its val and test targets exactly, chosen in hashed order."""
     model, val, test = rows["model"].iloc[0], int(rows["n_val"].iloc[0]), int(rows["n_test"].iloc[0])
     free = rows[~rows["forced"]].copy()
     material = [f"{COMPONENT_POLICY}\0{seed}\0{model}\0{c}" for c in free["component_id"]]
     free["h"] = [hashlib.sha256(x.encode()).hexdigest() for x in material]
     free = free.sort_values(["h", "component_id"])
-    layers: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
-    front = [(0, 0)]
-    for size in free["size"].tolist():
-        met: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
-        for state in front:
-            for split, new in (("train", state), ("val", (state[0] + size, state[1])), ("test", (state[0], state[1] + size))):
-                if new[0] <= val and new[1] <= test and new not in met:
-                    met[new] = (state, split)
-        layers.append(met)
-        front = list(met)
-    at, chosen = (val, test), []
-    if at not in front:
+    chosen = exact_choice(free["size"].tolist(), val, test)
+    if chosen is None:
         return pd.DataFrame({"model": [model], "component_id": [None], "split": ["NO_EXACT_SPLIT"]})
-    for met in reversed(layers):
-        at, split = met[at]
-        chosen.append(split)
     ids = [*rows.loc[rows["forced"], "component_id"], *free["component_id"]]
-    return pd.DataFrame({"model": model, "component_id": ids, "split": ["train"] * int(rows["forced"].sum()) + chosen[::-1]})
+    return pd.DataFrame({"model": model, "component_id": ids, "split": ["train"] * int(rows["forced"].sum()) + chosen})
 
 
 def component_split(rows: DataFrame, seed: int = 42, ratios: Mapping[str, float] = RATIOS) -> DataFrame:
     """model, component_id, split. rows: model, group_id, component_id. A component of several models goes to train; the
     others of each model reach its val and test counts of groups exactly, or one row says NO_EXACT_SPLIT. A model's
-    components meet in one task; its state is bounded by its val and test counts."""
+    components meet in one task, which holds val * test / 8 bytes for about twice the square root of them."""
     groups = rows.select("model", "group_id", "component_id").distinct()
     counts = groups.groupBy("model").agg(F.count_distinct("group_id").alias("n"))
     targets = counts.select("model", *[c.alias(f"n_{s}") for s, c in allocation(F.col("n"), ratios).items()])
@@ -115,3 +159,13 @@ def pair_overlaps(rows: DataFrame, stratum: str, columns: list[str]) -> DataFram
         each = held.select(stratum, F.explode("s").alias("left"), "s").select(stratum, "left", F.explode("s").alias("right")).where("left < right")
         pairs = pairs.join(each.groupBy(stratum, "left", "right").agg(F.count("*").alias(f"shared_{c}")), [stratum, "left", "right"], "left")
     return pairs.fillna(0)
+
+
+def split_audit(rows: DataFrame, assigned: DataFrame) -> DataFrame:
+    """model, train, val, test (groups), torn (components in several splits or none), spread (components of several models
+    that aren't in train). rows: model, group_id, component_id; assigned: what component_split gave."""
+    own = rows.select("model", "group_id", "component_id").distinct().join(assigned, ["model", "component_id"], "left")
+    spans = own.groupBy("component_id").agg((F.count_distinct("model") > 1).alias("forced"))
+    parts = own.groupBy("model", "component_id").agg(F.count_distinct("split").alias("splits"), F.min("split").alias("split"), F.count("*").alias("n")).join(spans, "component_id")
+    size = lambda s: F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(s)
+    return parts.groupBy("model").agg(*map(size, SPLITS), F.count_if(F.col("splits") != 1).alias("torn"), F.count_if(F.col("forced") & ~F.col("split").eqNullSafe("train")).alias("spread"))

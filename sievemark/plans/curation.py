@@ -107,6 +107,13 @@ def gr4_component_split(spark, d):
     return splits.component_split(rows, ratios={"train": 0.6, "val": 0.2, "test": 0.2})
 
 
+def gr4_split_audit(spark, d):
+    """Customers of a segment as its groups, in components by account: sums of parts, and whether components stayed whole."""
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("model"), F.col("c_custkey").alias("group_id"))
+    rows = c.withColumn("component_id", F.when(F.col("group_id") % 50 == 7, F.concat(F.lit("shared_"), F.floor(F.col("group_id") / 200).cast("string"))).otherwise(F.concat_ws("_", "model", F.floor(F.col("group_id") / 20).cast("string"))))
+    return splits.split_audit(rows, splits.component_split(rows))
+
+
 def ag6_mixed_groups(spark, d):
     return splits.mixed_groups(_docs(spark, d).select(F.col("source").alias("group_id"), F.col("lang").alias("model")))
 
@@ -440,6 +447,8 @@ SELECT least(a.split, b.split) || '__' || greatest(a.split, b.split) AS splits,
     "gr2_allocation": f"""WITH al0 AS (SELECT source || ',' || lang AS k, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 3), {_sql_allocation("n", {"train": 0.7, "val": 0.2, "test": 0.1})}
 SELECT split_part(k, ',', 1) AS source, split_part(k, ',', 2) AS lang, n, c0 AS train, c1 AS val, c2 AS test FROM al5""",
     "gr3_group_split": f"WITH {_SQL_SPLIT} SELECT * FROM assigned",
+    "gr4_split_audit": f"""WITH al0 AS (SELECT c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1), {_sql_allocation("n", splits.RATIOS)}
+SELECT k AS model, CAST(c0 AS BIGINT) AS train, CAST(c1 AS BIGINT) AS val, CAST(c2 AS BIGINT) AS test, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS spread FROM al5""",
     "ag6_mixed_groups": "SELECT source AS group_id, count(DISTINCT lang) AS n_models FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1",
     "st3_split_overlap": """WITH s AS (SELECT DISTINCT text, CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM documents)
 SELECT a.split AS left_split, b.split AS right_split, count(*) AS n FROM s a JOIN s b ON a.text = b.text AND a.split < b.split GROUP BY 1, 2""",

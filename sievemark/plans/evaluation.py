@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import geometry as g
 from sievemark.functions import text
+from sievemark.operators import evaluation as evaluated
 from sievemark.operators import matching, review
 from sievemark.plans.curation import SQL_BOXES
 from sievemark.session import table
@@ -22,8 +23,8 @@ def _sides(spark, d):
 
 
 def _finer(spark, d):
-    """The same in more images, so that a group's arrays stay short."""
-    more = lambda rows: rows.withColumn("image_id", F.col("image_id") * 20 + F.col("id") % 20)
+    """The same in twice the images: about ten boxes of a category each."""
+    more = lambda rows: rows.withColumn("image_id", F.col("image_id") * 2 + F.col("id") % 2)
     a, b = _sides(spark, d)
     return more(a), more(b)
 
@@ -86,6 +87,28 @@ def ag11_average_precision(spark, d):
     return matching.average_precision(*_sides(spark, d))
 
 
+def ag11_ap_at_half(spark, d):
+    """Average precision of each category's curve at one overlap."""
+    targets, predictions = _finer(spark, d)
+    return matching.curve_average(matching.outcomes(targets, predictions), targets.groupBy("category").agg(F.count("*").alias("n")), ["category"])
+
+
+def ag11_coco_stats(spark, d):
+    """The twelve summary figures and the categories' means."""
+    return evaluated.average_figures(*_sides(spark, d)).select("section", "category", "name", "value")
+
+
+def ev8_full_evaluation(spark, d):
+    """Figures at the operating point, curves, calibration and confusion of the validation part in one table."""
+    return evaluated.operating_figures(*_finer(spark, d), "validation", target_precision=0.3, least_bound=0.2)
+
+
+def ev8_test_evaluation(spark, d):
+    """The same of the test part, on which no threshold is chosen."""
+    rows = evaluated.operating_figures(*_finer(spark, d), "test")
+    return rows.where("section IN ('metrics', 'calibration')").drop("against", "confidence")
+
+
 def pr22_safe_ratio(spark, d):
     rows = table(spark, d, "documents").groupBy("source", "lang").agg(F.count_if(F.col("doc_id") % 7 == 0).alias("a"), F.count_if(F.col("doc_id") % 11 == 0).alias("b"))
     return rows.select("source", "lang", g.safe_ratio(F.col("a"), F.col("b")).alias("ratio"))
@@ -154,7 +177,7 @@ _SIDE = lambda q, o, c: f"greatest(0, least({q}.{o} + {q}.{c}, g.{o} + g.{c}) -
 _AREA = lambda q: f"(greatest(0, {q}.w) * greatest(0, {q}.h))"
 _COMMON = f"({_SIDE('p', 'x', 'w')} * {_SIDE('p', 'y', 'h')})"
 _IOU_CORNERS = f"({_COMMON} / nullif({_AREA('p')} + {_AREA('g')} - {_COMMON}, 0))"
-_FINE = f"{SQL_BOXES}, f AS (SELECT * REPLACE (image_id * 20 + id % 20 AS image_id) FROM b)"
+_FINE = f"{SQL_BOXES}, f AS (SELECT * REPLACE (image_id * 2 + id % 2 AS image_id) FROM b)"
 
 
 def _sql_match(keys: str) -> str:
@@ -197,6 +220,14 @@ q AS (SELECT i AS image, coalesce(p, 0) AS proposals, coalesce(h, 0) AS high_con
  CAST(CASE WHEN p IS NULL THEN 0 WHEN h < p THEN 1 ELSE 2 END AS BIGINT) AS priority FROM range(400) x(i) LEFT JOIN c ON image = i),
 s AS (SELECT *, ['{"', '".join(review.STATES)}'][priority + 1] AS image_status FROM q)"""
 
+_LIST = lambda names: ", ".join(f"{{'name': '{n}', 'value': CAST({n} AS DOUBLE)}}" for n in names.split())
+_FIGURES = lambda section, names, source, category="category", confidence="NULL", status="NULL", against="NULL": f"SELECT {section} AS section, {category} AS category, {against} AS against, CAST({confidence} AS DOUBLE) AS confidence, f.name AS name, f.value AS value, CAST({status} AS VARCHAR) AS status FROM (SELECT *, unnest([{_LIST(names)}]) AS f FROM {source})"
+_COUNTED = "tp fp fn precision recall f1"
+_SQL_OPERATING = f"""{_FIGURES("CASE WHEN category IS NULL THEN 'metrics' ELSE 'per_class' END", _COUNTED, "(SELECT * FROM r2 WHERE confidence = 25 * 0.01::DOUBLE)")}
+UNION ALL {_FIGURES("'areas'", "small medium large", "(SELECT count(*) FILTER (w * h < 1024) AS small, count(*) FILTER (w * h >= 1024 AND w * h < 9216) AS medium, count(*) FILTER (w * h >= 9216) AS large FROM g)", "NULL")}"""
+_SQL_CALIBRATED = """ok AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY recall DESC, precision DESC, confidence) AS i FROM r2 WHERE tp > 0 AND precision >= 0.3 AND precision_wilson_lower_95 >= 0.2),
+cal AS (SELECT a.category, CASE WHEN ok.i = 1 THEN 'VALIDATION_DERIVED_PENDING_HUMAN_REVIEW' ELSE 'NOT_AVAILABLE' END AS state, ok.* EXCLUDE (category, i) FROM (SELECT DISTINCT category FROM r2) a LEFT JOIN ok ON a.category IS NOT DISTINCT FROM ok.category AND ok.i = 1)"""
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("ag", "pr", "jn", "wn", "ev", "cn") and k[2].isdigit()}
 
 SQL = {
@@ -218,6 +249,21 @@ SELECT t AS true_class, p AS predicted_class, n, n / sum(n) OVER (PARTITION BY t
     "ev2_merge_nms": f"WITH RECURSIVE {_sql_nms('SELECT * FROM f WHERE NOT is_gt', '>= 0.5')} SELECT image_id, id FROM m WHERE stays",
     "ev3_deployment_nms": f"WITH RECURSIVE {_sql_nms('SELECT * FROM f WHERE NOT is_gt', '> 0.5', 'FLOAT')} SELECT image_id, id FROM m WHERE stays QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY rk) <= 5",
     "ev10_tile_merge": f"""WITH RECURSIVE {_sql_nms("SELECT id, image_id, category, score, x, y, least(x + w, 48) - x AS w, least(y + h, 48) - y AS h FROM (SELECT * REPLACE (x + (id % 3) * 8 AS x, y + (id % 2) * 8 AS y) FROM f WHERE NOT is_gt) WHERE least(x + w, 48) - x >= 26 AND least(y + h, 48) - y >= 26 AND category <> 'error'", ">= 0.55")} SELECT image_id, id FROM m WHERE stays""",
+    "ag11_ap_at_half": f"""WITH RECURSIVE {_SQL_OUTCOMES}, n AS (SELECT category, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT category, n, tp, sum(tp) OVER w AS tps, row_number() OVER w AS seen FROM o JOIN n USING (category) WINDOW w AS (PARTITION BY category ORDER BY score DESC, image_id, id ROWS UNBOUNDED PRECEDING)),
+best AS (SELECT *, max(tps / seen) OVER (PARTITION BY category ORDER BY seen DESC ROWS UNBOUNDED PRECEDING) AS best FROM c),
+k AS (SELECT category, best, len(list_filter(range(101), lambda i: i * 0.01::DOUBLE <= tps / n AND (seen = 1 OR i * 0.01::DOUBLE > (tps - tp) / n))) AS points FROM best)
+SELECT category, sum(best * points) / 101 AS ap FROM k GROUP BY 1""",
+    "ev8_full_evaluation": f"""SELECT * FROM (WITH RECURSIVE {_SQL_CURVE}, {_SQL_CALIBRATED} {_SQL_OPERATING}
+UNION ALL {_FIGURES("CASE WHEN category IS NULL THEN 'curve' ELSE 'class_curve' END", f"{_COUNTED} precision_wilson_lower_95", "r2", confidence="confidence")}
+UNION ALL {_FIGURES("'metrics'", "best_f1 best_f1_confidence", "(SELECT f1 AS best_f1, confidence AS best_f1_confidence FROM r2 WHERE category IS NULL ORDER BY f1 DESC, confidence LIMIT 1)", "NULL")}
+UNION ALL {_FIGURES("'calibration'", f"confidence {_COUNTED} precision_wilson_lower_95", "cal", status="state")})
+UNION ALL SELECT * FROM (WITH RECURSIVE {_sql_match("image_id").replace("FROM f WHERE NOT is_gt)", "FROM f WHERE NOT is_gt AND score >= 0.25)", 1)}, a AS (SELECT coalesce(g.category, 'background') AS t, m.kind AS p FROM m LEFT JOIN g ON g.id = m.target_id WHERE m.id IS NOT NULL
+ UNION ALL SELECT category, 'background' FROM g WHERE id NOT IN (SELECT target_id FROM m WHERE target_id IS NOT NULL)), n AS (SELECT t, p, count(*) AS n FROM a GROUP BY 1, 2), q AS (SELECT *, n / sum(n) OVER (PARTITION BY t) AS share FROM n)
+{_FIGURES("'confusion'", "n share", "q", "t", against="p")})""",
+    "ev8_test_evaluation": f"""WITH RECURSIVE {_SQL_CURVE}
+SELECT section, category, name, value, status FROM ({_SQL_OPERATING}) WHERE section = 'metrics'
+UNION ALL SELECT DISTINCT 'calibration', category, 'confidence', CAST(NULL AS DOUBLE), 'NOT_FOR_THRESHOLD_SELECTION' FROM r2""",
     "pr22_safe_ratio": "SELECT source, lang, coalesce(count(*) FILTER (doc_id % 7 = 0) / nullif(count(*) FILTER (doc_id % 11 = 0), 0), 0) AS ratio FROM documents GROUP BY 1, 2",
     "pr23_wilson": f"WITH a AS (SELECT source, CAST(sum(quality) AS BIGINT) AS good, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT *, {_WILSON('good', 'n')} AS bound FROM a",
     "pr17_coco_predictions": f"""WITH {SQL_BOXES}, k AS (SELECT *, least(x, 32) AS x1, least(y, 32) AS y1, least(x + w, 32) AS x2, least(y + h, 32) AS y2 FROM b WHERE NOT is_gt)

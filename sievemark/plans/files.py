@@ -6,11 +6,12 @@ import io
 import uuid
 import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from sievemark.functions import geometry as g
-from sievemark.functions import identity, images, text
+from sievemark.functions import identity, images, png, text
 from sievemark.operators import canonical, compare, graph, review
 from sievemark.plans.curation import _DEC, PATH, SQL_BOXES, _boxes, _coco, _docs
 from sievemark.session import shared_folder, table
@@ -150,9 +151,11 @@ def jn4_record_references(spark, d):
 
 
 def hs3_perceptual_hash(spark, d):
-    """Pages' bytes as gray pixels of 8 by 8: pages by hash."""
-    raw = F.substring(F.encode(F.rpad("html", 64, "#"), "UTF-8"), 1, 64)
-    return table(spark, d, "pages").select("page_id", images.perceptual_hash(F.lit(8), F.lit(8), raw).alias("phash64"))
+    """Pages' whole bytes as gray pixels in rows of 64, the last one filled up: pages by hash."""
+    raw = F.encode("html", "UTF-8")
+    height = F.greatest(F.lit(1), F.ceil(F.octet_length(raw) / 64).cast("int"))
+    full = F.concat(raw, F.encode(F.repeat(F.lit("#"), height * 64 - F.octet_length(raw)), "UTF-8"))
+    return table(spark, d, "pages").select("page_id", images.perceptual_hash(F.lit(64), height, full).alias("phash64"))
 
 
 def gr6_depths(spark, d):
@@ -214,6 +217,31 @@ def sc3_image_headers(spark, d):
     return rows.withColumn("quality_flags", flags)
 
 
+@F.pandas_udf("binary")
+def _as_png(html: pd.Series, page_id: pd.Series) -> pd.Series:
+    """Pages' bytes as images of 16 pixels a row, filled up: coloured, with or without opacity, and interlaced or not."""
+
+    def one(page: str | None, number: int) -> bytes:
+        raw = (page or "").encode()
+        height = max(1, -(-len(raw) // 48))
+        rgb = np.frombuffer(raw.ljust(height * 48, b"#"), np.uint8).reshape(height, 16, 3)
+        pixels = rgb if number % 2 else np.concatenate([rgb, rgb[:, :, :1]], axis=2)
+        return png.encode(pixels, number % 5, interlace=number % 3 == 0)
+
+    return pd.Series([one(*x) for x in zip(html, page_id, strict=True)], dtype=object)
+
+
+def sc3_audit_probe(spark, d):
+    """Pages as PNG files, every seventh cut short and every eleventh with a damaged byte, through the audit's probe."""
+    whole = _as_png("html", "page_id")
+    size = F.octet_length("png")
+    damaged = F.concat(F.substring("png", F.lit(1), size - 20), F.lit(b"\x00\xff\x00\xff"), F.substring("png", size - 15, F.lit(16)))
+    content = F.when(F.col("page_id") % 7 == 3, F.substring("png", F.lit(1), size - 9)).when(F.col("page_id") % 11 == 5, damaged).otherwise(F.col("png"))
+    files = table(spark, d, "pages").select("page_id", whole.alias("png")).select(F.concat(F.lit("train/board/"), F.col("page_id").cast("string"), F.lit(".png")).alias("relative_path"), content.alias("content"))
+    rows = scans.probed_files(files.withColumn("length", F.octet_length("content").cast("long")), ["board"])
+    return rows.select("relative_path", "class_name", "source", "split", "sha256_pixels", "format", "mode", "width", "height", "decode_ok", "quality_flags")
+
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("sc", "sk", "pr", "jn", "hs", "gr", "cn", "rc") and k[2].isdigit()}
 
 _BROKEN = "CASE doc_id % 40 WHEN 1 THEN 'unsafe_path' WHEN 2 THEN 'unsafe_path' WHEN 3 THEN 'ratio_too_high' WHEN 4 THEN 'invalid_packed_size' WHEN 5 THEN 'encrypted' WHEN 6 THEN 'link' END"
@@ -222,6 +250,10 @@ SQL = {
     "sc3_image_headers": """WITH p AS (SELECT page_id, length(html) % 2000 + 1 AS w, length(html) % 700 + 1 AS h, page_id % 4 AS k FROM pages)
 SELECT page_id, ['PNG', 'JPEG', 'WEBP', NULL][k + 1] AS format, CASE WHEN k < 3 THEN w END AS width, CASE WHEN k < 3 THEN h END AS height, CASE WHEN k = 3 THEN 'cannot identify image' END AS error,
  CASE WHEN k < 3 THEN array_to_string(list_filter([CASE WHEN w < 640 THEN 'LOW_WIDTH' END, CASE WHEN h < 480 THEN 'LOW_HEIGHT' END, CASE WHEN greatest(w, h) > 4.0 * least(w, h) THEN 'EXTREME_ASPECT_RATIO' END], lambda x: x IS NOT NULL), '|') END AS quality_flags FROM p""",
+    "sc3_audit_probe": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages), q AS (SELECT *, CAST(greatest(1, ceil(n / 48)) AS INTEGER) AS h, page_id % 7 <> 3 AND page_id % 11 <> 5 AS ok FROM p)
+SELECT 'train/board/' || page_id || '.png' AS relative_path, 'board' AS class_name, 'train' AS source, 'train' AS split, CASE WHEN ok THEN sha256('16x' || h || ':RGB' || html || repeat('#', h * 48 - n)) END AS sha256_pixels, CASE WHEN ok THEN 'PNG' END AS format,
+ CASE WHEN ok THEN CASE page_id % 2 WHEN 1 THEN 'RGB' ELSE 'RGBA' END END AS mode, CASE WHEN ok THEN 16 END AS width, CASE WHEN ok THEN h END AS height, ok AS decode_ok,
+ CASE WHEN NOT ok THEN 'DECODE_FAILED' ELSE array_to_string(list_filter(['LOW_WIDTH', CASE WHEN h < 480 THEN 'LOW_HEIGHT' END, CASE WHEN greatest(16, h) > 4.0 * least(16, h) THEN 'EXTREME_ASPECT_RATIO' END], lambda x: x IS NOT NULL), '|') END AS quality_flags FROM q""",
     "sc1_image_scan": "SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' || ['.JPG', '.png', '.txt', '.webp', '.csv'][doc_id % 5 + 1] AS path FROM documents WHERE doc_id % 5 IN (0, 1, 3)",
     "sc4_csv_index": 'SELECT p_name AS "Image", p_partkey, p_size, p_retailprice FROM part',
     "sc5_json_lines": "SELECT event_id, event_type FROM events WHERE event_id % 6 > 1",

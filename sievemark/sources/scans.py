@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sievemark.functions.images import image_header
+from sievemark.functions.images import image_probe
 from sievemark.functions.text import class_of_path, is_image, quality_flags, sniffed_mime, source_of_path, split_of_path
 
 # What an archive may hold.
@@ -29,22 +29,30 @@ def image_files(spark: SparkSession, folder: str, content: bool = True) -> DataF
     return rows.select("path", "length", "sha256", "mime", *["content"] * content)
 
 
-def inspected_images(spark: SparkSession, folder: str, classes: list[str], default_class: str | None = None, least_width: int = 640, least_height: int = 480) -> DataFrame:
-    """relative_path, class_name, source, split, bytes, sha256_file, format, width, height, decode_ok, quality_flags, error
-    of all image files below a folder: sizes come from the files' headers, and a file without one is a row with its error."""
-    root = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    path = F.regexp_replace("path", F.lit("^[a-z]+:/+"), F.lit("/"))
-    base = "/" + folder.split("://")[-1].strip("/") + "/"
-    files = root.where(is_image(F.col("path"))).select(F.substring(path, F.lit(len(base) + 1), F.length("path")).alias("relative_path"), "length", "content")
-    rows = files.withColumns({"head": image_header(F.col("content")), "class_name": class_of_path(F.col("relative_path"), classes, default_class)})
+def probed_files(files: DataFrame, classes: list[str], default_class: str | None = None, least_width: int = 640, least_height: int = 480) -> DataFrame:
+    """relative_path, class_name, source, split, bytes, sha256_file, sha256_pixels, phash64, format, mode, width, height,
+    decode_ok, quality_flags, error of image files (relative_path, length, content).
+
+    A file that can't be decoded whole is a row with its error. Pixels are decoded, and hashed upright, where the format is
+    one of images.DECODED; of others headers are read, and the hashes stay null."""
+    rows = files.withColumns({"head": image_probe(F.col("content")), "class_name": class_of_path(F.col("relative_path"), classes, default_class)})
     good = F.col("head.error").isNull() & (F.col("head.width") > 0) & (F.col("head.height") > 0)
     flags = F.when(good, quality_flags(F.col("head.width"), F.col("head.height"), F.col("class_name"), least_width, least_height)).otherwise("DECODE_FAILED")
     return rows.select(
         "relative_path", "class_name", source_of_path(F.col("relative_path")).alias("source"), split_of_path(F.col("relative_path")).alias("split"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256_file"),
-        "head.format", "head.width", "head.height", good.alias("decode_ok"), flags.alias("quality_flags"), F.when(~good, F.coalesce("head.error", F.lit("no pixels"))).alias("error"),
+        "head.sha256_pixels", "head.phash64", "head.format", "head.mode", "head.width", "head.height", good.alias("decode_ok"), flags.alias("quality_flags"), F.when(~good, F.coalesce("head.error", F.lit("no pixels"))).alias("error"),
     )
 
 
+def inspected_images(spark: SparkSession, folder: str, classes: list[str], default_class: str | None = None, least_width: int = 640, least_height: int = 480) -> DataFrame:
+    """probed_files of all image files below a folder."""
+    root = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    path = F.regexp_replace("path", F.lit("^[a-z]+:/+"), F.lit("/"))
+    base = "/" + folder.split("://")[-1].strip("/") + "/"
+    files = root.where(is_image(F.col("path"))).select(F.substring(path, F.lit(len(base) + 1), F.length("path")).alias("relative_path"), "length", "content")
+    return probed_files(files, classes, default_class, least_width, least_height)
+
+
 def csv_rows(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV with a header, typed by a schema; a byte-order mark is no part of the first name, empty values are null."""
     return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path)

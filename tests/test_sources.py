@@ -2,10 +2,11 @@ import json
 import struct
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 
-from sievemark.functions import images
+from sievemark.functions import images, png
 from sievemark.sources import scans
 
 
@@ -64,8 +65,8 @@ def test_sizes_from_headers():
 
 
 def test_inspected_images(spark, tmp_path):
-    png = lambda w, h: b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", w, h)
-    for name, data in (("train/sbc/a.png", png(640, 480)), ("web/other/b.png", png(3000, 100)), ("c.jpg", b"no image"), ("d.txt", b"x")):
+    whole = lambda w, h: png.encode(np.zeros((h, w, 3), np.uint8))
+    for name, data in (("train/sbc/a.png", whole(640, 480)), ("web/other/b.png", whole(3000, 100)), ("c.jpg", b"no image"), ("d.txt", b"x")):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(data)
     rows = {r.relative_path: r for r in scans.inspected_images(spark, str(tmp_path), ["sbc"]).collect()}
