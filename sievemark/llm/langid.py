@@ -130,21 +130,66 @@ def held_out():
     return crc_mod(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4) == 2
 
 
-def fit(docs: DataFrame, per_language: int = 300, most_languages: int = 256, chars: int = 2048) -> Network:
-    """Train on a bounded sample of the labelled rows that are not held out: about per_language rows, by a hash, of each
-    of the most_languages most frequent languages, and of each a stretch of so many characters that begins at a hashed
-    place. Without such rows the network knows no language."""
+def _sample(docs: DataFrame, per_language: int, most_languages: int, chars: int) -> tuple[list[str], list[str]]:
+    """Texts and languages of a bounded sample of the labelled rows that are not held out (see fit)."""
     labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
-        return train([], [])
+        return [], []
     share = F.create_map(*[x for row in counts for x in (F.lit(row["lang"]), F.lit(min(1.0, per_language / row["count"])))])
     hashed = F.xxhash64("doc_id", F.lit(11))
     sample = labelled.where(F.pmod(hashed, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     place = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
     rows = sample.select("lang", F.substring("text", place.cast("int"), F.lit(chars)).alias("text"), hashed.alias("h")).limit(4 * per_language * len(counts)).collect()
     rows = sorted(rows, key=lambda row: (row["h"], row["lang"], row["text"]))
-    return train([row["text"] for row in rows], [row["lang"] for row in rows])
+    return [row["text"] for row in rows], [row["lang"] for row in rows]
+
+
+def fit(docs: DataFrame, per_language: int = 300, most_languages: int = 256, chars: int = 2048) -> Network:
+    """Train on a bounded sample of the labelled rows that are not held out: about per_language rows, by a hash, of each
+    of the most_languages most frequent languages, and of each a stretch of so many characters that begins at a hashed
+    place. Without such rows the network knows no language."""
+    return train(*_sample(docs, per_language, most_languages, chars))
+
+
+def outside(texts: list[str], count: int, seed: int = 17) -> list[str]:
+    """So many texts in no language: letters of the given texts in any order, digits and letters as codes have them, a few
+    characters over and over, and letters of scripts that the texts don't use."""
+    rng = np.random.default_rng(seed)
+    used = set("".join(texts))
+    scripts = [[c for c in map(chr, range(first, first + 96)) if c.isalpha() and c not in used] for first in (0x250, 0x391, 0x410, 0x531, 0x5D0, 0x620, 0x905, 0xE01, 0x10A0, 0x1200, 0x3041, 0x30A1, *range(0x4E00, 0x9F00, 0x600), *range(0xAC00, 0xD700, 0x800), 0x10330, 0x12000, 0x13000)]
+    scripts = [x for x in scripts if x]
+    codes = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", "abcdefghijklmnopqrstuvwxyz", "0123456789 .,-:;|/()", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    letters = sorted({c for c in used if c.isalpha()} | set("abc"))
+    out = []
+    for i in range(count):
+        size = int(rng.integers(24, 600))
+        kind = i % 4
+        if kind == 0 and texts:
+            own = list(texts[int(rng.integers(len(texts)))][:600])
+            out.append("".join(own[k] for k in rng.permutation(len(own))))
+            continue
+        if kind == 1:
+            alphabet = list(codes[int(rng.integers(len(codes)))])
+        elif kind == 2:
+            alphabet = [letters[int(k)] for k in rng.integers(0, len(letters), int(rng.integers(1, 4)))]
+        else:
+            alphabet = scripts[int(rng.integers(len(scripts)))]
+        drawn = [alphabet[int(k)] for k in rng.integers(0, len(alphabet), size)]
+        if rng.random() < 0.5:  # in words of some length
+            long = int(rng.integers(2, 12))
+            drawn = [" " if k % (long + 1) == long else c for k, c in enumerate(drawn)]
+        out.append("".join(drawn))
+    return out
+
+
+def fit_with_outside(docs: DataFrame, per_language: int = 300, most_languages: int = 256, chars: int = 2048) -> Network:
+    """As fit, with UNKNOWN as a class of its own, learned from as many made-up texts as two languages have."""
+    texts, labels = _sample(docs, per_language, most_languages, chars)
+    if not texts:
+        return train([], [])
+    more = outside(texts, 2 * -(-len(texts) // len(set(labels))))
+    return train(texts + more, labels + [UNKNOWN] * len(more))
 
 
 def predictor(net: Network):
@@ -159,36 +204,49 @@ def predictor(net: Network):
 
 
 def confidence(net: Network, texts: list[str | None], most_windows: int = 512) -> np.ndarray:
-    """The largest probability that any window of a text gives any language; 0 for a text without windows."""
+    """How sure it is, from all windows of a text, that it is in one of the languages (of a network of fit_with_outside)."""
+    own = net.languages.index(UNKNOWN)
     chars, of = windows([x or "" for x in texts])
-    best = np.zeros(len(texts))
+    sums = np.zeros((len(texts), len(net.languages)))
     for at in range(0, len(chars), most_windows):
-        np.maximum.at(best, of[at : at + most_windows], np.exp(log_probabilities(net, chars[at : at + most_windows]).max(axis=1)))
-    return best
+        np.add.at(sums, of[at : at + most_windows], log_probabilities(net, chars[at : at + most_windows]))
+    mean = sums / np.maximum(np.bincount(of, minlength=len(texts)), 1)[:, None]
+    mean = np.exp(mean - mean.max(axis=1, keepdims=True))
+    return 1 - mean[:, own] / mean.sum(axis=1)
+
+
+#: A text of fewer letters says too little to be turned down.
+LEAST_LETTERS = 64
+
+
+def letters_of(text: str | None) -> int:
+    return sum(map(str.isalpha, text or ""))
 
 
-def calibrate(docs: DataFrame, net: Network, most: int = 2000, chars: int = 2048) -> float:
-    """The confidence below which a text is in no language that the network knows: half of the smallest that one of
-    about `most` labelled rows with a letter has, none of which took part in training. 0 without such rows."""
-    if len(net.languages) < 2:
+def calibrate(docs: DataFrame, net: Network, lost: float = 0.001, most: int = 2000, chars: int = 2048) -> float:
+    """The confidence below which a text is in no language that the network knows: a half, or less where more than the
+    share `lost` of about `most` labelled rows with letters enough, none of which took part in training, would fall below."""
+    if UNKNOWN not in net.languages:
         return 0.0
     labelled = docs.where(held_out() & F.col("lang").isin(net.languages))
     share = min(1.0, most / max(1, labelled.count()))
     # Chosen by a hash in the tasks, so that what reaches the driver doesn't grow with them.
     some = labelled.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < share * 1_000_000))
     rows = some.select(F.substring("text", 1, chars).alias("text")).limit(4 * most).collect()
-    found = confidence(net, [r["text"] for r in rows if any(map(str.isalpha, r["text"]))])
-    return float(found.min()) / 2 if len(found) else 0.0
+    found = np.sort(confidence(net, [r["text"] for r in rows if letters_of(r["text"]) >= LEAST_LETTERS]))
+    return min(0.5, float(found[int(lost * len(found))])) if len(found) else 0.5
 
 
 def in_language(net: Network, least: float):
-    """A column function: whether a text has a letter, and a window of at least that confidence."""
+    """A column function: whether a text has a letter, and is too short to tell or in a language with that confidence."""
 
     @F.pandas_udf("boolean")
     def of(texts: pd.Series) -> pd.Series:
         plain = ["" if x is None or x != x else x for x in texts]
-        lettered = np.array([any(map(str.isalpha, x)) for x in plain], bool)
-        return pd.Series(lettered & (confidence(net, plain) >= least) if net.languages else lettered)
+        count = np.array([letters_of(x) for x in plain], np.int64)
+        if UNKNOWN not in net.languages:
+            return pd.Series(count > 0)
+        return pd.Series((count > 0) & ((count < LEAST_LETTERS) | (confidence(net, plain) >= least)))
 
     return of
 
@@ -202,8 +260,9 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a letter and is in a language that the network is
-    confident of (see calibrate). Where no row is labelled, all texts with a letter stay."""
+    """The rows of docs, with all their columns, whose text has a letter and is in a language: of the labelled ones, by a
+    network that knows texts in no language as well (see fit_with_outside and calibrate). Texts of fewer than LEAST_LETTERS
+    letters stay. Where no row is labelled, all texts with a letter stay."""
     small_batches(docs.sparkSession)
-    net = fit(docs)
+    net = fit_with_outside(docs)
     return docs.where(in_language(net, calibrate(docs, net))(F.col("text")))
