@@ -17,19 +17,17 @@ from sievemark.functions import png
 _SHIFT = 22
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=32)
 def _weights(size: int, out: int) -> np.ndarray:
     """out by size whole numbers of 2 ** -22: a windowed sinc of three lobes, as wide as the image shrinks."""
     scale = size / out
     wide = max(scale, 1.0)
-    found = np.zeros((out, size))
-    for i in range(out):
-        centre = (i + 0.5) * scale
-        first, last = max(0, int(centre - 3 * wide + 0.5)), min(size, int(centre + 3 * wide + 0.5))
-        x = (np.arange(first, last) - centre + 0.5) / wide
-        w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
-        found[i, first:last] = w / w.sum()
-    return np.floor(found * (1 << _SHIFT) + 0.5).astype(np.int64)
+    centre = ((np.arange(out) + 0.5) * scale)[:, None]
+    at = np.arange(size)[None, :]
+    first, last = np.maximum(0, (centre - 3 * wide + 0.5).astype(np.int64)), (centre + 3 * wide + 0.5).astype(np.int64)
+    x = (at - centre + 0.5) / wide
+    w = np.where((np.abs(x) < 3) & (at >= first) & (at < last), np.sinc(x) * np.sinc(x / 3), 0.0)
+    return np.floor(w / w.sum(axis=1, keepdims=True) * (1 << _SHIFT) + 0.5).astype(np.int64)
 
 
 def resampled(gray: np.ndarray, height: int, width: int) -> np.ndarray:

@@ -46,48 +46,48 @@ def chunks(content: bytes) -> Iterator[tuple[bytes, bytes]]:
         at += 12 + size
 
 
-def _predicted(band: np.ndarray, above: np.ndarray, paeth: np.ndarray) -> np.ndarray:
-    """Rows of average and Paeth filters (band: rows, pixels, bytes) below the row above. A byte needs those to the left,
-    above and between, so all bytes of a diagonal are reckoned at once: diagonals are rows of `skew`, shifted by their row."""
+def _predicted(band: np.ndarray, above: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Rows of any filters (band: rows, pixels, bytes) below the row above. A byte may need those to the left, above and
+    between, so all bytes of a diagonal are reckoned at once: diagonals are rows of `skew`, shifted by their row."""
     rows, width, step = band.shape
     skew = np.zeros((rows + width + 2, rows + 1, step), np.int16)  # skew[x + y + 2, y]: pixel x of row y, row 0 above
     skew[2 : width + 2, 0] = above
-    y = np.arange(1, rows + 1)
+    raw = np.zeros((rows + width + 2, rows, step), np.int16)
+    y = np.arange(rows)
+    raw[np.arange(width)[None, :] + y[:, None] + 3, y[:, None]] = band
+    sub, up_by, mean, paeth = ((kinds == k).astype(np.int16)[:, None] for k in (1, 2, 3, 4))
     for t in range(3, rows + width + 2):
         low, high = max(1, t - 1 - width), min(rows, t - 2)
-        own = y[low - 1 : high]
-        left, up, between = skew[t - 1, low : high + 1], skew[t - 1, low - 1 : high], skew[t - 2, low - 1 : high]
-        a, b, c = np.abs(up - between), np.abs(left - between), np.abs(left + up - 2 * between)
+        own = slice(low - 1, high)
+        left, up, between = skew[t - 1, low : high + 1], skew[t - 1, own], skew[t - 2, own]
+        over, beside = up - between, left - between
+        a, b, c = np.abs(over), np.abs(beside), np.abs(over + beside)
         best = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, between))
-        guess = np.where(paeth[own - 1, None], best, (left + up) >> 1)
-        skew[t, low : high + 1] = (band[own - 1, t - 2 - own] + guess) & 255
-    out = np.empty((rows, width, step), np.uint8)
-    for i in range(rows):
-        out[i] = skew[i + 3 : i + 3 + width, i + 1]
-    return out
+        guess = sub[own] * left + up_by[own] * up + mean[own] * ((left + up) >> 1) + paeth[own] * best
+        skew[t, low : high + 1] = (raw[t, own] + guess) & 255
+    return skew[np.arange(width)[None, :] + y[:, None] + 3, y[:, None] + 1].astype(np.uint8)
 
 
 def unfiltered(data: np.ndarray, rows: int, size: int, step: int) -> np.ndarray:
-    """rows by size bytes of rows that each begin with their filter; step: bytes from a pixel to the next."""
+    """rows by size bytes of rows that each begin with their filter; step: bytes from a pixel to the next. From the first row
+    of a filter that looks two ways to the last one, diagonals are reckoned; other rows are sums."""
     lines = data.reshape(rows, size + 1)
     kinds, raw = lines[:, 0], lines[:, 1:]
     if len(kinds) and kinds.max() > 4:
         raise ValueError("unknown PNG filter")
+    hard = np.flatnonzero(kinds >= 3)
+    start, end = (int(hard[0]), int(hard[-1]) + 1) if len(hard) else (rows, rows)
     out, above, i = np.empty((rows, size), np.uint8), np.zeros(size, np.uint8), 0
     while i < rows:
-        end = i + 1
-        if kinds[i] == 0:
-            out[i] = raw[i]
-        elif kinds[i] == 1:
-            out[i] = np.cumsum(raw[i].reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
-        elif kinds[i] == 2:
-            out[i] = raw[i] + above
+        if i == start:
+            band = raw[start:end].reshape(end - start, -1, step).astype(np.int16)
+            out[start:end] = _predicted(band, above.reshape(-1, step), kinds[start:end]).reshape(end - start, size)
+            i = end
         else:
-            while end < rows and kinds[end] >= 3:
-                end += 1
-            band = raw[i:end].reshape(end - i, -1, step).astype(np.int16)
-            out[i:end] = _predicted(band, above.reshape(-1, step), kinds[i:end] == 4).reshape(end - i, size)
-        above, i = out[end - 1], end
+            line = raw[i] if kinds[i] != 2 else raw[i] + above
+            out[i] = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1) if kinds[i] == 1 else line
+            i += 1
+        above = out[i - 1]
     return out
 
 

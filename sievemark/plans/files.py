@@ -219,12 +219,12 @@ def sc3_image_headers(spark, d):
 
 @F.pandas_udf("binary")
 def _as_png(html: pd.Series, page_id: pd.Series) -> pd.Series:
-    """Pages' bytes as images of 16 pixels a row, filled up: coloured, with or without opacity, and interlaced or not."""
+    """Pages' bytes as images of 32 pixels a row, filled up: coloured, with or without opacity, and interlaced or not."""
 
     def one(page: str | None, number: int) -> bytes:
         raw = (page or "").encode()
-        height = max(1, -(-len(raw) // 48))
-        rgb = np.frombuffer(raw.ljust(height * 48, b"#"), np.uint8).reshape(height, 16, 3)
+        height = max(1, -(-len(raw) // 96))
+        rgb = np.frombuffer(raw.ljust(height * 96, b"#"), np.uint8).reshape(height, 32, 3)
         pixels = rgb if number % 2 else np.concatenate([rgb, rgb[:, :, :1]], axis=2)
         return png.encode(pixels, number % 5, interlace=number % 3 == 0)
 
@@ -250,10 +250,10 @@ SQL = {
     "sc3_image_headers": """WITH p AS (SELECT page_id, length(html) % 2000 + 1 AS w, length(html) % 700 + 1 AS h, page_id % 4 AS k FROM pages)
 SELECT page_id, ['PNG', 'JPEG', 'WEBP', NULL][k + 1] AS format, CASE WHEN k < 3 THEN w END AS width, CASE WHEN k < 3 THEN h END AS height, CASE WHEN k = 3 THEN 'cannot identify image' END AS error,
  CASE WHEN k < 3 THEN array_to_string(list_filter([CASE WHEN w < 640 THEN 'LOW_WIDTH' END, CASE WHEN h < 480 THEN 'LOW_HEIGHT' END, CASE WHEN greatest(w, h) > 4.0 * least(w, h) THEN 'EXTREME_ASPECT_RATIO' END], lambda x: x IS NOT NULL), '|') END AS quality_flags FROM p""",
-    "sc3_audit_probe": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages), q AS (SELECT *, CAST(greatest(1, ceil(n / 48)) AS INTEGER) AS h, page_id % 7 <> 3 AND page_id % 11 <> 5 AS ok FROM p)
-SELECT 'train/board/' || page_id || '.png' AS relative_path, 'board' AS class_name, 'train' AS source, 'train' AS split, CASE WHEN ok THEN sha256('16x' || h || ':RGB' || html || repeat('#', h * 48 - n)) END AS sha256_pixels, CASE WHEN ok THEN 'PNG' END AS format,
- CASE WHEN ok THEN CASE page_id % 2 WHEN 1 THEN 'RGB' ELSE 'RGBA' END END AS mode, CASE WHEN ok THEN 16 END AS width, CASE WHEN ok THEN h END AS height, ok AS decode_ok,
- CASE WHEN NOT ok THEN 'DECODE_FAILED' ELSE array_to_string(list_filter(['LOW_WIDTH', CASE WHEN h < 480 THEN 'LOW_HEIGHT' END, CASE WHEN greatest(16, h) > 4.0 * least(16, h) THEN 'EXTREME_ASPECT_RATIO' END], lambda x: x IS NOT NULL), '|') END AS quality_flags FROM q""",
+    "sc3_audit_probe": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages), q AS (SELECT *, CAST(greatest(1, ceil(n / 96)) AS INTEGER) AS h, page_id % 7 <> 3 AND page_id % 11 <> 5 AS ok FROM p)
+SELECT 'train/board/' || page_id || '.png' AS relative_path, 'board' AS class_name, 'train' AS source, 'train' AS split, CASE WHEN ok THEN sha256('32x' || h || ':RGB' || html || repeat('#', h * 96 - n)) END AS sha256_pixels, CASE WHEN ok THEN 'PNG' END AS format,
+ CASE WHEN ok THEN CASE page_id % 2 WHEN 1 THEN 'RGB' ELSE 'RGBA' END END AS mode, CASE WHEN ok THEN 32 END AS width, CASE WHEN ok THEN h END AS height, ok AS decode_ok,
+ CASE WHEN NOT ok THEN 'DECODE_FAILED' ELSE array_to_string(list_filter(['LOW_WIDTH', CASE WHEN h < 480 THEN 'LOW_HEIGHT' END, CASE WHEN greatest(32, h) > 4.0 * least(32, h) THEN 'EXTREME_ASPECT_RATIO' END], lambda x: x IS NOT NULL), '|') END AS quality_flags FROM q""",
     "sc1_image_scan": "SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' || ['.JPG', '.png', '.txt', '.webp', '.csv'][doc_id % 5 + 1] AS path FROM documents WHERE doc_id % 5 IN (0, 1, 3)",
     "sc4_csv_index": 'SELECT p_name AS "Image", p_partkey, p_size, p_retailprice FROM part',
     "sc5_json_lines": "SELECT event_id, event_type FROM events WHERE event_id % 6 > 1",

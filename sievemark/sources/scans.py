@@ -45,7 +45,7 @@ def probed_files(files: DataFrame, classes: list[str], default_class: str | None
 
 
 def inspected_images(spark: SparkSession, folder: str, classes: list[str], default_class: str | None = None, least_width: int = 640, least_height: int = 480) -> DataFrame:
-    """probed_files of all image files below a folder."""
+    """probed_files of all image files below a folder (Spark's scan leaves out files without a byte)."""
     root = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     path = F.regexp_replace("path", F.lit("^[a-z]+:/+"), F.lit("/"))
     base = "/" + folder.split("://")[-1].strip("/") + "/"

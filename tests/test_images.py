@@ -105,16 +105,16 @@ def test_folder_of_images(spark, tmp_path):
     rng = np.random.default_rng(4)
     rgb = rng.integers(0, 256, (6, 5, 3)).astype(np.uint8)
     good = png.encode(rgb, 1, turn=6)
-    for name, content in {"train/board/a.png": good, "val/other/b.PNG": good[:-4], "c.png": b"text", "train/board/empty.png": b"", "d.txt": good}.items():
+    for name, content in {"train/board/a.png": good, "val/other/b.PNG": good[:-4], "c.png": b"text", "train/board/short.png": b"\x89", "d.txt": good}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(content)
     rows = {r.relative_path: r for r in scans.inspected_images(spark, str(tmp_path), ["board"]).collect()}
-    assert set(rows) == {"train/board/a.png", "val/other/b.PNG", "c.png", "train/board/empty.png"}
+    assert set(rows) == {"train/board/a.png", "val/other/b.PNG", "c.png", "train/board/short.png"}
     a, shown = rows["train/board/a.png"], np.rot90(rgb, -1)
     assert (a.width, a.height, a.mode, a.format, a.decode_ok, a.error) == (6, 5, "RGB", "PNG", True, None)
     assert a.sha256_pixels == hashlib.sha256(b"6x5:RGB" + shown.tobytes()).hexdigest() and a.phash64 == images.perceptual_hash_of(images.grey(shown))
     assert a.sha256_file == hashlib.sha256(good).hexdigest() and a.quality_flags == "LOW_WIDTH|LOW_HEIGHT"
-    for name, error in {"val/other/b.PNG": "truncated PNG", "c.png": "cannot identify image", "train/board/empty.png": "cannot identify image"}.items():
+    for name, error in {"val/other/b.PNG": "truncated PNG", "c.png": "cannot identify image", "train/board/short.png": "cannot identify image"}.items():
         assert (rows[name].decode_ok, rows[name].error, rows[name].quality_flags, rows[name].phash64) == (False, error, "DECODE_FAILED", None)
     nothing = spark.createDataFrame([(None,)], "x binary").select(images.image_probe(F.col("x")).alias("p")).collect()[0].p
     assert set(nothing) == {None}
