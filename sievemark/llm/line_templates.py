@@ -34,9 +34,8 @@ def _needed(size: int, similarity: float) -> int:
 
 
 def general(tokens: list[str]) -> bool:
-    """Whether masked tokens say enough for a template: half of all, and of those behind the leading ones, are fixed."""
-    rest = tokens[DEPTH:]
-    return bool(rest) and 2 * rest.count(WILDCARD) <= len(rest) and 2 * tokens.count(WILDCARD) <= len(tokens)
+    """Whether masked tokens name a template: one of the leading ones is fixed and has a letter."""
+    return any(x != WILDCARD and any(map(str.isalpha, x)) for x in tokens[:DEPTH])
 
 
 def _codes(templates: list[list[str]]) -> np.ndarray:
@@ -101,7 +100,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     line of the template) of every line with a visible character."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"key": pa.int64(), "doc_id": pa.int64(), "line": pa.int32(), "leaf": pa.int64(), "template": pa.int64(), "text": pa.string(), "fresh": pa.bool_()}
+        kinds = {"key": pa.binary(), "doc_id": pa.int64(), "line": pa.int32(), "leaf": pa.int64(), "template": pa.int64(), "text": pa.string(), "fresh": pa.bool_()}
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
             for key, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -123,11 +122,12 @@ def _lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds.values(), strict=True)], names=list(kinds))
 
     rows = docs.select(_key().alias("key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(parse, "key long, doc_id long, line int, leaf long, template long, text string, fresh boolean")
+    return rows.mapInArrow(parse, "key binary, doc_id long, line int, leaf long, template long, text string, fresh boolean")
 
 
 def _key():
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))]
+    return F.unhex(F.md5(F.encode(F.concat(*parts), "UTF-8")))
 
 
 def _linked(work: DataFrame, similarity: float) -> DataFrame:
@@ -160,14 +160,14 @@ def _linked_by_bands(texts: DataFrame, similarity: float, most: int, pool: int)
 
 
 def recurring_lines(docs: DataFrame, least_docs: int = 3, similarity: float = 0.7, most: int = 2000, pool: int = 200) -> DataFrame:
-    """key (a hash of doc_id and text), dropped (places of lines, from 0): of each row with lines to drop.
+    """key (128 bits of doc_id and text), dropped (places of lines, from 0): of each row with lines to drop.
 
     A line has a template: its tokens, variable ones masked. Templates in the same leaf (number of tokens, leading tokens)
     are linked if at least `similarity` of the tokens behind the leading ones are equal and in place, and what links reach
-    is one template. A line that says too little for that (of few tokens, or with more variable than fixed ones: see
-    general) is its own template, token by token, and links with no other. Lines whose template is in least_docs or more rows
-    go, but for those in the row with the smallest doc_id (rows of equal doc_id and text count each, and stay or go
-    together). Lines without a visible character stay. Templates are counted and told apart before anything is gathered,
+    is one template. A line whose leading tokens are all variable or without a letter (see general) is its own template, token
+    by token, and links with no other. Lines whose template is in least_docs or more rows go, but for those in the row with
+    the smallest doc_id. Rows of equal doc_id and text count each, for templates alone and for linked ones alike, and stay or
+    go together; a row with several lines of a template counts once. Lines without a visible character stay. Templates are counted and told apart before anything is gathered,
     so a line in every document is one row.
 
     Leaves of up to `most` different templates are compared whole, about `pool` templates a task. The templates of a larger
@@ -196,9 +196,10 @@ def recurring_lines(docs: DataFrame, least_docs: int = 3, similarity: float = 0.
         found.append(_linked_by_bands(texts(leaves.where(F.col("size") > most)), similarity, most, pool))
     merged = components(reduce(DataFrame.unionByName, found), "alike").select(F.col("node").alias("template"), F.col("root").alias("merged"))
     merged = written(merged, "merged")
-    # A row counts once for a merged template.
-    both = lines.where("fresh").join(merged, "template").groupBy("merged", "key").agg(F.min("doc_id").alias("doc_id"))
-    both = both.groupBy("merged").agg(F.count("*").alias("n"), F.min(where).alias("first"))
+    # A row counts once for a merged template, whatever number of its members it holds; repeated rows have one key.
+    both = lines.where("fresh").join(merged, "template").groupBy("merged", "key", "doc_id", "template").agg(F.count("*").alias("n"))
+    both = both.groupBy("merged", "key", "doc_id").agg(F.max("n").alias("n"))
+    both = both.groupBy("merged").agg(F.sum("n").alias("n"), F.min(where).alias("first"))
     alone = templates.join(merged, "template", "left_anti").where(F.col("n") >= least_docs).select("template", "first")
     chosen = alone.unionByName(merged.join(both.where(F.col("n") >= least_docs), "merged").select("template", "first"))
     gone = lines.select("key", "line", "template").join(chosen.select("template", F.col("first.key").alias("kept")), "template").where(F.col("key") != F.col("kept"))
