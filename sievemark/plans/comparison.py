@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from sievemark.functions import documents, identity, text
-from sievemark.operators import compare
+from sievemark.operators import compare, exact, runs
 from sievemark.session import table
-from sievemark.sources import scans
+from sievemark.sources import event_files, scans
 from sievemark.streaming import monitors
 
 METRICS = ["ap50_95", "ap50", "latency_p50_ms"]
@@ -45,6 +47,18 @@ def ag15_percentiles(spark, d):
     return compare.latency_summary(table(spark, d, "events"), "event_type", "value")
 
 
+def ag15_exact_percentiles(spark, d):
+    """Prices by status, without a group's values in one task."""
+    rows = exact.exact_percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return rows.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
+def ag13_exact_moments(spark, d):
+    """Sums, means and deviations of prices, discounts and taxes by status, the same in any dealing."""
+    rows = exact.exact_moments(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_discount", "l_tax"])
+    return rows.select("l_returnflag", "l_linestatus", "metric", "n", *[F.round(c, 5).alias(c) for c in ("sum", "mean", "std")])
+
+
 def ag16_device_summary(spark, d):
     return monitors.device_summary(table(spark, d, "events").withColumn("camera", F.col("user_id") % 5), "camera", "ts", "value", "1 day")
 
@@ -176,6 +190,61 @@ def sc12_scalar_epochs(spark, d):
     return scans.scalar_epochs(e, {"click": "train_loss", "view": "lr"}, 500)
 
 
+@F.pandas_udf(BinaryType())
+def _event_file(step: pd.Series, tag: pd.Series, value: pd.Series) -> bytes:
+    """An event file of one scalar a record, by step."""
+    rows = sorted(zip(step.tolist(), tag.tolist(), value.tolist(), strict=True))
+    return event_files.framed([event_files.encoded(s, 0.5 * s, {t: v}) for s, t, v in rows])
+
+
+def sc12_event_files(spark, d):
+    """Epochs' means of scalars that users' event files hold; every ninth user's file is cut short and says so."""
+    e = table(spark, d, "events").where("value IS NOT NULL")
+    packed = e.groupBy("user_id").agg(_event_file("event_id", "event_type", "value").alias("whole"))
+    content = F.when(F.col("user_id") % 9 == 4, F.substring("whole", F.lit(1), F.octet_length("whole") - 1)).otherwise(F.col("whole"))
+    found = event_files.event_scalars(packed.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("path"), content.alias("content")))
+    cut = found.where("error IS NOT NULL").select(F.lit(None).cast("long").alias("epoch"), "error", F.lit(1).alias("one")).groupBy("epoch", "error").agg(F.count("*").alias("n"))
+    whole = found.where("error IS NULL").groupBy((F.floor(F.col("step") / 500) + 1).alias("epoch"), F.lit(None).cast("string").alias("error")).agg(F.count("*").alias("n"))
+    return whole.unionByName(cut)
+
+
+def sc12_event_file_epochs(spark, d):
+    """The same scalars' means by epoch, a column for each tag."""
+    e = table(spark, d, "events").where("value IS NOT NULL").select("user_id", "event_id", "event_type", F.round("value", 0).alias("value"))
+    packed = e.groupBy("user_id").agg(_event_file("event_id", "event_type", "value").alias("content"))
+    found = event_files.event_scalars(packed.select(F.col("user_id").cast("string").alias("path"), "content"))
+    rows = scans.scalar_epochs(found, {"click": "train_loss", "view": "lr"}, 500)
+    return rows.select("epoch", *[F.round(c, 6).alias(c) for c in ("train_loss", "lr")])
+
+
+def rc1_comparison(spark, d):
+    """Customers' orders as runs of segments: documents, epochs and extra lines to the 29 columns."""
+    return runs.run_rows(*_run_documents(spark, d))
+
+
+def rc1_aggregates(spark, d):
+    """Means and deviations of the runs' fifteen metrics by model."""
+    rows = runs.aggregates(runs.run_rows(*_run_documents(spark, d)))
+    return rows.select("model", "runs", *[F.round(c, 6).alias(c) for c in rows.columns if c not in ("model", "runs")])
+
+
+def _run_documents(spark, d):
+    """A run a customer: some documents are missing, some figures null or left to the last epoch."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    key = F.col("c_custkey")
+    manifest = F.to_json(F.struct(F.concat(F.lit("run-"), key.cast("string")).alias("run_id"), F.col("c_mktsegment").alias("model"), F.when(key % 5 > 0, "complete").alias("status"), F.struct((key * 100).alias("parameters")).alias("model_details"), F.struct((key % 40 + 42).alias("seed")).alias("protocol"), F.struct(F.sha2(F.col("c_mktsegment"), 256).alias("val_annotation_sha256")).alias("dataset")))
+    figures = F.struct((key % 7 / 8).alias("ap50"), F.when(key % 4 > 0, key % 9 / 16).alias("f1"), (key % 100).alias("tp"))
+    named = lambda kind: F.to_json(F.struct(figures.alias(kind)))
+    metrics = F.when(key % 3 == 0, named("metrics")).when(key % 3 == 1, named("metrics_common"))
+    latency = F.when(key % 6 > 0, F.to_json(F.struct((key % 50 / 4).alias("e2e_p50_ms"), (key % 60 / 2).alias("sustained_fps"))))
+    documents = c.select(key.cast("string").alias("run"), F.when(key % 10 > 0, manifest).alias("manifest"), metrics.alias("metrics"), latency.alias("latency"), F.lit(None).cast("string").alias("gpu"))
+    o = o.withColumn("run", F.col("o_custkey").cast("string"))
+    n = F.col("o_orderkey")
+    epochs = o.select("run", n.alias("epoch"), (n / 4).alias("elapsed_s"), (n % 11 / 16).alias("map50"), (n % 13 / 16).alias("map50_95"), (n % 5 / 8).alias("precision"), (n % 3 / 4).alias("recall"), (n % 17).alias("gpu_peak_allocated_mib"), F.when(n % 2 == 0, n % 19).alias("train_peak_allocated_mib"))
+    extra = o.where("o_orderkey % 3 = 0").select("run", n.alias("line"), (n % 23).alias("epoch_peak_allocated_mib"), F.when(n % 4 == 0, n % 29).alias("train_peak_allocated_mib"))
+    return documents, epochs, extra
+
+
 def sc13_epochs_from_one(spark, d):
     e = table(spark, d, "events").where("event_id < 500").select((F.col("event_id")).cast("string").alias("epoch"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("user_id").cast("string")).alias("train/box_loss"))
     return scans.from_epoch_one(e, {"train/box_loss": "train_box_loss"})
@@ -214,6 +283,16 @@ def pr43_json_leaves(spark, d):
     return numbers.unionByName(texts)
 
 
+_NONE = lambda names, kind="DOUBLE": ", ".join(f"CAST(NULL AS {kind}) AS {n}" for n in names.split())
+_SQL_RUN_ROWS = f"""l AS (SELECT o_custkey AS k, max(o_orderkey) AS n FROM orders GROUP BY 1), x AS (SELECT o_custkey AS k, max(o_orderkey) AS m FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1),
+j AS (SELECT c_custkey AS k, c_mktsegment AS s, c_custkey % 10 > 0 AS told, c_custkey % 3 < 2 AS has, n, m FROM customer LEFT JOIN l ON l.k = c_custkey LEFT JOIN x ON x.k = c_custkey),
+r AS (SELECT CASE WHEN told THEN 'run-' || k ELSE CAST(k AS VARCHAR) END AS run_id, CASE WHEN told THEN s ELSE CAST(k AS VARCHAR) END AS model, CASE WHEN told AND k % 5 > 0 THEN 'complete' ELSE 'unknown' END AS status,
+ n % 13 / 16 AS ap50_95, CASE WHEN has THEN k % 7 / 8 ELSE n % 11 / 16 END AS ap50, {_NONE("ap75 ap_small ap_medium ap_large ar100")}, n % 5 / 8 AS precision, n % 3 / 4 AS recall, CASE WHEN has AND k % 4 > 0 THEN k % 9 / 16 END AS f1,
+ CASE WHEN has THEN k % 100 END AS tp, {_NONE("fp fn", "BIGINT")}, {_NONE("best_f1 best_f1_confidence")}, CASE WHEN told THEN k * 100 END AS params, {_NONE("checkpoint_mib")},
+ CASE WHEN k % 6 > 0 THEN k % 50 / 4 END AS latency_p50_ms, {_NONE("latency_p95_ms")}, CASE WHEN k % 6 > 0 THEN k % 60 / 2 END AS fps,
+ coalesce(CASE WHEN n % 2 = 0 THEN nullif(n % 19, 0) END, CASE WHEN m % 4 = 0 THEN nullif(m % 29, 0) END, nullif(n % 17, 0), nullif(m % 23, 0))::DOUBLE AS peak_gpu_memory_mib, {_NONE("system_peak_gpu_memory_mib")}, n / 4 AS train_elapsed_s,
+ CASE WHEN told THEN k % 40 + 42 END AS seed, CASE WHEN told THEN sha256(s) END AS dataset_sha256, {_NONE("protocol_sha256", "VARCHAR")} FROM j)"""
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("ag", "hs", "pr", "jn", "wn", "rc", "sc", "sm") and k[2].isdigit()}
 
 SQL = {
@@ -254,6 +333,14 @@ UNION ALL SELECT c_custkey, 'c_nationkey', c_nationkey::VARCHAR, '99' FROM custo
     "jn2_manifest": """SELECT r_name, n_name, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
     "jn15_alias_mapping": "SELECT CASE WHEN split_part(p_type, ' ', 1) < 'P' THEN lower(split_part(p_type, ' ', 1)) ELSE 'UNKNOWN' END AS class_name, count(*) AS n FROM part GROUP BY 1",
     "sc12_scalar_epochs": "SELECT event_id // 500 + 1 AS epoch, avg(value) FILTER (event_type = 'click') AS train_loss, avg(value) FILTER (event_type = 'view') AS lr FROM events WHERE event_type IN ('click', 'view') GROUP BY 1",
+    "ag15_exact_percentiles": "SELECT l_returnflag, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice::DOUBLE, 0.95), 6) AS p95, round(quantile_cont(l_extendedprice::DOUBLE, 0.99), 6) AS p99 FROM lineitem GROUP BY 1",
+    "ag13_exact_moments": "SELECT l_returnflag, l_linestatus, m AS metric, count(v) AS n, round(fsum(v), 5) AS sum, round(fsum(v) / count(v), 5) AS mean, round(stddev_samp(v), 5) AS std FROM (SELECT l_returnflag, l_linestatus, unnest(['l_extendedprice', 'l_discount', 'l_tax']) AS m, unnest([l_extendedprice::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE]) AS v FROM lineitem) GROUP BY 1, 2, 3",
+    "sc12_event_files": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events WHERE value IS NOT NULL)
+SELECT event_id // 500 + 1 AS epoch, CAST(NULL AS VARCHAR) AS error, count(*) AS n FROM e WHERE user_id % 9 <> 4 OR back > 1 GROUP BY 1
+UNION ALL SELECT NULL, 'truncated record', count(DISTINCT user_id) FROM e WHERE user_id % 9 = 4 HAVING count(*) > 0""",
+    "sc12_event_file_epochs": "SELECT event_id // 500 + 1 AS epoch, round(avg(round(value, 0)) FILTER (event_type = 'click'), 6) AS train_loss, round(avg(round(value, 0)) FILTER (event_type = 'view'), 6) AS lr FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL GROUP BY 1",
+    "rc1_comparison": f"WITH {_SQL_RUN_ROWS} SELECT * FROM r",
+    "rc1_aggregates": f"WITH {_SQL_RUN_ROWS} SELECT model, count(*) AS runs, {', '.join(f'round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std' for m in runs.AGGREGATED)} FROM r GROUP BY 1",
     "sc13_epochs_from_one": "SELECT CAST(event_id + CASE WHEN (SELECT min(event_id) FROM events) = 0 THEN 1 ELSE 0 END AS INTEGER) AS epoch, CASE WHEN event_id % 3 <> 0 THEN CAST(user_id AS DOUBLE) END AS train_box_loss FROM events WHERE event_id < 500",
     "ag20_progress": "SELECT o_orderpriority, count(*) AS planned, count(*) FILTER (o_orderstatus = 'F') AS complete, count(*) FILTER (o_orderstatus = 'O') AS open FROM orders GROUP BY 1",
     "ag7_prepared_summary": """WITH s AS (SELECT DISTINCT text FROM documents WHERE doc_id % 4 <> 0) SELECT lang, count(*) FILTER (doc_id % 4 <> 0) AS train, count(*) FILTER (doc_id % 4 = 0) AS val,

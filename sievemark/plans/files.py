@@ -9,6 +9,7 @@ import zipfile
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from sievemark.functions import geometry as g
 from sievemark.functions import identity, images, png, text
@@ -217,7 +218,7 @@ def sc3_image_headers(spark, d):
     return rows.withColumn("quality_flags", flags)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _as_png(html: pd.Series, page_id: pd.Series) -> pd.Series:
     """Pages' bytes as images of 32 pixels a row, filled up: coloured, with or without opacity, and interlaced or not."""
 

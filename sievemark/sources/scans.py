@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -65,9 +65,8 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_line_problems(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1), problem: lines that repeat a key of the object, aren't JSON (or repeat a key inside), or are no
-    object. Counting lines takes whole
-    files, so each must fit in a task."""
-    rows = _lines(spark, path).where("trim(value) <> ''")
+    object."""
+    rows = numbered_lines(spark, path).where("trim(value) <> ''")
     parsed = F.try_parse_json("value")
     keys = F.json_object_keys("value")
     why = (
@@ -78,9 +77,16 @@ def json_line_problems(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "line", why.alias("problem")).where("problem is not null")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
-    return whole.select("file", (F.col("at") + 1).alias("line"), "value")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of every line of text files, blank ones too; a file may be in any number of splits.
+
+    A line is in the split in which it begins, and a split's lines follow one another in a task. So its number is its
+    place in its split, and how many lines the file's splits before have: a count for each split is all that is shuffled."""
+    base = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("at"))
+    counts = base.groupBy("file", "split").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file", "split", (F.col("first") - before).alias("start"))
+    return base.join(starts, ["file", "split"]).select("file", (F.col("at") - F.col("start") + 1).alias("line"), "value")
 
 
 def archives(spark: SparkSession, path: str, most_held: int = 1 << 30) -> DataFrame:
