@@ -29,10 +29,12 @@ def pr3_split_of_path(spark, d):
 
 
 def pr10_round_trip_boxes(spark, d):
-    """Boxes that went through unit centres and back: whether they are within a tolerance that grows with the image."""
+    """Boxes that went through unit centres and back, every third moved a little: whether they are within a tolerance that
+    grows with the image."""
     unit = g.to_unit_centre(g.box("x", "y", "w", "h"), F.lit(64.0), F.lit(48.0))
     b = _boxes(spark, d).select("id", "x", "y", "w", "h", *[c.alias(f"u{i}") for i, c in enumerate(unit)])
-    back = [(F.col("u0") - F.col("u2") / 2) * 64, (F.col("u1") - F.col("u3") / 2) * 48, F.col("u2") * 64, F.col("u3") * 48]
+    moved = F.when(F.col("id") % 3 == 2, 8e-5).otherwise(F.col("id") % 3 * 3e-5)
+    back = [(F.col("u0") - F.col("u2") / 2) * 64 + moved, (F.col("u1") - F.col("u3") / 2) * 48, F.col("u2") * 64, F.col("u3") * 48]
     off = F.greatest(*[F.abs(x - F.col(c)) for x, c in zip(back, ("x", "y", "w", "h"), strict=True)])
     return b.select("id", (off <= 1e-6 * 64).alias("same"))
 
@@ -212,9 +214,11 @@ def rc13_published_tree(spark, d):
 
 
 def rc15_rationale(spark, d):
-    """A nested protocol as rows of name and text."""
-    raw = F.lit('{"epochs": 100, "batch": 8, "seeds": "42,43"}')
-    return spark.range(1).select(F.explode(F.from_json(raw, "map<string,string>")).alias("name", "value"))
+    """Nested protocols (a part's fields) as rows of name and text."""
+    p = table(spark, d, "part")
+    protocols = p.select("p_partkey", F.to_json(F.struct(F.col("p_size").alias("epochs"), F.col("p_brand").alias("batch"), F.struct(F.col("p_type").alias("kind")).alias("data"))).alias("j"))
+    rows = protocols.select("p_partkey", F.explode(F.from_json("j", "map<string,string>")).alias("name", "value"))
+    return rows.select("p_partkey", "name", F.coalesce(F.get_json_object("value", "$.kind"), "value").alias("value"))
 
 
 def rc23_formal_evaluation(spark, d):
@@ -249,7 +253,7 @@ SELECT 'not_from_test' AS rule, category AS key FROM a WHERE category = 'click'
     "cn12_promotion_gate": """SELECT lang, CASE WHEN doc_id % 9 = 0 THEN 'undecided' WHEN doc_id % 30 = 2 THEN 'decided_twice' WHEN doc_id % 6 = 1 THEN 'rejected' ELSE 'promoted' END AS outcome, count(*) AS n FROM documents GROUP BY 1, 2""",
     "pr2_source_of_path": "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'local' ELSE source END AS source_name FROM documents",
     "pr3_split_of_path": "SELECT doc_id, ['train', 'val', 'test', 'UNASSIGNED'][doc_id % 4 + 1] AS split FROM documents",
-    "pr10_round_trip_boxes": f"WITH {SQL_BOXES} SELECT id, TRUE AS same FROM b",
+    "pr10_round_trip_boxes": f"WITH {SQL_BOXES}, m AS (SELECT *, ((x + w / 2) / 64 - w / 64 / 2) * 64 + CASE id % 3 WHEN 2 THEN 8e-5 WHEN 1 THEN 3e-5 ELSE 0 END AS x2, ((y + h / 2) / 48 - h / 48 / 2) * 48 AS y2 FROM b) SELECT id, greatest(abs(x2 - x), abs(y2 - y)) <= 64e-6 AS same FROM m",
     "pr12_iou_xyxy": f"WITH {SQL_BOXES} SELECT id, {_MOVED} / (2 * w * h - {_MOVED}) AS iou FROM b",
     "pr13_iou_xywh": f"WITH {SQL_BOXES} SELECT id, {_MOVED} / (2 * w * h - {_MOVED}) AS iou FROM b",
     "pr37_output_split": "SELECT doc_id, CASE WHEN lang = 'de' THEN 'train' ELSE source END AS split FROM documents",
@@ -279,7 +283,7 @@ SELECT unnest(['test', 'train', 'val']) AS part, unnest([CASE WHEN t = 0 THEN 'm
     "rc12_public_scan": """SELECT 'safe_path' AS rule, CAST(page_id AS VARCHAR) AS key FROM pages WHERE page_id % 10 = 3
 UNION ALL SELECT 'no_local_path', CAST(page_id AS VARCHAR) FROM pages WHERE page_id % 8 = 1 UNION ALL SELECT 'not_empty', CAST(page_id AS VARCHAR) FROM pages WHERE html IS NULL OR length(html) = 0""",
     "rc13_published_tree": """SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 70 = 6 THEN 'unexpected' ELSE 'missing' END AS problem FROM documents WHERE (doc_id % 70 = 6) <> (doc_id % 80 = 9)""",
-    "rc15_rationale": "SELECT * FROM (VALUES ('epochs', '100'), ('batch', '8'), ('seeds', '42,43')) t(name, value)",
+    "rc15_rationale": "SELECT p_partkey, unnest(['epochs', 'batch', 'data']) AS name, unnest([CAST(p_size AS VARCHAR), p_brand, p_type]) AS value FROM part",
     "rc23_formal_evaluation": "SELECT DISTINCT event_type AS model, CASE WHEN event_type IN ('click', 'view') THEN 'FAIL' ELSE 'PASS' END AS status FROM events",
     "sk7_original_coco": f"WITH {SQL_BOXES} SELECT category, id AS box, image_id, w * h AS area, row_number() OVER (PARTITION BY category ORDER BY b.id) AS id FROM b",
     "sk8_pending_coco": "SELECT 'pending' AS status, page_id, sha256(html) AS sha256, row_number() OVER (ORDER BY page_id) AS id FROM pages",

@@ -63,13 +63,20 @@ def ag16_device_summary(spark, d):
     return monitors.device_summary(table(spark, d, "events").withColumn("camera", F.col("user_id") % 5), "camera", "ts", "value", "1 day")
 
 
+def _frames(spark, d):
+    e = table(spark, d, "events")
+    return e.select((F.col("user_id") % 5).alias("camera"), F.col("event_id").alias("frame"), F.col("value").alias("latency_ms"))
+
+
 def sm1_measured_frames(spark, d):
     """Batch form: frames after the first five of each camera."""
-    from pyspark.sql import Window
+    return compare.latency_summary(monitors.frames_behind_warmup(_frames(spark, d), 5), "camera", "latency_ms")
+
 
-    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("camera"), "event_id", "value")
-    rows = e.withColumn("frame", F.row_number().over(Window.partitionBy("camera").orderBy("event_id")))
-    return compare.latency_summary(rows.where("frame > 5"), "camera", "value")
+def sm1_collection_gate(spark, d):
+    """Which users have frames enough behind their warm-up."""
+    frames = _frames(spark, d).drop("camera").join(table(spark, d, "events").select(F.col("event_id").alias("frame"), F.col("user_id").alias("camera")), "frame")
+    return monitors.collection_gate(frames, 3, 30)
 
 
 def sm3_new_items(spark, d):
@@ -308,6 +315,8 @@ FROM long a JOIN long b USING (seed, metric) WHERE a.model = 'click' AND b.model
     "ag16_device_summary": "SELECT user_id % 5 AS camera, date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS n, max(value) AS max_value, avg(value) AS mean_value FROM events GROUP BY 1, 2",
     "sm1_measured_frames": """WITH r AS (SELECT user_id % 5 AS camera, value, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS frame FROM events)
 SELECT camera, count(value) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, count(value) * 1000.0::DOUBLE / sum(value) AS fps FROM r WHERE frame > 5 GROUP BY 1""",
+    "sm1_collection_gate": """WITH r AS (SELECT user_id AS camera, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS frame FROM events)
+SELECT camera, count(*) AS frames, count(value) FILTER (frame > 3) AS measured, CASE WHEN count(value) FILTER (frame > 3) >= 30 THEN 'PASS' ELSE 'FAIL' END AS status FROM r GROUP BY 1""",
     "sm3_new_items": "SELECT md5(text) AS item, doc_id FROM documents WHERE doc_id >= 500 AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id < 500)",
     "sm5_epoch_means": "SELECT event_type, event_id // 1000 AS epoch, count(*) AS n, avg(value) AS mean_value FROM events GROUP BY 1, 2",
     "ag18_array_stats": """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT vec_id, count(*) AS numel, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS min, max(v) AS max, sqrt(sum(v * v)) AS l2 FROM e GROUP BY 1""",

@@ -121,6 +121,24 @@ def cn20_resume_problems(spark, d):
     return gates.resume_problems(records, files, "board").groupBy("field").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
 
 
+def rc23_evaluation_problems(spark, d):
+    """An evaluation for each segment's customers: its fields come from them, its artifacts are their orders' clerks."""
+    c = table(spark, d, "customer").withColumn("split", F.concat_ws("/", F.when(F.col("c_custkey") % 4 == 0, "val").otherwise("test"), "c_mktsegment", (F.col("c_custkey") % 7).cast("string")))
+    n, k = F.col("n"), F.col("k")
+    e = c.groupBy("split").agg(F.count("*").alias("n"), F.max("c_custkey").alias("k"))
+    pairs = lambda x: F.create_map(*[y for name, v in x.items() for y in (F.lit(name), v)])
+    passed = lambda by: F.when(k % by > 0, "PASS").otherwise("FAIL")
+    evaluations = e.select(
+        "split", F.when(n % 5 > 0, 1).otherwise(2).alias("schema_version"), passed(6).alias("status"), F.lit("formal").alias("mode"), F.when(n % 4 > 0, "onnx").otherwise("torch").alias("framework"), F.lit("fixed_batch1_fp32_onnxruntime").alias("profile"),
+        pairs({"protocol_binding": passed(8), "split_binding": F.lit("PASS")}).alias("bindings"), F.sha2(F.when(n % 3 > 0, "split").otherwise(""), 256).alias("assignment_sha256"), F.when(k % 9 > 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"))).alias("names"),
+        pairs({"batch": F.when(k % 5 > 0, "1").otherwise("2")}).alias("protocol"), (n - F.when(k % 11 == 0, 1).otherwise(0)).alias("image_count"),
+    )
+    artifacts = c.select("split", F.lit("image").alias("name"), F.col("c_custkey").cast("string").alias("path"), F.sha2("c_name", 256).alias("sha256"))
+    found = F.when(F.col("c_custkey") % 50 == 3, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("c_name", 256))
+    files = c.where("c_custkey % 40 <> 9").select(F.col("c_custkey").cast("string").alias("path"), found.alias("sha256"), (F.col("c_custkey") % 60 == 5).alias("generated"))
+    return gates.evaluation_problems(evaluations, {"framework": "onnx", "names": ["a", "b"], "protocol": {"batch": "1"}}, artifacts, files).groupBy("split", "field").agg(F.count("*").alias("problems"))
+
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("rc", "cn") and k[2].isdigit()}
 
 _FIELDS = ["epochs", "batch", "amp", "test_sha256"]
@@ -194,4 +212,9 @@ f AS (SELECT split, 'validation_candidate' AS field FROM e WHERE split = 'val' A
 UNION ALL SELECT split, 'test_threshold_file' FROM e WHERE split = 'test' AND n % 5 = 0 UNION ALL SELECT split, 'test_best_f1' FROM e WHERE split = 'test' AND m % 7 > 3
 UNION ALL SELECT split, unnest(['test_calibration', 'test_class_calibration']) FROM e WHERE split = 'test' AND m % 5 = 0 UNION ALL SELECT split, 'test_calibration_targets' FROM e WHERE split = 'test' AND n % 3 = 0)
 SELECT split, field, count(*) AS n FROM f GROUP BY 1, 2""",
+    "rc23_evaluation_problems": """WITH c AS (SELECT *, CASE WHEN c_custkey % 4 = 0 THEN 'val' ELSE 'test' END || '/' || c_mktsegment || '/' || c_custkey % 7 AS split FROM customer), e AS (SELECT split, count(*) AS n, max(c_custkey) AS k,
+ count(*) FILTER (c_custkey % 60 = 5 OR c_custkey % 40 = 9) AS made FROM c GROUP BY 1)
+SELECT split, unnest(list_filter([CASE WHEN n % 5 = 0 THEN 'schema_version' END, CASE WHEN k % 6 = 0 THEN 'status' END, CASE WHEN n % 4 = 0 THEN 'framework' END, CASE WHEN k % 8 = 0 THEN 'protocol_binding' END,
+ CASE WHEN k % 9 = 0 THEN 'category_names' END, CASE WHEN k % 5 = 0 THEN 'protocol:batch' END, CASE WHEN k % 11 = 0 THEN 'image_count' END, CASE WHEN made > 0 THEN 'generated_images' END], lambda x: x IS NOT NULL)) AS field, CAST(1 AS BIGINT) AS problems FROM e
+UNION ALL SELECT split, 'artifact:image', count(*) FROM c WHERE c_custkey % 40 = 9 OR c_custkey % 50 = 3 GROUP BY 1""",
 }

@@ -181,8 +181,9 @@ def cn15_proposal_rules(spark, d):
 
 
 def cn19_calibration(spark, d):
-    """A threshold table from JSON, with entries out of range marked."""
-    raw = spark.range(1).select(F.lit('{"click": 0.6, "view": 1.3, "__global__": 0.5}').alias("j"))
+    """A threshold table from the JSON of each source's share of quality, with entries out of range marked."""
+    shares = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("source").agg((F.sum("quality") * 2 / F.count("*")).alias("t"))
+    raw = shares.select(F.to_json(F.create_map("source", "t")).alias("j"))
     return raw.select(F.explode(F.from_json("j", "map<string,double>")).alias("class_name", "threshold")).withColumn("valid", F.col("threshold").between(0, 1))
 
 
@@ -314,7 +315,7 @@ SELECT r2.*, small, medium, large FROM r2 JOIN z USING (category)""",
     "cn2_yolo_records": f"""WITH {SQL_BOXES} SELECT CAST(image_id AS VARCHAR) AS image_key, 'class_' || (id % 6) AS class_name, {', '.join(f"{_DEC(c, 0)} AS {c}" for c in ("x", "y", "w", "h"))} FROM b""",
     "cn14_group_cover": "SELECT doc_id, CAST((doc_id % 9 <> 0)::INT + (doc_id % 40 = 1)::INT AS BIGINT) AS n FROM documents WHERE n_chars > 500 AND (doc_id % 9 <> 0)::INT + (doc_id % 40 = 1)::INT <> 1",
     "cn15_proposal_rules": f"""WITH {SQL_BOXES}, p AS (SELECT * FROM b WHERE NOT is_gt) SELECT rule, count(*) AS n FROM (SELECT 'score_below_one' AS rule FROM p WHERE score >= 1 UNION ALL SELECT 'inside' FROM p WHERE x + w > 42 UNION ALL SELECT 'known_class' FROM p WHERE category NOT IN ('click', 'view', 'purchase')) GROUP BY 1""",
-    "cn19_calibration": "SELECT * FROM (VALUES ('click', 0.6::DOUBLE, TRUE), ('view', 1.3::DOUBLE, FALSE), ('__global__', 0.5::DOUBLE, TRUE)) t(class_name, threshold, valid)",
+    "cn19_calibration": "SELECT source AS class_name, sum(quality) * 2 / count(*) AS threshold, sum(quality) * 2 / count(*) BETWEEN 0 AND 1 AS valid FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "cn20_resume_rules": """SELECT 'repeated_sha' AS rule, md5(text) AS key FROM documents GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'repeated_path', source || '/' || (doc_id // 2) FROM documents GROUP BY 2 HAVING count(*) > 1""",
     "rc1_run_table": f"WITH {_SQL_RUNS} SELECT model, seed, {', '.join(METRICS)}, {', '.join(f'{m} - avg({m}) OVER (PARTITION BY model) AS {m}_offset' for m in METRICS)} FROM runs",
     "rc4_provenance": "WITH p AS (SELECT p_type, p_size, min(p_brand) AS blob FROM part GROUP BY 1, 2) SELECT p_type, count(DISTINCT blob) AS blobs, count(*) AS commits FROM p GROUP BY 1 HAVING count(DISTINCT blob) > 1",

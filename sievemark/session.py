@@ -31,8 +31,12 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and all tasks run in this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if not found and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or _own_folder()).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -174,8 +175,13 @@ def from_epoch_one(rows: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def write_new(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Write where nothing is yet; AnalysisException otherwise."""
-    df.write.mode("errorifexists").format(kind).save(path)
+    """Write where nothing is yet, or where the same rows are already, in any order; AnalysisException otherwise."""
+    try:
+        df.write.mode("errorifexists").format(kind).save(path)
+    except AnalysisException:
+        there = df.sparkSession.read.schema(df.schema).format(kind).load(path)
+        if not (df.exceptAll(there).isEmpty() and there.exceptAll(df).isEmpty()):
+            raise
 
 
 def write_ordered_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -46,3 +46,20 @@ def measured_frames(frames: DataFrame, warmup: int) -> DataFrame:
 
     rows = frames.select(F.col("camera").cast("long"), F.col("frame").cast("long"), F.col("latency_ms").cast("double"))
     return rows.groupBy("camera").applyInPandasWithState(after, "camera long, frame long, latency_ms double", "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def frames_behind_warmup(frames: DataFrame, warmup: int) -> DataFrame:
+    """The rows of a table of camera, frame and more without the first `warmup` of each camera: what measured_frames leaves
+    out of a stream. Only the first frames of a camera are put in order, so a camera with most of the rows is no harder."""
+    order = Window.partitionBy("camera").orderBy("frame")
+    first = frames.select("camera", "frame").withColumn("place", F.row_number().over(order)).where(F.col("place") <= warmup)
+    last = first.groupBy("camera").agg(F.max("frame").alias("__last"))
+    return frames.join(last, "camera").where(F.col("frame") > F.col("__last")) if warmup > 0 else frames
+
+
+def collection_gate(frames: DataFrame, warmup: int, least: int) -> DataFrame:
+    """camera, frames, measured, status: PASS if at least `least` frames with a latency lie behind the warm-up."""
+    counts = frames.groupBy("camera").agg(F.count("*").alias("frames"))
+    measured = frames_behind_warmup(frames, warmup).groupBy("camera").agg(F.count("latency_ms").alias("measured"))
+    both = counts.join(measured, "camera", "left").withColumn("measured", F.coalesce("measured", F.lit(0).cast("long")))
+    return both.withColumn("status", F.when(F.col("measured") >= least, "PASS").otherwise("FAIL"))
