@@ -110,7 +110,8 @@ def pack(parts: DataFrame, capacity: int = 1024, group: int = 20_000, rounds: in
         part = int(key[0])
         return rows.assign(part=part, bin=bins, offset=offsets, fill=np.bincount(bins, lengths, count).astype(np.int64)[bins], gap=count - bin_bound(lengths, capacity))
 
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # By their places in the table, so that repeated pieces, too, are dealt to all groups, and none has over 2 ** 20.
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     now = written(dealt.groupBy("part").applyInPandas(first, shape), "packed")
     done = []
     for k in range(1, rounds + 1):

@@ -67,11 +67,16 @@ class RunTable:
         self.keys = [np.zeros(slots, np.uint64) for _ in range(3)]
         self.entry = np.full(slots, -1, np.int32)
         self.long: dict[str, int] = {}
+        self.long_bytes = 0
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def __len__(self) -> int:
         return len(self.starts) - 1
 
+    def held(self) -> int:
+        """Bytes of ids and of long runs."""
+        return self.ids.nbytes + self.long_bytes
+
     def _home(self, keys: tuple[np.ndarray, ...]) -> np.ndarray:
         x = (keys[0] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (keys[2] * np.uint64(0x165667B19E3779F9))
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -134,17 +139,18 @@ class Encoder:
     and around a newline between visible characters; and it parts letters from marks. So the ids of a text are those of
     its runs in a row, and those of a run of letters and marks are those of the letters and the marks. Each different
     stem goes through the library once, many in one call; ids of known runs are looked up and gathered. A text with other
-    white space than that goes through it as a whole, and so does one with an added token's content. Known runs are in two
-    tables: when one has more than `most`, it becomes the old one, from which what is met again moves to a new one."""
+    white space than that goes through it as a whole, and so does one with an added token's content, or with a run of over
+    `longest` bytes, which isn't worth being remembered. Known runs are in two tables: when one has more than `most`, or holds
+    more than most_bytes, it becomes the old one, from which what is met again moves to a new one."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, most_bytes: int = 32 << 20, longest: int = 1024):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # What the library finds in a text before it splits it: a text with one of these goes through it whole.
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.table, self.old = most, RunTable(), RunTable()
+        self.most, self.most_bytes, self.longest, self.table, self.old = most, most_bytes, longest, RunTable(), RunTable()
         self.newline = self.whole("\n")
         self.line = int(np.frombuffer(self.newline, "<u4")[0])
         self.by_runs = len(self.newline) == 4 and not any(c.isspace() for x in self.added for c in x)
@@ -226,9 +232,20 @@ class Encoder:
             of, fresh, ids = np.zeros(len(names), np.int32), np.arange(len(names)), self.learn(names)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         of[fresh] = table.add(tuple(x[fresh] for x in keys), np.frombuffer(b"".join(ids), "<u4"), sizes)
-        table.long.update((names[k], int(of[k])) for k in fresh.tolist() if keys[2][k] == 0)
+        long = [k for k in fresh.tolist() if keys[2][k] == 0]
+        table.long.update((names[k], int(of[k])) for k in long)
+        table.long_bytes += sum(100 + 4 * len(names[k]) for k in long)
         return of
 
+    def _runs(self, texts: pa.Array, odd: np.ndarray) -> tuple[Runs, np.ndarray]:
+        """Runs of the texts that aren't odd, and each text's first one (and how many there are)."""
+        none, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+        # Each text gets a newline before it, whose id makes room for the end id of the text before.
+        lines = pc.binary_join_element_wise(line, pc.if_else(pa.array(odd), none, texts), none)
+        offsets = np.frombuffer(lines.buffers()[1], np.int64, len(lines) + 1, 8 * lines.offset)
+        runs = Runs(np.frombuffer(lines.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+        return runs, np.append(np.searchsorted(runs.first, offsets[:-1] - offsets[0] + 1), len(runs.first))
+
     def encode(self, texts: pa.Array, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), with the end id behind each, and where each text begins in them (and all end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -238,14 +255,14 @@ class Encoder:
         for x in self.added:
             odd = pc.or_(odd, pc.match_substring(texts, x))
         odd = odd.to_numpy(zero_copy_only=False) if self.by_runs else np.ones(len(texts), bool)
-        if len(self.table) > self.most:
+        if len(self.table) > self.most or self.table.held() > self.most_bytes:
             self.table, self.old = RunTable(), self.table
-        none, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
-        # Each text gets a newline before it, whose id makes room for the end id of the text before.
-        lines = pc.binary_join_element_wise(line, pc.if_else(pa.array(odd), none, texts), none)
-        offsets = np.frombuffer(lines.buffers()[1], np.int64, len(lines) + 1, 8 * lines.offset)
-        runs = Runs(np.frombuffer(lines.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
-        first = np.append(np.searchsorted(runs.first, offsets[:-1] - offsets[0] + 1), len(runs.first))
+        runs, first = self._runs(texts, odd)
+        huge = np.flatnonzero(runs.last - runs.first > self.longest)
+        if len(huge):
+            odd = odd.copy()
+            odd[np.searchsorted(first, huge, side="right") - 1] = True
+            runs, first = self._runs(texts, odd)
         entry = self._entries(runs).astype(np.int64)
         store, starts = self.table.ids, self.table.starts
         at = np.flatnonzero(odd)

@@ -181,3 +181,29 @@ def test_added_tokens_are_those_of_a_fresh_tokenizer():
     added = [x.content for x in FRESH.get_added_tokens_decoder().values()]
     texts = [y for x in added for y in (x, f"some text {x} and more", f"a{x}b\n{x}", f"{x[:-1]} {x[1:]}")] + TEXTS
     assert added and encoded(texts) == [[*plain_ids(x), 2] for x in texts]
+
+
+def test_texts_without_spaces_take_bounded_memory():
+    rng = np.random.default_rng(4)
+    some = Encoder(default_tokenizer())
+    alphabet = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+    for k in range(12):
+        texts = [alphabet[rng.integers(0, 64, 200_000)].tobytes().decode(), f"a b {k}", "x" * 3000 + " y"]
+        ids, bounds = some.encode(pa.array(texts))
+        assert [ids[i:j].tolist() for i, j in zip(bounds, bounds[1:], strict=False)][1:] == [[*plain_ids(x), 2] for x in texts[1:]]
+        assert ids[bounds[0] : bounds[1]].tolist() == [*plain_ids(texts[0]), 2]
+    assert some.table.held() + some.old.held() < 1 << 20 and len(some.table) < 200
+    few = Encoder(default_tokenizer(), most_bytes=1 << 16)
+    for k in range(40):
+        text = " ".join(alphabet[rng.integers(0, 64, 600)].tobytes().decode() for _ in range(20))
+        ids, _ = few.encode(pa.array([text]))
+        assert ids.tolist() == [*plain_ids(text), 2]
+    assert few.table.held() + few.old.held() < 1 << 20
+
+
+def test_repeated_pieces_are_dealt_to_all_groups(spark):
+    pieces = spark.range(6000).selectExpr("CAST(NULL AS LONG) AS doc_id", "0 AS piece", "CAST(0 AS LONG) AS start", "CAST(300 AS LONG) AS length", "CAST(7 AS LONG) AS ids_crc32")
+    rows = packing.pack(pieces, group=500)
+    assert _is_packed(rows.collect(), 1024) <= 2000 + 12
+    parts = rows.selectExpr("sequence_id >> 20 AS part").groupBy("part").count().collect()
+    assert len(parts) > 5 and max(r["count"] for r in parts) < 3000
