@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemark.operators.running import in_ranges, running
 from sievemark.session import written
 
 
@@ -60,3 +61,40 @@ def walk_down(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
             break
         seen = seen.unionByName(front)
     return seen
+
+
+def walk_files(members: DataFrame, root: str, depth: int, most: int) -> DataFrame:
+    """file, place (from 1): the first `most` files below a root as a queue meets them, down to `depth` categories.
+
+    members: parent, position (unique within a parent), child, is_file. A queue visits categories level by level, each once,
+    in the order of their first mention: by the place of the category that names them, then by position. Files are met in the
+    same order, and the first mention counts. So each level's categories are numbered behind those before, a level's files
+    are told from those met already, and the walk ends where there are enough of them; a running count cuts the last level."""
+    spark = members.sparkSession
+    if most < 1:
+        return spark.createDataFrame([], "file string, place long")
+    members = members.select("parent", F.col("position").cast("long").alias("position"), "child", "is_file")
+    front = spark.createDataFrame([(root, 1)], "node string, place long")
+    seen, files, visited, met = front, None, 1, 0
+    first = F.min(F.struct("place", "position")).alias("at")
+    order = [("by", True), ("position", True)]
+    for level in range(depth + 1):
+        named = members.join(front.withColumnRenamed("node", "parent"), "parent")
+        new = named.where("is_file").groupBy(F.col("child").alias("file")).agg(first).select("file", F.lit(level).alias("level"), F.col("at.place").alias("by"), F.col("at.position").alias("position"))
+        new = written(new if files is None else new.join(files.select("file"), "file", "left_anti"), "files")
+        files = new if files is None else files.unionByName(new)
+        met += new.count()
+        if met >= most or level == depth:
+            break
+        below = named.where("NOT is_file").groupBy(F.col("child").alias("node")).agg(first).select("node", F.col("at.place").alias("by"), F.col("at.position").alias("position"))
+        below = below.join(seen.select("node"), "node", "left_anti")
+        numbered = running(in_ranges(below, [], order), [], order, {"place": F.lit(1).cast("long")})
+        front = written(numbered.select("node", (F.col("place") + visited).alias("place")), "front")
+        more = front.count()
+        if not more:
+            break
+        visited += more
+        seen = seen.unionByName(front)
+    order = [("by", True), ("position", True)]  # categories' places rise over the levels
+    counted = running(in_ranges(files, [], order), [], order, {"place": F.lit(1).cast("long")})
+    return counted.where(F.col("place") <= most).select("file", "place")

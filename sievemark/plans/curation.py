@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievemark.functions import geometry as g
 from sievemark.functions import identity, text
-from sievemark.operators import canonical, compare, duplicates, graph, review, splits
+from sievemark.operators import canonical, compare, duplicates, graph, inventory, review, splits
 from sievemark.session import table
 
 # Projections of the test tables onto files, hashes and groups; the same in SQL below.
@@ -158,6 +158,29 @@ def sc17_category_walk(spark, d):
     return graph.walk_down(edges, p.select(F.min("p_brand").alias("node")), 3)
 
 
+def sc17_capped_walk(spark, d):
+    """The first 700 parts that a queue meets below a brand: sizes and types, which lead back, name parts as they go."""
+    p = table(spark, d, "part")
+    size, n = F.concat(F.lit("s"), F.col("p_size").cast("string")), F.col("p_partkey") * 5
+    edge = lambda parent, k, child, is_file: p.select(parent.alias("parent"), (n + k).alias("position"), child.alias("child"), F.lit(is_file).alias("is_file"))
+    brand, kind, name = F.col("p_brand"), F.col("p_type"), F.concat(F.col("p_partkey").cast("string"), F.lit(".png"))
+    members = edge(brand, 0, size, False).union(edge(size, 1, kind, False)).union(edge(kind, 2, brand, False)).union(edge(size, 3, name, True)).union(edge(kind, 4, name, True))
+    return graph.walk_files(members, "Brand#1", 2, 700)
+
+
+def rc13_tree_differences(spark, d):
+    """Documents as files of a tree, and the same tree with some missing, some changed and some more."""
+    rows = _docs(spark, d).select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.col("n_chars").alias("bytes"))
+    other = rows.where("doc_id % 70 <> 6").withColumn("sha256", F.when(F.col("doc_id") % 90 == 1, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    return inventory.file_differences(inventory.tree(rows.where("doc_id % 80 <> 9")), inventory.tree(other))
+
+
+def rc10_tree(spark, d):
+    """Folders of documents with their numbers of files and bytes."""
+    rows = _docs(spark, d).select(F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.col("n_chars").alias("bytes"))
+    return inventory.tree(rows).where("NOT is_file").select("path", "depth", "files", "bytes")
+
+
 def jn8_missing_unexpected(spark, d):
     return compare.set_difference(_docs(spark, d).where("doc_id % 3 <> 0"), table(spark, d, "labels"), "doc_id")
 
@@ -417,7 +440,7 @@ _DEC = lambda c, total: f"CAST(round_even(CAST({c} AS DECIMAL(28,12)), 3) AS DEC
 _SQL_COCO = f"""{SQL_BOXES}, im AS (SELECT DISTINCT image_id AS id FROM b WHERE image_id % 9 <> 0),
 rec AS (SELECT image_id || '.png' AS image_key, 'class_' || (b.id % 7) AS class_name, {", ".join(f"{_DEC(f'({c} + 0.00049::DOUBLE)', 0)} AS {c}" for c in ("x", "y", "w", "h"))} FROM b JOIN im ON im.id = b.image_id WHERE b.id % 7 < 6)"""
 
-QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("ag", "hs", "pr", "jn", "wn", "gr", "sc", "st", "ev", "sk", "cn") and k[2].isdigit()}
+QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("ag", "hs", "pr", "jn", "wn", "gr", "sc", "st", "ev", "sk", "cn", "rc") and k[2].isdigit()}
 
 SQL = {
     "pr31_url_rules": """WITH u AS (SELECT page_id, length(html) AS n, regexp_extract(url, '^https?://([^/]*)', 1) AS host FROM pages)
@@ -447,6 +470,16 @@ SELECT least(a.split, b.split) || '__' || greatest(a.split, b.split) AS splits,
     "gr2_allocation": f"""WITH al0 AS (SELECT source || ',' || lang AS k, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 3), {_sql_allocation("n", {"train": 0.7, "val": 0.2, "test": 0.1})}
 SELECT split_part(k, ',', 1) AS source, split_part(k, ',', 2) AS lang, n, c0 AS train, c1 AS val, c2 AS test FROM al5""",
     "gr3_group_split": f"WITH {_SQL_SPLIT} SELECT * FROM assigned",
+    "sc17_capped_walk": """WITH e AS (SELECT p_brand AS parent, p_partkey * 5 AS pos, 's' || p_size AS child, FALSE AS f FROM part UNION ALL SELECT 's' || p_size, p_partkey * 5 + 1, p_type, FALSE FROM part UNION ALL SELECT p_type, p_partkey * 5 + 2, p_brand, FALSE FROM part
+ UNION ALL SELECT 's' || p_size, p_partkey * 5 + 3, p_partkey || '.png', TRUE FROM part UNION ALL SELECT p_type, p_partkey * 5 + 4, p_partkey || '.png', TRUE FROM part),
+c0 AS (SELECT 'Brand#1' AS node, 1 AS ord), c1 AS (SELECT child AS node, 1 + row_number() OVER (ORDER BY min(pos)) AS ord FROM e WHERE parent = 'Brand#1' AND NOT f AND child <> 'Brand#1' GROUP BY 1),
+b2 AS (SELECT child AS node, min(row(ord, pos)) AS spot FROM e JOIN c1 ON parent = node WHERE NOT f AND child <> 'Brand#1' AND child NOT IN (SELECT node FROM c1) GROUP BY 1),
+c2 AS (SELECT node, (SELECT count(*) + 1 FROM c1) + row_number() OVER (ORDER BY spot) AS ord FROM b2), c AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2),
+m AS (SELECT child AS file, min(row(ord, pos)) AS spot FROM e JOIN c ON parent = node WHERE f GROUP BY 1)
+SELECT file, place FROM (SELECT file, row_number() OVER (ORDER BY spot) AS place FROM m) WHERE place <= 700""",
+    "rc13_tree_differences": """SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, CASE WHEN doc_id % 70 = 6 THEN 'missing' WHEN doc_id % 80 = 9 THEN 'unexpected' ELSE 'changed' END AS problem FROM documents
+WHERE doc_id % 70 = 6 AND doc_id % 80 <> 9 OR doc_id % 80 = 9 AND doc_id % 70 <> 6 OR doc_id % 90 = 1 AND doc_id % 70 <> 6 AND doc_id % 80 <> 9""",
+    "rc10_tree": "SELECT '' AS path, 0 AS depth, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents UNION ALL SELECT source, 1, count(*), CAST(sum(n_chars) AS BIGINT) FROM documents GROUP BY 1 UNION ALL SELECT source || '/' || lang, 2, count(*), CAST(sum(n_chars) AS BIGINT) FROM documents GROUP BY 1",
     "gr4_split_audit": f"""WITH al0 AS (SELECT c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1), {_sql_allocation("n", splits.RATIOS)}
 SELECT k AS model, CAST(c0 AS BIGINT) AS train, CAST(c1 AS BIGINT) AS val, CAST(c2 AS BIGINT) AS test, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS spread FROM al5""",
     "ag6_mixed_groups": "SELECT source AS group_id, count(DISTINCT lang) AS n_models FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1",
