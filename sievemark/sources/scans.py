@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -142,6 +143,43 @@ def texts_of(found: DataFrame, suffix: str) -> DataFrame:
     return found.join(bad, "path", "left_anti").select("path", "content").mapInPandas(read, "archive string, member string, text string")
 
 
+def member_contents(found: DataFrame, wanted: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
+    """archive, member, content, error of the wanted members (archive, member, size: see members_of) of archives (path,
+    content).
+
+    Members are dealt to tasks of about task_bytes each, so that a large archive is many tasks' work, and none opens more of
+    it than its own members. A member is inflated in steps, and given up where it has more bytes than a member may have, or
+    than its packed ones allow, whatever its header says."""
+    order = Window.partitionBy("archive").orderBy("member").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = wanted.select("archive", "member", "size").withColumn("task", F.floor(F.coalesce(F.sum("size").over(order), F.lit(0)) / task_bytes))
+    work = dealt.groupBy("archive", "task").agg(F.sort_array(F.collect_list("member")).alias("members"))
+    joined = work.join(found.select(F.col("path").alias("archive"), "content"), "archive")
+
+    def inflated(own: zipfile.ZipFile, member: str) -> tuple[bytes | None, str | None]:
+        info, out = own.getinfo(member), bytearray()
+        most = min(MOST_MEMBER_BYTES, MOST_RATIO * info.compress_size)
+        with own.open(info) as stream:
+            while part := stream.read(1 << 20):
+                out += part
+                if len(out) > most:
+                    return None, "too_many_bytes"
+        return bytes(out), None
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, members, content in zip(batch["archive"], batch["members"], batch["content"], strict=True):
+                with _opened(name, content) as own:
+                    names = {x.replace("\\", "/"): x for x in own.namelist()}
+                    for member in members:
+                        try:
+                            data, error = inflated(own, names[member])
+                        except (KeyError, zipfile.BadZipFile, EOFError, zlib.error, RuntimeError, NotImplementedError) as e:
+                            data, error = None, type(e).__name__
+                        yield pd.DataFrame({"archive": [name], "member": [member], "content": [data], "error": [error]})
+
+    return joined.select("archive", "members", "content").mapInPandas(read, "archive string, member string, content binary, error string")
+
+
 def archive_problems(members: DataFrame) -> DataFrame:
     """archive, member, problem: members that may not be unpacked, and archives with too many or too large ones."""
     bad = (
