@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -20,9 +21,15 @@ WILDCARD = "<*>"
 DEPTH = 3
 
 
+#: Any character that counts as a digit.
+_DIGIT = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isdigit()) + "]")
+
+
 def masked(line: str) -> list[str]:
     """Tokens of a line; one with a digit is variable."""
-    return [WILDCARD if any(c.isdigit() for c in x) else x for x in line.split()]
+    if not _DIGIT.search(line):
+        return line.split()
+    return [WILDCARD if _DIGIT.search(x) else x for x in line.split()]
 
 
 def _hash(*parts: str) -> int:
