@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -21,15 +20,27 @@ WILDCARD = "<*>"
 DEPTH = 3
 
 
-#: Any character that counts as a digit.
-_DIGIT = re.compile("[" + "".join(c for c in map(chr, range(0x110000)) if c.isdigit()) + "]")
+#: The digits among the first 256 characters.
+_DIGITS = [c for c in map(chr, range(256)) if c.isdigit()]
+
+
+def _without_digit(line: str) -> bool:
+    """Quickly, where it has no characters beyond the first 256."""
+    for c in _DIGITS:
+        if c in line:
+            return False
+    try:
+        line.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not any(c.isdigit() for c in line)
 
 
 def masked(line: str) -> list[str]:
     """Tokens of a line; one with a digit is variable."""
-    if not _DIGIT.search(line):
+    if _without_digit(line):
         return line.split()
-    return [WILDCARD if _DIGIT.search(x) else x for x in line.split()]
+    return [WILDCARD if any(c.isdigit() for c in x) else x for x in line.split()]
 
 
 def _hash(*parts: str) -> int:
