@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievemark.operators import gates
+from sievemark.operators import gates, ingest
 from sievemark.session import table
 
 ONTOLOGY = "ab" * 32
@@ -139,6 +139,35 @@ def rc23_evaluation_problems(spark, d):
     return gates.evaluation_problems(evaluations, {"framework": "onnx", "names": ["a", "b"], "protocol": {"batch": "1"}}, artifacts, files).groupBy("split", "field").agg(F.count("*").alias("problems"))
 
 
+def _ingest(spark, d):
+    """A document for each of twenty archives: pages as its images, events as its annotations."""
+    p = table(spark, d, "pages").select("page_id", F.coalesce(F.length("html"), F.lit(0)).alias("n"), F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha256"))
+    archive = lambda c: F.concat(F.lit("a"), (c % 20).cast("string"), F.lit(".zip"))
+    name = F.concat(F.col("page_id").cast("string"), F.lit(".png"))
+    image = F.struct(F.col("page_id").alias("id"), name.alias("file_name"), (F.col("n") % 50 + 1).alias("width"), (F.col("page_id") % 40 + 1).alias("height"))
+    images = p.groupBy(archive(F.col("page_id")).alias("archive")).agg(F.sort_array(F.collect_list(image)).alias("images"))
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") * 7 % 300).alias("image_id"))
+    box = F.array(F.col("event_id") % 30, F.col("event_id") % 20, 1 + F.col("event_id") % 9, 1 + F.col("event_id") % 7)
+    note = F.struct(F.col("event_id").alias("id"), "image_id", (F.col("event_id") % 4).alias("category_id"), box.alias("bbox"), F.when(F.col("event_id") % 23 == 0, 1).otherwise(0).alias("iscrowd"))
+    notes = e.groupBy(archive(F.col("image_id")).alias("archive")).agg(F.sort_array(F.collect_list(note)).alias("annotations"))
+    kinds = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in enumerate(("board", "Chip", "cat"))])
+    both = images.join(notes, "archive", "left").select("archive", F.lit("x.json").alias("member"), F.to_json(F.struct("images", F.coalesce("annotations", F.array().cast(notes.schema["annotations"].dataType)).alias("annotations"), kinds.alias("categories"))).alias("text"))
+    off = F.when(F.col("page_id") % 13 == 0, 2).otherwise(1)
+    probes = p.where("page_id % 19 <> 0").select(archive(F.col("page_id")).alias("archive"), name.alias("member"), "sha256", (F.col("n") % 50 + off).alias("width"), (F.col("page_id") % 40 + 1).alias("height"), (F.col("page_id") % 17 > 0).alias("decode_ok"))
+    return ingest.ingested(both, probes, {"board": (0, "board"), "Chip": (1, "chip")})
+
+
+def cn10_ingest_problems(spark, d):
+    return _ingest(spark, d)[0].groupBy("archive", "problem").agg(F.count("*").alias("n"))
+
+
+def cn10_ingested(spark, d):
+    """Annotations that broke no rule, and how many images of an archive hold them, by class."""
+    _, images, annotations = _ingest(spark, d)
+    own = annotations.select("archive", "image_id", "category_id", "area")
+    return own.groupBy("archive", "category_id").agg(F.count("*").alias("instances"), F.count_distinct("image_id").alias("images"), F.sum("area").alias("area"))
+
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:2] in ("rc", "cn") and k[2].isdigit()}
 
 _FIELDS = ["epochs", "batch", "amp", "test_sha256"]
@@ -155,6 +184,12 @@ _SQL_REVIEW = f"""{_SQL_IMAGES}, v AS (SELECT page_id, path, image_id, sha256, C
 x AS (SELECT page_id AS id, path, width, CASE WHEN n % 10 = 0 THEN 0 ELSE height END AS height FROM i WHERE n % 23 <> 0),
 a AS (SELECT user_id * 3 AS image_id, event_id FROM events)"""
 
+_SQL_INGEST = """pg AS (SELECT page_id, 'a' || page_id % 20 || '.zip' AS archive, coalesce(length(html), 0) % 50 + 1 AS w, page_id % 40 + 1 AS h, coalesce(html, '') AS html, page_id % 19 <> 0 AS there FROM pages),
+im AS (SELECT *, w + CASE WHEN page_id % 13 = 0 THEN 1 ELSE 0 END AS rw, CASE WHEN NOT there THEN 'member_missing' WHEN page_id % 17 = 0 THEN 'not_decoded' WHEN page_id % 13 = 0 THEN 'dimensions' WHEN count(*) OVER (PARTITION BY archive, html, there) > 1 THEN 'repeated_content' END AS problem FROM pg),
+ev AS (SELECT event_id, event_id * 7 % 300 AS image_id, event_id % 4 AS k, event_id % 30 AS x, event_id % 20 AS y, 1 + event_id % 9 AS w, 1 + event_id % 7 AS h FROM events),
+an AS (SELECT ev.*, 'a' || image_id % 20 || '.zip' AS archive, im.problem AS image_problem, CASE WHEN im.page_id IS NULL THEN 'unknown_image' WHEN k = 3 THEN 'unknown_category' WHEN event_id % 23 = 0 THEN 'crowd' WHEN im.there AND (ev.x + ev.w > im.rw OR ev.y + ev.h > im.h) THEN 'bbox' END AS problem
+ FROM ev LEFT JOIN im ON im.page_id = image_id WHERE 'a' || image_id % 20 || '.zip' IN (SELECT archive FROM im))"""
+
 SQL = {
     "cn15_proposal_problems": """WITH e AS (SELECT page_id AS id, 'g' || (page_id % 9) AS grp, length(html) % 60 + 20 AS width, length(html) % 50 + 20 AS height FROM pages WHERE length(html) % 12 <> 0),
 m0 AS (SELECT page_id AS id, length(html) AS n FROM pages WHERE length(html) % 7 <> 0), m AS (SELECT *, 'g' || ((id + CASE WHEN n % 10 = 0 THEN 1 ELSE 0 END) % 9) AS own, n % 30 - 1 AS x, n % 20 AS y, n % 25 AS w, 10 AS h, n % 8 <> 0 AS four FROM (SELECT * FROM m0 UNION ALL SELECT * FROM m0 WHERE n % 15 = 0)),
@@ -217,4 +252,6 @@ SELECT split, field, count(*) AS n FROM f GROUP BY 1, 2""",
 SELECT split, unnest(list_filter([CASE WHEN n % 5 = 0 THEN 'schema_version' END, CASE WHEN k % 6 = 0 THEN 'status' END, CASE WHEN n % 4 = 0 THEN 'framework' END, CASE WHEN k % 8 = 0 THEN 'protocol_binding' END,
  CASE WHEN k % 9 = 0 THEN 'category_names' END, CASE WHEN k % 5 = 0 THEN 'protocol:batch' END, CASE WHEN k % 11 = 0 THEN 'image_count' END, CASE WHEN made > 0 THEN 'generated_images' END], lambda x: x IS NOT NULL)) AS field, CAST(1 AS BIGINT) AS problems FROM e
 UNION ALL SELECT split, 'artifact:image', count(*) FROM c WHERE c_custkey % 40 = 9 OR c_custkey % 50 = 3 GROUP BY 1""",
+    "cn10_ingest_problems": f"WITH {_SQL_INGEST} SELECT archive, problem, count(*) AS n FROM (SELECT archive, problem FROM im UNION ALL SELECT archive, problem FROM an UNION ALL SELECT DISTINCT archive, 'label_not_allowed' FROM im) WHERE problem IS NOT NULL GROUP BY 1, 2",
+    "cn10_ingested": f"WITH {_SQL_INGEST} SELECT archive, CAST(k + 1 AS INTEGER) AS category_id, count(*) AS instances, count(DISTINCT image_id) AS images, CAST(sum(w * h) AS DOUBLE) AS area FROM an WHERE problem IS NULL AND k < 2 AND image_problem IS NULL GROUP BY 1, 2",
 }
