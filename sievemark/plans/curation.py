@@ -110,7 +110,7 @@ def gr4_component_split(spark, d):
 def gr4_split_audit(spark, d):
     """Customers of a segment as its groups, in components by account: sums of parts, and whether components stayed whole."""
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("model"), F.col("c_custkey").alias("group_id"))
-    rows = c.withColumn("component_id", F.when(F.col("group_id") % 50 == 7, F.concat(F.lit("shared_"), F.floor(F.col("group_id") / 200).cast("string"))).otherwise(F.concat_ws("_", "model", F.floor(F.col("group_id") / 20).cast("string"))))
+    rows = c.withColumn("component_id", F.when(F.col("group_id") % 50 == 7, F.concat(F.lit("shared_"), F.floor(F.col("group_id") / 200).cast("string"))).otherwise(F.concat_ws("_", "model", F.floor(F.col("group_id") / 8).cast("string"))))
     return splits.split_audit(rows, splits.component_split(rows))
 
 
