@@ -263,7 +263,7 @@ SELECT 'not_from_test' AS rule, category AS key FROM a WHERE category = 'click'
     "hs6_snapshot_hash": """SELECT o_orderkey, sha256('{"date":"' || strftime(o_orderdate, '%Y-%m-%d') || '","priority":"' || o_orderpriority || '"}') AS sha256 FROM orders""",
     "ag17_latency": "SELECT user_id, count(value) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(value) * 1000.0 / sum(value) AS fps FROM events WHERE event_type <> 'error' GROUP BY 1",
     "wn5_chosen_threshold": f"""WITH RECURSIVE {evaluation._SQL_CURVE}, {_OK}
-SELECT category, confidence FROM a LEFT JOIN ok USING (category)""",
+SELECT a.category, confidence FROM a LEFT JOIN ok ON a.category IS NOT DISTINCT FROM ok.category""",
     "cn3_coco_split": f"WITH {SQL_BOXES} SELECT 'c_' || category AS class_name, count(*) AS n, count(DISTINCT image_id) AS images FROM b WHERE image_id % 4 = 1 GROUP BY 1",
     "cn5_class_map": "SELECT event_type, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 END AS class_id, count(*) AS n FROM events GROUP BY 1",
     "cn7_live_data": """SELECT page_id, 'sha256' AS problem FROM pages WHERE page_id % 13 <> 4 AND page_id % 11 = 3

@@ -46,8 +46,11 @@ def test_archives(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.range(30)
     scans.write_new(df, str(tmp_path / "t"))
-    with pytest.raises(AnalysisException):
-        scans.write_new(df, str(tmp_path / "t"))
+    scans.write_new(df.orderBy("id", ascending=False), str(tmp_path / "t"))  # the same rows are there already
+    for other in (spark.range(29), spark.range(31), df.union(spark.range(1))):
+        with pytest.raises(AnalysisException):
+            scans.write_new(other, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 30
     scans.write_ordered_csv(df.selectExpr("id", "id * 2 as twice"), str(tmp_path / "c"), ["twice", "id"], ["id"])
     lines = [x for p in sorted((tmp_path / "c").glob("part-*")) for x in p.read_text().splitlines() if x != "twice,id"]
     assert lines == [f"{2 * i},{i}" for i in range(30)]
