@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +10,39 @@ from sievemark.operators.running import in_ranges, running
 from sievemark.session import written
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+#: A graph of so few edges is one task's work.
+SMALL = 100_000
+
+
+def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+    """label, to: each node of the edges and one that stands for all that it reaches."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(rows["a"], rows["b"], strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            up[b] = a
+    return pd.DataFrame({"label": list(up), "to": [top(x) for x in list(up)]})
+
+
+def components(edges: DataFrame, name: str = "components", small: int = SMALL) -> DataFrame:
     """node, root (the smallest node reachable): of every node of the undirected edges a, b.
 
     Each round points every node at the first, in a hashed order, of its neighbours' neighbours, follows these
     pointers once more and contracts the graph, which shrinks it by a factor; what a hub receives is combined before
-    it is shuffled, and the joins' skewed sides can be split. Every round is written to the shared folder."""
+    it is shuffled, and the joins' skewed sides can be split. Every round is written to the shared folder; when no more than
+    `small` edges are left, a task joins what is left of the graph."""
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), c.alias("n"))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
-    labels = None
-    while labels is None or not edges.isEmpty():
+    labels = nodes.select("node", F.col("node").alias("label"))
+    while edges.count() > small:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         near = both.groupBy("u").agg(F.min(order(F.col("v"))).alias("m")).select("u", F.least("m", order(F.col("u"))).alias("m"))
         near = written(near, name)  # a join with a plain table can split a hub's side
@@ -27,14 +50,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         points = written(far.select(F.col("v").alias("u"), F.least("m", order(F.col("v")))["n"].alias("p")), name)
         again = points.select(F.col("u").alias("p"), F.col("p").alias("q"))
         jump = written(points.join(again, "p").select(F.col("u").alias("label"), F.col("q").alias("to")), name)
-        if labels is None:
-            labels = nodes.join(jump, F.col("node") == F.col("label"), "left").select("node", F.coalesce("to", "node").alias("label"))
-        else:
-            labels = labels.join(jump, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        labels = labels.join(jump, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         left, right = jump.select(F.col("label").alias("a"), F.col("to").alias("x")), jump.select(F.col("label").alias("b"), F.col("to").alias("y"))
         moved = edges.join(left, "a").join(right, "b").where("x <> y")
         edges = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
-    labels = written(labels, name)
+    kind = edges.schema["a"].dataType.simpleString()
+    rest = edges.withColumn("all", F.lit(True)).groupBy("all").applyInPandas(_joined, f"label {kind}, to {kind}")
+    labels = written(labels.join(rest, "label", "left").select("node", F.coalesce("to", "label").alias("label")), name)
     smallest = written(labels.groupBy("label").agg(F.min("node").alias("root")), name)
     return labels.join(smallest, "label").select("node", "root")
 

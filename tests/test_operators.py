@@ -122,6 +122,25 @@ def test_components_of_names(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "s": "s"}
 
 
+@pytest.mark.parametrize("small", [0, 15, 10_000])
+def test_components_by_rounds_and_in_a_task(spark, small):
+    rng = random.Random(small)
+    names = [f"n{i:03d}é" for i in range(120)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(70)] + [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(40)] + [("hub", f"q{i}") for i in range(30)] + [("z", "z")]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a string, b string"), small=small).collect()}
+    assert got == {x: root(x) for x in up}
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(3, 300), st.sampled_from([(0.8, 0.1, 0.1), (0.6, 0.2, 0.2), (0.34, 0.33, 0.33)]))
 def test_allocation(spark, n, shares):
