@@ -36,3 +36,12 @@ def test_warm_up_frames_are_left_out(spark, tmp_path):
     rows = spark.range(40).selectExpr("id % 2 as camera", "cast(id / 2 as long) as frame", "1.5 as latency_ms")
     got = drained(monitors.measured_frames(stream(spark, rows, str(tmp_path / "s")), 5), "append", "frames")
     assert sorted((c, f) for c, f, _ in got) == [(c, f) for c in (0, 1) for f in range(5, 20)]
+
+
+def test_batch_and_gate_leave_the_warm_up_out(spark):
+    rows = spark.range(40).selectExpr("id % 2 as camera", "cast(id / 2 as long) as frame", "if(id % 8 = 7, null, 1.5) as latency_ms").union(spark.sql("select 9L, 1L, 2.0D"))
+    got = [(r.camera, r.frame) for r in monitors.frames_behind_warmup(rows, 5).collect()]
+    assert sorted(got) == [(c, f) for c in (0, 1) for f in range(5, 20)] and monitors.frames_behind_warmup(rows, 0).count() == 41
+    gates = {r.camera: (r.frames, r.measured, r.status) for r in monitors.collection_gate(rows, 5, 12).collect()}
+    assert gates == {0: (20, 15, "PASS"), 1: (20, 11, "FAIL"), 9: (1, 0, "FAIL")}
+    assert monitors.collection_gate(rows.where("false"), 5, 1).count() == 0
