@@ -63,19 +63,30 @@ def grid_pairs(left: DataFrame, right: DataFrame, keys: list[str], least: float)
     return both.where(once).select(*keys, "l", "r")
 
 
-def iou_pairs(targets: DataFrame, predictions: DataFrame, keys: list[str], least: float = 0.0) -> DataFrame:
-    """keys, target_id, prediction_id, iou of the pairs that share the keys and overlap by at least `least`. With 0 those are
-    all pairs of a group; above it they come from a grid."""
-    if least > 0:
-        side = lambda rows: rows.select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in _BOX])
-        both = grid_pairs(side(targets), side(predictions), keys, least).select(*keys, F.col("l.id").alias("target_id"), F.col("r.id").alias("prediction_id"), iou_xywh(_parts(F.col("r")), _parts(F.col("l"))).alias("iou"))
-        return both.where(F.col("iou") >= least)
+def iou_pairs(targets: DataFrame, predictions: DataFrame, keys: list[str], least: float = 0.0, large: int | None = None) -> DataFrame:
+    """keys, target_id, prediction_id, iou of the pairs that share the keys and overlap by at least `least`. All pairs of a
+    group are looked at where it is small, or where `least` is 0, as then all are asked for; those of groups of more than
+    `large` boxes (LARGE) come from a grid."""
+    if least <= 0:
+        return _plain_pairs(targets, predictions, keys, least)
+    small, big = _by_size(keys, [targets, predictions], LARGE if large is None else large)
+    pairs = _plain_pairs(*small, keys, least)
+    return pairs if big is None else pairs.unionByName(_near_pairs(*big, keys, least))
+
+
+def _plain_pairs(targets: DataFrame, predictions: DataFrame, keys: list[str], least: float) -> DataFrame:
     side = lambda rows, p: rows.select(*keys, F.col("id").alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in _BOX])
     both = side(targets, "target").join(side(predictions, "prediction"), keys)
     boxes = [tuple(F.col(f"{p}_{c}") for c in _BOX) for p in ("prediction", "target")]
     return both.withColumn("iou", iou_xywh(*boxes)).where(F.col("iou") >= least).select(*keys, "target_id", "prediction_id", "iou")
 
 
+def _near_pairs(targets: DataFrame, predictions: DataFrame, keys: list[str], least: float) -> DataFrame:
+    side = lambda rows: rows.select(*keys, "id", *[F.col(c).cast("double").alias(c) for c in _BOX])
+    both = grid_pairs(side(targets), side(predictions), keys, least).select(*keys, F.col("l.id").alias("target_id"), F.col("r.id").alias("prediction_id"), iou_xywh(_parts(F.col("r")), _parts(F.col("l"))).alias("iou"))
+    return both.where(F.col("iou") >= least)
+
+
 #: Groups of more boxes than this are matched and suppressed by rounds over overlapping pairs; smaller ones by a fold of arrays.
 LARGE = 2000
 _ROUNDS = 6
@@ -131,7 +142,7 @@ def _settled_pairs(pairs: DataFrame, keys: list[str], rounds: int = _ROUNDS) ->
 
 def _large_matches(targets: DataFrame, predictions: DataFrame, keys: list[str], match_iou: float) -> DataFrame:
     """What matches() gives, for groups of any size."""
-    pairs = iou_pairs(targets, predictions, keys, match_iou)
+    pairs = _near_pairs(targets, predictions, keys, match_iou)
     scores = predictions.select(*keys, F.col("id").alias("prediction_id"), F.col("score").cast("double").alias("score"))
     taken = _settled_pairs(pairs.join(scores, [*keys, "prediction_id"]), keys)
     kinds = targets.select(*keys, F.col("id").alias("target_id"), F.col("category").alias("target_category")) if "category" not in keys else None

@@ -42,8 +42,10 @@ def test_grid_pairs_are_all_pairs(spark, least):
     targets += [(0, "a", 900, float("nan"), 0.0, 5.0, 5.0), (0, "a", 901, 0.0, 0.0, 0.0, 5.0), (0, "a", 902, 0.0, float("inf"), 5.0, 5.0), (0, "a", 903, 1e12, 0.0, 8.0, 8.0), (0, "a", 904, 0.0, 0.0, -4.0, 4.0)]
     predictions += [(0, "a", 2903, 1e12, 0.0, 8.0, 8.0, 0.5), (0, "a", 2904, float("nan"), 0.0, 5.0, 5.0, 0.5)]
     want = {(t[2], p[2]) for t, p in itertools.product(targets, predictions) if t[:2] == p[:2] and all(map(math.isfinite, t[3:7] + p[3:7])) and min(t[5], t[6], p[5], p[6]) > 0 and iou(p[3:7], t[3:7]) >= least}
-    got = [(r.target_id, r.prediction_id) for r in matching.iou_pairs(*frames(spark, targets, predictions), ["image_id", "category"], least).collect()]
+    got = [(r.target_id, r.prediction_id) for r in matching.iou_pairs(*frames(spark, targets, predictions), ["image_id", "category"], least, large=0).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    some = {(r.target_id, r.prediction_id) for r in matching.iou_pairs(*frames(spark, targets[:120], predictions[:150]), ["image_id", "category"], least, large=60).collect()}
+    assert some == {(t, p) for t, p in want if t < 900 and p < 2900}
 
 
 def test_a_large_image_looks_at_few_pairs(spark):
