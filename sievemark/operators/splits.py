@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Mapping
 
@@ -61,10 +62,10 @@ def mixed_groups(rows: DataFrame) -> DataFrame:
 
 
 class _Reach:
-    """Which pairs of a val and a test sum some of the given sizes can make: a bit for each pair, in rows of one val sum."""
+    """Which pairs of two sums some of the given sizes can make: a bit for each pair, in rows of one first sum."""
 
-    def __init__(self, val: int, test: int):
-        self.width, self.height = test + 1, val + 1
+    def __init__(self, first: int, second: int):
+        self.width, self.height = second + 1, first + 1
         self.all = (1 << self.width * self.height) - 1
         self.rows = self.all // ((1 << self.width) - 1)
         self.masks: dict[int, int] = {}
@@ -79,8 +80,84 @@ class _Reach:
             right = reach << size & self.masks[size]
         return reach | right | (reach << size * self.width & self.all if size < self.height else 0)
 
-    def has(self, reach: int, val: int, test: int) -> bool:
-        return val >= 0 and test >= 0 and bool(reach >> (val * self.width + test) & 1)
+    def below(self, total: int) -> int:
+        """All pairs that add up to no more than total."""
+
+        def rows(first: int, last: int) -> int:
+            if first > total:
+                return 0
+            if last - first == 1:
+                return (1 << min(self.width, total - first + 1)) - 1
+            middle = (first + last) // 2
+            return rows(first, middle) | rows(middle, last) << (middle - first) * self.width
+
+        return self.all if total >= self.width + self.height else rows(0, self.height)
+
+    def has(self, reach: int, first: int, second: int) -> bool:
+        return first < self.height and second < self.width and bool(reach >> (first * self.width + second) & 1)
+
+
+def _full(sizes: list[int]) -> list[bool]:
+    """For each place, whether the components from there on can be dealt to three parts in all sums that add up to theirs.
+
+    So it is, where before each of them, by size, the smaller ones add up to twice its size less two at least: then it always
+    fits one of the parts, as three that are all smaller than it would hold less. What is short of that is watched."""
+    out, count, short = [True] * (len(sizes) + 1), {}, {}
+    for i in range(len(sizes) - 1, -1, -1):
+        size = sizes[i]
+        short = {s: low + (size if s > size else 0) for s, low in short.items()}
+        if size not in count:
+            short[size] = sum(s * n for s, n in count.items() if s < size)
+        count[size] = count.get(size, 0) + 1
+        short = {s: low for s, low in short.items() if low < 2 * (s - 1)}
+        out[i] = not short
+    return out
+
+
+class _Suffixes:
+    """Whether the components from a place on can make a val and a test sum exactly, with at most `train` over.
+
+    Only places that aren't full need bits: of the two smallest of the three parts. They are kept at about every square root
+    of the components, and made again between."""
+
+    def __init__(self, sizes: list[int], behind: list[int], full: list[bool], train: int, val: int, test: int):
+        self.sizes, self.behind, self.full = sizes, behind, full
+        self.over = train <= test
+        self.reach = _Reach(*((train, val) if self.over else (val, test)))
+        self.step, self.kept, self.block = max(1, math.isqrt(len(sizes))), {}, {}
+
+    def ends_at(self, i: int, last: int | None) -> int | None:
+        """The bits of a place, of those of the place behind it; None where it is full."""
+        if self.full[i]:
+            return None
+        return self.reach.more(self.reach.below(self.behind[i + 1]) if last is None else last, self.sizes[i])
+
+    def scan(self, first: int):
+        """Places from the last one down to `first`, each with its bits."""
+        last = None
+        for i in range(len(self.sizes), first - 1, -1):
+            last = self.ends_at(i, last)
+            if i % self.step == 0:
+                self.kept[i] = last
+            yield i, last
+
+    def holds(self, i: int, bits: int | None, val: int, test: int) -> bool:
+        train = self.behind[i] - val - test
+        if val < 0 or test < 0 or train < 0:
+            return False
+        return bits is None or self.reach.has(bits, *((train, val) if self.over else (val, test)))
+
+    def has(self, i: int, val: int, test: int) -> bool:
+        """Of a place that scan has passed; places are asked for from the first on."""
+        if self.full[i]:
+            return self.holds(i, None, val, test)
+        if i not in self.block:
+            end = min(len(self.sizes), -(-i // self.step) * self.step)
+            last, self.block = self.kept.get(end), {}
+            for j in range(end, i - 1, -1):
+                last = self.kept[j] if j in self.kept else self.ends_at(j, last)
+                self.block[j] = last
+        return self.holds(i, self.block[i], val, test)
 
 
 def exact_choice(sizes: list[int], val: int, test: int) -> list[str] | None:
@@ -88,32 +165,43 @@ def exact_choice(sizes: list[int], val: int, test: int) -> list[str] | None:
 
     Of all such choices the one that is first when train comes before val and val before test, from the first component on:
     the one that a walk over all states, keeping the first way to each, arrives at. What the components behind a place can
-    still make tells there which choices stay open. Those sums are kept at about every square root of the components, and
-    made again between."""
-    reach, n = _Reach(val, test), len(sizes)
-    step = max(1, math.isqrt(n))
-    kept, now = {n: 1}, 1
-    for i in range(n - 1, -1, -1):
-        now = reach.more(now, sizes[i])
-        if i % step == 0:
-            kept[i] = now
-    if not reach.has(now, val, test):
+    still make tells there which choices stay open. Where they are many and small that is told by their sum (see _full);
+    else by the sums that they make, of which one is what is over for train, and small behind the first components: all go
+    to train as long as the rest can make val and test. With many large components and no small ones the work is their
+    number times val * over / 64."""
+    unit = math.gcd(*sizes) or 1
+    if val % unit or test % unit:
         return None
-    out: list[str] = []
-    for start in range(0, n, step):
-        end = min(n, start + step)
-        behind = [kept[end]]
-        for i in range(end - 1, start, -1):
-            behind.append(reach.more(behind[-1], sizes[i]))
-        for i, rest in zip(range(start, end), reversed(behind), strict=True):
-            if reach.has(rest, val, test):
-                out.append("train")
-            elif reach.has(rest, val - sizes[i], test):
-                out.append("val")
-                val -= sizes[i]
-            else:
-                out.append("test")
-                test -= sizes[i]
+    sizes, val, test = [s // unit for s in sizes], val // unit, test // unit
+    behind = [*itertools.accumulate(reversed(sizes), initial=0)][::-1]
+    full, n = _full(sizes), len(sizes)
+    last = next((i for i in range(n, -1, -1) if behind[i] >= val + test), None)
+    if last is None:
+        return None
+    most, start = 4 * max(sizes, default=1), last if full[last] else None
+    while start is None:
+        # The last place from which val and test can be made: among those with little over, or with ever more.
+        first = last
+        while first and behind[first - 1] - val - test <= most:
+            first -= 1
+        found = _Suffixes(sizes, behind, full, behind[first] - val - test, val, test)
+        start = next((i for i, bits in found.scan(first) if i <= last and found.holds(i, bits, val, test)), None)
+        if start is None and not first:
+            return None
+        most *= 4
+    found = _Suffixes(sizes, behind, full, behind[start] - val - test, val, test)
+    for _ in found.scan(start):
+        pass
+    out = ["train"] * start
+    for i in range(start, n):
+        if found.has(i + 1, val, test):
+            out.append("train")
+        elif found.has(i + 1, val - sizes[i], test):
+            out.append("val")
+            val -= sizes[i]
+        else:
+            out.append("test")
+            test -= sizes[i]
     return out
 
 
@@ -134,7 +222,7 @@ def _exact(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
 def component_split(rows: DataFrame, seed: int = 42, ratios: Mapping[str, float] = RATIOS) -> DataFrame:
     """model, component_id, split. rows: model, group_id, component_id. A component of several models goes to train; the
     others of each model reach its val and test counts of groups exactly, or one row says NO_EXACT_SPLIT. A model's
-    components meet in one task, which holds val * test / 8 bytes for about twice the square root of them."""
+    components (not their groups) meet in one task, whose work is their number where small ones are among them (see exact_choice)."""
     groups = rows.select("model", "group_id", "component_id").distinct()
     counts = groups.groupBy("model").agg(F.count_distinct("group_id").alias("n"))
     targets = counts.select("model", *[c.alias(f"n_{s}") for s, c in allocation(F.col("n"), ratios).items()])

@@ -1,6 +1,7 @@
 """Exact splits against a plain walk over all states."""
 
 import random
+import time
 import tracemalloc
 
 from sievemark.operators import splits
@@ -48,3 +49,23 @@ def test_audit_tells_torn_and_spread_components(spark):
     assigned = spark.createDataFrame([("a", "x", "train"), ("a", "x", "val"), ("a", "y", "test"), ("b", "y", "train")], "model string, component_id string, split string")
     got = {r.model: (r.torn, r.spread) for r in splits.split_audit(rows, assigned).collect()}
     assert got == {"a": (1, 1), "b": (1, 0)}
+
+
+def test_choices_among_large_components_or_odd_sizes():
+    rng = random.Random(10)
+    for _ in range(400):
+        pool = rng.choice([(1, 2, 5, 9), (4, 6, 10), (3, 7), (1, 8), (1, 20, 2), (1, 1, 1, 2, 3, 4)])
+        sizes = [rng.choice(pool) for _ in range(rng.randint(0, 24))]
+        val, test = rng.randint(0, 14), rng.randint(0, 14)
+        assert splits.exact_choice(sizes, val, test) == plain(sizes, val, test)
+
+
+def test_work_is_the_number_of_components():
+    """Of 100,000, whose sums of val and test would be a billion pairs."""
+    rng = random.Random(11)
+    sizes = [rng.choice((1, 1, 2, 3, 4, 8)) for _ in range(100_000)]
+    val = test = sum(sizes) // 10
+    start = time.process_time()
+    chosen = splits.exact_choice(sizes, val, test)
+    assert time.process_time() - start < 20
+    assert [sum(s for s, c in zip(sizes, chosen, strict=True) if c == part) for part in ("val", "test")] == [val, test]
