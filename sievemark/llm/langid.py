@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,69 @@ def log_probabilities(net: Network, chars: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+class _Learner:
+    """Weights that Adam moves, a batch of windows at a time."""
+
+    def __init__(self, net: Network, rate: float):
+        self.languages, self.weights, self.rate, self.count = net.languages, list(net[1:]), rate, 0
+        self.first, self.second = ([np.zeros_like(x) for x in self.weights] for _ in range(2))
+        self.mask = _mask()
+
+    @property
+    def net(self) -> Network:
+        return Network(self.languages, *self.weights)
+
+    def step(self, x: np.ndarray, y: np.ndarray, share: np.ndarray | None = None, sure: float = 1.0) -> None:
+        """Along the cross-entropy of windows x with targets y, each counted by its share; those that have their target
+        with a probability of `sure` or more already add nothing."""
+        net = self.net
+        hidden, embedded = _pooled(net, x)
+        place = hidden.argmax(axis=1)
+        top = np.take_along_axis(hidden, place[:, None, :], axis=1)[:, 0] + net.bias
+        live = top > 0
+        top = top * live
+        z = top @ net.out + net.out_bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        total, open_ = len(y), p[np.arange(len(y)), y] < sure
+        if sure < 1:
+            if not open_.any():
+                return
+            x, y, place, embedded, live, top, p = (a[open_] for a in (x, y, place, embedded, live, top, p))
+        p[np.arange(len(y)), y] -= 1
+        p /= total
+        if share is not None:
+            p *= share[open_, None] if sure < 1 else share[:, None]
+        back = (p @ net.out.T) * live
+        # Only the place that each filter's maximum comes from takes part.
+        spot = place[:, :, None] + np.arange(_WIDEST)
+        patch = embedded[np.arange(len(y))[:, None, None], spot].reshape(len(y), len(net.bias), -1)
+        grad_filters = np.einsum("nf,nfk->kf", back, patch) * self.mask
+        flow = (back[:, :, None] * net.filters.T[None]).reshape(-1, _EMBED)
+        grad_embed = np.zeros_like(net.embed)
+        np.add.at(grad_embed, x[np.arange(len(y))[:, None, None], spot].reshape(-1), flow)
+        self.count += 1
+        for i, g in enumerate((grad_embed, grad_filters, back.sum(axis=0), top.T @ p, p.sum(axis=0))):
+            self.first[i] = 0.9 * self.first[i] + 0.1 * g
+            self.second[i] = 0.999 * self.second[i] + 0.001 * g * g
+            self.weights[i] = (self.weights[i] - self.rate * (self.first[i] / (1 - 0.9**self.count)) / (np.sqrt(self.second[i] / (1 - 0.999**self.count)) + 1e-7)).astype(np.float32)
+
+
+def _mask() -> np.ndarray:
+    mask = np.zeros((_WIDEST * _EMBED, _FILTERS * len(WIDTHS)), np.float32)
+    for i, width in enumerate(WIDTHS):
+        mask[: width * _EMBED, i * _FILTERS : (i + 1) * _FILTERS] = 1
+    return mask
+
+
+def _shortened(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Half of the windows cut to a beginning of random length, as short texts are."""
+    x = x.copy()
+    cut = np.where(rng.random(len(x)) < 0.5, WINDOW, rng.integers(8, WINDOW, len(x)))
+    x[np.arange(WINDOW) >= cut[:, None]] = 0
+    return x
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.004, most_windows: int = 8000, seed: int = 7) -> Network:
     """Adam on the cross-entropy of windows, at most most_windows of them; each epoch also sees beginnings of windows
     of random length, as short texts are."""
@@ -68,46 +133,16 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 64,
     if len(chars) > most_windows:
         some = rng.permutation(len(chars))[:most_windows]
         chars, target = chars[some], target[some]
-    total = _FILTERS * len(WIDTHS)
-    mask = np.zeros((_WIDEST * _EMBED, total), np.float32)
-    for i, width in enumerate(WIDTHS):
-        mask[: width * _EMBED, i * _FILTERS : (i + 1) * _FILTERS] = 1
+    total, mask = _FILTERS * len(WIDTHS), _mask()
     k = max(1, len(languages))
     net = Network(languages, rng.normal(0, 0.5, (256, _EMBED)).astype(np.float32), (rng.normal(0, 0.2, mask.shape) * mask).astype(np.float32), np.zeros(total, np.float32), rng.normal(0, 0.1, (total, k)).astype(np.float32), np.zeros(k, np.float32))
-    weights = list(net[1:])
-    first, second, step = [np.zeros_like(x) for x in weights], [np.zeros_like(x) for x in weights], 0
+    learner = _Learner(net, rate)
     for _ in range(epochs if len(languages) > 1 else 0):
         order = rng.permutation(len(chars))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            x, y = chars[own].copy(), target[own]
-            cut = np.where(rng.random(len(own)) < 0.5, WINDOW, rng.integers(8, WINDOW, len(own)))
-            x[np.arange(WINDOW) >= cut[:, None]] = 0
-            net = Network(languages, *weights)
-            hidden, embedded = _pooled(net, x)
-            place = hidden.argmax(axis=1)
-            top = np.take_along_axis(hidden, place[:, None, :], axis=1)[:, 0] + net.bias
-            live = top > 0
-            top = top * live
-            z = top @ net.out + net.out_bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            back = (p @ net.out.T) * live
-            # Only the place that each filter's maximum comes from takes part.
-            spot = place[:, :, None] + np.arange(_WIDEST)
-            patch = embedded[np.arange(len(y))[:, None, None], spot].reshape(len(y), total, -1)
-            grad_filters = np.einsum("nf,nfk->kf", back, patch) * mask
-            flow = (back[:, :, None] * net.filters.T[None]).reshape(-1, _EMBED)
-            grad_embed = np.zeros_like(net.embed)
-            np.add.at(grad_embed, x[np.arange(len(y))[:, None, None], spot].reshape(-1), flow)
-            step += 1
-            for i, g in enumerate((grad_embed, grad_filters, back.sum(axis=0), top.T @ p, p.sum(axis=0))):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                weights[i] = (weights[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
-    return Network(languages, *weights)
+            learner.step(_shortened(chars[own], rng), target[own])
+    return learner.net
 
 
 def predict(net: Network, texts: list[str | None], most_windows: int = 512) -> tuple[list[str], np.ndarray]:
@@ -130,33 +165,95 @@ def held_out():
     return crc_mod(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4) == 2
 
 
-def _sample(docs: DataFrame, per_language: int, most_languages: int, chars: int) -> tuple[list[str], list[str]]:
-    """Texts and languages of a bounded sample of the labelled rows that are not held out (see fit)."""
-    labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def _counts(docs: DataFrame, most_languages: int) -> dict[str, int]:
+    """Labelled rows that are not held out, of each of the most frequent languages."""
+    return {r["lang"]: r["count"] for r in _labelled(docs).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+
+
+def _first(docs: DataFrame, counts: dict[str, int], per_language: int, chars: int) -> tuple[list[str], list[str]]:
+    """Stretches of about per_language rows, by a hash, of each language: what a network begins with."""
     if not counts:
         return [], []
-    share = F.create_map(*[x for row in counts for x in (F.lit(row["lang"]), F.lit(min(1.0, per_language / row["count"])))])
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     hashed = F.xxhash64("doc_id", F.lit(11))
-    sample = labelled.where(F.pmod(hashed, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    some = _labelled(docs).where(F.pmod(hashed, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     place = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
-    rows = sample.select("lang", F.substring("text", place.cast("int"), F.lit(chars)).alias("text"), hashed.alias("h")).limit(4 * per_language * len(counts)).collect()
+    rows = some.select("lang", F.substring("text", place.cast("int"), F.lit(chars)).alias("text"), hashed.alias("h")).limit(4 * per_language * len(counts)).collect()
     rows = sorted(rows, key=lambda row: (row["h"], row["lang"], row["text"]))
     return [row["text"] for row in rows], [row["lang"] for row in rows]
 
 
+#: Windows of a step over all rows; the probability from which a window adds nothing to it; its rate; how finely the weights
+#: are summed, as whole numbers, so that the order of tasks doesn't matter.
+_STEP, _SURE, _RATE, _FINE = 512, 0.9, 0.001, 1 << 20
+
+
+def learned(docs: DataFrame, net: Network, counts: dict[str, int], used: frozenset[str] = frozenset()) -> Network:
+    """The network after all windows of all labelled rows that are not held out: each task moves it along its own ones, and
+    the weights of all tasks are averaged by their windows. Languages count alike, however many rows they have. If the
+    network knows UNKNOWN, each batch adds made-up texts of its own, as many as two languages have."""
+    if len(net.languages) < 2:
+        return net
+    place = {k: i for i, k in enumerate(net.languages)}
+    mean = sum(counts.values()) / max(1, len(counts))
+    shares = np.array([min(10.0, max(0.1, mean / counts[k])) if k in counts else 1.0 for k in net.languages], np.float32)
+    shapes = [x.shape for x in net[1:]]
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng, learner, seen = np.random.default_rng(TaskContext.get().partitionId()), _Learner(net, _RATE), 0
+        for batch in batches:
+            texts, target = batch["text"].tolist(), [place[x] for x in batch["lang"]]
+            if UNKNOWN in place and UNKNOWN not in counts:
+                more = outside(texts, -(-2 * len(texts) // len(counts)), int(rng.integers(1 << 30)), used)
+                texts, target = texts + more, target + [place[UNKNOWN]] * len(more)
+            chars, of = windows(texts)
+            y, order = np.array(target, np.int64)[of], rng.permutation(len(chars))
+            for at in range(0, len(order), _STEP):
+                own = order[at : at + _STEP]
+                learner.step(_shortened(chars[own], rng), y[own], shares[y[own]], _SURE)
+            seen += len(chars)
+        if seen:
+            flat = np.concatenate([x.ravel() for x in learner.weights]).astype(np.float64)
+            yield pd.DataFrame({"windows": [seen], "weights": [np.rint(flat * seen * _FINE).astype(np.int64)]})
+
+    small_batches(docs.sparkSession)
+    rows = _labelled(docs).where(F.col("lang").isin(net.languages)).select("lang", "text").mapInPandas(learn, "windows long, weights array<long>")
+    sums = rows.select("windows", F.posexplode("weights").alias("at", "w")).groupBy("at").agg(F.sum("w").alias("w"), F.sum("windows").alias("n")).orderBy("at").collect()
+    if not sums:
+        return net
+    flat = np.array([r["w"] / r["n"] / _FINE for r in sums]).astype(np.float32)
+    parts = np.split(flat, np.cumsum([int(np.prod(x)) for x in shapes])[:-1])
+    return Network(net.languages, *[x.reshape(shape) for x, shape in zip(parts, shapes, strict=True)])
+
+
 def fit(docs: DataFrame, per_language: int = 300, most_languages: int = 256, chars: int = 2048) -> Network:
-    """Train on a bounded sample of the labelled rows that are not held out: about per_language rows, by a hash, of each
-    of the most_languages most frequent languages, and of each a stretch of so many characters that begins at a hashed
-    place. Without such rows the network knows no language."""
-    return train(*_sample(docs, per_language, most_languages, chars))
+    """Train on the labelled rows that are not held out, of the most_languages most frequent languages: all windows of all
+    of them (see learned), from a network that begins with stretches of about per_language rows of each. Without such rows
+    the network knows no language."""
+    counts = _counts(docs, most_languages)
+    return learned(docs, train(*_first(docs, counts, per_language, chars)), counts)
+
 
+def characters(docs: DataFrame) -> frozenset[str]:
+    """All characters of the labelled rows that are not held out."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"c": sorted(set().union(*batch["text"]))})
+
+    small_batches(docs.sparkSession)
+    return frozenset(r["c"] for r in _labelled(docs).select("text").mapInPandas(of, "c string").distinct().collect())
 
-def outside(texts: list[str], count: int, seed: int = 17) -> list[str]:
+
+def outside(texts: list[str], count: int, seed: int = 17, used: frozenset[str] = frozenset()) -> list[str]:
     """So many texts in no language: letters of the given texts in any order, digits and letters as codes have them, a few
-    characters over and over, and letters of scripts that the texts don't use."""
+    characters over and over, and letters of scripts that the texts, and all that are labelled (used), don't use."""
     rng = np.random.default_rng(seed)
-    used = set("".join(texts))
+    used = used or set().union(*texts)
     scripts = [[c for c in map(chr, range(first, first + 96)) if c.isalpha() and c not in used] for first in (0x250, 0x391, 0x410, 0x531, 0x5D0, 0x620, 0x905, 0xE01, 0x10A0, 0x1200, 0x3041, 0x30A1, *range(0x4E00, 0x9F00, 0x600), *range(0xAC00, 0xD700, 0x800), 0x10330, 0x12000, 0x13000)]
     scripts = [x for x in scripts if x]
     codes = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", "abcdefghijklmnopqrstuvwxyz", "0123456789 .,-:;|/()", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
@@ -185,11 +282,13 @@ def outside(texts: list[str], count: int, seed: int = 17) -> list[str]:
 
 def fit_with_outside(docs: DataFrame, per_language: int = 300, most_languages: int = 256, chars: int = 2048) -> Network:
     """As fit, with UNKNOWN as a class of its own, learned from as many made-up texts as two languages have."""
-    texts, labels = _sample(docs, per_language, most_languages, chars)
+    counts = _counts(docs, most_languages)
+    texts, labels = _first(docs, counts, per_language, chars)
     if not texts:
         return train([], [])
-    more = outside(texts, 2 * -(-len(texts) // len(set(labels))))
-    return train(texts + more, labels + [UNKNOWN] * len(more))
+    used = characters(docs)
+    more = outside(texts, 2 * -(-len(texts) // len(set(labels))), used=used)
+    return learned(docs, train(texts + more, labels + [UNKNOWN] * len(more)), counts, used)
 
 
 def predictor(net: Network):
@@ -223,18 +322,33 @@ def letters_of(text: str | None) -> int:
     return sum(map(str.isalpha, text or ""))
 
 
-def calibrate(docs: DataFrame, net: Network, lost: float = 0.001, most: int = 2000, chars: int = 2048) -> float:
-    """The confidence below which a text is in no language that the network knows: a half, or less where more than the
-    share `lost` of about `most` labelled rows with letters enough, none of which took part in training, would fall below."""
+#: Steps of confidence that calibrate tells apart.
+_GRID = 4096
+
+
+def calibrate(docs: DataFrame, net: Network, lost: float = 0.001) -> float:
+    """The confidence below which a text is in no language that the network knows: a half, or the largest one below (in
+    steps of 1 / _GRID) where no more than the share `lost` of all labelled rows with letters enough, none of which took part
+    in training, fall below. Counts by step are all that leaves the tasks."""
     if UNKNOWN not in net.languages:
         return 0.0
-    labelled = docs.where(held_out() & F.col("lang").isin(net.languages))
-    share = min(1.0, most / max(1, labelled.count()))
-    # Chosen by a hash in the tasks, so that what reaches the driver doesn't grow with them.
-    some = labelled.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < share * 1_000_000))
-    rows = some.select(F.substring("text", 1, chars).alias("text")).limit(4 * most).collect()
-    found = np.sort(confidence(net, [r["text"] for r in rows if letters_of(r["text"]) >= LEAST_LETTERS]))
-    return min(0.5, float(found[int(lost * len(found))])) if len(found) else 0.5
+
+    @F.pandas_udf("int")
+    def step(texts: pd.Series) -> pd.Series:
+        enough = np.array([letters_of(x) >= LEAST_LETTERS for x in texts], bool)
+        out = np.full(len(texts), -1)
+        if enough.any():
+            out[enough] = np.floor(np.minimum(confidence(net, texts[enough].tolist()), 0.5) * _GRID)
+        return pd.Series(out)
+
+    small_batches(docs.sparkSession)
+    labelled = docs.where(held_out() & F.col("lang").isin(net.languages) & F.col("text").isNotNull())
+    counts = {r["step"]: r["count"] for r in labelled.select(step("text").alias("step")).groupBy("step").count().collect() if r["step"] >= 0}
+    left, least = int(lost * sum(counts.values())), 0
+    while least < _GRID // 2 and counts.get(least, 0) <= left:
+        left -= counts.get(least, 0)
+        least += 1
+    return least / _GRID
 
 
 def in_language(net: Network, least: float):

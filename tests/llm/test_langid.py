@@ -75,3 +75,26 @@ def test_junk_goes_and_labelled_text_stays(spark):
     assert [r.ok for r in some.select(langid.in_language(net, least)("text").alias("ok")).collect()] == [True, False, False, False]
     strict = some.union(docs.select("text").limit(5)).select(langid.in_language(net, 1.1)("text").alias("ok")).collect()
     assert sum(r.ok for r in strict) <= 2  # short texts aside, the network's confidence decides
+
+
+def test_all_labelled_rows_train_the_network(spark):
+    """Rows beyond those that the network begins with change it; held-out and unlabelled ones don't, nor does their order."""
+    docs = spark.read.parquet(SF).select("doc_id", "text", "lang")
+    begun = lambda rows: langid.fit(rows, per_language=40)
+    net, again = begun(docs.coalesce(1)), begun(docs.coalesce(1))
+    assert all((a == b).all() for a, b in zip(net[1:], again[1:], strict=True))
+    first = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < 400_000  # the begun ones are among these
+    beyond = docs.withColumn("text", F.when(~first & ~langid.held_out(), F.lit("zq xv")).otherwise(F.col("text")))
+    assert any((a != b).any() for a, b in zip(net[1:], begun(beyond.coalesce(1))[1:], strict=True))
+    other = docs.withColumn("text", F.when(langid.held_out(), F.lit("zq xv")).otherwise(F.col("text")))
+    assert all((a == b).all() for a, b in zip(net[1:], begun(other.coalesce(1))[1:], strict=True))
+
+
+def test_threshold_counts_all_held_out_rows(spark):
+    docs = spark.read.parquet(SF)
+    net = langid.fit_with_outside(docs)
+    texts = [r.text for r in docs.where(langid.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect()]
+    sure = langid.confidence(net, [x for x in texts if langid.letters_of(x) >= langid.LEAST_LETTERS])
+    for lost in (0.0, 0.02, 0.3):
+        least = langid.calibrate(docs, net, lost)
+        assert np.mean(sure < least) <= lost and (least == 0.5 or np.mean(sure < least + 1 / 4096) > lost)
