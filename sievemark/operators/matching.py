@@ -365,41 +365,104 @@ AP_IOUS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 _AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
-def _greedy(ious: np.ndarray, ignored: np.ndarray, least: float) -> np.ndarray:
-    """The target that each prediction (in order) takes, or -1: the one that it overlaps most, counted ones before
-    ignored ones, the last among equals."""
-    free, out = np.ones(ious.shape[1], bool), np.full(len(ious), -1)
-    for d, row in enumerate(ious):
-        for kind in (~ignored, ignored):
-            some = np.flatnonzero(free & kind & (row >= least))
-            if len(some):
-                out[d] = some[len(some) - 1 - int(row[some][::-1].argmax())]
-                free[out[d]] = False
-                break
-    return out
+#: A cell is one of the area ranges at one of the overlaps; a prediction's outcomes are a bit for each.
+_CELLS = [(area, t) for area in _AREAS for t in AP_IOUS]
+_MOST_PLACES, _MOST_HELD = 100, 4 << 20
+
+
+def _bits(cells: np.ndarray) -> np.ndarray:
+    return cells @ (1 << np.arange(len(_CELLS), dtype=np.int64))
 
 
 def _coco_matches(rows: pd.DataFrame) -> pd.DataFrame:
-    """Outcomes of an image's categories, for every IoU and area range: a target outside of the range is ignored, and so is
-    a prediction that takes one, or takes none and is itself outside. Place 0 holds the number of targets."""
-    out = []
-    for category, own in rows.groupby("category"):
-        gts, prs = own[own["is_gt"]], own[~own["is_gt"]].sort_values(["score", "id"], ascending=[False, True])[:100]
-        g, p = gts[["x", "y", "w", "h"]].to_numpy(float), prs[["x", "y", "w", "h"]].to_numpy(float)
-        low = np.maximum(p[:, None, :2], g[None, :, :2])
-        high = np.minimum(p[:, None, :2] + p[:, None, 2:], g[None, :, :2] + g[None, :, 2:])
-        common = np.clip(high - low, 0, None).prod(axis=2)
-        area_g, area_p = g[:, 2] * g[:, 3], p[:, 2] * p[:, 3]
-        ious = common / (area_p[:, None] + area_g[None, :] - common)
-        scores, ids = prs["score"].tolist(), prs["id"].tolist()
-        for area, (least, most) in _AREAS.items():
-            ignored, outside = (area_g < least) | (area_g > most), (area_p < least) | (area_p > most)
-            for t in AP_IOUS:
-                for d, at in enumerate(_greedy(ious, ignored, t).tolist()):
-                    if not (ignored[at] if at >= 0 else outside[d]):
-                        out.append((category, area, t, scores[d], ids[d], d + 1, int(at >= 0)))
-            out.append((category, area, 0.0, 0.0, -1, 0, int((~ignored).sum())))
-    return pd.DataFrame(out, columns=["category", "area", "iou", "score", "id", "place", "tp"]).assign(image_id=rows["image_id"].iloc[0])
+    """category, image_id, id, score, place (from 1), tp, counted of the best predictions of every image and category: bits of
+    the cells in which it takes a target, and of those in which it counts.
+
+    A target outside of the range is ignored, and so is a prediction that takes one, or takes none and is itself outside.
+    Each takes the free target that it overlaps most, counted ones before ignored ones, the highest id among equals. Groups
+    of alike many targets are matched side by side: the first prediction of each, then the second."""
+    group = rows.groupby(["image_id", "category"], dropna=False, sort=False).ngroup().to_numpy()
+    rows = rows.assign(group=group)
+    gts = rows[rows["is_gt"]].sort_values("id", ascending=False)
+    prs = rows[~rows["is_gt"]].sort_values(["score", "id"], ascending=[False, True])
+    place = prs.groupby("group").cumcount().to_numpy()
+    prs, place = prs[place < _MOST_PLACES], place[place < _MOST_PLACES]
+    slot, g_of, p_of = gts.groupby("group").cumcount().to_numpy(), gts["group"].to_numpy(), prs["group"].to_numpy()
+    n = int(group.max()) + 1 if len(group) else 0
+    n_gt, n_pr = np.bincount(g_of, minlength=n), np.bincount(p_of, minlength=n)
+    g, p = gts[list(_BOX)].to_numpy(float), prs[list(_BOX)].to_numpy(float)
+    bounds, least = np.array([_AREAS[a] for a, _ in _CELLS]), np.array([t for _, t in _CELLS])
+    beyond = lambda area: (area[..., None] < bounds[:, 0]) | (area[..., None] > bounds[:, 1])
+    outside = beyond(p[:, 2] * p[:, 3])
+    tp, counted = np.zeros((len(p), len(_CELLS)), bool), ~outside
+    order = np.flatnonzero((n_pr > 0) & (n_gt > 0))
+    order = order[np.argsort(n_gt[order], kind="stable")]
+    local, at = np.full(n, -1), 0
+    while at < len(order):
+        # Sorted by their targets: no more groups than what the largest one lets be held.
+        to = at + 1
+        while to < len(order) and (to + 1 - at) * int(n_gt[order[to]]) * len(_CELLS) <= _MOST_HELD:
+            to += 1
+        own, at = order[at:to], to
+        local[own] = np.arange(len(own))
+        some, mine = np.flatnonzero(local[g_of] >= 0), np.flatnonzero(local[p_of] >= 0)
+        held = np.full((len(own), int(n_gt[own].max()), 4), np.nan)
+        held[local[g_of[some]], slot[some]] = g[some]
+        row = np.full((len(own), int(n_pr[own].clip(max=_MOST_PLACES).max())), -1)
+        row[local[p_of[mine]], place[mine]] = mine
+        local[own] = -1
+        ignored = np.ascontiguousarray(beyond(held[:, :, 2] * held[:, :, 3]).transpose(0, 2, 1))
+        free = np.ones(ignored.shape, bool)
+        for d in range(row.shape[1]):
+            now = np.flatnonzero(row[:, d] >= 0)
+            one, boxes = row[now, d], held[now]
+            box = p[one][:, None]
+            common = np.clip(np.minimum(box[..., :2] + box[..., 2:], boxes[..., :2] + boxes[..., 2:]) - np.maximum(box[..., :2], boxes[..., :2]), 0, None).prod(axis=2)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ious = (common / (box[..., 2] * box[..., 3] + boxes[..., 2] * boxes[..., 3] - common))[:, None, :]
+                open_ = free[now] & (ious >= least[:, None])
+            taken, hits = np.full((len(now), len(_CELLS)), -1), []
+            for kind in (ignored[now], ~ignored[now]):
+                overlap = np.where(open_ & ~kind, ious, -1.0)
+                best = overlap.argmax(axis=2)
+                hit = (np.take_along_axis(overlap, best[:, :, None], axis=2)[:, :, 0] >= 0) & (taken < 0)
+                taken[hit] = best[hit]
+                hits.append(hit)
+            i, c = np.nonzero(taken >= 0)
+            free[now[i], c, taken[i, c]] = False
+            tp[one] = hits[0]
+            counted[one] = hits[0] | (~hits[1] & ~outside[one])
+    out = prs[["category", "image_id", "id", "score"]]
+    return out.assign(place=place + 1, tp=_bits(tp), counted=_bits(counted))
+
+
+def _cell_sums(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a range of predictions, by cell: how many count, and how many of the first 1, 10, 100 of their image take a target."""
+    place, out = rows["place"].to_numpy(), []
+    for cell in range(len(_CELLS)):
+        tp, counted = (rows[c].to_numpy() >> cell & 1 for c in ("tp", "counted"))
+        out.append((cell, int(counted.sum()), *[int(tp[place <= k].sum()) for k in (1, 10, 100)]))
+    return pd.DataFrame(out, columns=["cell", "seen", "tp1", "tp10", "tp100"]).assign(category=rows["category"].iloc[0], **{running.RANGE: rows[running.RANGE].iloc[0]})
+
+
+def _cell_points(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+    """Of a range of predictions, by cell: its best precision (point -1), and for each recall that it is the first to reach the
+    best one from there to its end. before: what the ranges ahead hold (tps, seen), and the targets (n)."""
+    if not len(rows) or not len(before):
+        return pd.DataFrame({"category": [], running.RANGE: [], "cell": [], "point": [], "best": []})
+    rows = rows.sort_values(["score", "image_id", "id"], ascending=[False, True, True])
+    hit, counts, points, out = rows["tp"].to_numpy(), rows["counted"].to_numpy(), np.arange(101) * 0.01, []
+    for cell, tps, seen, n in zip(*(before[c].tolist() for c in ("cell", "tps", "seen", "n")), strict=True):
+        own = (hit >> cell & 1)[counts >> cell & 1 == 1]
+        if not len(own) or not n:
+            continue
+        upto = np.cumsum(own) + tps
+        best = np.maximum.accumulate((upto / (seen + np.arange(1, len(own) + 1)))[::-1])[::-1]
+        first = np.searchsorted(upto / n, points, side="left")
+        new = np.flatnonzero((first < len(own)) & ((points > tps / n) | (seen == 0)))
+        out.append(pd.DataFrame({"cell": cell, "point": [-1, *new], "best": [best[0], *best[first[new]]]}))
+    found = pd.concat(out) if out else pd.DataFrame({"cell": [], "point": [], "best": []})
+    return found.assign(category=rows["category"].iloc[0], **{running.RANGE: rows[running.RANGE].iloc[0]})
 
 
 _BEST_FIRST = [("score", False), ("image_id", True), ("id", True)]
@@ -418,23 +481,40 @@ def curve_average(hits: DataFrame, totals: DataFrame, own: list[str]) -> DataFra
     return best.where("tp = 1 OR seen = 1").groupBy(*own).agg((F.sum(F.col("best") * points) / 101).alias("ap"))
 
 
+#: About so many boxes are matched at a time.
+_DEAL = 20_000
+
+
 def average_precision(targets: DataFrame, predictions: DataFrame) -> DataFrame:
     """category, area, iou, ap, ar1, ar10, ar100 by the published COCO definition: precision as the best at any higher
-    recall, its mean at 101 recalls. Null without targets in the range, 0 without predictions. Images are matched side by
-    side."""
+    recall, its mean at 101 recalls. Null without targets in the range, 0 without predictions.
+
+    Images' categories are dealt to batches and matched side by side, for all overlaps and areas at once: a row for each
+    prediction. A category's predictions are in ranges by score, of which only sums, maxima and recall points meet."""
     side = lambda rows, gt: rows.select("image_id", "category", F.col("id").cast("long"), *[F.col(c).cast("double") for c in _BOX], (F.lit(0.0) if gt else F.col("score").cast("double")).alias("score"), F.lit(gt).alias("is_gt"))
-    rows = side(targets, True).unionByName(side(predictions, False))
+    rows = side(targets, True).unionByName(side(predictions, False)).where("category IS NOT NULL")
     image, kind = rows.schema["image_id"].dataType.simpleString(), rows.schema["category"].dataType.simpleString()
-    found = written(rows.groupBy("image_id").applyInPandas(_coco_matches, f"category {kind}, area string, iou double, score double, id long, place int, tp int, image_id {image}"), "hits")
-    totals = found.where("place = 0").groupBy("category", "area").agg(F.sum("tp").alias("n"))
-    hits = found.where("place > 0")
-    own = ["category", "area", "iou"]
-    curves = curve_average(hits.drop("place"), totals, own)
-    recalls = hits.groupBy(*own).agg(*[F.sum(F.when(F.col("place") <= k, F.col("tp")).otherwise(0)).alias(f"tp{k}") for k in (1, 10, 100)])
-    grid = totals.join(F.broadcast(targets.sparkSession.createDataFrame([(t,) for t in AP_IOUS], "iou double")))
-    joined = grid.join(curves, own, "left").join(recalls, own, "left")
+    deals = max(1, rows.count() // _DEAL)
+    dealt = rows.groupBy(F.pmod(F.xxhash64("image_id", "category"), F.lit(deals)).alias("deal"))
+    found = dealt.applyInPandas(_coco_matches, f"category {kind}, image_id {image}, id long, score double, place int, tp long, counted long")
+    ranged = running.in_ranges(found, ["category"], _BEST_FIRST)
+    own, cell = ["category", running.RANGE], ["category", "cell"]
+    sums = written(ranged.groupBy(*own).applyInPandas(_cell_sums, f"category {kind}, {running.RANGE} int, cell int, seen long, tp1 long, tp10 long, tp100 long"), "sums")
+    area = F.col("w") * F.col("h")
+    inside = lambda a: F.col("is_gt") & (F.isnan(area) | ~((area < _AREAS[a][0]) | (area > _AREAS[a][1])))
+    totals = rows.groupBy("category").agg(*[F.count_if(inside(a)).alias(a) for a in _AREAS])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(a).alias("area"), F.lit(t).alias("iou"), F.col(a).alias("n")) for i, (a, t) in enumerate(_CELLS)])).alias("c")
+    grid = written(totals.select("category", each).select("category", "c.*"), "cells")
+    ahead = Window.partitionBy(*cell).orderBy(running.RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.join(grid, cell).select(*own, "cell", "n", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(k) for k, c in (("tps", "tp100"), ("seen", "seen"))])
+    points = written(ranged.groupBy(*own).cogroup(before.groupBy(*own)).applyInPandas(_cell_points, f"category {kind}, {running.RANGE} int, cell int, point int, best double"), "points")
+    behind = Window.partitionBy(*cell).orderBy(F.desc(running.RANGE)).rangeBetween(Window.unboundedPreceding, -1)
+    later = points.withColumn("later", F.max(F.when(F.col("point") < 0, F.col("best"))).over(behind)).where("point >= 0")
+    curves = later.groupBy(*cell).agg((F.sum(F.greatest("best", "later")) / 101).alias("ap"))
+    recalls = sums.groupBy(*cell).agg(*[F.sum(f"tp{k}").alias(f"tp{k}") for k in (1, 10, 100)])
+    joined = grid.join(curves, cell, "left").join(recalls, cell, "left")
     some = lambda c: F.when(F.col("n") > 0, F.coalesce(c, F.lit(0.0)))
-    return joined.select(*own, some(F.col("ap")).alias("ap"), *[some(F.col(f"tp{k}") / F.nullif("n", F.lit(0))).alias(f"ar{k}") for k in (1, 10, 100)])
+    return joined.select("category", "area", "iou", some(F.col("ap")).alias("ap"), *[some(F.col(f"tp{k}") / F.nullif("n", F.lit(0))).alias(f"ar{k}") for k in (1, 10, 100)])
 
 
 # The twelve summary figures, each a mean over categories (and overlaps, if not one of them) of a column.

@@ -152,6 +152,23 @@ def test_average_precision_against_the_definition(spark, seed):
     assert found["per_class", "a", "ap50_95"] == pytest.approx(np.mean([v[0] for (c, a, t), v in want.items() if c == "a" and a == "all"]))
 
 
+def test_average_precision_over_many_ranges_and_batches(spark, monkeypatch):
+    """A row for each prediction is all that is dealt to ranges, and these don't change what comes out."""
+    rng = random.Random(6)
+    targets, predictions = boxes(rng, 300, 9, 30.0), boxes(rng, 500, 9, 30.0, scored=True, first=1000)
+    rows = lambda: {(r.category, r.area, r.iou): (r.ap, r.ar1, r.ar10, r.ar100) for r in matching.average_precision(*frames(spark, targets, predictions)).collect()}
+    whole, ranges, in_ranges = rows(), [], running.in_ranges
+    monkeypatch.setattr(running, "in_ranges", lambda *a: ranges.append(in_ranges(*a)) or ranges[-1])
+    monkeypatch.setattr(matching, "_DEAL", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    many = rows()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranges[0].select(running.RANGE).distinct().count() > 2 and ranges[0].count() <= len(predictions)
+    assert set(many) == set(whole) and all(many[k] == (pytest.approx(v) if v[0] is not None else v) for k, v in whole.items())
+    for k in (("a", "all", 0.5), ("b", "small", 0.7), ("a", "medium", 0.9)):
+        assert many[k] == pytest.approx(plain_average(targets, predictions, *k), abs=1e-12)
+
+
 def test_averages_without_predictions_or_targets(spark):
     targets, predictions = frames(spark, [(1, "a", 1, 0.0, 0.0, 5.0, 5.0)], [(1, "b", 3, 0.0, 0.0, 5.0, 5.0, 0.9)])
     stats = lambda a, b: {r.name: r.value for r in evaluation.average_figures(a, b).where("category IS NULL").collect()}
