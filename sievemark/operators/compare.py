@@ -87,15 +87,30 @@ def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return net.select(F.when(F.col("net") > 0, "left").otherwise("right").alias("side"), *columns, F.abs("net").alias("n"))
 
 
+#: About so many rows of a side are a task's.
+ROWS_OF_A_TASK = 500_000
+
+
+def _by_key(left: DataFrame, right: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt by the key to as many partitions as their rows ask for, where the session's number is too small: what
+    a task sorts doesn't grow with the tables then."""
+    parts = -(-max(left.count(), right.count()) // ROWS_OF_A_TASK)
+    if parts <= int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return left, right
+    return left.repartition(parts, key), right.repartition(parts, key)
+
+
 def set_difference(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """key, problem: missing or unexpected."""
+    expected, actual = _by_key(expected.select(key), actual.select(key), key)
     missing = expected.select(key).distinct().join(actual, key, "left_anti").withColumn("problem", F.lit("missing"))
     return missing.unionByName(actual.select(key).distinct().join(expected, key, "left_anti").withColumn("problem", F.lit("unexpected")))
 
 
 def field_mismatches(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """key, field, expected, actual: fields of the same key that differ (null equals null)."""
-    both = left.select(key, *[F.col(f).cast("string").alias(f"l_{f}") for f in fields]).join(right.select(key, *[F.col(f).cast("string").alias(f"r_{f}") for f in fields]), key)
+    left, right = _by_key(*(rows.select(key, *[F.col(f).cast("string").alias(f"{side}_{f}") for f in fields]) for side, rows in (("l", left), ("r", right))), key)
+    both = left.join(right, key)
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"l_{f}").alias("expected"), F.col(f"r_{f}").alias("actual")) for f in fields]))
     return both.select(key, each.alias("x")).select(key, "x.*").where("not (expected <=> actual)")
 

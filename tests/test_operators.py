@@ -220,3 +220,14 @@ def test_review_keeps_images_without_proposals(spark):
     images = spark.createDataFrame([("a",), ("b",), ("c",)], "image string")
     proposals = spark.createDataFrame([("a", 0.9, True), ("b", 0.9, True), ("b", 0.2, False)], "image string, confidence double, high boolean")
     assert [r.image for r in review.in_review_order(review.review_queue(images, proposals)).collect()] == ["c", "b", "a"]
+
+
+def test_sides_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(compare, "ROWS_OF_A_TASK", 100)
+    left, right = spark.range(2000).selectExpr("id", "id % 7 AS v"), spark.range(40, 2050).selectExpr("id", "if(id = 50, 9, id % 7) AS v")
+    assert [x.rdd.getNumPartitions() for x in compare._by_key(left, right, "id")] == [21, 21]
+    gaps = compare.set_difference(left, right, "id")
+    assert {r.problem: r["count"] for r in gaps.groupBy("problem").count().collect()} == {"missing": 40, "unexpected": 50}
+    assert [tuple(r) for r in compare.field_mismatches(left, right, "id", ["v"]).collect()] == [(50, "v", "1", "9")]
+    monkeypatch.undo()
+    assert compare._by_key(left, right, "id") == (left, right)
