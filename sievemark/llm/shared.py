@@ -8,20 +8,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.session import new_path, shared_folder, table, written
+from sievemark.session import new_path, shared_folder, small_batches, table, written
 
 __all__ = ["Words", "components", "crc_mod", "mix", "new_path", "pieces", "shared_folder", "small_batches", "spanning", "table", "written"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what Python workers hold at once; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have at most so many bytes together (a single text may have more)."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -198,10 +198,16 @@ def sc12_scalar_epochs(spark, d):
 
 
 @F.pandas_udf(BinaryType())
-def _event_file(step: pd.Series, tag: pd.Series, value: pd.Series) -> bytes:
-    """An event file of one scalar a record, by step."""
-    rows = sorted(zip(step.tolist(), tag.tolist(), value.tolist(), strict=True))
-    return event_files.framed([event_files.encoded(s, 0.5 * s, {t: v}) for s, t, v in rows])
+def _encoded_events(step: pd.Series, tag: pd.Series, value: pd.Series) -> pd.Series:
+    """Event files of one scalar a record."""
+    files = [[event_files.encoded(int(s), 0.5 * s, {t: v}) for s, t, v in zip(*own, strict=True)] for own in zip(step, tag, value, strict=True)]
+    return pd.Series(event_files.framed_files(files), dtype=object)
+
+
+def _event_file(step: str, tag: str, value: str):
+    """An event file of a group's scalars, by step."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col(tag).alias("tag"), F.col(value).alias("value"))))
+    return _encoded_events(rows["step"], rows["tag"], rows["value"])
 
 
 def sc12_event_files(spark, d):

@@ -1,9 +1,12 @@
 """Runs' rows, event files and line numbers."""
 
+import functools
 import json
 import math
+import random
 import struct
 
+import numpy as np
 import pytest
 
 from sievemark.operators import runs
@@ -67,6 +70,22 @@ def test_event_files_of_a_folder(spark, tmp_path):
     assert values("cut") == values("good")[:4] and errors("cut") == ["truncated record"] and errors("length") == ["damaged record length"] and values("length") == []
 
 
+def test_checksums_of_many_files_at_once():
+    """Short and long records side by side, damaged ones among them; a plain loop per byte gives the same."""
+    rng = random.Random(2)
+    plain = lambda data: functools.reduce(lambda x, b: event_files._PLAIN[(x ^ b) & 255] ^ x >> 8, data, 0xFFFFFFFF) ^ 0xFFFFFFFF
+    parts = [rng.randbytes(rng.choice([0, 1, 8, 40, 300])) for _ in range(400)] + [rng.randbytes(5000)]
+    sizes = np.array([len(x) for x in parts])
+    assert event_files._checksums(b"".join(parts), np.cumsum(sizes) - sizes, sizes).tolist() == [plain(x) for x in parts]
+    events = [[event_files.encoded(i, 0.0, {"a" * rng.randint(1, 60): 1.0}) for i in range(rng.randint(0, 9))] for _ in range(200)]
+    whole = event_files.framed_files(events)
+    assert whole == [event_files.framed(x) for x in events]
+    cut = [x[:-1] if k % 3 == 0 else x[:-1] + bytes([x[-1] ^ 1]) if x and k % 3 == 1 else x for k, x in enumerate(whole)]
+    for k, (own, (found, end)) in enumerate(zip(events, event_files.records(cut), strict=True)):
+        short = bool(own) and k % 3 < 2
+        assert [x for _, x in found] == own[: len(own) - short] and (end and end[1]) == (["truncated record", "damaged record"][k % 3] if short else None)
+
+
 def test_line_numbers_over_splits(spark, tmp_path):
     texts = {f"{k}.jsonl": [f"{k}-{i}" * (i % 7) + ("\r" if i % 5 == 0 else "") for i in range(3000 + 100 * k)] for k in range(3)}
     texts["ends.jsonl"] = ["a", "", "b"]
