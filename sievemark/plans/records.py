@@ -10,7 +10,8 @@ from sievemark.operators import canonical, compare, duplicates, graph, matching,
 from sievemark.plans import curation, evaluation
 from sievemark.plans.comparison import _SQL_RUNS, METRICS, _runs
 from sievemark.plans.curation import _DEC, SQL_BOXES, _boxes, _docs
-from sievemark.session import table
+from sievemark.session import small_batches, table
+from sievemark.sources import scans
 from sievemark.streaming import monitors
 
 
@@ -71,6 +72,7 @@ def hs2_pixel_hashes(spark, d):
     raw = F.encode("html", "UTF-8")
     size = F.ceil(F.octet_length(raw) / 3).cast("int")
     rows = table(spark, d, "pages").select("page_id", size.alias("width"), F.concat(raw, F.encode(F.repeat(F.lit("#"), size * 3 - F.octet_length(raw)), "UTF-8")).alias("rgb"))
+    small_batches(spark, scans.IMAGES_HELD)
     return rows.select("page_id", images.pixel_hash("width", F.lit(1), "rgb").alias("sha256_pixels"))
 
 

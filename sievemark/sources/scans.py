@@ -16,12 +16,15 @@ from pyspark.sql.types import StructType
 
 from sievemark.functions.images import image_probe
 from sievemark.functions.text import class_of_path, is_image, quality_flags, sniffed_mime, source_of_path, split_of_path
+from sievemark.session import small_batches
 
 # What an archive may hold.
 MOST_MEMBERS = 20_000
 MOST_MEMBER_BYTES = 512 << 20
 MOST_TOTAL_BYTES = 32 << 30
 MOST_RATIO = 250.0
+#: Images that a Python worker is handed at a time; fewer where they are large.
+IMAGES_HELD = 200
 
 
 def image_files(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
@@ -36,7 +39,8 @@ def probed_files(files: DataFrame, classes: list[str], default_class: str | None
     decode_ok, quality_flags, error of image files (relative_path, length, content).
 
     A file that can't be decoded whole is a row with its error. Pixels are decoded, and hashed upright, where the format is
-    one of images.DECODED; of others headers are read, and the hashes stay null."""
+    one of images.DECODED; of others headers are read, and the hashes stay null. A Python worker holds IMAGES_HELD files."""
+    small_batches(files.sparkSession, IMAGES_HELD)
     rows = files.withColumns({"head": image_probe(F.col("content")), "class_name": class_of_path(F.col("relative_path"), classes, default_class)})
     good = F.col("head.error").isNull() & (F.col("head.width") > 0) & (F.col("head.height") > 0)
     flags = F.when(good, quality_flags(F.col("head.width"), F.col("head.height"), F.col("class_name"), least_width, least_height)).otherwise("DECODE_FAILED")

@@ -118,3 +118,13 @@ def test_folder_of_images(spark, tmp_path):
         assert (rows[name].decode_ok, rows[name].error, rows[name].quality_flags, rows[name].phash64) == (False, error, "DECODE_FAILED", None)
     nothing = spark.createDataFrame([(None,)], "x binary").select(images.image_probe(F.col("x")).alias("p")).collect()[0].p
     assert set(nothing) == {None}
+
+
+def test_workers_hold_few_images_at_a_time(spark):
+    """Batches of the probe are bounded whatever a partition holds."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    files = spark.range(1).selectExpr("'train/a.png' AS relative_path", "1L AS length", "X'00' AS content")
+    scans.probed_files(files, [])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == scans.IMAGES_HELD and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 16 << 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
