@@ -13,7 +13,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .shared import Words, pieces, small_batches
+from .shared import WORDS_HELD, Words, pieces, small_batches
 
 SEED_WORDS = 3
 THRESHOLD = 0.5
@@ -195,7 +195,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
         held = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in (x for whole in batches for x in pieces(whole, "text")):
+            for batch in (x for whole in batches for x in pieces(whole, "text", WORDS_HELD)):
                 out = find_leaks(batch.column(1), held.value, threshold)
                 if out:
                     row, *rest = (list(x) for x in zip(*out, strict=True))
@@ -213,7 +213,7 @@ def _clean(held: Broadcast, threshold: float):
     def clean(texts: pd.Series) -> pd.Series:
         array = pa.array([None if x is None or x != x else x for x in texts], pa.string())
         batch, out, at = pa.RecordBatch.from_arrays([array], names=["text"]), np.ones(len(array), bool), 0
-        for part in pieces(batch, "text"):
+        for part in pieces(batch, "text", WORDS_HELD):
             for leak in find_leaks(part.column(0), held.value, threshold):
                 out[at + leak.row] = False
             at += part.num_rows

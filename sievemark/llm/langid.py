@@ -52,9 +52,18 @@ def _pooled(net: Network, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hidden, embedded
 
 
+#: Windows whose filters' values at all places are held at once.
+_HELD = 64
+
+
+def _pooled_by_parts(net: Network, chars: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As _pooled, some windows after others."""
+    return (_pooled(net, chars[at : at + _HELD]) for at in range(0, len(chars), _HELD))
+
+
 def log_probabilities(net: Network, chars: np.ndarray) -> np.ndarray:
-    hidden, _ = _pooled(net, chars)
-    top = np.maximum(hidden.max(axis=1) + net.bias, 0)
+    top = np.concatenate([hidden.max(axis=1) for hidden, _ in _pooled_by_parts(net, chars)])
+    top = np.maximum(top + net.bias, 0)
     z = top @ net.out + net.out_bias
     z = z - z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
@@ -76,9 +85,9 @@ class _Learner:
         """Along the cross-entropy of windows x with targets y, each counted by its share; those that have their target
         with a probability of `sure` or more already add nothing."""
         net = self.net
-        hidden, embedded = _pooled(net, x)
-        place = hidden.argmax(axis=1)
-        top = np.take_along_axis(hidden, place[:, None, :], axis=1)[:, 0] + net.bias
+        parts = [(hidden.argmax(axis=1), hidden.max(axis=1), embedded) for hidden, embedded in _pooled_by_parts(net, x)]
+        place, top, embedded = (np.concatenate(part) for part in zip(*parts, strict=True))
+        top += net.bias
         live = top > 0
         top = top * live
         z = top @ net.out + net.out_bias

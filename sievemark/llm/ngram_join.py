@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, components, mix, pieces, small_batches, spanning, written
+from .shared import WORDS_HELD, Words, components, mix, pieces, small_batches, spanning, written
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.99999
 
@@ -57,7 +57,7 @@ def _features(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
     """doc_id, row (a hash of doc_id and text), chars, key (of the set of n-grams; null if it is empty), bands."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for whole in batches for x in pieces(whole, "text")):
+        for batch in (x for whole in batches for x in pieces(whole, "text", WORDS_HELD)):
             keys, signatures = [], []
             for grams in gram_sets(batch.column(3), n):
                 keys.append(blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
@@ -114,7 +114,8 @@ def _verify(rows: pd.DataFrame, similarity: float, n: int) -> pd.DataFrame:
     """Links of a task's rows: either some small components, or one pair i, j of blocks of a large one. Gives a, a, links
     (rows of the table that class a links with here) and a, b, 0 (edges of a spanning forest of classes)."""
     array = pa.RecordBatch.from_arrays([pa.array(list(rows["text"]), pa.string())], names=["text"])
-    sets = [x for part in pieces(array, "text") for x in gram_sets(part.column(0), n)]
+    sets = [x for part in pieces(array, "text", WORDS_HELD) for x in gram_sets(part.column(0), n)]
+    del array
     bands = np.array(list(rows["bands"]), np.int64)
     weight, ids, block = rows["n"].to_numpy(np.int64), rows["row"].to_numpy(np.int64), rows["block"].to_numpy(np.int64)
     count, edges = np.zeros(len(rows), np.int64), []

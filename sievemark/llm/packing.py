@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, small_batches, written
+from .shared import WORDS_HELD, pieces, small_batches, written
 from .tokens import default_tokenizer, encoder
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -24,7 +24,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     name = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for whole in batches for x in pieces(whole, "text")):
+        for batch in (x for whole in batches for x in pieces(whole, "text", WORDS_HELD)):
             ids, bounds = encoder(name).encode(batch.column(1))
             sizes = np.diff(bounds)
             count = -(-sizes // capacity)

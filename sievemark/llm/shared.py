@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from sievemark.session import new_path, shared_folder, small_batches, table, written
 
-__all__ = ["Words", "components", "crc_mod", "mix", "new_path", "pieces", "shared_folder", "small_batches", "spanning", "table", "written"]
+__all__ = ["WORDS_HELD", "Words", "components", "crc_mod", "mix", "new_path", "pieces", "shared_folder", "small_batches", "spanning", "table", "written"]
+
+
+#: Bytes of texts whose words are told apart at once: the arrays take some forty times that, and a worker keeps what it once
+#: took while stage follows stage.
+WORDS_HELD = 1 << 20
 
 
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -81,7 +86,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         size = len(self.data)
-        powers, inverses = _powers(1 << max(22, (size + 1).bit_length()))
+        powers, inverses = _powers(1 << max(20, (size + 1).bit_length()))
         total = np.zeros(size + 1, dtype=np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers[:size], out=total[1:])
         return mix((total[self.last] - total[self.first]) * inverses[self.first])

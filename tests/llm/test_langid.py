@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -49,6 +50,24 @@ def test_pooling_and_filters_against_plain_loops():
         assert np.allclose(hidden[0, :, f], plain, atol=1e-4)
 
 
+def test_filters_pool_a_few_windows_at_a_time():
+    net = langid.train(["abc abc", "xyz"], ["p", "q"], epochs=1)
+    chars = np.random.default_rng(5).integers(0, 256, (500, langid.WINDOW)).astype(np.uint8)
+    hidden, _ = langid._pooled(net, chars)
+    z = np.maximum(hidden.max(axis=1) + net.bias, 0) @ net.out + net.out_bias
+    del hidden
+    learner, peaks = langid._Learner(net, 0.001), []
+    for work in (lambda: langid.log_probabilities(net, chars), lambda: learner.step(chars, np.arange(500) % 2)):
+        tracemalloc.start()
+        try:
+            out = work()
+            peaks.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+        assert out is None or np.allclose(out, z - np.log(np.exp(z).sum(axis=1, keepdims=True)), atol=1e-4)
+    assert max(peaks) < 30 << 20, peaks
+
+
 def test_without_labels_all_lettered_texts_stay(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string")
     kept = langid.with_language(docs.withColumn("lang", F.lit(None).cast("string")))

@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
-from sievemark.llm import ngram_join
+from sievemark.llm import ngram_join, shared
 from tests.llm.test_shared import plain_words
 
 
@@ -104,3 +106,17 @@ def test_bands_reach_the_recall():
 
 def test_a_text_with_few_words_is_one_gram():
     assert [len(x) for x in ngram_join.gram_sets(pa.array(["a", "a b c d", "a b c d e f", "", None]))] == [1, 1, 2, 0, 0]
+
+
+def test_a_task_holds_the_words_of_a_few_texts_at_a_time():
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.randrange(1 << 24):x}" for _ in range(15_000)) for _ in range(40)]
+    rows = pd.DataFrame({"root": range(40), "i": 0, "j": 0, "block": 0, "row": range(40), "n": 1, "bands": [[k] for k in range(40)], "text": texts})
+    shared._powers.cache_clear()
+    tracemalloc.start()
+    try:
+        found = ngram_join._verify(rows, 0.8, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert not len(found) and peak < 100 << 20, peak
